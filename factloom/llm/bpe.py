@@ -175,3 +175,25 @@ def round_trip(df: DataFrame, path: str) -> DataFrame:
         yield from batches_of(rows(batches), out)
 
     return df.select(df["doc_id"].cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def tokenised(df: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, text) of documents (doc_id, text): each whole text encoded, and decoded again from its ids. Narrow."""
+    import pyarrow as pa
+
+    short_batches(df.sparkSession)
+    out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("text", pa.string())])
+
+    def rows(batches):
+        import numpy as np
+
+        c = codec(path)
+        for batch in batches:
+            for k, t in zip(batch.column(0).to_pylist(), texts(batch, "text")):
+                ids = c.encode(t)
+                yield k, len(ids), np.frombuffer(ids, "u4").astype("i4"), c.decode(ids)
+
+    def run(batches):
+        yield from batches_of(rows(batches), out, 256)
+
+    return df.select(df["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, text string")

@@ -184,6 +184,24 @@ def scores(documents: DataFrame, model: Discriminant | None, columns: tuple[str,
     return documents.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, schema)
 
 
+def accepted(documents: DataFrame, model: Discriminant | None, least: float) -> DataFrame:
+    """The documents with a score of `least` or more, all columns as they are; without a model, all of them. Narrow."""
+    import pyarrow as pa
+
+    short_batches(documents.sparkSession)
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            own = texts(batch, "text")
+            if model is not None and own:
+                batch = batch.filter(pa.array(model.score(np.array([statistics(t) for t in own])) >= least))
+            yield batch
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Rows that are kept from learning: crc32 of doc_id as text leaves 2 when divided by four."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2

@@ -40,11 +40,15 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation."""
+def written(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation.
+
+    batch_rows: rows in the Arrow batches of this step; steps over short rows take more."""
     spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     path = f"{shared_dir(spark)}/factloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     out = spark.read.schema(df.schema).parquet(path)
     out._factloom_path = path
     return out
@@ -109,3 +113,104 @@ def batches_of(rows: Iterator[tuple], schema, size: int = 2000):
             held = []
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
+_WORDS: dict[str, int] = {}
+
+
+def word_hashes(words: list[str]):
+    """A 64-bit hash of each word, the same on all machines; hashes of words that were met before are kept, within a bound."""
+    import numpy as np
+    import xxhash
+
+    if len(_WORDS) > 400_000:
+        _WORDS.clear()
+    get, one = _WORDS.get, xxhash.xxh3_64_intdigest
+    out = []
+    for w in words:
+        h = get(w)
+        if h is None:
+            h = _WORDS[w] = one(w.encode("utf-8", "surrogatepass"))
+        out.append(h)
+    return np.array(out, "u8")
+
+
+def mixed(x):
+    """A bijective mix of 64-bit numbers."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(32))
+
+
+def shingle_hashes(words: list[str], k: int):
+    """Hashes of the k-word shingles in order; with fewer words, of the whole sequence as one; none without words."""
+    import numpy as np
+
+    n = len(words)
+    if not n:
+        return np.zeros(0, "u8")
+    h, k_own = word_hashes(words), min(k, n)
+    out = np.full(n - k_own + 1, k_own, "u8")
+    for i in range(k_own):
+        out = mixed(out + h[i : i + len(out)])
+    return out
+
+
+def neighbours(df: DataFrame, payload: list[str], name: str, passes=None, lags: int = 1) -> DataFrame:
+    """Join rows that share `key` into chains: dealt by range of (key, payload, doc_id), each row meets the `lags` rows before it that
+    have its key and another doc_id. A key with any number of rows is spread over many tasks, and yields `lags` pairs for a row.
+
+    df: (key long, doc_id long, payload longs). Returns pairs (a, b, and each payload as <name>_a, <name>_b). Pairs that span two
+    tasks are made from the tasks' first and last rows. passes: keeps the pairs that it finds True, given two lists of arrays.
+    """
+    import pyarrow as pa
+    from pyspark.sql import Window
+
+    columns = ["key", *payload, "doc_id"]
+    wide = [f"{c}_{s}" for s in "ab" for c in columns]
+    out = pa.schema([("part", pa.int32()), ("end", pa.int32()), *((c, pa.int64()) for c in wide)])
+
+    def run(batches):
+        import numpy as np
+        from pyspark import TaskContext
+
+        part, last = TaskContext.get().partitionId(), None
+
+        def rows(left, right, end):
+            n = len(left[0])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, "i4")), pa.array(np.full(n, end, "i4")), *(pa.array(x) for x in [*left, *right])], schema=out)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+            begin = 0
+            if last is None:
+                yield rows([x[:1] for x in held], [x[:1] for x in held], 0)
+            else:
+                begin = len(last[0])
+                held = [np.concatenate([a, b]) for a, b in zip(last, held)]
+            for lag in range(1, lags + 1):
+                left, right = [x[: len(x) - lag] for x in held], [x[lag:] for x in held]
+                same = (left[0] == right[0]) & (left[-1] != right[-1])
+                same[: max(0, begin - lag)] = False  # met in the batch before
+                if passes is not None and same.any():
+                    same[same] = passes([x[same] for x in left[1:-1]], [x[same] for x in right[1:-1]])
+                if same.any():
+                    yield rows([x[same] for x in left], [x[same] for x in right], 2)
+            last = [x[-lags:] for x in held]
+        if last is not None:
+            yield rows([x[-1:] for x in last], [x[-1:] for x in last], 1)
+
+    dealt = df.select(*columns).repartitionByRange(*columns).sortWithinPartitions(*columns)
+    made = written(dealt.mapInArrow(run, "part int, end int, " + ", ".join(f"{c} long" for c in wide)), name, 16_384)
+    ends = made.where("end < 2")
+    order = Window.orderBy("part", "end")  # two rows for each task
+    before = [F.lag(f"{c}_a").over(order).alias(f"{c}_a") for c in columns]
+    across = ends.select("end", *before, *(f"{c}_b" for c in columns)).where("end = 0 and key_a = key_b and doc_id_a <> doc_id_b")
+    pairs = made.where("end = 2").select(wide).unionByName(across.select(wide))
+    pairs = pairs.drop("key_a", "key_b").withColumnsRenamed({"doc_id_a": "a", "doc_id_b": "b"})
+    pairs._factloom_path = made._factloom_path
+    return pairs

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: The key of the surrogates in the queries; a real run takes its own.
+PII_KEY = "factloom"
+
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import chat
@@ -25,6 +28,12 @@ def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_join
+
+    return ngram_join.join_components(table(spark, sf_dir, "documents"), 3, 90, 100).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import classifier
 
@@ -34,6 +43,12 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", classifier.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substring
+
+    return substring.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import html_extract
 
@@ -46,6 +61,19 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).drop("score")
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    out = pii.anonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, spans=True)
+    return out.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), F.to_json("entities").alias("entities"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality_rules
 
@@ -53,4 +81,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_bpe_encode_decode, op4_quality_classifier, op6_html_extraction, op7_url_filters, op10_quality_rules)}
+    own = (op1_chat_formatting, op2_bpe_encode_decode, op3_ngram_jaccard_join, op4_quality_classifier, op5_substring_dedup, op6_html_extraction, op7_url_filters, op8_benchmark_decontamination, op9_pii_surrogates, op10_quality_rules)
+    return {f.__name__: f for f in own}
