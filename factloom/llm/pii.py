@@ -299,7 +299,7 @@ def anonymise(documents: DataFrame, key: str, spans: bool = False) -> DataFrame:
     text. The texts themselves are not shuffled, unless more draws collide than may be broadcast."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import ArrayType, StructType
+    from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
     spark = documents.sparkSession
     short_batches(spark)
@@ -308,7 +308,7 @@ def anonymise(documents: DataFrame, key: str, spans: bool = False) -> DataFrame:
     n = moved.count()
     schema = StructType(documents.schema.fields)
     if spans:
-        schema = schema.add("entities", ArrayType(StructType().add("start", "int").add("end", "int").add("kind", "string")))
+        schema = schema.add("entities", ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()).add("kind", StringType())))
     out = to_arrow_schema(schema)
     again = {(r["kind"], r["value"]): r["attempt"] for r in moved.collect()} if 0 < n <= MOST_BROADCAST else {}
     shared = spark.sparkContext.broadcast(again)
