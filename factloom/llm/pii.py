@@ -306,7 +306,7 @@ def anonymise(documents: DataFrame, key: str, spans: bool = False) -> DataFrame:
     found = written(entities(documents), "entities")
     moved = written(collisions(found, key), "collisions")
     n = moved.count()
-    schema = StructType(documents.schema.fields)
+    schema = StructType(list(documents.schema.fields))
     if spans:
         schema = schema.add("entities", ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()).add("kind", StringType())))
     out = to_arrow_schema(schema)
