@@ -115,24 +115,42 @@ def batches_of(rows: Iterator[tuple], schema, size: int = 2000):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
-_WORDS: dict[str, int] = {}
+_POWERS: dict = {}
 
 
-def word_hashes(words: list[str]):
-    """A 64-bit hash of each word, the same on all machines; hashes of words that were met before are kept, within a bound."""
+def _byte_tables(n: int):
+    """Whether a byte is white space, a random number for each byte, and powers of an odd base and of its inverse up to n."""
     import numpy as np
-    import xxhash
 
-    if len(_WORDS) > 400_000:
-        _WORDS.clear()
-    get, one = _WORDS.get, xxhash.xxh3_64_intdigest
-    out = []
-    for w in words:
-        h = get(w)
-        if h is None:
-            h = _WORDS[w] = one(w.encode("utf-8", "surrogatepass"))
-        out.append(h)
-    return np.array(out, "u8")
+    if len(_POWERS.get("up", ())) < n:
+        size = max(1 << 16, 1 << (n - 1).bit_length())
+        base = 0x9E3779B97F4A7C15
+        back = pow(base, -1, 1 << 64)
+        for name, x in (("up", base), ("down", back)):
+            powers = np.full(size, x, "u8")
+            powers[0] = 1
+            _POWERS[name] = np.multiply.accumulate(powers)
+        space = np.zeros(256, "?")
+        space[[9, 10, 11, 12, 13, 32]] = True
+        _POWERS["space"], _POWERS["code"] = space, mixed(np.arange(1, 257, dtype="u8") * np.uint64(0xD1B54A32D192ED03))
+    return _POWERS["space"], _POWERS["code"], _POWERS["up"], _POWERS["down"]
+
+
+def word_hashes(text: str):
+    """A 64-bit hash of each word of a text, A-Z lower-cased, the same on all machines.
+
+    A polynomial over the word's bytes modulo 2^64, taken from prefix sums, so that a text costs a few passes over its bytes."""
+    import numpy as np
+
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), "u1")  # bytes.lower() moves A-Z only
+    n = len(data)
+    space, code, up, down = _byte_tables(n + 1)
+    inside = ~space[data]
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, ends = edge[::2], edge[1::2]
+    sums = np.zeros(n + 1, "u8")
+    np.cumsum(code[data] * up[:n], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype("u8"))
 
 
 def mixed(x):
@@ -144,33 +162,45 @@ def mixed(x):
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_hashes(words: list[str], k: int):
-    """Hashes of the k-word shingles in order; with fewer words, of the whole sequence as one; none without words."""
+def shingle_hashes(text: str, k: int):
+    """Hashes of a text's k-word shingles in order; with fewer words, of the whole sequence as one; none without words."""
     import numpy as np
 
-    n = len(words)
+    h = word_hashes(text)
+    n = len(h)
     if not n:
-        return np.zeros(0, "u8")
-    h, k_own = word_hashes(words), min(k, n)
-    out = np.full(n - k_own + 1, k_own, "u8")
-    for i in range(k_own):
-        out = mixed(out + h[i : i + len(out)])
-    return out
+        return h
+    own = min(k, n)
+    out = np.full(n - own + 1, own, "u8")
+    for i in range(own):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[i : i + len(out)]
+    return mixed(out)
 
 
-def neighbours(df: DataFrame, payload: list[str], name: str, passes=None, lags: int = 1) -> DataFrame:
+def neighbours(df: DataFrame, payload: list[str], emits: list[str], emit, name: str, lags: int = 1) -> DataFrame:
     """Join rows that share `key` into chains: dealt by range of (key, payload, doc_id), each row meets the `lags` rows before it that
     have its key and another doc_id. A key with any number of rows is spread over many tasks, and yields `lags` pairs for a row.
 
-    df: (key long, doc_id long, payload longs). Returns pairs (a, b, and each payload as <name>_a, <name>_b). Pairs that span two
-    tasks are made from the tasks' first and last rows. passes: keeps the pairs that it finds True, given two lists of arrays.
+    df: (key long, doc_id long, payload longs). emit gets the earlier and the later rows' (doc_id, payload...) arrays and returns a
+    mask of the pairs to keep and arrays for the columns `emits`. Returns (a, b, emits) with a < b in order of the chain; rows that
+    are split by the border of two tasks meet from the tasks' last and first rows.
     """
     import pyarrow as pa
-    from pyspark.sql import Window
 
     columns = ["key", *payload, "doc_id"]
-    wide = [f"{c}_{s}" for s in "ab" for c in columns]
-    out = pa.schema([("part", pa.int32()), ("end", pa.int32()), *((c, pa.int64()) for c in wide)])
+    held_names, made_names = columns, ["a", "b", *emits]
+    out = pa.schema([("part", pa.int32()), ("end", pa.int32()), *((c, pa.int64()) for c in (*held_names, *made_names))])
+    final = pa.schema([(c, pa.int64()) for c in made_names])
+
+    def pairs(left, right, fresh=None):
+        import numpy as np
+
+        same = (left[0] == right[0]) & (left[-1] != right[-1])
+        if fresh is not None:
+            same &= fresh
+        left, right = [x[same] for x in (left[-1], *left[1:-1])], [x[same] for x in (right[-1], *right[1:-1])]
+        keep, made = emit(left, right)
+        return [np.asarray(x)[keep] for x in (left[0], right[0], *made)]
 
     def run(batches):
         import numpy as np
@@ -178,9 +208,12 @@ def neighbours(df: DataFrame, payload: list[str], name: str, passes=None, lags:
 
         part, last = TaskContext.get().partitionId(), None
 
-        def rows(left, right, end):
-            n = len(left[0])
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, "i4")), pa.array(np.full(n, end, "i4")), *(pa.array(x) for x in [*left, *right])], schema=out)
+        def rows(end, held=None, made=None):
+            n = len((held or made)[0])
+            gaps = lambda names: [pa.nulls(n, pa.int64()) for _ in names]
+            cells = [*map(pa.array, held)] if held else gaps(held_names)
+            cells += [*map(pa.array, made)] if made else gaps(made_names)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, "i4")), pa.array(np.full(n, end, "i4")), *cells], schema=out)
 
         for batch in batches:
             if not batch.num_rows:
@@ -188,29 +221,36 @@ def neighbours(df: DataFrame, payload: list[str], name: str, passes=None, lags:
             held = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
             begin = 0
             if last is None:
-                yield rows([x[:1] for x in held], [x[:1] for x in held], 0)
+                yield rows(0, held=[x[:1] for x in held])
             else:
                 begin = len(last[0])
                 held = [np.concatenate([a, b]) for a, b in zip(last, held)]
             for lag in range(1, lags + 1):
-                left, right = [x[: len(x) - lag] for x in held], [x[lag:] for x in held]
-                same = (left[0] == right[0]) & (left[-1] != right[-1])
-                same[: max(0, begin - lag)] = False  # met in the batch before
-                if passes is not None and same.any():
-                    same[same] = passes([x[same] for x in left[1:-1]], [x[same] for x in right[1:-1]])
-                if same.any():
-                    yield rows([x[same] for x in left], [x[same] for x in right], 2)
+                if len(held[0]) <= lag:
+                    continue
+                fresh = np.arange(len(held[0]) - lag) >= begin - lag  # the others met in the batch before
+                made = pairs([x[:-lag] for x in held], [x[lag:] for x in held], fresh)
+                if len(made[0]):
+                    yield rows(2, made=made)
             last = [x[-lags:] for x in held]
         if last is not None:
-            yield rows([x[-1:] for x in last], [x[-1:] for x in last], 1)
+            yield rows(1, held=[x[-1:] for x in last])
+
+    def across(batches):
+        import numpy as np
+
+        held = None
+        for batch in batches:
+            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", *columns)]
+            held = own if held is None else [np.concatenate([a, b]) for a, b in zip(held, own)]
+        if held is not None and len(held[0]) > 1:
+            made = pairs([x[:-1] for x in held[1:]], [x[1:] for x in held[1:]], held[0][1:] != held[0][:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], schema=final)
 
+    longs = lambda names: ", ".join(f"{c} long" for c in names)
     dealt = df.select(*columns).repartitionByRange(*columns).sortWithinPartitions(*columns)
-    made = written(dealt.mapInArrow(run, "part int, end int, " + ", ".join(f"{c} long" for c in wide)), name, 16_384)
-    ends = made.where("end < 2")
-    order = Window.orderBy("part", "end")  # two rows for each task
-    before = [F.lag(f"{c}_a").over(order).alias(f"{c}_a") for c in columns]
-    across = ends.select("end", *before, *(f"{c}_b" for c in columns)).where("end = 0 and key_a = key_b and doc_id_a <> doc_id_b")
-    pairs = made.where("end = 2").select(wide).unionByName(across.select(wide))
-    pairs = pairs.drop("key_a", "key_b").withColumnsRenamed({"doc_id_a": "a", "doc_id_b": "b"})
-    pairs._factloom_path = made._factloom_path
-    return pairs
+    made = written(dealt.mapInArrow(run, f"part int, end int, {longs(held_names)}, {longs(made_names)}"), name, 16_384)
+    ends = made.where("end < 2").select("part", "end", *columns).coalesce(1).sortWithinPartitions("part", "end")  # two rows for each task
+    out_pairs = made.where("end = 2").select(made_names).unionByName(ends.select("part", *columns).mapInArrow(across, longs(made_names)))
+    out_pairs._factloom_path = made._factloom_path
+    return out_pairs

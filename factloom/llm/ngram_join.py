@@ -22,12 +22,11 @@ table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WORD, batches_of, components, discard, mixed, neighbours, short_batches, shingle_hashes, texts, written
+from .common import batches_of, components, discard, mixed, neighbours, short_batches, shingle_hashes, texts, written
 
 ROWS = 4
 MISS = 1e-8
@@ -48,7 +47,7 @@ def shingle_set(text: str, k: int):
     """The sorted distinct shingle hashes of a whole text."""
     import numpy as np
 
-    return np.unique(shingle_hashes(re.findall(WORD, text.translate(ASCII_LOWER)), k))
+    return np.unique(shingle_hashes(text, k))
 
 
 def band_keys(own, bands: int):
@@ -171,6 +170,10 @@ def linked(sets: list, ids: list[int], sides: list[int] | None, num: int, den: i
                 yield ids[i], ids[j]
 
 
+def _all(left, right):
+    return slice(None), []
+
+
 def cells(members: DataFrame, threshold: float) -> DataFrame:
     """(doc_id, task, side) from (doc_id, n, component): small components are one task; others are cut by size class and hash, with a
     task for each cell and for each pair of cells of one class or of neighbouring ones."""
@@ -240,7 +243,7 @@ def join_components(documents: DataFrame, k: int = 5, num: int = 80, den: int =
     known = seen.where("n > 0 and doc_id is not null")
     classes = written(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"), F.min("n").alias("size")), "classes")
     signed = known.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("key"))
-    chained = neighbours(signed, [], "chains")
+    chained = neighbours(signed, [], [], _all, "chains")
     joined = components(chained.select("a", "b"))
     discard(chained)
     members = joined.select(F.col("id").alias("doc_id"), "component").join(classes.select(F.col("class_id").alias("doc_id"), F.col("size").alias("n")), "doc_id")
