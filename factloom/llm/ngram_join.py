@@ -228,7 +228,8 @@ def links(documents: DataFrame, tasks: DataFrame, k: int, num: int, den: int) ->
     def run(batches):
         yield from batches_of(((int(a), int(b)) for a, b in rows(batches)), out)
 
-    own = tasks.join(documents.select(documents["doc_id"].cast("long").alias("doc_id"), "text"), "doc_id")
+    # Texts meet their tasks by merge at every size: few tasks would be broadcast, and the plan would change as the input grows.
+    own = tasks.hint("merge").join(documents.select(documents["doc_id"].cast("long").alias("doc_id"), "text"), "doc_id")
     return own.repartition("task").sortWithinPartitions("task", "doc_id").mapInArrow(run, "a long, b long")
 
 
