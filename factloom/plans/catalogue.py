@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import council_queries, index_queries, registry  # noqa: F401
+from . import anchor_queries, council_queries, index_queries, record_queries, registry  # noqa: F401
 
 
 def queries() -> dict:
