@@ -24,7 +24,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, discard, short_batches, texts, written
+from .common import batches_of, discard, short_batches, spare, texts, written
 
 MOST_BROADCAST = 50_000
 ROUNDS = 10
@@ -295,8 +295,8 @@ def collisions(found: DataFrame, key: str, most_attempts: int = 20) -> DataFrame
 
 
 def anonymise(documents: DataFrame, key: str, spans: bool = False) -> DataFrame:
-    """The documents with their text replaced, all columns kept; spans adds `entities`, an array of (start, end, kind) in the new
-    text. The texts themselves are not shuffled, unless more draws collide than may be broadcast."""
+    """The documents with their text replaced, all columns kept; spans adds `entities` (with _ after it
+    where the name is taken), an array of (start, end, kind) in the new text. The texts themselves are not shuffled, unless more draws collide than may be broadcast."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
@@ -307,23 +307,24 @@ def anonymise(documents: DataFrame, key: str, spans: bool = False) -> DataFrame:
     moved = written(collisions(found, key), "collisions")
     n = moved.count()
     schema = StructType(list(documents.schema.fields))
+    where, often = spare(documents, "entities"), spare(documents, "_again")
     if spans:
-        schema = schema.add("entities", ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()).add("kind", StringType())))
+        schema = schema.add(where, ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()).add("kind", StringType())))
     out = to_arrow_schema(schema)
     again = {(r["kind"], r["value"]): r["attempt"] for r in moved.collect()} if 0 < n <= MOST_BROADCAST else {}
     shared = spark.sparkContext.broadcast(again)
     source = documents
     if n > MOST_BROADCAST:
-        own = found.join(moved, ["kind", "value"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("_again"))
-        own = own.withColumnRenamed("doc_id", "_of")
-        source = documents.join(own, documents["doc_id"].eqNullSafe(own["_of"]), "left").drop(own["_of"])
+        own = found.join(moved, ["kind", "value"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "value", "attempt")).alias(often))
+        own = own.withColumnRenamed("doc_id", of := spare(documents, "_of"))
+        source = documents.join(own, documents["doc_id"].eqNullSafe(own[of]), "left").drop(of)
     else:
         discard(found, moved)
 
     def run(batches):
         for batch in batches:
             rows = batch.column("text").to_pylist()
-            many = batch.column("_again").to_pylist() if "_again" in batch.schema.names else [None] * len(rows)
+            many = batch.column(often).to_pylist() if often in batch.schema.names else [None] * len(rows)
             done = [(t, []) if not t else replace(t, key, {(x["kind"], x["value"]): x["attempt"] for x in m} if m else shared.value) for t, m in zip(rows, many)]
             columns = []
             for f in out:
@@ -331,7 +332,7 @@ def anonymise(documents: DataFrame, key: str, spans: bool = False) -> DataFrame:
                     columns.append(pa.array([t for t, _ in done], f.type))
                 elif f.name == "n_chars":
                     columns.append(pa.array([None if t is None else len(t) for t, _ in done], f.type))
-                elif f.name == "entities" and spans:
+                elif f.name == where and spans:
                     columns.append(pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in s] for _, s in done], f.type))
                 else:
                     columns.append(batch.column(f.name).cast(f.type))
