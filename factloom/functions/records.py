@@ -30,6 +30,21 @@ def lenient(raw) -> tuple[Column, Column]:
     return F.is_valid_utf8(col(raw).cast("string")), F.make_valid_utf8(col(raw).cast("string"))
 
 
+def html_text(s) -> Column:
+    """Plain text of markup by patterns: scripts, styles and comments dropped, tags and white space as one space, common references
+    decoded. For articles without their surroundings see the extraction operator."""
+    s = F.regexp_replace(F.coalesce(col(s), F.lit("")), r"(?s)<(script|style)[^>]*>.*?</(?:script|style)>|<!--.*?-->", " ")
+    s = F.regexp_replace(s, r"<[^>]*>", " ")
+    for name, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
+        s = F.replace(s, F.lit(name), F.lit(c))
+    return F.trim(F.regexp_replace(s, r"\s+", " "))
+
+
+def short_id(prefix: str, *parts) -> Column:
+    """A deterministic id: a prefix and ten letters of a hash."""
+    return F.concat(F.lit(prefix), F.substring(F.sha1(F.concat_ws("|", *map(col, parts))), 1, 10))
+
+
 def truncated(s, most: int = 3000, head: int = 1500, tail: int = 1200) -> Column:
     s = col(s)
     return F.when(F.length(s) > most, F.concat(F.substring(s, 1, head), F.lit(" [...] "), F.right(s, F.lit(tail)))).otherwise(s)

@@ -12,6 +12,7 @@ from factloom.functions import paths, records, replies
 from factloom.functions import text as tx
 from factloom.operators import ledger
 from factloom.sources import documents as docs
+from factloom.sources import store
 
 from .registry import RELATIONS, Tables, query
 
@@ -283,6 +284,97 @@ def _(t: Tables):
     return rows.select("panelist", "weight", F.round(100.0 * F.col("n_correct") / F.greatest("n_votes", F.lit(1)), 6).alias("acc")).orderBy("weight", "panelist")
 
 
+@query("scan_html", """select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(?:script|style)>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
+ '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) text from pages""")
+def _(t: Tables):
+    return t("pages").select("page_id", records.html_text("html").alias("text"))
+
+
+@query("sink_index", "select 'claims' name, count(*) n from claims union all select 'keywords', count(*) from keywords union all select 'memos', count(distinct source) from claims")
+def _(t: Tables):
+    path = store.scratch(t.spark, "index")
+    store.write_index(path, claims=t.claims, keywords=t.keywords, memos=t.claims.select("source").distinct())
+    out = None
+    for name, df in store.read_index(t.spark, path).items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("scan_sqlite_index", "select claim_id, status from claims where status = 'CONFIRMED'")
+def _(t: Tables):
+    path = store.scratch(t.spark, "index")
+    store.write_index(path, claims=t.claims)
+    return store.read_index(t.spark, path)["claims"].where("status = 'CONFIRMED'").select("claim_id", "status")
+
+
+@query("scan_council_store", "select claim_id, panelist, verdict from votes")
+def _(t: Tables):
+    path = store.scratch(t.spark, "council")
+    store.write_index(path, claims=t.votes.select("claim_id", "panelist", "verdict"))
+    return store.read_index(t.spark, path)["claims"]
+
+
+@query("sink_handoff", "select 'claims: ' || count(*) || ', pending: ' || count(*) filter (status in ('NEEDS_AGENT', 'PENDING')) || ', sources: ' || count(distinct source) note from claims")
+def _(t: Tables):
+    g = t.claims.agg(F.count("*").alias("n"), F.count_if(F.col("status").isin("NEEDS_AGENT", "PENDING")).alias("p"), F.countDistinct("source").alias("s"))
+    return g.select(F.format_string("claims: %d, pending: %d, sources: %d", "n", "p", "s").alias("note"))
+
+
+@query("sink_bench", "select '{\"passed\":' || count(*) filter (page_id % 3 <> 0) || ',\"total\":' || count(*) || '}' json from files")
+def _(t: Tables):
+    return t.files.agg(F.count_if(F.col("page_id") % 3 != 0).alias("passed"), F.count("*").alias("total")).select(F.to_json(F.struct("passed", "total")).alias("json"))
+
+
+@query("sink_html", "select '<li>' || status || ': ' || count(*) || '</li>' item from scored group by status")
+def _(t: Tables):
+    return t.scored.groupBy("status").agg(F.count("*").alias("n")).select(F.format_string("<li>%s: %d</li>", "status", "n").alias("item"))
+
+
+@query("sink_charts", "select claim_id, verdict, count(*) n, case when length('claim ' || claim_id) > 46 then left('claim ' || claim_id, 43) || '...' else 'claim ' || claim_id end label from votes group by all")
+def _(t: Tables):
+    label = F.concat(F.lit("claim "), F.col("claim_id").cast("string"))
+    short = F.when(F.length(label) > 46, F.concat(F.substring(label, 1, 43), F.lit("..."))).otherwise(label)
+    return t.votes.groupBy("claim_id", "verdict").agg(F.count("*").alias("n")).withColumn("label", short)
+
+
+@query("fn_norm_slug", "select doc_id, 'q' || left(sha1(source || '|' || lang || '|' || doc_id), 10) id from documents")
+def _(t: Tables):
+    return t("documents").select("doc_id", records.short_id("q", "source", "lang", F.col("doc_id").cast("string")).alias("id"))
+
+
+@query("adp_review_role", "select claim_id, arg_min(panelist, case panelist when 'p3' then 0 when 'p1' then 1 else 9 end) seat from (select claim_id, panelist from votes where panelist in ('p1', 'p3')) group by 1")
+def _(t: Tables):
+    rank = F.when(F.col("panelist") == "p3", 0).when(F.col("panelist") == "p1", 1)
+    return t.votes.where(rank.isNotNull()).groupBy("claim_id").agg(F.min_by("panelist", rank).alias("seat"))
+
+
+@query("adp_specialist", "select claim_id, status, case status when 'validated' then 'green' when 'refuted' then 'red' else 'grey' end colour, round(score, 6) score from scored order by score, claim_id")
+def _(t: Tables):
+    colour = F.when(F.col("status") == "validated", "green").when(F.col("status") == "refuted", "red").otherwise("grey")
+    return t.scored.orderBy("score", "claim_id").select("claim_id", "status", colour.alias("colour"), F.round("score", 6).alias("score"))
+
+
+@query("adp_env_lookup", "select panelist, case panelist when 'p0' then 'stats' else 'base' end env from prior")
+def _(t: Tables):
+    known = F.create_map(F.lit("p0"), F.lit("stats"))
+    return t.prior.select("panelist", F.coalesce(F.try_element_at(known, F.col("panelist")), F.lit("base")).alias("env"))
+
+
+@query("run_bench_pipeline", "select verdict, count(*) n from (select case when contains(c.text, left(b.text, 24)) then 'CONFIRMED' else 'REFUTED' end verdict from benchmark b join claims c on c.claim_id = b.item_id) group by 1")
+def _(t: Tables):
+    # Generate (a snippet for each item), verify (against the claim it names), tally.
+    made = t("benchmark").select(F.col("item_id").alias("claim_id"), F.substring("text", 1, 24).alias("snippet"))
+    verdict = F.when(F.col("text").contains(F.col("snippet")), "CONFIRMED").otherwise("REFUTED")
+    return made.join(t.claims.select("claim_id", "text"), "claim_id").groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query("fn_lenses", "select claim_id, cast(case when utility >= 0.7 then 3 when utility >= 0.4 then 2 else 1 end as integer) n from indexed where status = 'NEEDS_AGENT'")
+def _(t: Tables):
+    u = F.col("utility")
+    return t.indexed.where("status = 'NEEDS_AGENT'").select("claim_id", F.when(u >= 0.7, 3).when(u >= 0.4, 2).otherwise(1).alias("n"))
+
+
 # Generic relational forms.
 @query("rel_pricing", "select l_returnflag, l_linestatus, round(sum(l_quantity), 2) qty, round(sum(l_extendedprice * (1 - l_discount)), 2) revenue, round(avg(l_discount), 6) disc, min(l_tax) low, max(l_tax) high, count(*) n from lineitem where l_shipdate <= timestamp '1998-09-02' group by 1, 2")
 def _(t: Tables):
