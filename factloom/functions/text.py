@@ -35,11 +35,11 @@ def depluralise(w) -> Column:
     """One plural ending less, by ordered rules that leave at least three letters."""
     w = col(w)
     n = F.length(w)
-    two = w.rlike("(?:sses|shes|ches|xes|zes|ses)$")
+    two = w.endswith("ses") | w.endswith("shes") | w.endswith("ches") | w.endswith("xes") | w.endswith("zes")
     return (
         F.when(w.endswith("ies") & (n >= 6), F.concat(cut(w, 3), F.lit("y")))
         .when(two & (n >= 5), cut(w, 2))
-        .when(w.rlike("(?:ss|us|is)$"), w)
+        .when(w.endswith("ss") | w.endswith("us") | w.endswith("is"), w)
         .when(w.endswith("es") & (n >= 5), cut(w, 1))
         .when(w.endswith("s") & (n >= 4), cut(w, 1))
         .otherwise(w)
@@ -66,56 +66,38 @@ def stem(w) -> Column:
     return F.when(keeps(w), w).otherwise(drop_e(strip_suffix(w, depluralise(w))))
 
 
-def stems(words: Column) -> Column:
-    """Stems of an array of words; each step is one pass, so that no word's plural form is worked out twice."""
-    singular = F.zip_with(words, F.transform(words, depluralise), lambda w, d: F.when(keeps(w), w).otherwise(drop_e(strip_suffix(w, d))))
-    return singular
-
-
 def split_ident(s) -> Column:
     """Lower-case words of an identifier or of prose: split at other than ASCII letters and digits, and at camel-case borders."""
     spaced = F.regexp_replace(col(s), "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ")
-    return F.filter(F.transform(F.split(spaced, "[^A-Za-z0-9]+"), F.lower), lambda w: w != "")
+    low = F.translate(spaced, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.filter(F.split(low, "[^a-z0-9]+"), lambda w: w != "")
 
 
 def stop_array(words) -> Column:
     return F.array(*map(F.lit, words))
 
 
-def index_words(words: Column) -> Column:
-    """Words as the index takes them: two letters or more, no stop word before or after stemming, each once."""
-    stop = stop_array(STOP)
-    kept = F.filter(words, lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w))
-    return F.filter(F.array_distinct(stems(kept)), lambda w: ~F.array_contains(stop, w))
-
-
-def _weighted(weight: float):
-    return lambda w: F.struct(w.alias("keyword"), F.lit(weight).alias("weight"))
-
-
-def keywords(text, snippet=None) -> Column:
-    """Array of (keyword, weight): quoted identifiers 3.0 and their parts 2.0, identifiers of the snippet 2.5 and their parts 1.5,
-    numbers 2.0, prose words 1.0; a keyword keeps its largest weight."""
+def keyword_sources(text, snippet=None) -> Column:
+    """Array of (word, weight) of a claim, before normalisation: quoted identifiers 3.0 and their parts 2.0, identifiers of the snippet
+    2.5 and their parts 1.5, numbers 2.0, prose words 1.0."""
     text = F.coalesce(col(text), F.lit(""))
     quoted = F.regexp_extract_all(text, F.lit("`([^`]+)`"), F.lit(1))
-    prose = F.regexp_replace(text, "`[^`]*`", " ")
-    sources = [
-        (3.0, F.transform(quoted, lambda q: F.lower(F.trim(q)))),
-        (2.0, F.flatten(F.transform(quoted, split_ident))),
-        (2.0, F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))),
-        (1.0, split_ident(prose)),
-    ]
+    numbers = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
+    sources = [(3.0, F.transform(quoted, lambda q: F.lower(F.trim(q)))), (2.0, F.flatten(F.transform(quoted, split_ident))), (2.0, numbers), (1.0, split_ident(F.regexp_replace(text, "`[^`]*`", " ")))]
     if snippet is not None:
         idents = F.regexp_extract_all(F.coalesce(col(snippet), F.lit("")), F.lit("[A-Za-z_][A-Za-z0-9_]{2,}"), F.lit(0))
         sources += [(2.5, F.transform(idents, lambda q: F.lower(q))), (1.5, F.flatten(F.transform(idents, split_ident)))]
-    out = seen = None
-    for weight, words in sorted(sources, key=lambda x: -x[0]):
-        words = index_words(words)
-        own = words if seen is None else F.array_except(words, seen)
-        pairs = F.transform(own, _weighted(weight))
-        out = pairs if out is None else F.concat(out, pairs)
-        seen = words if seen is None else F.array_union(seen, words)
-    return out
+    return F.concat(*(F.transform(F.array_distinct(words), _weighted(weight)) for weight, words in sources))
+
+
+def _weighted(weight: float):
+    return lambda w: F.struct(w.alias("word"), F.lit(weight).alias("weight"))
+
+
+def indexable(word) -> Column:
+    """Whether the index takes a word: two letters or more, and no stop word."""
+    word = col(word)
+    return (F.length(word) >= 2) & ~word.isin(STOP)
 
 
 def norm_anchor(s) -> Column:

@@ -11,8 +11,13 @@ K1, B = 1.2, 0.75
 
 
 def keyword_rows(claims: DataFrame, snippet: str | None = None) -> DataFrame:
-    """(claim_id, keyword, weight): a claim's keywords are worked out within its row, so that nothing is shuffled."""
-    return claims.select("claim_id", F.inline(tx.keywords("text", snippet)))
+    """(claim_id, keyword, weight): a claim's keywords, each with its largest weight.
+
+    Words are distinct within their row before they are exploded; stems are worked out in generated code, and rows of one claim are
+    pre-aggregated before they are dealt by (claim_id, keyword)."""
+    words = claims.select("claim_id", F.inline(tx.keyword_sources("text", snippet))).where(tx.indexable("word"))
+    stems = words.select("claim_id", tx.stem("word").alias("keyword"), "weight").where(~F.col("keyword").isin(tx.STOP))
+    return stems.groupBy("claim_id", "keyword").agg(F.max("weight").alias("weight"))
 
 
 def idf(keywords: DataFrame, claims: DataFrame) -> DataFrame:
@@ -39,20 +44,19 @@ def postings(keywords: DataFrame, idfs: DataFrame) -> DataFrame:
     return keywords.join(idfs, "keyword").select("claim_id", "keyword", F.round(F.col("weight") * (0.4 + F.col("idf")), 3).alias("weight"))
 
 
-def question_keywords(question: str) -> Column:
+def question_keywords(spark, question: str) -> list[str]:
     """The question's distinct keywords, by the same function as the index."""
-    return F.transform(tx.keywords(F.lit(question)), lambda k: k["keyword"])
+    one = keyword_rows(spark.range(1).select(F.col("id").alias("claim_id"), F.lit(question).alias("text")))
+    return sorted(r["keyword"] for r in one.collect())
 
 
-def keyword_scores(claims: DataFrame, question: str, most: int) -> DataFrame:
+def keyword_scores(claims: DataFrame, question: str, most: int, rows: DataFrame | None = None) -> DataFrame:
     """(claim_id, kw): the sum of the weights of the matched keywords over eight, 1 at most; the best `most` claims.
 
-    Only the question's keywords are worked on: matches are found within each row, document frequencies are one row of counts.
+    Only the question's keywords go on; document frequencies are counts over these. rows: stored keyword rows, if there are any.
     """
-    asked = question_keywords(question)
-    hit = F.filter(tx.keywords("text"), lambda k: F.array_contains(asked, k["keyword"]))
-    matched = claims.select("claim_id", hit.alias("hit"))
-    found = matched.where(F.size("hit") > 0).select("claim_id", F.inline("hit"))
+    asked = question_keywords(claims.sparkSession, question)
+    found = (keyword_rows(claims.select("claim_id", "text")) if rows is None else rows).where(F.col("keyword").isin(asked))
     scores = postings(found, idf(found, claims)).groupBy("claim_id").agg(F.sum("weight").alias("s"))
     return scores.orderBy(F.desc("s"), "claim_id").limit(most).select("claim_id", F.least(F.lit(1.0), F.col("s") / 8).alias("kw"))
 
@@ -64,25 +68,32 @@ def question_terms(question: str) -> list[str]:
     return list(dict.fromkeys(w for w in re.split(r"[^\w]+", question.lower()) if len(w) >= 2 and w not in tx.STOP))
 
 
+def term_stems(spark, question: str) -> list[str]:
+    """The distinct stems of the question's terms, by the index's own function."""
+    terms = question_terms(question)
+    if not terms:
+        return []
+    one = spark.range(1).select(F.explode(F.array(*map(F.lit, terms))).alias("w")).select(tx.stem("w").alias("t")).distinct()
+    return sorted(r["t"] for r in one.collect())
+
+
 def bm25(claims: DataFrame, question: str, text: str = "text") -> DataFrame:
     """(claim_id, bm25) of claims with any of the question's terms; a term matches the words that its stem begins.
 
     Term frequencies are counted within a row; the corpus gives one row of document counts and the mean length.
     """
-    words = F.filter(F.split(F.lower(F.col(text)), "[^a-z0-9]+"), lambda w: w != "")
-    terms = F.array_distinct(F.transform(F.array(*map(F.lit, question_terms(question))).cast("array<string>"), tx.stem))
-    rows = claims.select("claim_id", words.alias("words")).select(
-        "claim_id", F.size("words").alias("dl"), F.transform(terms, lambda t: F.size(F.filter("words", lambda w: w.startswith(t)))).alias("tf")
-    )
-    n = len(question_terms(question))
-    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.get("tf", F.lit(i)) > 0).alias(f"df{i}") for i in range(n)))
-    score = F.lit(0.0)
-    for i in range(n):
-        tf, df = F.coalesce(F.get("tf", F.lit(i)), F.lit(0)), F.col(f"df{i}")
+    terms = term_stems(claims.sparkSession, question)
+    low = F.lower(F.col(text))
+    counted = [F.regexp_count(low, F.lit(f"(?<![a-z0-9]){t}")).alias(f"tf{i}") for i, t in enumerate(terms)]
+    rows = claims.select("claim_id", F.regexp_count(low, F.lit("[a-z0-9]+")).alias("dl"), *counted)
+    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
+    score, some = F.lit(0.0), F.lit(False)
+    for i in range(len(terms)):
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
         weight = F.greatest(F.lit(1e-6), F.log((F.col("n") - df + 0.5) / (df + 0.5)))
         score = score + weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    matched = rows.where(F.exists("tf", lambda x: x > 0))
-    return matched.join(F.broadcast(stats)).select("claim_id", score.alias("bm25"))
+        some = some | (tf > 0)
+    return rows.where(some).join(F.broadcast(stats)).select("claim_id", score.alias("bm25"))
 
 
 def full_text(claims: DataFrame, question: str, most: int) -> DataFrame:
@@ -92,20 +103,20 @@ def full_text(claims: DataFrame, question: str, most: int) -> DataFrame:
     return top.join(F.broadcast(best)).select("claim_id", (0.35 + 0.65 * F.col("bm25") / F.col("best")).alias("fts"))
 
 
-def candidates(claims: DataFrame, question: str, limit: int) -> DataFrame:
+def candidates(claims: DataFrame, question: str, limit: int, rows: DataFrame | None = None) -> DataFrame:
     """(claim_id, fts, kw): the full outer join of both branches, missing scores 0."""
     most = 8 * limit
-    both = full_text(claims, question, most).join(keyword_scores(claims, question, most), "claim_id", "full")
+    both = full_text(claims, question, most).join(keyword_scores(claims, question, most, rows), "claim_id", "full")
     return both.select("claim_id", F.coalesce("fts", F.lit(0.0)).alias("fts"), F.coalesce("kw", F.lit(0.0)).alias("kw"))
 
 
-def search(claims: DataFrame, rows: DataFrame, question: str, limit: int = 8, floor: float = 0.15, include_unproven: bool = False) -> DataFrame:
+def search(claims: DataFrame, rows: DataFrame, question: str, limit: int = 8, floor: float = 0.15, include_unproven: bool = False, keywords: DataFrame | None = None) -> DataFrame:
     """The best claims for a question, trusted ones only: (claim_id, source, status, utility, relevance, score).
 
-    rows: the indexed claims. The candidate cut comes before the gate, as two nested limits keep it.
+    rows: the indexed claims; keywords: their stored keyword rows, if there are any. The candidate cut comes before the gate, as two nested limits keep it.
     """
     rel = 0.6 * F.greatest("fts", "kw") + 0.4 * F.least("fts", "kw")
-    found = candidates(claims, question, limit).join(rows, "claim_id").where(tx.status_allowed("status", include_unproven) & (F.col("utility") >= floor))
+    found = candidates(claims, question, limit, keywords).join(rows, "claim_id").where(tx.status_allowed("status", include_unproven) & (F.col("utility") >= floor))
     out = found.select("claim_id", "source", "status", "utility", F.round(rel, 3).alias("relevance"), F.round((0.25 + 0.75 * rel) * (0.5 + 0.5 * F.col("utility")), 4).alias("score"))
     return out.orderBy(F.desc("score"), F.desc("utility"), "source", F.concat(F.lit("C"), F.col("claim_id").cast("string"))).limit(limit)
 

@@ -74,17 +74,17 @@ def _(t: Tables):
 
 @query("fn_kw_weight", "select claim_id, keyword, round(cast(weight as double) * (0.4 + idf), 3) weight from keywords join idf using (keyword)")
 def _(t: Tables):
-    return index.postings(t.keywords, t.idf)
+    return index.postings(t.stored, t.idf)
 
 
 @query("agg_df_idf", "select keyword, df, round(idf, 9) idf from idf")
 def _(t: Tables):
-    return t.idf.select("keyword", "df", F.round("idf", 9).alias("idf"))
+    return index.idf(t.keywords, t.claims).select("keyword", "df", F.round("idf", 9).alias("idf"))
 
 
 @query("agg_mean_idf", "select claim_id, round(coalesce(idf, 0.0), 9) idf from claims left join (select claim_id, avg(idf) idf from keywords join idf using (keyword) group by 1) using (claim_id)")
 def _(t: Tables):
-    return t.claims.select("claim_id").join(index.mean_idf(t.keywords, t.idf), "claim_id", "left").select("claim_id", F.round(F.coalesce("idf", F.lit(0.0)), 9).alias("idf"))
+    return t.claims.select("claim_id").join(index.mean_idf(t.stored, t.idf), "claim_id", "left").select("claim_id", F.round(F.coalesce("idf", F.lit(0.0)), 9).alias("idf"))
 
 
 @query("agg_distinct", "select (select count(distinct keyword) from keywords) keywords, (select count(distinct source) from claims) sources")
@@ -179,12 +179,12 @@ where %s and utility >= 0.15 order by score desc, utility desc, source, 'C' || c
 
 @query("top_query", _top % _gate)
 def _(t: Tables):
-    return index.search(t.claims, t.indexed, QUESTION)
+    return index.search(t.claims, t.indexed, QUESTION, keywords=t.stored)
 
 
 @query("top_query_unproven", _top % "status not in ('REFUTED', 'STALE')")
 def _(t: Tables):
-    return index.search(t.claims, t.indexed, QUESTION, include_unproven=True)
+    return index.search(t.claims, t.indexed, QUESTION, include_unproven=True, keywords=t.stored)
 
 
 @query("flt_status_gate", f"select claim_id, status from claims where {_gate}")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import council, index
 from factloom.functions import text as tx
+from factloom.sources import store
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -29,7 +30,7 @@ class Tables:
     def claims(self) -> DataFrame:
         """Documents as claims; their labels give the status."""
         status = F.when(F.col("quality").isNull(), "NEEDS_AGENT").when(F.col("toxic") == 1, "REFUTED").when(F.col("quality") == 1, "CONFIRMED").otherwise("UNSUPPORTED")
-        docs = self("documents").select(F.col("doc_id").alias("claim_id"), "source", "text")
+        docs = store.spread(self("documents").select(F.col("doc_id").alias("claim_id"), "source", "text"))
         return docs.join(self("labels").select(F.col("doc_id").alias("claim_id"), "quality", "toxic"), "claim_id", "left").select("claim_id", "source", "text", status.alias("status"))
 
     @cached_property
@@ -46,14 +47,21 @@ class Tables:
         """Distinct keywords of each claim with their weights."""
         return index.keyword_rows(self.claims.select("claim_id", "text"))
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """The keyword rows as the index stores them: written once, for what reads them several times."""
+        path = store.scratch(self.spark, "keywords")
+        self.keywords.write.parquet(path)
+        return self.spark.read.parquet(path)
+
     @cached_property
     def idf(self) -> DataFrame:
-        return index.idf(self.keywords, self.claims)
+        return index.idf(self.stored, self.claims)
 
     @cached_property
     def indexed(self) -> DataFrame:
         """Claims with specificity, mean idf, feedback and utility."""
-        return index.indexed(self.claims, self.keywords, self.idf, self.feedback)
+        return index.indexed(self.claims, self.stored, self.idf, self.feedback)
 
     @cached_property
     def short(self) -> DataFrame:

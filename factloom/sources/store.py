@@ -20,6 +20,13 @@ def write_index(path: str, **tables: DataFrame) -> None:
     spark.createDataFrame([(VERSION,)], "version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The table, dealt to all cores if it is read in fewer tasks than there are: a small file of one row group would keep one core busy.
+    A table of many splits, as any large one is, stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the one that driver and executors share (spark.checkpoint.dir; a temporary one in local runs without it)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

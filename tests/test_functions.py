@@ -26,17 +26,13 @@ def test_stem_keeps_final_s(spark, word):
     assert one(spark, tx.stem(F.lit(word))) == word
 
 
-def test_stems_is_stem(spark):
-    words = ["files", "caching", "boxes", "ladies", "used", "bus", "42", "glasses", "needed", "tree"]
-    assert one(spark, tx.stems(F.array(*map(F.lit, words)))) == [one(spark, tx.stem(F.lit(w))) for w in words]
-
-
 def test_numbers(spark):
     assert one(spark, F.regexp_extract_all(F.lit("12% of 3.5% x"), F.lit(tx.NUMBER), F.lit(0))) == ["12", "3.5"]
 
 
 def test_keywords_keep_the_largest_weight(spark):
-    kws = dict(map(tuple, one(spark, tx.keywords(F.lit("`parseFile` reads 42 files"), F.lit("def parseFile(x):")))))
+    row = spark.range(1).select(F.col("id").alias("claim_id"), F.lit("`parseFile` reads 42 files").alias("text"), F.lit("def parseFile(x):").alias("s"))
+    kws = {r["keyword"]: r["weight"] for r in index.keyword_rows(row, "s").collect()}
     assert kws["parsefil"] == 3.0 and kws["pars"] == 2.0 and kws["fil"] == 2.0 and kws["42"] == 2.0 and kws["read"] == 1.0 and kws["def"] == 2.5
 
 
