@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.sources.store import spread
+
 from .common import table
 
 #: The key of the surrogates in the queries; a real run takes its own.
@@ -25,19 +27,19 @@ def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from . import bpe
 
-    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe.round_trip(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ngram_join
 
-    return ngram_join.join_components(table(spark, sf_dir, "documents"), 3, 90, 100).select("doc_id", "n_shingles", "component_id", "class_id")
+    return ngram_join.join_components(spread(table(spark, sf_dir, "documents")), 3, 90, 100).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import classifier
 
-    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    documents, labels = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")
     model = classifier.train(documents, labels.where(~classifier.held_out()))
     out = classifier.scores(documents.select("doc_id", "text"), model)
     return out.select("doc_id", classifier.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
@@ -46,13 +48,13 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import substring
 
-    return substring.repeated_passages(table(spark, sf_dir, "documents"))
+    return substring.repeated_passages(spread(table(spark, sf_dir, "documents")))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import html_extract
 
-    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+    return html_extract.extract_pages(spread(table(spark, sf_dir, "pages")))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,20 +66,20 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
-    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.matches(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
-    out = pii.anonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, spans=True)
+    out = pii.anonymise(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), PII_KEY, spans=True)
     return out.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), F.to_json("entities").alias("entities"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality_rules
 
-    return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+    return quality_rules.apply_rules(spread(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict:
