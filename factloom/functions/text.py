@@ -66,6 +66,14 @@ def stem(w) -> Column:
     return F.when(keeps(w), w).otherwise(drop_e(strip_suffix(w, depluralise(w))))
 
 
+def stems(words: Column) -> Column:
+    """Stems of an array of words. Each step is a transform of its own, so that a word's forms are worked out once; outside of an array a
+    filter on the stem would be pushed below its projection and work it out again."""
+    forms = F.transform(words, lambda w: F.struct(w.alias("w"), depluralise(w).alias("d"), keeps(w).alias("k")))
+    bare = F.transform(forms, lambda f: F.struct(F.when(f["k"], f["w"]).otherwise(strip_suffix(f["w"], f["d"])).alias("s"), f["k"].alias("k")))
+    return F.transform(bare, lambda b: F.when(b["k"], b["s"]).otherwise(drop_e(b["s"])))
+
+
 def split_ident(s) -> Column:
     """Lower-case words of an identifier or of prose: split at other than ASCII letters and digits, and at camel-case borders."""
     spaced = F.regexp_replace(col(s), "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ")
@@ -78,7 +86,7 @@ def stop_array(words) -> Column:
 
 
 def keyword_sources(text, snippet=None) -> Column:
-    """Array of (word, weight) of a claim, before normalisation: quoted identifiers 3.0 and their parts 2.0, identifiers of the snippet
+    """Array of (keyword, weight) of a claim, some more than once, and some stop words: quoted identifiers 3.0 and their parts 2.0, identifiers of the snippet
     2.5 and their parts 1.5, numbers 2.0, prose words 1.0."""
     text = F.coalesce(col(text), F.lit(""))
     quoted = F.regexp_extract_all(text, F.lit("`([^`]+)`"), F.lit(1))
@@ -87,11 +95,11 @@ def keyword_sources(text, snippet=None) -> Column:
     if snippet is not None:
         idents = F.regexp_extract_all(F.coalesce(col(snippet), F.lit("")), F.lit("[A-Za-z_][A-Za-z0-9_]{2,}"), F.lit(0))
         sources += [(2.5, F.transform(idents, lambda q: F.lower(q))), (1.5, F.flatten(F.transform(idents, split_ident)))]
-    return F.concat(*(F.transform(F.array_distinct(words), _weighted(weight)) for weight, words in sources))
+    return F.concat(*(F.transform(stems(F.filter(F.array_distinct(words), indexable)), _weighted(weight)) for weight, words in sources))
 
 
 def _weighted(weight: float):
-    return lambda w: F.struct(w.alias("word"), F.lit(weight).alias("weight"))
+    return lambda w: F.struct(w.alias("keyword"), F.lit(weight).alias("weight"))
 
 
 def indexable(word) -> Column:

@@ -13,11 +13,10 @@ K1, B = 1.2, 0.75
 def keyword_rows(claims: DataFrame, snippet: str | None = None) -> DataFrame:
     """(claim_id, keyword, weight): a claim's keywords, each with its largest weight.
 
-    Words are distinct within their row before they are exploded; stems are worked out in generated code, and rows of one claim are
-    pre-aggregated before they are dealt by (claim_id, keyword)."""
-    words = claims.select("claim_id", F.inline(tx.keyword_sources("text", snippet))).where(tx.indexable("word"))
-    stems = words.select("claim_id", tx.stem("word").alias("keyword"), "weight").where(~F.col("keyword").isin(tx.STOP))
-    return stems.groupBy("claim_id", "keyword").agg(F.max("weight").alias("weight"))
+    Words are distinct and stemmed within their row before they are exploded, and rows of one claim are pre-aggregated before they are
+    dealt by (claim_id, keyword)."""
+    words = claims.select("claim_id", F.inline(tx.keyword_sources("text", snippet)))
+    return words.where(~F.col("keyword").isin(tx.STOP)).groupBy("claim_id", "keyword").agg(F.max("weight").alias("weight"))
 
 
 def idf(keywords: DataFrame, claims: DataFrame) -> DataFrame:
