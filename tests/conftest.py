@@ -36,7 +36,7 @@ def rows_of(frame):
     """Rows of a pandas frame as comparable tuples, columns by name."""
 
     def one(v):
-        if v is None or isinstance(v, float) and v != v:
+        if v is None or type(v).__name__ == "NAType" or isinstance(v, float) and v != v:
             return None
         if isinstance(v, numbers.Number) and not isinstance(v, bool) and "bool" not in type(v).__name__:
             return round(float(v), 6) + 0.0
