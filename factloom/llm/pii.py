@@ -213,12 +213,11 @@ def _names(text: str):
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, value) of the entities of a whole text, none overlapping: of those that do, the first and longest stays."""
-    found = []
+    found = [(*m.span(1), "secret", m[1]) for m in SECRET.finditer(text)]  # these two need neither a digit nor '@'
+    found += [(*m.span(), "secret", m[0]) for m in BARE.finditer(text)]
     if MAY_HOLD.search(text):
         if "@" in text:
             found += [(*m.span(), "email", m[0]) for m in EMAIL.finditer(text)]
-        found += [(*m.span(1), "secret", m[1]) for m in SECRET.finditer(text)]
-        found += [(*m.span(), "secret", m[0]) for m in BARE.finditer(text)]
         found += [(*m.span(), "ip", m[0]) for m in IP.finditer(text)]
         found += [(*m.span(), "ssn", m[0]) for m in SSN.finditer(text)]
         for m in CARD.finditer(text):

@@ -315,6 +315,16 @@ def test_collisions_are_drawn_anew(spark, monkeypatch):
     assert bad["111-11-1111"] >= 1 and len({"222-22-2222", "333-33-3333"} & set(bad)) == 1
 
 
+def test_secrets_need_no_digit():
+    for value in ("correcthorsebattery", "abcdefghijklmnop"):
+        for lead in ("password: ", "api_key = "):
+            alone, beside = f"the {lead}{value} stays", f"the {lead}{value} stays, 7 times"
+            assert [x[2:] for x in pii.find(alone)] == [x[2:] for x in pii.find(beside)] == [("secret", value)]
+            out = pii.replace(alone, "k")[0]
+            assert value not in out and pii.replace(beside, "k")[0].startswith(out)
+    assert [x[2] for x in pii.find("see " + "abcdef" * 6)] == ["secret"]
+
+
 # 10
 def test_line_rules():
     assert quality_rules.judge("One good line of words, ten of them at least, ends here.\nHome | About | Contact | More")[-1]
