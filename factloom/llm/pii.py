@@ -8,7 +8,11 @@ that. Cards keep their first digit and whether their Luhn sum holds, addresses k
 first names come from a list of their gender and script, and surnames that return alone in a document are replaced there too.
 
 Collision checks run over the whole corpus: a replacement that equals any entity that was found, or another's replacement, is drawn
-anew under the next key until there is none. Such draws are few; they are broadcast if they are MOST_BROADCAST or fewer, else joined.
+anew under the next key until there is none. What most_attempts rounds leave is settled format by format: drawn on until it is free
+where the format has room for all, and else (more than half of its values are entities) each of its entities is replaced by the next
+one in a keyed order, so that they stay distinct and none is itself; only there may a replacement be another entity. So may first
+names, whose closed lists are permuted and are left out of the check. A value without letters or digits of CLASSES has one form only
+and stays. Such draws are few; they are broadcast if they are MOST_BROADCAST or fewer, else joined.
 
 Defined results: null and empty texts stay as they are; a null key column is kept; repeated rows are replaced alike; texts are read
 whole at any length; an empty table gives no rows; all further columns are kept, and n_chars, where there is one, follows the text.
@@ -182,6 +186,51 @@ def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
     return shaped(value, own, kind)  # ssn
 
 
+def form(kind: str, value: str) -> tuple[str, int]:
+    """The format that an entity's surrogates share with it, and how many values it has."""
+
+    def shape(text: str, alphabets: tuple[str, ...] = CLASSES):
+        of, signs, n = {c: i for i, a in enumerate(alphabets) for c in a}, [], 1
+        for c in text:
+            low = c.lower() if len(c.lower()) == 1 else c
+            if (k := of.get(low)) is None:
+                signs.append(c)
+            else:
+                signs.append(f"<{k}{'' if c == low else 'U'}>")
+                n *= len(alphabets[k])
+        return "".join(signs), n
+
+    if kind == "email":
+        local, _, domain = value.rpartition("@")
+        labels = domain.split(".")
+        kept = labels[-2:] if len(labels) > 1 and labels[-2].lower() == "example" else labels[-1:]
+        (a, n), (b, m) = shape(local), shape(".".join(labels[: len(labels) - len(kept)]))
+        return f"{a}@{b}|{'.'.join(kept)}", n * m
+    digits = "".join(c for c in value if c.isdigit())
+    if kind == "phone":
+        code = re.match(r"\+(\d{1,3})[ .(-]", value)
+        lead = len(code[1]) if code else 1 if value[0] == "+" else 0
+        return f"{digits[:lead]}|{_digits(value, '0' * len(digits))}", 10 ** (len(digits) - lead)
+    if kind == "card":
+        holds = luhn(digits)
+        return f"{digits[0]}|{holds}|{_digits(value, '0' * len(digits))}", (1 if holds else 9) * 10 ** (len(digits) - 2)
+    if kind == "ip":
+        private, reserved = (1 << 24) + (1 << 20) + (1 << 16), 34 * (1 << 24) + (1 << 16)
+        band = _band(int.from_bytes(bytes(map(int, value.split("."))), "big"))
+        return band, {"private": private, "reserved": reserved, "public": (1 << 32) - private - reserved}[band]
+    if kind == "secret":
+        hexed = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value)
+        fixed = re.match(r"AKIA|gh[pousr]_|sk-|xox[abprs]-", value)
+        head = fixed[0] if fixed else ""
+        own, n = shape(value[len(head) :], ("0123456789abcdef",) if hexed else ("0123456789", "abcdefghijklmnopqrstuvwxyz"))
+        return f"{head}|{bool(hexed)}|{own}", n
+    if kind == "surname":
+        kept = 2 if len(value) > 4 and value[-1].lower() in "".join(CLASSES[5:]) else 0
+        own, n = shape(value[: len(value) - kept])
+        return f"{own}|{value[len(value) - kept :]}", n
+    return shape(value)
+
+
 def _names(text: str):
     """(start, end, kind, value) of first names and surnames."""
     surnames: set[str] = set()
@@ -236,10 +285,11 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def replace(text: str, key: str, again: dict | None = None) -> tuple[str, list[tuple[int, int, str]]]:
-    """The text with surrogates, and (start, end, kind) of each in it. again: {(kind, value): attempt} of those drawn anew."""
+    """The text with surrogates, and (start, end, kind) of each in it. again: {(kind, value): surrogate} of those drawn anew."""
     pieces, spans, at, length = [], [], 0, 0
     for start, end, kind, value in find(text):
-        new = surrogate(kind, value, key, again.get((kind, value), 0) if again else 0)
+        new = again.get((kind, value)) if again else None
+        new = surrogate(kind, value, key) if new is None else new
         pieces += [text[at:start], new]
         length += start - at
         spans.append((length, length + len(new), kind))
@@ -263,7 +313,8 @@ def entities(documents: DataFrame) -> DataFrame:
 
 
 def collisions(found: DataFrame, key: str, most_attempts: int = 20) -> DataFrame:
-    """(kind, value, attempt) of the distinct entities (kind, value) whose first draw collides with an entity or another's draw."""
+    """(kind, value, attempt, drawn) of the distinct entities (kind, value) whose first draw collides with an entity or another's draw;
+    drawn is what replaces them, attempt is -1 in formats that have no room for all. First names are left out: their lists are permuted."""
     import pyarrow as pa
 
     out = pa.schema([("kind", pa.string()), ("value", pa.string()), ("attempt", pa.int32()), ("drawn", pa.string())])
@@ -274,9 +325,9 @@ def collisions(found: DataFrame, key: str, most_attempts: int = 20) -> DataFrame
             rows = zip(*(batch.column(c).to_pylist() for c in ("kind", "value", "attempt")))
             yield from batches_of(((k, v, a, surrogate(k, v, key, a)) for k, v, a in rows), out)
 
-    own = found.select("kind", "value").distinct()
+    own = found.where((F.col("kind") != "first") | ~F.col("value").isin(list(_FIRST))).select("kind", "value").distinct()
     now = written(own.withColumn("attempt", F.lit(0)).mapInArrow(run, kinds), "drawn")
-    for _ in range(most_attempts):
+    for attempt in range(most_attempts + 1):
         taken = now.select(F.col("value").alias("drawn"), "kind").distinct()
         twice = now.groupBy("kind", "drawn").agg(F.count("*").alias("n"), F.min("value").alias("keeps"))
         bad = now.join(taken, ["kind", "drawn"], "left_semi").select("kind", "value").unionByName(
@@ -286,11 +337,55 @@ def collisions(found: DataFrame, key: str, most_attempts: int = 20) -> DataFrame
         if bad.isEmpty():
             discard(bad)
             break
-        moved = now.join(bad, ["kind", "value"]).withColumn("attempt", F.col("attempt") + 1).select("kind", "value", "attempt").mapInArrow(run, kinds)
-        after = written(now.join(bad, ["kind", "value"], "left_anti").unionByName(moved), "drawn")
+        if attempt == most_attempts:
+            after = written(_settled(now, bad, key), "drawn")
+        else:
+            moved = now.join(bad, ["kind", "value"]).withColumn("attempt", F.col("attempt") + 1).select("kind", "value", "attempt").mapInArrow(run, kinds)
+            after = written(now.join(bad, ["kind", "value"], "left_anti").unionByName(moved), "drawn")
         discard(now, bad)
         now = after
-    return now.where("attempt > 0").select("kind", "value", "attempt")
+    else:
+        free = now.where("attempt >= 0").join(now.select(F.col("value").alias("drawn"), "kind").distinct(), ["kind", "drawn"], "left_semi")
+        if not free.isEmpty() or not now.groupBy("kind", "drawn").count().where("count > 1").isEmpty():
+            raise RuntimeError("collisions: surrogates that are not distinct")
+    return now.where("attempt <> 0").select("kind", "value", "attempt", "drawn")
+
+
+def _settled(now: DataFrame, bad: DataFrame, key: str) -> DataFrame:
+    """The draws, with those of `bad` settled among all of their format: such formats are small beside the entities that they hold."""
+    import pyarrow as pa
+
+    out = pa.schema([("kind", pa.string()), ("value", pa.string()), ("attempt", pa.int32()), ("drawn", pa.string())])
+    kinds = "kind string, value string, attempt int, drawn string"
+    formed = pa.schema([*out, ("open", pa.bool_()), ("form", pa.string())])
+
+    def forms(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in (*out.names, "open")))
+            yield from batches_of(((*row, form(row[0], row[1])[0]) for row in rows), formed)
+
+    def settle(table):
+        kind = table.column("kind")[0].as_py()
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("value", "attempt", "drawn", "open"))))
+        values = [v for v, *_ in rows]
+        if form(kind, values[0])[1] < 2 * len(rows):
+            order = sorted(values, key=lambda v: hmac.new(key.encode(), f"{kind}|{v}".encode(), hashlib.sha256).digest())
+            done = [(kind, v, -1, w) for v, w in zip(order, [*order[1:], order[0]])]
+        else:
+            used, done = {*values, *(d for _, _, d, open_ in rows if not open_)}, []
+            for v, a, d, open_ in rows:
+                while open_ and d in used:
+                    a += 1
+                    d = surrogate(kind, v, key, a)
+                used.add(d)
+                done.append((kind, v, a, d))
+        return pa.Table.from_batches(list(batches_of(iter(done), out)), schema=out)
+
+    marked = now.join(bad.withColumn("open", F.lit(True)), ["kind", "value"], "left").select("kind", "value", "attempt", "drawn", F.coalesce("open", F.lit(False)).alias("open"))
+    marked = written(marked.mapInArrow(forms, f"{kinds}, open boolean, form string"), "forms")
+    crowded = marked.where("open").select("kind", "form").distinct()
+    rest = marked.join(crowded, ["kind", "form"], "left_anti").select(*out.names)
+    return marked.join(crowded, ["kind", "form"], "left_semi").groupBy("kind", "form").applyInArrow(settle, kinds).unionByName(rest)
 
 
 def anonymise(documents: DataFrame, key: str, spans: bool = False) -> DataFrame:
@@ -310,11 +405,11 @@ def anonymise(documents: DataFrame, key: str, spans: bool = False) -> DataFrame:
     if spans:
         schema = schema.add(where, ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()).add("kind", StringType())))
     out = to_arrow_schema(schema)
-    again = {(r["kind"], r["value"]): r["attempt"] for r in moved.collect()} if 0 < n <= MOST_BROADCAST else {}
+    again = {(r["kind"], r["value"]): r["drawn"] for r in moved.collect()} if 0 < n <= MOST_BROADCAST else {}
     shared = spark.sparkContext.broadcast(again)
     source = documents
     if n > MOST_BROADCAST:
-        own = found.join(moved, ["kind", "value"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "value", "attempt")).alias(often))
+        own = found.join(moved, ["kind", "value"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "value", "drawn")).alias(often))
         own = own.withColumnRenamed("doc_id", of := spare(documents, "_of"))
         source = documents.join(own, documents["doc_id"].eqNullSafe(own[of]), "left").drop(of)
     else:
@@ -324,7 +419,7 @@ def anonymise(documents: DataFrame, key: str, spans: bool = False) -> DataFrame:
         for batch in batches:
             rows = batch.column("text").to_pylist()
             many = batch.column(often).to_pylist() if often in batch.schema.names else [None] * len(rows)
-            done = [(t, []) if not t else replace(t, key, {(x["kind"], x["value"]): x["attempt"] for x in m} if m else shared.value) for t, m in zip(rows, many)]
+            done = [(t, []) if not t else replace(t, key, {(x["kind"], x["value"]): x["drawn"] for x in m} if m else shared.value) for t, m in zip(rows, many)]
             columns = []
             for f in out:
                 if f.name == "text":

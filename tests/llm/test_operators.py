@@ -325,6 +325,27 @@ def test_secrets_need_no_digit():
     assert [x[2] for x in pii.find("see " + "abcdef" * 6)] == ["secret"]
 
 
+def test_crowded_formats_are_settled(spark, monkeypatch):
+    full, half = [f"{c}@example.com" for c in "aeiouy"], [f"{c}@example.org" for c in "bcdfghjklm"]
+    df = spark.createDataFrame([("email", v) for v in full + half] + [("first", n) for names in pii.FIRST.values() for n in names], "kind string, value string")
+    bad = {r["value"]: r["drawn"] for r in pii.collisions(df, "k", 2).collect()}
+    assert not set(bad) & set(pii._FIRST)
+    new = {v: bad.get(v) or pii.surrogate("email", v, "k") for v in full + half}
+    assert len(set(new.values())) == len(new) and all(v != w for v, w in new.items())
+    assert {new[v] for v in full} == set(full)  # no room: permuted
+    assert not {new[v] for v in half} & set(half) and all(pii.form("email", v) == pii.form("email", w) for v, w in new.items())  # room for all: no entity is met
+    docs = spark.createDataFrame([(i, f"write to {v} now") for i, v in enumerate(full + half)], "doc_id long, text string")
+    for most in (pii.MOST_BROADCAST, -1):
+        monkeypatch.setattr(pii, "MOST_BROADCAST", most)
+        got = {r["doc_id"]: r["text"].split()[2] for r in pii.anonymise(docs, "k").collect()}
+        assert len(set(got.values())) == 16 and {got[i] for i in range(6)} == set(full) and not {got[i] for i in range(6, 16)} & set(half)
+
+
+def test_forms_hold_their_surrogates():
+    for kind, value in [("email", "jane.07@mail3.example.com"), ("phone", "+1 (301) 555-0346"), ("phone", "+13015550346"), ("card", "4111 1111 1111 1111"), ("ip", "10.1.2.3"), ("ssn", "123-45-6789"), ("secret", "sk-Abc123def456ghi789"), ("secret", "0f" * 16), ("surname", "Wilson"), ("surname", "Петрова")]:
+        assert pii.form(kind, pii.surrogate(kind, value, "k")) == pii.form(kind, value) and pii.form(kind, value)[1] > 1
+
+
 # 10
 def test_line_rules():
     assert quality_rules.judge("One good line of words, ten of them at least, ends here.\nHome | About | Contact | More")[-1]
