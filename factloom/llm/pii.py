@@ -35,13 +35,22 @@ ROUNDS = 10
 
 # First names by script and gender, and titles by gender.
 FIRST = {
-    ("latin", "m"): "James Robert Michael William David Richard Joseph Charles Christopher Daniel Matthew Anthony Mark Paul Steven Andrew Kevin Brian George Peter Klaus Jürgen Pierre Jacques Carlos Miguel José Luis".split(),
-    ("latin", "f"): "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Emily Michelle Laura Julia Sophie Claudia Sabine Camille Chloé Carmen Lucía María Sofía Paula".split(),
+    ("latin", "m"): "James Robert Michael William David Richard Joseph Charles Christopher Daniel Matthew Anthony Mark Paul Steven Andrew Kevin Brian George Peter Klaus Jürgen Pierre Jacques Carlos Miguel José Luis "
+    "John Thomas Donald Ronald Kenneth Edward Jason Jeffrey Ryan Jacob Gary Nicholas Eric Jonathan Stephen Larry Justin Scott Brandon Benjamin Samuel Gregory Alexander Patrick Raymond Dennis Jerry Tyler Aaron Adam Nathan Henry Douglas Zachary Kyle Walter Ethan Jeremy Harold Keith Roger Arthur Terry Lawrence Sean Albert Jesse Bryan Bruce Ralph Philip Simon Martin Oliver Harry Graham Colin Neil "
+    "Hans Heinz Jürg Wolfgang Werner Uwe Günter Günther Gerhard Horst Helmut Manfred Dieter Bernd Jens Stefan Frank Ralf Jörg Matthias Markus Andreas Michel Torsten Thorsten Sven Lukas Felix Jonas Tobias Florian Sebastian Christian Dirk Holger Rainer Karl Kurt Friedrich Wilhelm Johannes Johann Ulrich Volker "
+    "Jean François Philippe Nicolas Laurent Julien Olivier Thierry Alain Bernard Marcel André Henri Louis Gérard Christophe Stéphane Guillaume Antoine Mathieu Sébastien Frédéric Éric Didier Yves René Étienne Benoît Luc Hugo "
+    "Juan Antonio Manuel Francisco Javier Jesús Pedro Alejandro Rafael Fernando Sergio Pablo Jorge Alberto Diego Álvaro Raúl Enrique Ramón Vicente Andrés Joaquín Eduardo Ignacio Óscar Rubén Tomás Santiago Mateo".split(),
+    ("latin", "f"): "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Emily Michelle Laura Julia Sophie Claudia Sabine Camille Chloé Carmen Lucía María Sofía Paula "
+    "Anna Betty Dorothy Ashley Kimberly Donna Carol Amanda Melissa Deborah Stephanie Rebecca Sharon Cynthia Kathleen Amy Angela Shirley Brenda Emma Pamela Nicole Samantha Katherine Christine Helen Debra Rachel Carolyn Janet Maria Catherine Heather Diane Olivia Julie Joyce Victoria Kelly Christina Joan Evelyn Lauren Judith Andrea Hannah Megan Cheryl Jacqueline Martha Madison Teresa Gloria Sara Janice Ann Kathryn Abigail Sophia Alice Charlotte Isabella Lucy Fiona "
+    "Ursula Monika Petra Gabriele Renate Helga Karin Brigitte Ingrid Erika Andrea Gisela Susanne Birgit Martina Heike Angelika Silke Anja Katja Katrin Kathrin Stefanie Nadine Tanja Sonja Ute Elke Lena Lea Johanna Franziska Elisabeth Christa Hannelore Heidi Greta Frieda "
+    "Marie Nathalie Isabelle Sylvie Catherine Françoise Monique Martine Valérie Véronique Céline Aurélie Émilie Hélène Élise Élodie Juliette Manon Léa Chantal Jeanne Nicole Jacqueline Anne Louise Amélie Inès Mathilde Pauline "
+    "Ana Isabel Pilar Teresa Cristina Dolores Rosa Mercedes Francisca Antonia Marta Elena Raquel Beatriz Silvia Rocío Inés Alba Irene Nuria Sara Andrea Alicia Marina Julieta Valentina Camila Gabriela".split(),
     ("cyrillic", "m"): "Иван Пётр Сергей Алексей Дмитрий Николай Андрей Михаил Владимир Павел".split(),
     ("cyrillic", "f"): "Мария Анна Елена Ольга Наталья Татьяна Ирина Екатерина Светлана Юлия".split(),
     ("greek", "m"): "Γιώργος Δημήτρης Νίκος Κώστας Γιάννης".split(),
     ("greek", "f"): "Μαρία Ελένη Κατερίνα Σοφία Άννα".split(),
 }
+FIRST = {group: list(dict.fromkeys(names)) for group, names in FIRST.items()}
 TITLES = {"Mr": "m", "Sir": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f", "Dr": "", "Prof": "", "Professor": "", "Doctor": ""}
 # Letters by class; a letter is replaced within its class.
 CLASSES = ("0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "áàâäãåéèêëíìîïóòôöõúùûüýÿæœø", "çñß", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουωάέήίόύώ", "βγδζθκλμνξπρστφχψ")
@@ -50,7 +59,8 @@ U, L = "A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΩА-ЯЁ", "a-zß-öø-ÿά-ώα-ωа-яё"
 EMAIL = re.compile(r"(?<![\w.+-])[\w+-][\w.+-]*@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}(?![\w-])")
 IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|\d?\d)(?!\w|\.\d)")
 PHONE = re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]\d{3,4}(?![\w-]|\.\d)")
-PLUS = re.compile(r"(?<!\w)\+\d{7,15}(?!\w)")
+PLUS = re.compile(r"(?<![\w+])\+\d(?:[ .()-]{0,2}\d){6,14}(?!\w)")
+TEN = re.compile(r"(?<![\w.+-])1?[2-9]\d\d[2-9]\d{6}(?![\w-]|\.\d)")
 CARD = re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w-])")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 SECRET = re.compile(r"(?i)(?:token|secret|passwd|password|passphrase|api[_-]?key|access[_-]?key|private[_-]?key|auth)[\"']?[ \t]*[:=][ \t]*[\"']?([A-Za-z0-9+/_.~=-]{8,})")
@@ -132,9 +142,13 @@ def _band(address: int) -> str:
 
 def first_name(name: str, key: bytes) -> str:
     """The next name of its gender and script in a keyed order: never itself, and no two names meet."""
-    group = _FIRST[name]
+    return _successors(_FIRST[name], key)[name]
+
+
+@lru_cache(maxsize=64)
+def _successors(group: tuple[str, str], key: bytes) -> dict[str, str]:
     order = sorted(FIRST[group], key=lambda n: hmac.new(key, f"{group}{n}".encode(), hashlib.sha256).digest())
-    return order[(order.index(name) + 1) % len(order)]
+    return dict(zip(order, [*order[1:], order[0]]))
 
 
 def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
@@ -273,8 +287,11 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             digits = "".join(c for c in m[0] if c.isdigit())
             if luhn(digits) or len(digits) == 16:
                 found.append((*m.span(), "card", m[0]))
-        found += [(*m.span(), "phone", m[0]) for m in PHONE.finditer(text)]
-        found += [(*m.span(), "phone", m[0]) for m in PLUS.finditer(text)]
+        phones = [(*m.span(), "phone", m[0]) for m in PHONE.finditer(text)]
+        fixed = {start for start, _, _, v in phones if "(" in v or v[:2] in ("+1", "+7")}  # plans whose numbers end where these do
+        found += phones
+        found += [(*m.span(), "phone", m[0]) for m in PLUS.finditer(text) if m.start() not in fixed]
+        found += [(*m.span(), "phone", m[0]) for m in TEN.finditer(text)]
     found += _names(text)
     found.sort(key=lambda x: (x[0], -x[1]))
     out: list[tuple[int, int, str, str]] = []

@@ -346,6 +346,18 @@ def test_forms_hold_their_surrogates():
         assert pii.form(kind, pii.surrogate(kind, value, "k")) == pii.form(kind, value) and pii.form(kind, value)[1] > 1
 
 
+def test_phones_of_other_groupings_and_further_names():
+    for phone in ("+44 20 7946 0958", "+33 1 42 68 53 00", "+49 30 1234567", "+34 912 34 56 78", "+13015550346", "3015550346", "+1 (301) 555-0346"):
+        assert [x[2:] for x in pii.find(f"call {phone}, or 12 of us")] == [("phone", phone)]
+        assert phone not in pii.replace(f"call {phone}.", "k")[0]
+    assert [x[3] for x in pii.find("call +1 (301) 555-0346 10 times")] == ["+1 (301) 555-0346"]
+    assert pii.find("1700000000 s since 2020-01-02, 3.1415926535, +5 10 20") == []
+    for name in ("John Smith", "Thomas Weber", "Anna Schmidt"):
+        assert [x[3] for x in pii.find(f"It was {name} who wrote.")] == name.split()
+    latin = [set(pii.FIRST["latin", g]) for g in "mf"]
+    assert not latin[0] & latin[1] and all(len(set(v)) == len(v) for v in pii.FIRST.values())
+
+
 # 10
 def test_line_rules():
     assert quality_rules.judge("One good line of words, ten of them at least, ends here.\nHome | About | Contact | More")[-1]
