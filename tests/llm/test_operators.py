@@ -207,6 +207,18 @@ def test_exact_repeats_of_the_corpus(documents, corpus):
     assert want <= got
 
 
+def test_passages_have_their_own_places(spark):
+    rng = random.Random(9)
+    text = lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
+    p, q, own = text(60), text(60), text(300)
+    rows = {1: p + q, 2: p + own + q, 3: (twice := text(60)) + text(40) + twice + text(40) + twice, 4: text(20) + twice}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(x) for x in r["passages"]] for r in substring.repeated_passages(df).collect()}
+    assert got == {1: [(0, 120)], 2: [(0, 60), (360, 420)], 3: [(0, 60), (100, 160), (200, 260)], 4: [(20, 80)]}
+    cut = {r["doc_id"]: r["text"].split() for r in substring.without_repeats(df).collect()}
+    assert cut[2] == own and cut[4] == rows[4][:20]
+
+
 # 6
 def test_article_text(spark):
     import html
