@@ -207,6 +207,23 @@ def test_exact_repeats_of_the_corpus(documents, corpus):
     assert want <= got
 
 
+def test_exact_stretches_of_large_mixed_groups(spark):
+    rng = random.Random(8)
+    text = lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
+    line, rows, places = text(44), {}, {}
+    for g in range(200):  # one line in all documents; each two share what stands around it, 50 words together
+        before, rest = text(g % 7), text(6 - g % 7)
+        for i in (g, 999 - g):
+            lead = text(rng.randrange(30, 60))
+            rows[i], places[i] = lead + before + line + rest + text(rng.randrange(30, 60)), len(lead)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")
+    pairs = {(r["a"], r["b"]) for r in substring.exact_pairs(df).collect()}
+    assert {(g, 999 - g) for g in range(200)} <= pairs
+    got = {r["doc_id"]: r for r in substring.repeated_passages(df).collect()}
+    for i, r in got.items():
+        assert 999 - i in r["partners"] and any(p["start"] <= places[i] and places[i] + 50 <= p["end"] for p in r["passages"])
+
+
 def test_passages_have_their_own_places(spark):
     rng = random.Random(9)
     text = lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
