@@ -72,36 +72,53 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+#: A key with more than this many rows, and more than a 500th of all, is hot.
+HOT_ROWS = 1000
+
+
+def skew_join(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with the columns of table, which has each key once with the number n of its rows; n goes. total: the sum of n, or more.
+
+    Hot keys, 500 at most by their definition, are broadcast, so that their rows stay where they are; all others meet by shuffle."""
+    hot, own = F.col("n") > max(HOT_ROWS, total // 500), table.drop("n")
+    few = F.broadcast(table.where(hot).drop("n"))
+    rest = rows.join(F.broadcast(table.where(hot).select(key)), key, "left_anti")
+    return rows.join(few, key).unionByName(rest.join(table.where(~hot).select(own.columns).hint("merge"), key))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components: edges (a, b) of longs to (id, component), component being the least id that can be reached.
 
-    Alternating large-star and small-star steps, so that rounds grow with the logarithm of the component size. Each round is two
-    aggregations over the edges and is written to the shared folder; a vertex's neighbours are never gathered in one place, since
-    a step needs only their minimum and one output row for each edge. Self-links, repeated and mirrored edges are allowed; no
-    edges give no rows. Raises after `most_rounds` rounds without a fixed point.
+    Alternating large-star and small-star steps, so that rounds grow with the logarithm of the component size. A step needs only the
+    minimum of a vertex's neighbours and one output row for each edge; the edges of vertices with very many are not dealt by vertex.
+    Each round is written to the shared folder. Self-links, repeated and mirrored edges are allowed; no edges give no rows. Raises
+    after `most_rounds` rounds without a fixed point.
     """
     now = written(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges"
     )
-    seen = None
+    seen, total = None, now.count()
     for _ in range(most_rounds):
         # Large star: each neighbour above u goes to the least of u and its neighbours.
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = skew_join(both, least, "a", 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = written(large, "large")
         # Small star: u's neighbours below it, and u itself, go to the least of them.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = skew_join(large, low, "a", total).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         after = written(small.where("a <> b").distinct(), "edges")
         sums = after.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        discard(now)
-        now = after
+        discard(now, large)
+        now, total = after, sums[0]
         if sums == seen:
             break
         seen = sums
     else:
         raise RuntimeError("components: no fixed point")
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
+    out = now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
+    out._factloom_path = now._factloom_path
+    return out
 
 
 def texts(batch, column: str) -> list[str]:
@@ -123,38 +140,74 @@ def batches_of(rows: Iterator[tuple], schema, size: int = 2000):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
-_POWERS: dict = {}
+#: Bytes that are hashed at once, and powers that a worker keeps.
+BLOCK = 1 << 16
+_KEPT: dict = {}
 
 
-def _byte_tables(n: int):
-    """Whether a byte is white space, a random number for each byte, and powers of an odd base and of its inverse up to n."""
+def powers(n: int):
+    """The first n powers of an odd base and of its inverse modulo 2^64. Those up to BLOCK are kept, longer runs are not."""
     import numpy as np
 
-    if len(_POWERS.get("up", ())) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+    if n > BLOCK + 1 or "up" not in _KEPT:
         base = 0x9E3779B97F4A7C15
-        back = pow(base, -1, 1 << 64)
-        for name, x in (("up", base), ("down", back)):
-            powers = np.full(size, x, "u8")
-            powers[0] = 1
-            _POWERS[name] = np.multiply.accumulate(powers)
+        made = []
+        for x in (base, pow(base, -1, 1 << 64)):
+            run = np.full(max(n, BLOCK + 1), x, "u8")
+            run[0] = 1
+            made.append(np.multiply.accumulate(run))
+        if n > BLOCK + 1:
+            return made
+        _KEPT["up"], _KEPT["down"] = made
+    return _KEPT["up"], _KEPT["down"]
+
+
+def _bytes():
+    """Whether a byte is white space, and a random number for each byte."""
+    import numpy as np
+
+    if "space" not in _KEPT:
         space = np.zeros(256, "?")
         space[[9, 10, 11, 12, 13, 32]] = True
-        _POWERS["space"], _POWERS["code"] = space, mixed(np.arange(1, 257, dtype="u8") * np.uint64(0xD1B54A32D192ED03))
-    return _POWERS["space"], _POWERS["code"], _POWERS["up"], _POWERS["down"]
+        _KEPT["code"] = mixed(np.arange(1, 257, dtype="u8") * np.uint64(0xD1B54A32D192ED03))
+        _KEPT["space"] = space
+    return _KEPT["space"], _KEPT["code"]
 
 
 def word_hashes(text: str):
     """A 64-bit hash of each word of a text, A-Z lower-cased, the same on all machines.
 
-    A polynomial over the word's bytes modulo 2^64, taken from prefix sums, so that a text costs a few passes over its bytes."""
+    A polynomial over the word's bytes modulo 2^64, taken from prefix sums, so that a text costs a few passes over its bytes. Long texts
+    are taken in blocks that end at white space, so that memory is a few times the text and no more."""
     import numpy as np
 
     data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), "u1")  # bytes.lower() moves A-Z only
+    if len(data) <= BLOCK:
+        return _word_hashes(data)
+    space, _ = _bytes()
+    out, begin = [], 0
+    while begin < len(data):
+        end = begin + BLOCK
+        if end < len(data):
+            gaps = np.flatnonzero(space[data[begin:end]])
+            if len(gaps):
+                end = begin + int(gaps[-1]) + 1
+            else:  # a word longer than a block is a block
+                while end < len(data) and not space[data[end]]:
+                    end += 1
+        out.append(_word_hashes(data[begin:end]))
+        begin = end
+    return np.concatenate(out)
+
+
+def _word_hashes(data):
+    import numpy as np
+
     n = len(data)
-    space, code, up, down = _byte_tables(n + 1)
-    inside = ~space[data]
-    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    (space, code), (up, down) = _bytes(), powers(n + 1)
+    inside = np.zeros(n + 2, "?")
+    np.logical_not(space[data], out=inside[1:-1])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edge[::2], edge[1::2]
     sums = np.zeros(n + 1, "u8")
     np.cumsum(code[data] * up[:n], out=sums[1:])
