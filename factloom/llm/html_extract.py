@@ -1,21 +1,28 @@
 """Main text of web pages: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
-The standard library's parser streams a page's events. Each block element gives a line of text with the number of tags met in it;
-lines inside elements that are never content (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments, told by tag, role, class or id) are dropped. Over the other lines the ratio of text to tags is smoothed by a Gaussian,
-and lines above a share of the mean form clusters. The regions that hold clusters are the content: articles (or the page's main
-element) where the page has them, else the span from the first to the last clustered line. A region is taken whole, so that a short
-paragraph inside an article stays.
+The standard library's parser streams a page's events. Each block element gives a line of text, with the number of tags met in it and
+the characters that stand in links. Elements that are never content (menus, headers, footers, sidebars, adverts, scripts, styles,
+reader comments, told by tag, role, class or id) give no lines. Forms, and elements whose class or id may mean a part of the page as
+well as the page (WEAK), give none either, unless they hold the main element, an article (forms), a first heading or half of the
+page's text: then they only wrap it.
+
+Over the lines, the logarithm of the ratio of text outside of links to tags is smoothed by a Gaussian, and the smoothed values are cut
+at a share of their mean. Lines of text above the cut are content; inside an article or the main element, which is the prior, the cut
+is at a lower share, so that short paragraphs there stay. Where the page has no such element, content goes from the first to the last
+line above the cut. Neighbouring lines that are nothing but links form clusters of their own, two lines or more, which go if their mean
+is below that share of the mean of the other lines, wherever they are.
 
 White space inside a block becomes one space, blocks are trimmed and joined by one \\n; a line break counts as white space.
 
-Defined results: null and empty pages have the empty text; markup that is broken off or not closed is read as far as it goes; a page
-of a single block is that block; repeated rows give repeated rows; an empty table gives no rows; further columns are ignored.
+Defined results: null and empty pages have the empty text; markup that is broken off or not closed is read as far as it goes, in time
+linear in its length; a page of a single block is that block; equal ratios are judged alike; very long pages are read whole; repeated
+rows give repeated rows; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -25,99 +32,124 @@ from .common import batches_of, short_batches, texts
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-NEVER = frozenset("script style noscript template head title nav footer aside form button select textarea option iframe object embed svg canvas audio video menu dialog datalist fieldset map applet".split())
+NEVER = frozenset("script style noscript template head title nav footer aside button select textarea option iframe object embed svg canvas audio video menu dialog datalist fieldset map applet".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form tablist status".split())
 #: Words in a class or id that mark what is not content.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adbox adsense banner sponsor sponsored sponsors promo promos promotion"
-    " nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside rail footer foot header masthead topbar toolbar"
-    " comment comments commentlist disqus respond reply replies discussion cookie cookies consent gdpr notice notices notification alert"
-    " popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations teaser"
-    " pagination pager paging search form widget widgets skip hidden print copyright legal disclaimer tracking".split()
+    " nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer foot header masthead topbar toolbar"
+    " comment comments commentlist disqus respond reply replies discussion cookie cookies consent gdpr newsletter subscribe subscription"
+    " related recommended recommendations teaser pagination pager disclaimer".split()
 )
+#: Words that mark what is not content, unless it wraps the content.
+WEAK = frozenset("alert copyright form hidden legal login modal notice notices notification overlay paging popup print rail search share sharing signup skip social tracking widget widgets".split())
 NOT_A_MARK = frozenset("no has with without".split())
 #: Elements that the start of another block closes.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "option": ("option",)}
+WITHIN = ("div", "section", "article", "main", "td", "th", "li", "blockquote", "body", "nav", "aside", "header", "footer", "form")
+LISTS = ("ul", "ol", "dl", "table", "select")
 SIGMA = 1.0
-#: Share of the mean smoothed ratio from which a line belongs to a cluster.
-LEVEL = 0.5
+#: Share of the mean smoothed ratio at which lines are cut, and the share inside the prior's regions.
+LEVEL, REGION_LEVEL = 0.5, 0.1
 
 
-def marked(attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether an element's attributes say that it is not content."""
+def marked(attrs: list[tuple[str, str | None]]) -> int:
+    """What an element's attributes say: 2 it is not content, 1 it may not be, 0 nothing."""
+    found = 0
     for name, value in attrs:
         value = (value or "").lower()
         if name in ("class", "id"):
             for one in value.split():
                 parts = one.replace("_", "-").split("-")
-                if parts[0] not in NOT_A_MARK and not MARKS.isdisjoint(parts):
-                    return True
+                if parts[0] not in NOT_A_MARK:
+                    if not MARKS.isdisjoint(parts):
+                        return 2
+                    if not WEAK.isdisjoint(parts):
+                        found = 1
         elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return 2
         elif name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+            return 2
+    return found
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, region) for each block that may be content; region: the number of the article or main element, or 0."""
+    """Collects a line for each block that may be content: (text, tags, characters in links, whether it is in an article or the main
+    element, the part of the page it is in). No event costs more than the elements that it closes."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, whether it starts something to skip, region outside of it
+        self.open: list[tuple[str, bool, bool, int]] = []  # tag, whether it starts something to skip, and region and part outside of it
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # where each tag is open
+        self.blocks: list[int] = []  # where blocks are open
         self.skipped = 0
-        self.region = self.regions = 0
-        self.main = 0
+        self.region = False
+        self.part = 0
+        self.parts = [(0, False)]  # (the part around it, whether it is a form)
+        self.wraps = [True]  # whether a part holds what only a wrapper does
         self.pieces: list[str] = []
-        self.tags = 0
-        self.lines: list[tuple[str, int, int]] = []
+        self.tags = self.linked = 0
+        self.lines: list[tuple[str, int, int, bool, int]] = []
 
     def end_line(self) -> None:
         text = " ".join("".join(self.pieces).split())
         if text:
-            self.lines.append((text, self.tags, self.region))
-        self.pieces, self.tags = [], 0
+            self.lines.append((text, self.tags, self.linked, self.region, self.part))
+        self.pieces, self.tags, self.linked = [], 0, 0
 
     def pop(self, n: int) -> None:
-        """Close the elements above depth n."""
+        """Close the elements from depth n on."""
         while len(self.open) > n:
-            tag, skips, region = self.open.pop()
+            tag, skips, region, part = self.open.pop()
+            self.places[tag].pop()
             if tag in BLOCKS:
+                self.blocks.pop()
                 self.end_line()
             self.skipped -= skips
-            self.region = region
+            self.region, self.part = region, part
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=-1)
 
     def shut(self, tags: tuple[str, ...], within: tuple[str, ...]) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in tags:
-                return self.pop(i)
-            if self.open[i][0] in within:
-                return None
-        return None
+        """Close the innermost of some elements, if it is inside the innermost of those that may hold it."""
+        at = self.last(tags)
+        if at >= 0 and at > self.last(within):
+            self.pop(at)
 
     def handle_starttag(self, tag, attrs):
-        self.tags += 1
         if tag in BLOCKS:
-            self.shut(("p", *HEADINGS) if tag not in HEADINGS else ("p",), ("div", "section", "article", "main", "td", "th", "li", "blockquote", "body", "nav", "aside", "header", "footer", "form"))
+            self.shut(("p", *HEADINGS) if tag not in HEADINGS else ("p",), WITHIN)
             if tag in CLOSES:
-                self.shut(CLOSES[tag], ("ul", "ol", "dl", "table", "select"))
+                self.shut(CLOSES[tag], LISTS)
             self.end_line()
         elif tag in ("br", "td", "th"):
             self.pieces.append(" ")
+        self.tags += 1
         if tag in VOID:
             return
         skips = tag in NEVER or tag == "header" and not self.region
+        weak = tag == "form"
         if not skips and tag not in ("html", "body", "article", "main") and attrs:
-            skips = marked(attrs) and not (tag == "header" and self.region)
-        if not skips and self.open and any(t == "header" for t, _, _ in self.open) and tag in BLOCKS and tag not in HEADINGS and tag not in ("div", "hgroup", "section"):
+            mark = marked(attrs) if tag != "header" else 0
+            skips, weak = mark == 2, weak or mark == 1
+        if not skips and self.places["header"] and tag in BLOCKS and tag not in HEADINGS and tag not in ("div", "hgroup", "section"):
             skips = True  # an article's own header: its headings only
-        self.open.append((tag, skips, self.region))
+        self.places[tag].append(len(self.open))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.open))
+        self.open.append((tag, skips, self.region, self.part))
         self.skipped += skips
-        if tag in ("article", "main") and not self.skipped and (not self.region or tag == "article" and self.region == self.main):
-            self.regions += 1
-            self.region = self.regions
-            if tag == "main":
-                self.main = self.region
+        if self.skipped:
+            return
+        if tag == "main" or tag == "h1" or tag == "article" and self.parts[self.part][1]:
+            self.wraps[self.part] = True
+        if tag in ("article", "main"):
+            self.region = True
+        elif weak:
+            self.parts.append((self.part, tag == "form"))
+            self.wraps.append(False)
+            self.part = len(self.parts) - 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -126,22 +158,33 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                return self.pop(i)
-            if tag not in BLOCKS and self.open[i][0] in BLOCKS:
-                return None
-        return None
+        at = self.places[tag][-1] if self.places[tag] else -1
+        if at >= 0 and (tag in BLOCKS or not self.blocks or self.blocks[-1] < at):
+            self.pop(at)
 
     def handle_data(self, data):
         if not self.skipped:
             self.pieces.append(data)
+            link = self.places["a"]
+            if link and (not self.blocks or self.blocks[-1] < link[-1]):  # a link around blocks, or one that is not closed, makes no link of them
+                self.linked += len("".join(data.split()))
 
-    def finished(self) -> list[tuple[str, int, int]]:
+    def finished(self) -> list[tuple[str, int, int, bool]]:
+        """The lines, without those of parts that are no wrappers."""
         self.close()
         self.pop(0)
         self.end_line()
-        return self.lines
+        sizes = [0] * len(self.parts)
+        for text, *_, part in self.lines:
+            sizes[part] += len(text)
+        for i in range(len(self.parts) - 1, 0, -1):  # a part comes after the one around it
+            around = self.parts[i][0]
+            sizes[around] += sizes[i]
+            self.wraps[around] |= self.wraps[i]
+        stays = [True]
+        for i in range(1, len(self.parts)):
+            stays.append(stays[self.parts[i][0]] and (self.wraps[i] or 2 * sizes[i] >= sizes[0]))
+        return [x[:4] for x in self.lines if stays[x[4]]]
 
 
 def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
@@ -155,23 +198,36 @@ def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
+def chosen(lines: list[tuple[str, int, int, bool]]) -> list[bool]:
+    """Which lines are content, by their smoothed ratios."""
+    texts_ = [max(0, len("".join(text.split())) - linked) for text, _, linked, _ in lines]
+    ratios = smooth([math.log1p(n / max(1, tags)) for n, (_, tags, _, _) in zip(texts_, lines)])
+    cut = LEVEL * sum(ratios) / len(ratios)
+    links = [not n for n in texts_]
+    own = [x for x, link in zip(ratios, links) if not link]
+    link_cut = LEVEL * sum(own) / max(1, len(own))
+    if any(region for *_, region in lines):
+        keep = [region and (link or x >= cut * REGION_LEVEL / LEVEL) for x, link, (*_, region) in zip(ratios, links, lines)]
+    else:
+        above = [i for i, x in enumerate(ratios) if x >= cut and not links[i]] or [i for i, x in enumerate(ratios) if x >= cut]
+        keep = [above[0] <= i <= above[-1] for i in range(len(lines))]
+    i = 0
+    while i < len(lines):
+        j = i + 1
+        while links[i] and j < len(lines) and links[j]:
+            j += 1
+        if j - i > 1 and sum(ratios[i:j]) < link_cut * (j - i):
+            keep[i:j] = [False] * (j - i)
+        i = j
+    return keep
+
+
 def extract(html: str) -> str:
     """The main text of a whole page."""
     parser = Lines()
     parser.feed(html)
     lines = parser.finished()
-    if not lines:
-        return ""
-    ratios = smooth([len(text) / max(1, tags) for text, tags, _ in lines])
-    level = LEVEL * sum(ratios) / len(ratios)
-    chosen = [i for i, x in enumerate(ratios) if x >= level]
-    regions = {lines[i][2] for i in chosen} - {0}
-    inside = {r for _, _, r in lines} - {0}
-    if inside:
-        regions = regions or inside
-        regions |= {parser.main} & inside
-        return "\n".join(t for t, _, r in lines if r in regions)
-    return "\n".join(t for t, _, _ in lines[chosen[0] : chosen[-1] + 1])
+    return "\n".join(line[0] for line, stays in zip(lines, chosen(lines)) if stays) if lines else ""
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
