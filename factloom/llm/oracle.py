@@ -32,6 +32,7 @@ def op7() -> str:
     rule = "case " + " ".join(f"when {f} then '{h + p}'" for f, (_, h, p) in zip(fits, rules)) + " end"
     ruling = "case " + " ".join(f"when {f} then '{v}'" for f, (v, _, _) in zip(fits, rules)) + " end"
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    held = f"left(md5(s), 1) in ({', '.join(map(quoted, url_filter.HELD_OUT))})"
     tables, joins, pa, pb = [], [], str(1 / url_filter.ALPHABET), str(1 / url_filter.ALPHABET)
     for k in range(1, order + 1):
         for kind, key in (("n", f"right(gram, {k})"), ("t", f"substr(gram, {order - k + 1}, {k - 1})")):
@@ -44,11 +45,12 @@ with u as (select page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?
 j as (select *, {rule} rule_, {ruling} ruling, host || path s from u),
 addr as (select s, ruling, count(*) n from j group by all),
 pos as (select s, ruling, n, unnest(list_transform(range(1, length(s) + 2), lambda i: substr(repeat(chr(2), {order - 1}) || s || chr(3), i, {order}))) gram from addr),
-counts as (select gram, sum(case when ruling = 'allow' then n else 0 end) a, sum(case when ruling = 'block' then n else 0 end) b from pos where ruling is not null group by 1),
+counts as (select gram, sum(case when ruling = 'allow' then n else 0 end) a, sum(case when ruling = 'block' then n else 0 end) b from pos where ruling is not null and not {held} group by 1),
 {', '.join(tables)},
 w as (select g.gram, ln({pa}) - ln({pb}) weight from (select distinct gram from pos) g {' '.join(joins)}),
 scored as (select s, ruling, n, round(avg(weight), 9) raw from pos join w using (gram) group by all),
-m as (select ruling, sum(n * raw) / sum(n) m, sqrt(greatest(sum(n * raw * raw) / sum(n) - (sum(n * raw) / sum(n)) ** 2, 0)) sd from scored where ruling is not null group by 1),
+both_ as (select count(distinct ruling) = 2 yes from scored where ruling is not null and {held}),
+m as (select ruling, sum(n * raw) / sum(n) m, sqrt(greatest(sum(n * raw * raw) / sum(n) - (sum(n * raw) / sum(n)) ** 2, 0)) sd from scored, both_ where ruling is not null and ({held} or not yes) group by 1),
 cut as (select case when a.sd + b.sd > 0 then (a.m * b.sd + b.m * a.sd) / (a.sd + b.sd) else (a.m + b.m) / 2 end cut from m a, m b where a.ruling = 'allow' and b.ruling = 'block')
 select j.page_id, j.host, j.path, j.rule_ as "rule", coalesce(j.ruling, case when scored.raw < (select cut from cut) then 'block' else 'allow' end) verdict
 from j join scored on j.s = scored.s and j.ruling is not distinct from scored.ruling"""
@@ -59,12 +61,13 @@ def op10() -> str:
     return f"""
 with d as (select row_number() over () r, doc_id, coalesce(text, '') t from documents),
 l as (select r, unnest(string_split(t, chr(10))) line, generate_subscripts(string_split(t, chr(10)), 1) i from d),
-l2 as (select *, len(regexp_extract_all(line, {word})) nw, length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g')) nc, row_number() over (partition by r, line order by i) > 1 again from l),
+l2 as (select *, len(regexp_extract_all(line, {word})) nw, length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g')) nc, row_number() over (partition by r, line order by i) > 1 again,
+    regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {quoted(quality_rules.BOILERPLATE)}) phrases from l),
 l3 as (select *, again
     or (length(line) - length(replace(line, '|', '')) > 0 and 4 * (length(line) - length(replace(line, '|', ''))) >= nw)
     or 2 * length(regexp_replace(line, '[^#*$%&<>]', '', 'g')) > nw
     or (nw >= 3 and (length(line) - length(replace(line, '!!', ''))) >= nw)
-    or regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {quoted(quality_rules.BOILERPLATE)})
+    or (len(phrases) > 0 and {quality_rules.PROSE_WORDS} * len(phrases) >= nw)
     or (nw <= 3 and not regexp_matches(line, {quoted(quality_rules.MARK_AT_END)})) fails from l2 where nw > 0),
 lines as (select r, sum(case when again then 1 else 0 end) dup, sum(case when fails then nc else 0 end) lost from l3 group by r),
 w as (select r, regexp_extract_all(t, {word}) w from d),

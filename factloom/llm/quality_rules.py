@@ -5,14 +5,15 @@ Words are runs of characters other than ASCII white space; lines end with \\n. A
 * navigation: it has a ``|`` and at least one for every four words,
 * symbols: characters of ``#*$%&<>`` number more than half its words,
 * shouting: it has three words or more and ``!!`` for at least half of them,
-* boilerplate: it has one of BOILERPLATE, or repeats an earlier line of the text,
+* boilerplate: it has one of BOILERPLATE for every PROSE_WORDS words (a longer line that only mentions one is prose), or repeats an
+  earlier line of the text,
 * punctuation: it has three words or fewer and no sentence or closing mark at its end.
 
 A document's own base rules come first (base_failed). Then the line rules' verdict: it is rejected if failing lines hold more than
 half of its word characters.
 
-Defined results: null and empty texts have no words and fail the base rules; ties and repeated rows are judged alike; texts are
-read whole at any length; an empty table gives no rows; further columns are ignored.
+Defined results: null and empty texts have no words and fail the base rules; a text that loses exactly half of its characters is kept;
+repeated rows are judged alike; texts are read whole at any length; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +27,15 @@ from .common import WORD, batches_of, short_batches, texts
 
 #: Fixed phrases of boilerplate lines, lower-case ASCII.
 BOILERPLATE = r"all rights reserved|copyright|cookie|privacy policy|terms of service|terms of use|javascript|subscribe|sign up|log in|read more|click here"
+#: Words of a line that one boilerplate phrase makes boilerplate.
+PROSE_WORDS = 12
 MARK_AT_END = r"[.!?:;…\"'»)\]][\x20\x09-\x0D]*$"
 SYMBOL = r"[#*$%&|<>]"
 
 
 @lru_cache(maxsize=1)
 def _patterns():
-    return re.compile(WORD).findall, re.compile(BOILERPLATE).search, re.compile(MARK_AT_END).search
+    return re.compile(WORD).findall, re.compile(BOILERPLATE).findall, re.compile(MARK_AT_END).search
 
 
 def line_fails(line: str, n_words: int, repeats: bool, lower) -> bool:
@@ -44,7 +47,7 @@ def line_fails(line: str, n_words: int, repeats: bool, lower) -> bool:
         or (pipes and 4 * pipes >= n_words)
         or 2 * (line.count("#") + line.count("*") + line.count("$") + line.count("%") + line.count("&") + line.count("<") + line.count(">")) > n_words
         or (n_words >= 3 and 2 * line.count("!!") >= n_words)
-        or boilerplate(lower)
+        or ((found := len(boilerplate(lower))) and PROSE_WORDS * found >= n_words)
         or (n_words <= 3 and not marked(line))
     )
 

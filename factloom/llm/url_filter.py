@@ -4,14 +4,17 @@ A rule is (verdict, host, path); it fits its host and every subdomain if the url
 wins. URLs that a rule decides are also what the models learn from: one variable-order Markov model of the allowed and one of the
 blocked ones, over host and path, with contexts of up to ORDER - 1 characters, each order smoothed by the next shorter one. A URL
 without a rule is judged by the length-normalised difference of the two log-likelihoods, against a threshold that lies between the
-means of the two classes in proportion to their spreads.
+means of the two classes in proportion to their spreads. The threshold is set on addresses that the models haven't counted: those
+whose MD5 begins with one of HELD_OUT (on all that rules decide, if that part lacks a class).
 
-Counts cover all rows. The table of gram weights is broadcast only if its counted rows are MOST_BROADCAST or fewer; else it is
-joined by shuffle. URLs are scored once for each distinct host and path.
+Counts cover all rows. URLs are scored once for each distinct host and path. The table of gram weights is broadcast only if its
+counted rows are MOST_BROADCAST or fewer; else it is joined by shuffle, its hot grams by broadcast. Addresses with very many rows get
+their scores by broadcast, too, so that no task holds all rows of one.
 
-Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged like any other; with no
-allowed or no blocked URL to learn from, the verdict is `allow`; repeated rows are judged alike; an empty table gives no rows;
-further columns are ignored.
+Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged like any other; of rules
+of equal length that fit the last one in order counts; a score at the threshold is allowed; with no allowed or no blocked URL to learn
+from, the verdict is `allow`; very long urls are read whole; repeated rows are judged alike; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ ALPHABET = 256.0
 #: Rows of the gram table that may be broadcast (some 60 bytes each).
 MOST_BROADCAST = 200_000
 START, END = "\x02", "\x03"
+#: First hex digits of the MD5 of addresses that set the threshold.
+HELD_OUT = ("0", "1", "2", "3")
 
 
 def host_of(url: Column) -> Column:
@@ -77,31 +82,44 @@ def weights(counts: DataFrame, asked: DataFrame) -> DataFrame:
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for each row of pages (page_id, url); score: the normalised difference of
     log-likelihoods less the threshold, null where a rule decides or there is nothing to learn from."""
-    from .common import discard, written
+    from .common import discard, skew_join, written
 
     split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     judged = split.select("*", rule.alias("rule"), verdict.alias("ruling"), F.concat("host", "path").alias("s"))
     # Repeated addresses are counted first, so that one address with very many rows is one row with a count from here on.
-    addresses = written(judged.groupBy("s", "ruling").agg(F.count("*").alias("n")), "addresses")
+    # Dealt to as many tasks as the session's shuffles have: a position of an address is a row later.
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = F.substring(F.md5("s"), 1, 1).isin(*HELD_OUT)
+    addresses = written(judged.groupBy("s", "ruling").agg(F.count("*").alias("n")).withColumn("held", held).repartition(tasks, "s"), "addresses")
     counts = written(
-        grams(addresses.where("ruling is not null"), "s")
+        grams(addresses.where("ruling is not null and not held"), "s")
         .groupBy("gram")
         .agg(*(F.sum(F.when(F.col("ruling") == v, F.col("n")).otherwise(0)).alias(c) for v, c in (("allow", "allowed"), ("block", "blocked")))),
         "grams",
     )
-    table = written(weights(counts, grams(addresses, "s")), "weights")
-    discard(counts)
-    if table.count() <= MOST_BROADCAST:
-        table = F.broadcast(table)
-    scored = written(
-        grams(addresses, "s").join(table, "gram").groupBy("s", "ruling", "n").agg(F.round(F.avg("weight"), 9).alias("raw")), "scores"
-    )
-    means = {r["ruling"]: r for r in scored.where("ruling is not null").groupBy("ruling").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("raw")) / F.sum("n")).alias("m"), (F.sum(F.col("n") * F.col("raw") * F.col("raw")) / F.sum("n")).alias("q")).collect()}
-    if len(means) < 2:
+    asked = written(grams(addresses, "s").groupBy("gram").agg(F.count("*").alias("n")), "asked")
+    table = written(weights(counts, asked).join(asked, "gram"), "weights")
+    size = table.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
+    met = grams(addresses, "s").drop("n")
+    met = met.join(F.broadcast(table.drop("n")), "gram") if size["rows"] <= MOST_BROADCAST else skew_join(met, table, "gram", size["n"])
+    scored = written(met.groupBy("s").agg(F.round(F.avg("weight"), 9).alias("raw")).join(addresses, "s"), "scores")
+    discard(counts, asked, table, addresses)
+    ours = scored.where("ruling is not null").groupBy("ruling", "held").agg(*(F.sum(e).alias(c) for c, e in (("n", F.col("n")), ("x", F.col("n") * F.col("raw")), ("xx", F.col("n") * F.col("raw") * F.col("raw")))))
+    found = ours.collect()  # four rows
+    if len({r["ruling"] for r in found}) < 2:
+        discard(scored)
         return judged.select("page_id", "host", "path", "rule", F.coalesce("ruling", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    (ma, sa), (mb, sb) = ((r["m"], max(r["q"] - r["m"] ** 2, 0.0) ** 0.5) for r in (means["allow"], means["block"]))
+    cut_on = [r for r in found if r["held"]] if len({r["ruling"] for r in found if r["held"]}) == 2 else found
+
+    def spread(kind):
+        n, x, xx = (sum(r[c] for r in cut_on if r["ruling"] == kind) for c in ("n", "x", "xx"))
+        return x / n, max(xx / n - (x / n) ** 2, 0.0) ** 0.5
+
+    (ma, sa), (mb, sb) = spread("allow"), spread("block")
     threshold = (ma * sb + mb * sa) / (sa + sb) if sa + sb > 0 else (ma + mb) / 2
-    open_ = scored.where("ruling is null").select("s", (F.col("raw") - threshold).alias("score"))
-    rest = judged.where("ruling is null").join(open_, "s").select("page_id", "host", "path", "rule", F.when(F.col("score") >= 0, "allow").otherwise("block").alias("verdict"), "score")
+    open_ = scored.where("ruling is null").select("s", "n", (F.col("raw") - threshold).alias("score"))
+    rows = judged.where("ruling is null")
+    total = open_.agg(F.sum("n")).first()[0] or 0
+    rest = skew_join(rows, open_, "s", total).select("page_id", "host", "path", "rule", F.when(F.col("score") >= 0, "allow").otherwise("block").alias("verdict"), "score")
     return judged.where("ruling is not null").select("page_id", "host", "path", "rule", F.col("ruling").alias("verdict"), F.lit(None).cast("double").alias("score")).unionByName(rest)
