@@ -7,19 +7,24 @@ q-grams, all on diagonals (place in text less place in item) that lie within k o
 
 1. windows of the text with too few positions whose q-gram occurs in any item are left out,
 2. shared q-grams are counted by item and band of diagonals; bands are 2 (k + 1) wide and start every k + 1, so that any k + 1
-   neighbouring diagonals lie within one band; bands below the lemma's count are left out,
+   neighbouring diagonals lie within one band; bands below the lemma's count are left out. A q-gram that an item repeats within k + 1
+   places counts there as one stretch of diagonals, once for each place in the text that it may belong to, which can only raise a
+   count: so a letter that is repeated without end costs no more than any other. Counts are worked out in slices of bounded size,
 3. what is left is aligned within its band and kept if the edits fit the budget.
 
-The filter loses nothing: every occurrence within the budget is found. Items go to the workers in blocks of MOST_BYTES at most; a
-larger benchmark takes further passes over the documents.
+The filter loses nothing: every occurrence within the budget is found. Items go to the workers in blocks of MOST_BYTES at most (an
+item that is larger is a block of its own); a larger benchmark takes further passes over the documents. The budget is EDITS of the
+letters, rounded down, and (m - Q) // Q at most: items of 30 or 31 letters get two edits.
 
 Defined results: null and empty texts hold no item; null, empty and short items (under LEAST_BYTES letters) match nothing; an item
-that is there twice is found under each item_id; repeated documents are judged alike; empty tables give no matches; long texts are
-read whole, in overlapping pieces; further columns are ignored (matches) or kept (decontaminate).
+that is there twice is found under each item_id; of occurrences of one item that overlap the one of fewest edits counts, of equal ones
+the first; repeated documents are judged alike; empty tables give no matches; long texts are read whole, in overlapping pieces;
+further columns are ignored (matches) or kept (decontaminate).
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,6 +40,8 @@ LEAST_BYTES = 24
 MOST_BYTES = 8_000_000
 #: Letters handled at once.
 PIECE = 1 << 21
+#: Pairs of item and band that are counted at once.
+SLICE = 1 << 21
 #: Bits of the table that tells whether a q-gram may be an item's.
 BITS = 22
 
@@ -101,9 +108,15 @@ class Items:
         every = np.concatenate(grams) if grams else np.zeros(0, "u8")
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, "i8")
-        order = np.argsort(every, kind="stable")
-        self.grams, self.starts, self.counts = np.unique(every[order], return_index=True, return_counts=True)
-        self.item, self.place = item[order], place[order]
+        # A q-gram's places in an item, those no more than edits + 1 apart taken together as (first, last).
+        order = np.lexsort((place, item, every))
+        every, item, place = every[order], item[order], place[order]
+        opens = np.ones(len(every), "?")
+        if len(every):
+            opens[1:] = (every[1:] != every[:-1]) | (item[1:] != item[:-1]) | (place[1:] - place[:-1] > self.edits[item[1:]] + 1)
+        at = np.flatnonzero(opens)
+        self.item, self.first, self.last = item[at], place[at], place[np.concatenate([at[1:] - 1, [len(every) - 1]])] if len(at) else place
+        self.grams, self.starts, self.counts = np.unique(every[at], return_index=True, return_counts=True)
         self.table = np.zeros(1 << BITS, "?")
         self.table[slot(self.grams)] = True
         # Classes of items by length: the window that an occurrence fits in, and the least count in it.
@@ -142,13 +155,30 @@ class Items:
         same = self.grams[found] == g[at]
         at, found = at[same], found[same]
         n = self.counts[found]
-        first = np.repeat(self.starts[found] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        item = self.item[first]
-        diagonal = np.repeat(at, n) - self.place[first] + self.longest
-        width = self.edits[item] + 1
-        band = diagonal // width
         span = (len(x) + 2 * self.longest) + 2
-        keys, counts = np.unique(np.concatenate([item * span + band, item * span + band - 1 * (band > 0)]), return_counts=True)
+        keys, counts = np.zeros(0, "i8"), np.zeros(0, "i8")
+        sums = np.cumsum(n)
+        begin = 0
+        while begin < len(at):  # in slices, and each of those by bands
+            end = max(begin + 1, int(np.searchsorted(sums, (sums[begin - 1] if begin else 0) + SLICE, "right")))
+            own = n[begin:end]
+            rows = np.repeat(self.starts[found[begin:end]] - np.cumsum(own) + own, own) + np.arange(own.sum())
+            item = self.item[rows]
+            width = self.edits[item] + 1
+            places = np.repeat(at[begin:end], own) + self.longest
+            low = np.maximum((places - self.last[rows]) // width - 1, 0)
+            many = (places - self.first[rows]) // width - low + 1  # each band, and the one before, that one of its diagonals is in
+            key = item * span + low
+            done, total = 0, np.cumsum(many)
+            parts = [(keys, counts)]
+            while done < len(key):
+                upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + SLICE, "right")))
+                m = many[done:upto]
+                parts.append(np.unique(np.repeat(key[done:upto] - np.cumsum(m) + m, m) + np.arange(m.sum()), return_counts=True))
+                done = upto
+            keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            counts = np.bincount(back, weights=np.concatenate([c for _, c in parts]), minlength=len(keys)).astype("i8")
+            begin = end
         ok = counts >= self.least[keys // span]
         return [(int(k // span), int(k % span)) for k in keys[ok]]
 
@@ -207,14 +237,20 @@ class Items:
                 if hit:
                     move = max(0, begin - reach)
                     best.setdefault(item, []).append((hit[2], hit[0] + move, hit[1] + move))
+        if not best:
+            return []
+        import numpy as np
+
+        heads = np.frombuffer(data, "u1") & 0xC0 != 0x80  # a character's first byte
+        chars = np.cumsum(heads, dtype="i8")
         out = []
         for item, hits in best.items():
             taken: list[tuple[int, int]] = []
             for edits, s, e in sorted(set(hits)):
-                if all(e <= a or s >= b for a, b in taken):
-                    taken.append((s, e))
-                    begin, end = len(data[: at[s]].decode()), len(data[: at[e - 1] + 1].decode(errors="ignore"))
-                    out.append((self.ids[item], begin, end, edits))
+                i = bisect.bisect(taken, (s, e))
+                if (i == 0 or taken[i - 1][1] <= s) and (i == len(taken) or e <= taken[i][0]):
+                    taken.insert(i, (s, e))
+                    out.append((self.ids[item], int(chars[at[s]]) - 1, int(chars[at[e - 1]]), edits))
         return sorted(out)
 
     def hits(self, found: list[str]) -> Iterator[int]:
