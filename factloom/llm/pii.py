@@ -1,28 +1,35 @@
 """PII surrogates: detected entities get keyed replacements of the same type, gender, script and format.
 
-Types: email, phone, card, ip, ssn, secret (tokens, keys and passwords), name (with a title, or a known first name and a surname). A
+Types: email, phone, card, ip (4 and 6), mac, iban, ssn, secret (tokens, keys and passwords), name (with a title, with a known first
+name and a surname, or two capitalised words that the text around them calls a name: "my name is", a closing formula, "said" ...). A
 replacement is a keyed permutation (a Feistel network over the entity's own characters, each within its class: digit, vowel or
 consonant of a script; case and punctuation stay). It is a bijection on entities of one format, so that distinct entities stay
 distinct and one entity is replaced alike in all documents, whatever its case or phone layout; no table of entities is needed for
-that. Cards keep their first digit and whether their Luhn sum holds, addresses keep whether they are public, private or reserved,
-first names come from a list of their gender and script, and surnames that return alone in a document are replaced there too.
-
-Collision checks run over the whole corpus: a replacement that equals any entity that was found, or another's replacement, is drawn
-anew under the next key until there is none. What most_attempts rounds leave is settled format by format: drawn on until it is free
-where the format has room for all, and else (more than half of its values are entities) each of its entities is replaced by the next
-one in a keyed order, so that they stay distinct and none is itself; only there may a replacement be another entity. So may first
-names, whose closed lists are permuted and are left out of the check. A value without letters or digits of CLASSES has one form only
-and stays. Such draws are few; they are broadcast if they are MOST_BROADCAST or fewer, else joined.
-
-Defined results: null and empty texts stay as they are; a null key column is kept; repeated rows are replaced alike; texts are read
-whole at any length; an empty table gives no rows; all further columns are kept, and n_chars, where there is one, follows the text.
+that. Cards keep their first digit and whether their Luhn sum holds, IBANs their country and a right check sum, addresses keep whether
+they are public, private or reserved, first names come from a list of their gender and script, and surnames that return alone in a
+document are replaced there too.
+
+Collision checks run over the whole corpus, on canonical forms (lower case, digits without layout), so that all spellings of an entity
+move together: a replacement that equals any entity that was found, or another's replacement, is drawn anew under the next key until
+there is none. What most_attempts rounds leave is settled format by format: drawn on until it is free where the format has room for
+all, and else (more than half of its values are entities) each of its entities is replaced by the next one in a keyed order, so that
+they stay distinct and none is itself; only there may a replacement be another entity. So may first names, whose closed lists are
+permuted and are left out of the check. A value without letters or digits of CLASSES has one form only and stays. Such draws are few;
+they are broadcast if they are MOST_BROADCAST or fewer, else joined. Tables that hold entities are deleted before anonymise returns;
+what is read later holds keyed digests.
+
+Defined results: null and empty texts stay as they are; a null key column is kept; repeated rows are replaced alike; of entities that
+overlap the first, then the longest, counts, of equal ones the type that find() looks for first; texts are read whole at any length;
+an empty table gives no rows; all further columns are kept, and n_chars, where there is one, follows the text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
+import secrets
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -55,23 +62,50 @@ TITLES = {"Mr": "m", "Sir": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "S
 # Letters by class; a letter is replaced within its class.
 CLASSES = ("0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "áàâäãåéèêëíìîïóòôöõúùûüýÿæœø", "çñß", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουωάέήίόύώ", "βγδζθκλμνξπρστφχψ")
 
+# Words that end a stretch before a name, and verbs that follow one, each with its own space or sign.
+CUES = tuple(
+    "my name is|name is|name:|named|i am|i'm|signed|signed,|signed:|sincerely,|regards,|wishes,|cheers,|thanks,|yours,|contact|contact:|attn:|attention:|dear|author:|written by|posted by|sent by|from:|to:|cc:|patient|patient:|customer:|employee:|client:"
+    "|name ist|ich heiße|heißt|grüßen|grüße|kontakt:|je m'appelle|m'appelle|s'appelle|nom est|nom:|cordialement,|contacter|me llamo|se llama|nombre es|nombre:|saludos,|atentamente,|меня зовут|зовут|имя:".split("|")
+)
+SAYS = tuple(" said| says| wrote| writes| told| asked| replied| added| explained| answered|, who | sagte| schrieb| a dit| écrit| dijo| escribió| сказал| написал".split("|"))
+# Words that open a sentence and no name.
+OPENERS = frozenset("The Then Later But And So When After Before In On At As Yet Now Today Yesterday Once Here There Also Der Die Das Und Aber Dann Le La Les Et Mais Puis El Los Las Pero Luego".split())
+# Country codes of two digits; 1 and 7 have one, all others three.
+TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
 U, L = "A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΩА-ЯЁ", "a-zß-öø-ÿά-ώα-ωа-яё"
 EMAIL = re.compile(r"(?<![\w.+-])[\w+-][\w.+-]*@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}(?![\w-])")
 IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|\d?\d)(?!\w|\.\d)")
+IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)")
+MAC = re.compile(r"(?<![\w:-])[0-9A-Fa-f]{2}([:-])(?:[0-9A-Fa-f]{2}\1){4}[0-9A-Fa-f]{2}(?![\w:-])")
+IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 PHONE = re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]\d{3,4}(?![\w-]|\.\d)")
 PLUS = re.compile(r"(?<![\w+])\+\d(?:[ .()-]{0,2}\d){6,14}(?!\w)")
-TEN = re.compile(r"(?<![\w.+-])1?[2-9]\d\d[2-9]\d{6}(?![\w-]|\.\d)")
+TEN = re.compile(r"(?<![\w.+-])1?[2-9]\d{9}(?![\w-]|\.\d)")
+SEVEN = re.compile(r"(?<![\w.+-])555-\d{4}(?![\w-]|\.\d)|(?i:(?<!\w)(?:call|phone|tel|telephone|dial|ring|mobile|cell|fax)(?: at| on| me at| us at|\.|:)? )([2-9]\d\d-\d{4})(?![\w-]|\.\d)")
 CARD = re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w-])")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 SECRET = re.compile(r"(?i)(?:token|secret|passwd|password|passphrase|api[_-]?key|access[_-]?key|private[_-]?key|auth)[\"']?[ \t]*[:=][ \t]*[\"']?([A-Za-z0-9+/_.~=-]{8,})")
 BARE = re.compile(r"(?<!\w)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)")
-NAME = re.compile(rf"(?<!\w)[{U}][{L}]+\.?(?: [{U}][{L}]+(?:-[{U}][{L}]+)?){{1,3}}")
-MAY_HOLD = re.compile(r"[0-9@]")
+NAME = re.compile(rf"(?<!\w)[{U}][{L}]+\.?(?: (?:(?:Mr|Mrs|Ms|Dr|Prof|Sr|Sra|Mme)\. )?[{U}][{L}]+(?:-[{U}][{L}]+)?){{1,3}}")
+WORDS = re.compile(rf"(?<!\w)[{U}][{L}]+(?!\w)")
+MAY_HOLD = re.compile(r"[0-9@]|::")
 
 _TYPES = [(c, i) for i, alphabet in enumerate(CLASSES) for c in alphabet]
 _CLASS = {c: i for c, i in _TYPES}
 _PLACE = {c: alphabet.index(c) for alphabet in CLASSES for c in alphabet}
 _FIRST = {n: k for k, names in FIRST.items() for n in names}
+_OPENING = frozenset(c for c in CUES if c.isalpha())
+
+
+def session_key(spark) -> str:
+    """The key of the surrogates: the session's setting factloom.pii.key; where it is unset, one is drawn at random for the session. Whoever
+    has the key can undo the replacements, so a run that others are to agree with has to name a secret one."""
+    key = spark.conf.get("factloom.pii.key", None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set("factloom.pii.key", key)
+    return key
 
 
 def luhn(digits: str) -> bool:
@@ -133,6 +167,52 @@ def _digits(value: str, new: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in value)
 
 
+def _lead(phone: str) -> int:
+    """Digits of a phone's country code, whatever its layout; none without a plus."""
+    digits = "".join(c for c in phone if c.isdigit())
+    return 0 if phone[0] != "+" else 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGITS else 3
+
+
+def _low(text: str) -> str:
+    """Lower case, character by character."""
+    return "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def _check_digits(country: str, rest: str) -> str:
+    """The two check digits of an IBAN."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02}"
+
+
+def canonical(kind: str, value: str) -> str:
+    """What all spellings of an entity have in common: the case of letters doesn't count but in secrets, nor do the layouts of numbers."""
+    if kind in ("phone", "card"):
+        return ("+" if value[0] == "+" else "") + "".join(c for c in value if c.isdigit())
+    if kind == "iban":
+        return value.replace(" ", "")
+    if kind == "ip6":
+        return ipaddress.IPv6Address(value).exploded
+    if kind == "mac":
+        return value.lower().replace("-", ":")
+    return value if kind in ("secret", "first") else _low(value)
+
+
+def like(kind: str, value: str, drawn: str) -> str:
+    """A canonical surrogate in the spelling of the value."""
+    if kind in ("phone", "card"):
+        return _digits(value, drawn.lstrip("+"))
+    if kind == "iban":
+        it = iter(drawn)
+        return "".join(" " if c == " " else next(it) for c in value)
+    if kind == "ip6":
+        new = str(ipaddress.IPv6Address(drawn)) if "::" in value else ":".join(f"{int(x, 16):x}" for x in drawn.split(":"))
+        new = drawn if len(value) == 39 else new
+        return new.upper() if value.upper() == value and value.lower() != value else new
+    if kind == "mac":
+        drawn = drawn.replace(":", value[2])
+        return drawn.upper() if value.upper() == value else drawn
+    return drawn if kind in ("secret", "first") else "".join(c.upper() if v != _low(v) and len(c.upper()) == 1 else c for v, c in zip(value, drawn))
+
+
 def _band(address: int) -> str:
     a, b = address >> 24, address >> 16 & 255
     if a == 10 or a == 172 and 16 <= b < 32 or a == 192 and b == 168:
@@ -163,8 +243,7 @@ def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
         return shaped(local, own, f"local@{head.lower()}.{'.'.join(kept).lower()}") + "@" + domain
     if kind == "phone":
         digits = "".join(c for c in value if c.isdigit())
-        code = re.match(r"\+(\d{1,3})[ .(-]", value)
-        lead = len(code[1]) if code else 1 if value[0] == "+" else 0
+        lead = _lead(value)
         new = permuted([int(c) for c in digits[lead:]], [10] * (len(digits) - lead), own, f"phone{digits[:lead]}")
         return _digits(value, digits[:lead] + "".join(map(str, new)))
     if kind == "card":
@@ -191,6 +270,16 @@ def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
         fixed = re.match(r"AKIA|gh[pousr]_|sk-|xox[abprs]-", value)
         head = fixed[0] if fixed else ""
         return head + shaped(value[len(head) :], own, f"secret{head}", ("0123456789abcdef",) if hexed else ("0123456789", "abcdefghijklmnopqrstuvwxyz"))
+    if kind == "iban":
+        at = canonical(kind, value)
+        rest = shaped(at[4:], own, f"iban{at[:2]}", ("0123456789", "abcdefghijklmnopqrstuvwxyz"))
+        return like(kind, value, at[:2] + _check_digits(at[:2], rest) + rest)
+    if kind == "ip6":  # the first group tells what the address is for
+        at = canonical(kind, value)
+        return like(kind, value, at[:5] + shaped(at[5:], own, f"ip6{at[:5]}", ("0123456789abcdef",)))
+    if kind == "mac":  # so does the first octet
+        at = canonical(kind, value)
+        return like(kind, value, at[:3] + shaped(at[3:], own, f"mac{at[:3]}", ("0123456789abcdef",)))
     if kind == "first":
         return first_name(value, own) if value in _FIRST else shaped(value, own, "first")
     if kind == "surname":
@@ -201,7 +290,7 @@ def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
 
 
 def form(kind: str, value: str) -> tuple[str, int]:
-    """The format that an entity's surrogates share with it, and how many values it has."""
+    """The format that the surrogates of an entity (in its canonical form) share with it, and how many values it has."""
 
     def shape(text: str, alphabets: tuple[str, ...] = CLASSES):
         of, signs, n = {c: i for i, a in enumerate(alphabets) for c in a}, [], 1
@@ -222,8 +311,7 @@ def form(kind: str, value: str) -> tuple[str, int]:
         return f"{a}@{b}|{'.'.join(kept)}", n * m
     digits = "".join(c for c in value if c.isdigit())
     if kind == "phone":
-        code = re.match(r"\+(\d{1,3})[ .(-]", value)
-        lead = len(code[1]) if code else 1 if value[0] == "+" else 0
+        lead = _lead(value)
         return f"{digits[:lead]}|{_digits(value, '0' * len(digits))}", 10 ** (len(digits) - lead)
     if kind == "card":
         holds = luhn(digits)
@@ -238,6 +326,10 @@ def form(kind: str, value: str) -> tuple[str, int]:
         head = fixed[0] if fixed else ""
         own, n = shape(value[len(head) :], ("0123456789abcdef",) if hexed else ("0123456789", "abcdefghijklmnopqrstuvwxyz"))
         return f"{head}|{bool(hexed)}|{own}", n
+    if kind in ("iban", "ip6", "mac"):
+        lead = {"iban": 4, "ip6": 5, "mac": 3}[kind]
+        own, n = shape(value[lead:], ("0123456789", "abcdefghijklmnopqrstuvwxyz") if kind == "iban" else ("0123456789abcdef",))
+        return f"{value[: 2 if kind == 'iban' else lead]}|{own}", n
     if kind == "surname":
         kept = 2 if len(value) > 4 and value[-1].lower() in "".join(CLASSES[5:]) else 0
         own, n = shape(value[: len(value) - kept])
@@ -245,33 +337,66 @@ def form(kind: str, value: str) -> tuple[str, int]:
     return shape(value)
 
 
+def _told(text: str, start: int, end: int) -> bool:
+    """Whether the words around a run of capitalised words say that it is a name."""
+    before = (" " + text[max(0, start - 24) : start]).lower().rstrip()
+    for cue in CUES:
+        if before.endswith(cue) and not before[-len(cue) - 1 : -len(cue)].isalnum():
+            return True
+    return text.startswith(SAYS, end)
+
+
 def _names(text: str):
     """(start, end, kind, value) of first names and surnames."""
     surnames: set[str] = set()
     for m in NAME.finditer(text):
         words, at = m[0].split(" "), m.start()
         title = words[0].rstrip(".") in TITLES
+        told = False
         if words[0].endswith(".") and not title:
             continue  # the end of a sentence
         if not title and words[0] not in _FIRST:
-            i = next((i for i, w in enumerate(words) if (w in _FIRST and i + 1 < len(words)) or w in TITLES), None)
-            if not i:
-                continue
-            at += sum(len(w) + 1 for w in words[:i])
-            words = words[i:]
-            title = words[0] in TITLES
+            i = next((i for i, w in enumerate(words) if (w in _FIRST and i + 1 < len(words)) or w.rstrip(".") in TITLES), None)
+            if i:
+                at += sum(len(w) + 1 for w in words[:i])
+                words = words[i:]
+                title = words[0].rstrip(".") in TITLES
+            else:
+                told = _told(text, at, m.end())
+                if not told and words[0].lower() in _OPENING and len(words) > 2:  # "Contact Aisha Khan", "Dear Aisha Khan"
+                    at, words, told = at + len(words[0]) + 1, words[1:], True
+                if told and words[0] in OPENERS:
+                    at, words = at + len(words[0]) + 1, words[1:]
+                if not told or words[-1] in surnames:  # a surname alone, which is found below
+                    continue
         if title:
             at += len(words[0]) + 1
             words = words[1:]
         for n, w in enumerate(words[:3]):
-            first = w in _FIRST and (len(words) > 1 or not title) and n < max(1, len(words) - 1)
+            first = n < max(1, len(words) - 1) and (told or w in _FIRST and (len(words) > 1 or not title))
             if not first:
                 surnames.add(w)
             yield at, at + len(w), "first" if first else "surname", w
             at += len(w) + 1
-    for name in surnames:  # the same surname alone, elsewhere in the text
-        for m in re.finditer(rf"(?<!\w){re.escape(name)}(?!\w)", text):
-            yield m.start(), m.end(), "surname", name
+    if surnames:  # the same surname alone, elsewhere in the text
+        for m in WORDS.finditer(text):
+            if m[0] in surnames:
+                yield m.start(), m.end(), "surname", m[0]
+
+
+def _is_ip6(text: str) -> bool:
+    """Whether it is an address that says more than that there is none (::) and can't be a time of day."""
+    if len(text) < 6 or not ("::" in text or text.count(":") == 7):
+        return False
+    try:
+        return int(ipaddress.IPv6Address(text)) > 0xFFFF
+    except ValueError:
+        return False
+
+
+def _is_iban(text: str) -> bool:
+    at = text.replace(" ", "")
+    return 15 <= len(at) <= 34 and _check_digits(at[:2], at[4:]) == at[2:4]
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
@@ -282,16 +407,20 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         if "@" in text:
             found += [(*m.span(), "email", m[0]) for m in EMAIL.finditer(text)]
         found += [(*m.span(), "ip", m[0]) for m in IP.finditer(text)]
+        if ":" in text or "-" in text:
+            found += [(*m.span(), "mac", m[0]) for m in MAC.finditer(text)]
+            found += [(*m.span(), "ip6", m[0]) for m in IP6.finditer(text) if _is_ip6(m[0])]
+        found += [(*m.span(), "iban", m[0]) for m in IBAN.finditer(text) if _is_iban(m[0])]
         found += [(*m.span(), "ssn", m[0]) for m in SSN.finditer(text)]
         for m in CARD.finditer(text):
-            digits = "".join(c for c in m[0] if c.isdigit())
-            if luhn(digits) or len(digits) == 16:
+            if luhn("".join(c for c in m[0] if c.isdigit())):  # any other long number is not a card's
                 found.append((*m.span(), "card", m[0]))
         phones = [(*m.span(), "phone", m[0]) for m in PHONE.finditer(text)]
         fixed = {start for start, _, _, v in phones if "(" in v or v[:2] in ("+1", "+7")}  # plans whose numbers end where these do
         found += phones
         found += [(*m.span(), "phone", m[0]) for m in PLUS.finditer(text) if m.start() not in fixed]
         found += [(*m.span(), "phone", m[0]) for m in TEN.finditer(text)]
+        found += [(*m.span(m.lastindex or 0), "phone", m[m.lastindex or 0]) for m in SEVEN.finditer(text)]
     found += _names(text)
     found.sort(key=lambda x: (x[0], -x[1]))
     out: list[tuple[int, int, str, str]] = []
@@ -301,12 +430,18 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def digest(key: str, kind: str, value: str) -> bytes:
+    """A keyed digest that stands for an entity where tables outlive their step."""
+    return hmac.new(key.encode(), f"{kind}|{value}".encode(), hashlib.sha256).digest()[:16]
+
+
 def replace(text: str, key: str, again: dict | None = None) -> tuple[str, list[tuple[int, int, str]]]:
-    """The text with surrogates, and (start, end, kind) of each in it. again: {(kind, value): surrogate} of those drawn anew."""
+    """The text with surrogates, and (start, end, kind) of each in it. again: {digest of an entity: (attempt, drawn)} of those that are
+    drawn anew; drawn, in canonical form, counts where the attempt is -1."""
     pieces, spans, at, length = [], [], 0, 0
     for start, end, kind, value in find(text):
-        new = again.get((kind, value)) if again else None
-        new = surrogate(kind, value, key) if new is None else new
+        attempt, drawn = again.get(digest(key, kind, canonical(kind, value)), (0, None)) if again else (0, None)
+        new = like(kind, value, drawn) if attempt < 0 else surrogate(kind, value, key, attempt)
         pieces += [text[at:start], new]
         length += start - at
         spans.append((length, length + len(new), kind))
@@ -316,7 +451,7 @@ def replace(text: str, key: str, again: dict | None = None) -> tuple[str, list[t
 
 
 def entities(documents: DataFrame) -> DataFrame:
-    """(doc_id, kind, value) of every entity that is found in documents (doc_id, text). Narrow."""
+    """(doc_id, kind, value) of every entity that is found in documents (doc_id, text), in canonical form. Narrow."""
     import pyarrow as pa
 
     short_batches(documents.sparkSession)
@@ -324,14 +459,15 @@ def entities(documents: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield from batches_of(((k, kind, value) for k, t in zip(batch.column(0).to_pylist(), texts(batch, "text")) for _, _, kind, value in find(t)), out)
+            yield from batches_of(((k, kind, canonical(kind, value)) for k, t in zip(batch.column(0).to_pylist(), texts(batch, "text")) for _, _, kind, value in find(t)), out)
 
     return documents.select(documents["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, kind string, value string")
 
 
 def collisions(found: DataFrame, key: str, most_attempts: int = 20) -> DataFrame:
-    """(kind, value, attempt, drawn) of the distinct entities (kind, value) whose first draw collides with an entity or another's draw;
-    drawn is what replaces them, attempt is -1 in formats that have no room for all. First names are left out: their lists are permuted."""
+    """(kind, value, attempt, drawn) of the distinct entities (kind, value), in canonical form, whose first draw collides with an entity or
+    another's draw; drawn is what replaces them, attempt is -1 in formats that have no room for all. First names of the lists are left
+    out: those are permuted. The table holds entities: its reader discards it."""
     import pyarrow as pa
 
     out = pa.schema([("kind", pa.string()), ("value", pa.string()), ("attempt", pa.int32()), ("drawn", pa.string())])
@@ -340,7 +476,7 @@ def collisions(found: DataFrame, key: str, most_attempts: int = 20) -> DataFrame
     def run(batches):
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("kind", "value", "attempt")))
-            yield from batches_of(((k, v, a, surrogate(k, v, key, a)) for k, v, a in rows), out)
+            yield from batches_of(((k, v, a, canonical(k, surrogate(k, v, key, a))) for k, v, a in rows), out)
 
     own = found.where((F.col("kind") != "first") | ~F.col("value").isin(list(_FIRST))).select("kind", "value").distinct()
     now = written(own.withColumn("attempt", F.lit(0)).mapInArrow(run, kinds), "drawn")
@@ -355,7 +491,7 @@ def collisions(found: DataFrame, key: str, most_attempts: int = 20) -> DataFrame
             discard(bad)
             break
         if attempt == most_attempts:
-            after = written(_settled(now, bad, key), "drawn")
+            after = _settled(now, bad, key)
         else:
             moved = now.join(bad, ["kind", "value"]).withColumn("attempt", F.col("attempt") + 1).select("kind", "value", "attempt").mapInArrow(run, kinds)
             after = written(now.join(bad, ["kind", "value"], "left_anti").unionByName(moved), "drawn")
@@ -364,8 +500,11 @@ def collisions(found: DataFrame, key: str, most_attempts: int = 20) -> DataFrame
     else:
         free = now.where("attempt >= 0").join(now.select(F.col("value").alias("drawn"), "kind").distinct(), ["kind", "drawn"], "left_semi")
         if not free.isEmpty() or not now.groupBy("kind", "drawn").count().where("count > 1").isEmpty():
+            discard(now)
             raise RuntimeError("collisions: surrogates that are not distinct")
-    return now.where("attempt <> 0").select("kind", "value", "attempt", "drawn")
+    out_rows = written(now.where("attempt <> 0"), "collisions")
+    discard(now)
+    return out_rows
 
 
 def _settled(now: DataFrame, bad: DataFrame, key: str) -> DataFrame:
@@ -393,7 +532,7 @@ def _settled(now: DataFrame, bad: DataFrame, key: str) -> DataFrame:
             for v, a, d, open_ in rows:
                 while open_ and d in used:
                     a += 1
-                    d = surrogate(kind, v, key, a)
+                    d = canonical(kind, surrogate(kind, v, key, a))
                 used.add(d)
                 done.append((kind, v, a, d))
         return pa.Table.from_batches(list(batches_of(iter(done), out)), schema=out)
@@ -402,7 +541,9 @@ def _settled(now: DataFrame, bad: DataFrame, key: str) -> DataFrame:
     marked = written(marked.mapInArrow(forms, f"{kinds}, open boolean, form string"), "forms")
     crowded = marked.where("open").select("kind", "form").distinct()
     rest = marked.join(crowded, ["kind", "form"], "left_anti").select(*out.names)
-    return marked.join(crowded, ["kind", "form"], "left_semi").groupBy("kind", "form").applyInArrow(settle, kinds).unionByName(rest)
+    after = written(marked.join(crowded, ["kind", "form"], "left_semi").groupBy("kind", "form").applyInArrow(settle, kinds).unionByName(rest), "drawn")
+    discard(marked)
+    return after
 
 
 def anonymise(documents: DataFrame, key: str, spans: bool = False) -> DataFrame:
@@ -415,28 +556,36 @@ def anonymise(documents: DataFrame, key: str, spans: bool = False) -> DataFrame:
     spark = documents.sparkSession
     short_batches(spark)
     found = written(entities(documents), "entities")
-    moved = written(collisions(found, key), "collisions")
+    moved = collisions(found, key)
     n = moved.count()
     schema = StructType(list(documents.schema.fields))
     where, often = spare(documents, "entities"), spare(documents, "_again")
     if spans:
         schema = schema.add(where, ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()).add("kind", StringType())))
     out = to_arrow_schema(schema)
-    again = {(r["kind"], r["value"]): r["drawn"] for r in moved.collect()} if 0 < n <= MOST_BROADCAST else {}
+    again = {digest(key, r["kind"], r["value"]): (r["attempt"], r["drawn"]) for r in moved.collect()} if 0 < n <= MOST_BROADCAST else {}
     shared = spark.sparkContext.broadcast(again)
     source = documents
     if n > MOST_BROADCAST:
-        own = found.join(moved, ["kind", "value"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "value", "drawn")).alias(often))
-        own = own.withColumnRenamed("doc_id", of := spare(documents, "_of"))
-        source = documents.join(own, documents["doc_id"].eqNullSafe(own[of]), "left").drop(of)
-    else:
-        discard(found, moved)
+        # What stays until the texts are read holds digests, not entities.
+        of = spare(documents, "_of")
+        named = pa.schema([(of, pa.int64()), ("digest", pa.binary()), ("attempt", pa.int32()), ("drawn", pa.string())])
+
+        def digests(batches):
+            for batch in batches:
+                rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "kind", "value", "attempt", "drawn")))
+                yield from batches_of(((i, digest(key, k, v), a, d) for i, k, v, a, d in rows), named)
+
+        met = found.join(moved, ["kind", "value"]).select("doc_id", "kind", "value", "attempt", "drawn").distinct()
+        own = written(met.mapInArrow(digests, f"{of} long, digest binary, attempt int, drawn string").groupBy(of).agg(F.collect_list(F.struct("digest", "attempt", "drawn")).alias(often)), "again")
+        source = documents.join(own, documents["doc_id"].cast("long").eqNullSafe(own[of]), "left").drop(of)
+    discard(found, moved)
 
     def run(batches):
         for batch in batches:
             rows = batch.column("text").to_pylist()
             many = batch.column(often).to_pylist() if often in batch.schema.names else [None] * len(rows)
-            done = [(t, []) if not t else replace(t, key, {(x["kind"], x["value"]): x["drawn"] for x in m} if m else shared.value) for t, m in zip(rows, many)]
+            done = [(t, []) if not t else replace(t, key, {bytes(x["digest"]): (x["attempt"], x["drawn"]) for x in m} if m else shared.value) for t, m in zip(rows, many)]
             columns = []
             for f in out:
                 if f.name == "text":

@@ -9,9 +9,6 @@ from factloom.sources.store import spread
 
 from .common import table
 
-#: The key of the surrogates in the queries; a real run takes its own.
-PII_KEY = "factloom"
-
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import chat
@@ -72,7 +69,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
-    out = pii.anonymise(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), PII_KEY, spans=True)
+    out = pii.anonymise(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), pii.session_key(spark), spans=True)
     return out.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), F.to_json("entities").alias("entities"))
 
 
