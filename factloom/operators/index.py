@@ -1,4 +1,8 @@
-"""The claim index: keywords, document frequencies, utility, postings; and retrieval over it."""
+"""The claim index: keywords, document frequencies, utility, postings; and retrieval over it.
+
+build() writes the index once: claims with their utility, postings of keywords and of words, each in order of its term, document
+frequencies and one row of statistics. A question reads only the postings of its own terms: the filter on the term reaches the Parquet
+scan, whose row groups hold ranges of terms; a term with very many claims is spread over many files."""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
+from factloom.sources import store
 
 K1, B = 1.2, 0.75
 
@@ -49,14 +54,31 @@ def question_keywords(spark, question: str) -> list[str]:
     return sorted(r["keyword"] for r in one.collect())
 
 
-def keyword_scores(claims: DataFrame, question: str, most: int, rows: DataFrame | None = None) -> DataFrame:
-    """(claim_id, kw): the sum of the weights of the matched keywords over eight, 1 at most; the best `most` claims.
-
-    Only the question's keywords go on; document frequencies are counts over these. rows: stored keyword rows, if there are any.
-    """
-    asked = question_keywords(claims.sparkSession, question)
-    found = (keyword_rows(claims.select("claim_id", "text")) if rows is None else rows).where(F.col("keyword").isin(asked))
-    scores = postings(found, idf(found, claims)).groupBy("claim_id").agg(F.sum("weight").alias("s"))
+def build(path: str, claims: DataFrame, feedback: DataFrame) -> None:
+    """Write the index of claims (claim_id, source, text, status) under path; counters of feedback (claim_id, hits, helpful, unhelpful)
+    survive the rebuild. Keyword rows are worked out once and read from then on."""
+    at = store.new_version(path)
+    kws = store.put(at, "keywords", keyword_rows(claims.select("claim_id", "text")))
+    idfs = store.put(at, "idf", idf(kws, claims))
+    store.put(at, "postings", postings(kws, idfs).repartitionByRange("keyword", "claim_id").sortWithinPartitions("keyword", "claim_id"))
+    # The full text of a claim is its words and its keywords, as two columns of one document.
+    own = kws.groupBy("claim_id").agg(F.collect_list("keyword").alias("kws"))
+    words = F.concat(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != ""), F.coalesce("kws", F.array().cast("array<string>")))
+    rows = claims.select("claim_id", "text").join(own, "claim_id", "left").select("claim_id", words.alias("words")).withColumn("dl", F.size("words"))
+    counted = rows.select("claim_id", "dl", F.explode("words").alias("word")).groupBy("claim_id", "dl", "word").agg(F.count("*").alias("tf"))
+    terms = store.put(at, "terms", counted.repartitionByRange("word", "claim_id").sortWithinPartitions("word", "claim_id"))
+    n = claims.agg(F.count("*").alias("n"))
+    store.put(at, "stats", terms.agg(F.sum("tf").alias("words")).join(F.broadcast(n)).select("n", (F.coalesce("words", F.lit(0)) / F.greatest("n", F.lit(1))).alias("avgdl")))
+    store.put(at, "claims", indexed(claims, kws, idfs, feedback))
+    store.put(at, "memos", claims.select("source").distinct())
+    store.publish(claims.sparkSession, path, at, ["claims", "keywords", "idf", "postings", "terms", "stats", "memos"])
+
+
+def keyword_scores(index: dict[str, DataFrame], question: str, most: int) -> DataFrame:
+    """(claim_id, kw): the sum of the weights of the matched keywords over eight, 1 at most; the best `most` claims."""
+    posts = index["postings"]
+    found = posts.where(F.col("keyword").isin(question_keywords(posts.sparkSession, question)))
+    scores = found.groupBy("claim_id").agg(F.sum("weight").alias("s"))
     return scores.orderBy(F.desc("s"), "claim_id").limit(most).select("claim_id", F.least(F.lit(1.0), F.col("s") / 8).alias("kw"))
 
 
@@ -76,50 +98,80 @@ def term_stems(spark, question: str) -> list[str]:
     return sorted(r["t"] for r in one.collect())
 
 
-def bm25(claims: DataFrame, question: str, text: str = "text") -> DataFrame:
-    """(claim_id, bm25) of claims with any of the question's terms; a term matches the words that its stem begins.
-
-    Term frequencies are counted within a row; the corpus gives one row of document counts and the mean length.
-    """
-    terms = term_stems(claims.sparkSession, question)
-    low = F.lower(F.col(text))
-    counted = [F.regexp_count(low, F.lit(f"(?<![a-z0-9]){t}")).alias(f"tf{i}") for i, t in enumerate(terms)]
-    rows = claims.select("claim_id", F.regexp_count(low, F.lit("[a-z0-9]+")).alias("dl"), *counted)
-    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
-    score, some = F.lit(0.0), F.lit(False)
+def bm25(index: dict[str, DataFrame], question: str) -> DataFrame:
+    """(claim_id, bm25) of claims with any of the question's terms; a term matches the words that its stem begins."""
+    posts = index["terms"]
+    terms = term_stems(posts.sparkSession, question)
+    starts = [F.col("word").startswith(t) for t in terms]
+    some = F.lit(False)
+    for s in starts:
+        some = some | s
+    rows = posts.where(some).groupBy("claim_id").agg(F.max("dl").alias("dl"), *(F.sum(F.when(s, F.col("tf")).otherwise(0)).alias(f"tf{i}") for i, s in enumerate(starts)))
+    dfs = rows.agg(F.count("*").alias("_"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).join(F.broadcast(index["stats"]))
+    score = F.lit(0.0)
     for i in range(len(terms)):
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
         weight = F.greatest(F.lit(1e-6), F.log((F.col("n") - df + 0.5) / (df + 0.5)))
         score = score + weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        some = some | (tf > 0)
-    return rows.where(some).join(F.broadcast(stats)).select("claim_id", score.alias("bm25"))
+    return rows.join(F.broadcast(dfs)).select("claim_id", score.alias("bm25"))
 
 
-def full_text(claims: DataFrame, question: str, most: int) -> DataFrame:
+def full_text(index: dict[str, DataFrame], question: str, most: int) -> DataFrame:
     """(claim_id, fts): BM25 of the best `most` claims, moved to 0.35 + 0.65 of the best."""
-    top = bm25(claims, question).orderBy(F.desc(F.round("bm25", 9)), "claim_id").limit(most)
+    top = bm25(index, question).orderBy(F.desc(F.round("bm25", 9)), "claim_id").limit(most)
     best = top.agg(F.max("bm25").alias("best"))
     return top.join(F.broadcast(best)).select("claim_id", (0.35 + 0.65 * F.col("bm25") / F.col("best")).alias("fts"))
 
 
-def candidates(claims: DataFrame, question: str, limit: int, rows: DataFrame | None = None) -> DataFrame:
+def candidates(index: dict[str, DataFrame], question: str, limit: int) -> DataFrame:
     """(claim_id, fts, kw): the full outer join of both branches, missing scores 0."""
     most = 8 * limit
-    both = full_text(claims, question, most).join(keyword_scores(claims, question, most, rows), "claim_id", "full")
+    both = full_text(index, question, most).join(keyword_scores(index, question, most), "claim_id", "full")
     return both.select("claim_id", F.coalesce("fts", F.lit(0.0)).alias("fts"), F.coalesce("kw", F.lit(0.0)).alias("kw"))
 
 
-def search(claims: DataFrame, rows: DataFrame, question: str, limit: int = 8, floor: float = 0.15, include_unproven: bool = False, keywords: DataFrame | None = None) -> DataFrame:
+def search(index: dict[str, DataFrame], question: str, limit: int = 8, floor: float = 0.15, include_unproven: bool = False) -> DataFrame:
     """The best claims for a question, trusted ones only: (claim_id, source, status, utility, relevance, score).
 
-    rows: the indexed claims; keywords: their stored keyword rows, if there are any. The candidate cut comes before the gate, as two nested limits keep it.
+    The candidate cut comes before the gate, as two nested limits keep it.
     """
     rel = 0.6 * F.greatest("fts", "kw") + 0.4 * F.least("fts", "kw")
-    found = candidates(claims, question, limit, keywords).join(rows, "claim_id").where(tx.status_allowed("status", include_unproven) & (F.col("utility") >= floor))
+    found = candidates(index, question, limit).join(index["claims"], "claim_id").where(tx.status_allowed("status", include_unproven) & (F.col("utility") >= floor))
     out = found.select("claim_id", "source", "status", "utility", F.round(rel, 3).alias("relevance"), F.round((0.25 + 0.75 * rel) * (0.5 + 0.5 * F.col("utility")), 4).alias("score"))
     return out.orderBy(F.desc("score"), F.desc("utility"), "source", F.concat(F.lit("C"), F.col("claim_id").cast("string"))).limit(limit)
 
 
+def shown(feedback: DataFrame, found: DataFrame) -> DataFrame:
+    """The counters (claim_id, hits, helpful, unhelpful) after a query has shown the claims `found`: one hit more for each."""
+    hits = found.select("claim_id", F.lit(1).cast("long").alias("hits"), F.lit(0).cast("long").alias("helpful"), F.lit(0).cast("long").alias("unhelpful"))
+    return feedback.select("claim_id", "hits", "helpful", "unhelpful").unionByName(hits).groupBy("claim_id").agg(*(F.sum(c).alias(c) for c in ("hits", "helpful", "unhelpful")))
+
+
+def best_by_keywords(index: dict[str, DataFrame], questions: DataFrame, most: int) -> DataFrame:
+    """(question_id, claim_id): for each of many questions (claim_id, text) the `most` claims with the largest sum of matched weights, ties
+    by claim_id. Questions and postings meet on the keyword."""
+    asked = keyword_rows(questions).select(F.col("claim_id").alias("question_id"), "keyword")
+    scores = index["postings"].join(asked, "keyword").groupBy("question_id", "claim_id").agg(F.round(F.sum("weight"), 6).alias("s"))
+    from pyspark.sql import Window
+
+    ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("s"), "claim_id")))
+    return ranked.where(F.col("rank") <= most).select("question_id", "claim_id")  # Spark cuts each task's groups to `most` before the shuffle
+
+
+def contained(claims: DataFrame, items: DataFrame) -> DataFrame:
+    """(claim_id, item_id) of the claims (claim_id, text) whose lower-case text contains an item's (item_id, expect), items of five words or
+    more. Three words inside the item stand whole, and together, in whatever contains it: they are the key on which both sides meet, and
+    what meets is compared as a whole."""
+    words = lambda c: F.split(c, " ")
+    key = lambda w, i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2))
+    asked = items.select("item_id", F.lower("expect").alias("expect")).withColumn("w", words(F.col("expect"))).where(F.size("w") >= 5).select("item_id", "expect", key(F.col("w"), F.lit(2)).alias("key"))
+    rows = claims.select("claim_id", F.lower("text").alias("low")).withColumn("w", words(F.col("low")))
+    grams = F.when(F.size("w") >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: key(F.col("w"), i)))).otherwise(F.array().cast("array<bigint>"))
+    met = rows.select("claim_id", F.explode(grams).alias("key")).join(asked.select("item_id", "key"), "key").select("claim_id", "item_id").distinct()
+    whole = met.join(asked.select("item_id", "expect"), "item_id").join(rows.select("claim_id", "low"), "claim_id")
+    return whole.where(F.col("low").contains(F.col("expect"))).select("claim_id", "item_id")
+
+
 def like_search(claims: DataFrame, phrase: str, text: str = "claim") -> DataFrame:
     """The fallback without an index: claims that contain the phrase."""
     return claims.where(F.lower(F.col(text)).contains(phrase.lower()))

@@ -17,6 +17,10 @@ QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
 
+#: Where the index of a session's sources is.
+_BUILT: dict[tuple, str] = {}
+
+
 class Tables:
     """The given tables and the relations that stand for the engine's own inputs."""
 
@@ -48,26 +52,34 @@ class Tables:
         return index.keyword_rows(self.claims.select("claim_id", "text"))
 
     @cached_property
+    def index(self) -> dict[str, DataFrame]:
+        """The stored index of the claims, built when it is first asked for and again when its sources have changed."""
+        sources = [f"{self.sf_dir}/{n}.parquet" for n in ("documents", "labels", "events")]
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, store.fingerprint(self.spark, sources))
+        path = _BUILT.get(key)
+        if path is None or store.state(self.spark, path) not in ("ok", "empty"):
+            _BUILT[key] = path = store.scratch(self.spark, "index")
+            index.build(path, self.claims, self.feedback)
+        return store.read_index(self.spark, path)
+
+    @property
     def stored(self) -> DataFrame:
-        """The keyword rows as the index stores them: written once, for what reads them several times."""
-        path = store.scratch(self.spark, "keywords")
-        self.keywords.write.parquet(path)
-        return self.spark.read.parquet(path)
+        """The keyword rows as the index stores them."""
+        return self.index["keywords"]
 
-    @cached_property
+    @property
     def idf(self) -> DataFrame:
-        return index.idf(self.stored, self.claims)
+        return self.index["idf"]
 
-    @cached_property
+    @property
     def indexed(self) -> DataFrame:
         """Claims with specificity, mean idf, feedback and utility."""
-        return index.indexed(self.claims, self.stored, self.idf, self.feedback)
+        return self.index["claims"]
 
     @cached_property
     def short(self) -> DataFrame:
-        """One-sentence claims: the first line of each document; a question holds fifty of them."""
-        claim = F.substring_index("text", "\n", 1)
-        return self("documents").select("doc_id", F.floor(F.col("doc_id") / 50).cast("long").alias("question_id"), claim.alias("claim"))
+        """Documents as the claims that answer a question; a source stands for a question."""
+        return self("documents").select("doc_id", F.col("source").alias("question_id"), F.col("text").alias("claim"))
 
     @cached_property
     def reviews(self) -> DataFrame:
@@ -142,7 +154,7 @@ RELATIONS = {
     "keywords": "",
     "idf": """select keyword, df, ln((n + 1) / (df + 1)) / ln(n + 1) idf from (select keyword, count(distinct claim_id) df from keywords group by 1), (select greatest(1, count(*)) n from claims)""",
     "indexed": "",
-    "short": "select doc_id, cast(floor(doc_id / 50) as bigint) question_id, string_split(text, chr(10))[1] claim from documents",
+    "short": "select doc_id, source question_id, text claim from documents",
     "reviews": """select event_id % 200 claim_id, 'p' || (user_id % 6) panelist, k % 2 + 1 round, event_id seq,
   case when event_type in ('purchase', 'click') then 'support' when event_type = 'error' then 'refute' else 'uncertain' end verdict, least(1.0, value / 500) confidence, k % 10 <> 0 discharged, k
   from (select *, cast(regexp_extract(props, '([0-9]+)', 1) as integer) k from events)""",
