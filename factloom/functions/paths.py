@@ -57,6 +57,28 @@ def route(rows: DataFrame, models: dict[str, str], fallback: str | None) -> Data
     return rows.withColumn("model", out)
 
 
+def batches(rows: DataFrame) -> DataFrame:
+    """(model, rank, files, tokens): work by model, the ones that load fastest first, by the size that the model's name states."""
+    model = F.col("model")
+    rank = F.when(model.contains("7b"), 0).when(model.contains("8b"), 1).otherwise(2)
+    return rows.where(model.isNotNull()).groupBy("model").agg(F.count("*").alias("files"), F.sum("est_tokens").alias("tokens")).withColumn("rank", rank).orderBy("rank", "model")
+
+
+def lookup(c, known: dict, default) -> Column:
+    """A value of configuration by name, or the default."""
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in known.items() for x in kv)), col(c)), F.lit(default))
+
+
+def environments(rows: DataFrame, of: dict[str, str], installed: DataFrame, fallback: str) -> DataFrame:
+    """Adds env: the environment that the role has by configuration, if it is installed with a program that can be executed; else the
+    default role's, if that one is; else the fallback. installed: (env, executable)."""
+    usable = installed.where("executable").select(F.col("env").alias("_env")).distinct()
+    wanted = rows.withColumn("_want", lookup("role", of, of["default"])).withColumn("_else", F.lit(of["default"]))
+    first = wanted.join(usable, F.col("_want") == F.col("_env"), "left").withColumnRenamed("_env", "_first")
+    second = first.join(usable, F.col("_else") == F.col("_env"), "left")
+    return second.select(*rows.columns, F.coalesce("_first", "_env", F.lit(fallback)).alias("env"))
+
+
 def _pattern(glob: str) -> str:
     """Java regex of a glob, whole string, * crossing slashes."""
     return "^" + fnmatch.translate(glob).replace(r"\z", "").replace(r"\Z", "").removeprefix("(?s:").removesuffix(")") + "$"

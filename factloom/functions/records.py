@@ -71,13 +71,49 @@ def connectors(rows: DataFrame) -> DataFrame:
 
 
 def table_claims(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, claim): header=value pairs of each data row of tables that start with a header and a separator."""
+    """(doc_id, line_no, claim): header=value pairs of each data row of tables that start with a header and a separator. A header row that
+    is repeated is no data; cells beyond the header get a name by their place; rows without cells give no claim."""
     from factloom.operators.anchors import TABLE_SEPARATOR, table_cells
 
     headers = lines.where("line_no = 1").select(F.col("doc_id").alias("_doc"), table_cells("line").alias("header"))
     rows = lines.where((F.col("line_no") > 1) & ~F.col("line").rlike(TABLE_SEPARATOR)).select("doc_id", "line_no", table_cells("line").alias("cells")).join(headers, F.col("doc_id") == F.col("_doc"))
     named = F.transform("cells", lambda c, i: F.when(c != "", F.concat(F.coalesce(F.get("header", i), F.concat(F.lit("col"), (i + 1).cast("string"))), F.lit("="), c)))
-    return rows.select("doc_id", "line_no", F.array_join(F.filter(named, lambda x: x.isNotNull()), "; ").alias("claim"))
+    claim = F.array_join(F.filter(named, lambda x: x.isNotNull()), "; ")
+    return rows.where("cells <> header").select("doc_id", "line_no", claim.alias("claim")).where("claim <> ''")
+
+
+#: Bytes at the end of a transcript that are read for its last usage record.
+TAIL_BYTES = 512 * 1024
+
+
+def tail_usage(files: DataFrame, key: str, tail_bytes: int = TAIL_BYTES) -> DataFrame:
+    """(key, context_tokens, model) of transcripts (key, content): the last record with usage among the last bytes, and the last model that
+    one of those names. Where the file is longer, the line that the cut falls in is left out; files without a record give no row."""
+    cut = F.octet_length("content") > tail_bytes
+    text = F.make_valid_utf8(F.when(cut, F.substring("content", -tail_bytes, tail_bytes)).otherwise(F.col("content")).cast("string"))
+    lines = F.split(text, "\n")
+    whole = F.when(cut, F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
+    shape = "message struct<model:string,usage:struct<input_tokens:bigint,cache_creation_input_tokens:bigint,cache_read_input_tokens:bigint>>"
+    held = F.filter(F.transform(whole, lambda x: F.from_json(x, shape)["message"]), lambda m: m["usage"]["input_tokens"].isNotNull())
+    rows = files.select(key, held.alias("m")).where(F.size("m") > 0)
+    last = F.element_at("m", -1)["usage"]
+    models = F.filter(F.transform("m", lambda m: m["model"]), lambda x: x.isNotNull())
+    tokens = last["input_tokens"] + F.coalesce(last["cache_creation_input_tokens"], F.lit(0)) + F.coalesce(last["cache_read_input_tokens"], F.lit(0))
+    return rows.select(key, tokens.alias("context_tokens"), F.try_element_at(models, F.lit(-1)).alias("model"))
+
+
+def or_default(c, default) -> Column:
+    """The value, or the default where it is null or of length 0."""
+    c = col(c)
+    return F.when(c.isNull() | (F.length(c) == 0), default).otherwise(c)
+
+
+def retired(memos: DataFrame, made: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, state) of memos (key, sha) after a run that made (key, sha, n_claims) of their sources: a memo whose source has changed is
+    replaced if the run gave claims, and retired (stale) if it gave none; stale ones are invisible to readers."""
+    now = made.select(F.col(key).alias("_k"), F.col("sha").alias("_sha"), "n_claims")
+    state = F.when(F.col("_sha").isNull() | (F.col("sha") == F.col("_sha")), "kept").when(F.col("n_claims") > 0, "replaced").otherwise("stale")
+    return memos.join(now, F.col(key) == F.col("_k"), "left").select(key, state.alias("state"))
 
 
 def freshness(was: DataFrame, now: DataFrame, key: str, sha: str) -> DataFrame:

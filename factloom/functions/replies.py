@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import col
+from .text import TRIVIAL_TEXT, col
 
 # Patterns that a check's code must not have.
 DENIED = [r"system\s*\(", r"system2\s*\(", r"shell\s*\(", r"unlink\s*\(", r"file\.remove", r"file\.rename", r"file\.create", r"writeLines\s*\(", r"write\.csv", r"write\.table", "saveRDS", r"save\s*\(", r"download\.file", r"url\s*\(", "socketConnection", "curl", r"install\.packages", r"Sys\.setenv", r"setwd\s*\(", r"q\s*\(", r"quit\s*\(", r"\.Internal", r"eval\s*\(\s*parse", r"source\s*\(", "reticulate", "processx", "sys::"]
@@ -77,13 +78,68 @@ def _balanced(s: str, start: int) -> str:
 
 
 def parse_replies(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, json): replies as canonical JSON, null where there is none. Valid JSON needs no Python; the rest is mended in batches."""
+    """(key, json): replies as JSON with sorted keys, null where there is none. Valid JSON is read in the JVM; what is left is mended in
+    batches."""
+
     @F.pandas_udf("string")
     def mend(s: pd.Series) -> pd.Series:
         found = s.map(lenient_json)
-        return found.map(lambda x: None if x is None else json.dumps(x, sort_keys=True, ensure_ascii=False))
+        return found.map(lambda x: None if x is None else json.dumps(x, sort_keys=True, ensure_ascii=False, separators=(",", ":")))
+
+    read = rows.select(key, F.col(text).alias("_text"), F.try_parse_json(F.col(text)).alias("_v"))
+    valid = read.where("_v is not null").select(key, F.to_json("_v").alias("json"))
+    return valid.unionByName(read.where("_v is null").select(key, mend("_text").alias("json")))
+
+
+def called(prompts: DataFrame, answer: Callable[[str], str], key: str = "prompt_id") -> DataFrame:
+    """(key, ok, text, error, latency) of prompts (key, prompt): the uniform adapter of a provider, whose `answer` runs on the workers; a
+    call that raises is a row with its error and doesn't sink the others."""
+    import time
+
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL(f"{key} {dict(prompts.dtypes)[key]}, ok boolean, text string, error string, latency double")
+    out = to_arrow_schema(schema)
+
+    def one(prompt: str) -> tuple:
+        began = time.monotonic()
+        try:
+            text = answer(prompt)
+            return (bool(text), text, None if text else "empty completion", time.monotonic() - began)
+        except Exception as e:
+            return (False, None, type(e).__name__, time.monotonic() - began)
+
+    def run(batches):
+        for batch in batches:
+            rows = [(k, *one(p or "")) for k, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+
+    return prompts.select(key, "prompt").mapInArrow(run, schema)
+
+
+def prompt(template: str, **fields) -> Column:
+    """A prompt text from a template with {fields}, each a column; missing values are empty."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    return F.concat(*(F.coalesce(col(fields[x]).cast("string"), F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(pieces)))
+
+
+def available_seats(wanted: str, settings: DataFrame, needs: dict[str, str | None]) -> DataFrame:
+    """(pos, seat, provider, model) of the configured seats, a comma list of provider or provider/model, that can be used: whose provider
+    needs no setting, or one that settings (name, value) has and is not blank. The list is configuration."""
+    rows = [(i, s, s.partition("/")[0], s.partition("/")[2] or None) for i, s in enumerate(x.strip() for x in wanted.split(","))]
+    rows = [(*r, needs[r[2]]) for r in rows if r[2] in needs]
+    seats = settings.sparkSession.createDataFrame(rows, "pos int, seat string, provider string, model string, need string")
+    there = settings.where(F.trim(F.coalesce("value", F.lit(""))) != "").select(F.col("name").alias("need"), F.lit(True).alias("there")).distinct()
+    return seats.join(there, "need", "left").where("need is null or there").select("pos", "seat", "provider", "model")
+
 
-    return rows.select(key, mend(F.col(text)).alias("json"))
+def environment(packages) -> Column:
+    """What the author of a check may use."""
+    packages = col(packages)
+    return F.when(F.size(packages) == 0, "Base only; no further packages are installed.").otherwise(F.concat(F.lit("Base, and these packages: "), F.array_join(packages, ", "), F.lit(".")))
 
 
 def table_backed(prompts: DataFrame, replies: DataFrame, key: str = "prompt_id") -> DataFrame:
@@ -93,7 +149,11 @@ def table_backed(prompts: DataFrame, replies: DataFrame, key: str = "prompt_id")
 
 
 def image_claims(rows: DataFrame) -> DataFrame:
-    """(key, pos, text): bullet lines of image replies, backticks dropped, those under eight letters left out; not yet proven."""
-    line = F.filter(F.split("reply", "\n"), lambda x: x.rlike(r"^[-*]\s+\S"))
-    cleaned = F.filter(F.transform(line, lambda x: F.trim(F.replace(F.regexp_replace(x, r"^[-*]\s+", ""), F.lit("`"), F.lit("")))), lambda x: F.length(x) >= 8)
-    return rows.select("key", F.posexplode(cleaned).alias("pos", "text")).withColumn("status", F.lit("NEEDS_AGENT"))
+    """(key, topic, pos, text, status): bullet lines of image replies, backticks at their ends dropped, those under eight letters and trivial
+    ones left out; not yet proven. topic: the first line that names one."""
+    lines = F.transform(F.split("reply", "\n"), lambda x: F.trim(x))
+    topic = F.try_element_at(F.transform(F.filter(lines, lambda x: x.rlike("(?i)^TOPIC:")), lambda x: F.trim(F.substr(x, F.lit(7)))), F.lit(1))
+    line = F.filter(lines, lambda x: x.rlike(r"^[-*]\s+\S"))
+    cleaned = F.transform(line, lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"^[-*]\s+", "")), "^`+|`+$", ""))
+    kept = F.filter(cleaned, lambda x: (F.length(x) >= 8) & ~x.rlike(TRIVIAL_TEXT))
+    return rows.select("key", F.coalesce(topic, F.lit("")).alias("topic"), F.posexplode(kept).alias("pos", "text")).withColumn("status", F.lit("NEEDS_AGENT"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,8 @@ def verdicts(anchors: DataFrame, lines: DataFrame) -> DataFrame:
     want = tx.norm_anchor("snippet")
     a = anchors.select("anchor_id", F.col("doc_id").alias("_doc"), "cited", want.alias("want"))
     size = lines.groupBy(F.col("doc_id").alias("_doc")).agg(F.max("line_no").alias("last"))
-    near = a.join(lines, (F.col("_doc") == F.col("doc_id")) & (F.abs(F.col("line_no") - F.col("cited")) <= FAR) & tx.norm_anchor("line").contains(F.col("want")))
+    normed = lines.select("doc_id", "line_no", tx.norm_anchor("line").alias("norm"))  # once a line, before lines meet anchors
+    near = a.join(normed, (F.col("_doc") == F.col("doc_id")) & (F.abs(F.col("line_no") - F.col("cited")) <= FAR) & F.col("norm").contains(F.col("want")))
     away = F.abs(F.col("line_no") - F.col("cited"))
     hits = near.groupBy("anchor_id").agg(
         F.bool_or(away == 0).alias("exact"), F.min(F.when(away <= NEAR, F.col("line_no"))).alias("close"), F.count("*").alias("n"), F.min("line_no").alias("first")
@@ -80,6 +83,15 @@ def chunk_ranges(starts, n) -> Column:
     return F.aggregate(F.transform(pieces, lambda p: F.struct(p["lo"].cast("int").alias("lo"), p["hi"].cast("int").alias("hi"))), F.array().cast(shape), step)
 
 
+def boundaries(documents: DataFrame, pattern: str) -> DataFrame:
+    """(doc_id, lo, hi): runs of lines from each line that matches, and from the first one, to the line before the next."""
+    lines = F.split("text", "\n")
+    at = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(pattern), i + 1)), lambda x: x.isNotNull())
+    first = F.array_distinct(F.concat(F.array(F.lit(1)), at))
+    nexts = F.concat(F.transform(F.slice(first, 2, F.greatest(F.size(first) - 1, F.lit(0))), lambda x: x - 1), F.array(F.size(lines)))
+    return documents.select("doc_id", F.inline(F.arrays_zip(first.alias("lo"), nexts.alias("hi"))))
+
+
 def chunks(documents: DataFrame, pattern: str) -> DataFrame:
     """(doc_id, lo, hi) of each document split at the lines that match."""
     lines = F.split("text", "\n")
@@ -131,17 +143,30 @@ def semantic_hint(rows: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def dedup_claims(rows: DataFrame) -> DataFrame:
-    """Memo-wide dedup of (doc_id, pos, line, text), in order of pos: a row goes if its line or its normalised text was kept before. A
-    row that goes for its line does not register its text, so that this is one fold over a memo's claims."""
-    keyed = rows.withColumn("key", tx.norm_text_key("text"))
-    shape = "array<struct<pos:int,line:int,key:string>>"
-
-    def step(acc, x):
-        seen = F.exists(acc, lambda k: (k["line"] == x["line"]) | (k["key"] == x["key"]))
-        return F.when(seen, acc).otherwise(F.concat(acc, F.array(x)))
-
-    items = F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), F.col("line").cast("int").alias("line"), F.col("key").alias("key"))))
-    return keyed.groupBy("doc_id").agg(F.aggregate(items, F.array().cast(shape), step).alias("k")).select("doc_id", F.inline("k"))
+    """(doc_id, pos, line, key): memo-wide dedup of (doc_id, pos, line, text), in order of pos: a row goes if its line or its normalised
+    text was kept before. A row that goes for its line does not register its text, so that this is one pass over a memo's claims in
+    order; it holds the lines and a digest of each text that the memo has kept so far."""
+    import pyarrow as pa
+
+    keyed = rows.select("doc_id", F.col("pos").cast("int").alias("pos"), F.col("line").cast("int").alias("line"), tx.norm_text_key("text").alias("key"))
+    out = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("line", pa.int32()), ("key", pa.string())])
+
+    def run(batches):
+        memo, lines, keys = None, set(), set()
+        for batch in batches:
+            kept = []
+            for doc, line, key in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "line", "key"))):
+                if doc != memo:
+                    memo, lines, keys = doc, set(), set()
+                mark = hashlib.blake2b(key.encode(), digest_size=16).digest()
+                stays = line not in lines and mark not in keys
+                if stays:
+                    lines.add(line)
+                    keys.add(mark)
+                kept.append(stays)
+            yield pa.RecordBatch.from_arrays([batch.column(f.name).cast(f.type) for f in out], schema=out).filter(pa.array(kept, pa.bool_()))
+
+    return keyed.repartition("doc_id").sortWithinPartitions("doc_id", "pos", "line", "key").mapInArrow(run, "doc_id long, pos int, line int, key string")
 
 
 def render_memo(rows: DataFrame) -> DataFrame:

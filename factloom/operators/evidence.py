@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
 from factloom.functions.text import col
+from factloom.sources import store
 
 # Evidence levels by publication type, strongest first.
 LEVELS = (
@@ -57,40 +58,65 @@ def evidence_level(types) -> Column:
     return out
 
 
-def similar_claims(claims: DataFrame, threshold: float) -> DataFrame:
-    """(question_id, a, b, jaccard) of the claims of a question whose token sets overlap enough.
+def token_classes(claims: DataFrame) -> DataFrame:
+    """(question_id, doc_id, rep, t): a claim's distinct tokens in order, and the least doc_id of its question with the same ones. Claims
+    without tokens are left out."""
+    rows = claims.select("question_id", "doc_id", F.array_sort(tx.claim_tokens("claim")).alias("t")).where(F.size("t") > 0)
+    rows = rows.withColumn("digest", F.md5(F.array_join("t", " ")))
+    reps = rows.groupBy("question_id", "digest").agg(F.min("doc_id").alias("rep"))
+    return rows.join(reps, ["question_id", "digest"]).select("question_id", "doc_id", "rep", "t")
 
-    Pairs meet on a token that is rare enough to be in both prefixes (the least hashes of a set, as many as a set of that size must
-    share one of), so that pairs that cannot reach the threshold don't meet; each pair is verified once.
+
+def similar_claims(classes: DataFrame, threshold: float) -> DataFrame:
+    """(question_id, a, b, jaccard) of the claims (token_classes) of a question whose token sets overlap enough: pairs of representatives,
+    and each other member of a class with its representative. What links a representative links its whole class.
+
+    Two sets that reach the threshold share a token among the n - ceil(t n) + 1 of either that the fewest claims have. Pairs meet on
+    those, as ids; each is verified once, on the sets.
     """
-    rows = claims.select("question_id", "doc_id", tx.claim_tokens("claim").alias("t")).where(F.size("t") > 0)
-    hashed = F.array_sort(F.transform("t", lambda x: F.xxhash64(x)))
-    prefix = F.slice(hashed, 1, (F.size("t") - F.ceil(F.size("t") * threshold) + 1).cast("int"))
-    keyed = rows.select("question_id", "doc_id", "t", F.explode(F.array_distinct(prefix)).alias("key"))
+    reps = classes.where("doc_id = rep").select("question_id", "doc_id", "t")
+    tokens = reps.select("question_id", "doc_id", F.explode("t").alias("key"))
+    often = tokens.groupBy("question_id", "key").agg(F.count("*").alias("df"))
+    ranked = tokens.join(often.where("df > 1"), ["question_id", "key"], "left").groupBy("question_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "key"))).alias("r"))
+    prefix = F.slice("r", 1, (F.size("r") - F.ceil(F.size("r") * threshold) + 1).cast("int"))
+    keyed = ranked.select("question_id", "doc_id", F.size("r").alias("n"), F.explode(F.filter(prefix, lambda x: x["df"] > 1)).alias("k")).select("question_id", "doc_id", "n", "k.key")
     a, b = keyed.alias("a"), keyed.alias("b")
     met = a.join(b, (F.col("a.question_id") == F.col("b.question_id")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-    sized = met.where((F.size("a.t") >= threshold * F.size("b.t")) & (F.size("b.t") >= threshold * F.size("a.t")))
-    scored = sized.select(F.col("a.question_id"), F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), tx.jaccard(F.col("a.t"), F.col("b.t")).alias("jaccard"))
-    return scored.where(F.col("jaccard") >= threshold).distinct()
+    sized = met.where((F.col("a.n") >= threshold * F.col("b.n")) & (F.col("b.n") >= threshold * F.col("a.n")))
+    ids = sized.select(F.col("a.question_id").alias("question_id"), F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
+    both = ids.join(reps.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("t").alias("tb")), "b")
+    scored = both.select("question_id", "a", "b", tx.jaccard(F.col("ta"), F.col("tb")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    return scored.unionByName(classes.where("doc_id > rep").select("question_id", F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard")))
 
 
 def seed_clusters(claims: DataFrame, threshold: float) -> DataFrame:
     """(question_id, doc_id, seed): in order of doc_id, a claim that no seed has taken becomes one and takes later claims that are
-    similar to it. Not transitive. The fold runs over a question's similar pairs, which are few, not over its claims."""
-    pairs = similar_claims(claims, threshold).select("question_id", "a", "b")
-    shape = "struct<seeds:array<bigint>,taken:array<struct<b:bigint,seed:bigint>>>"
-    start = F.lit(None).cast(shape)
-    start = F.struct(F.array().cast("array<bigint>").alias("seeds"), F.array().cast("array<struct<b:bigint,seed:bigint>>").alias("taken"))
-
-    def step(acc, p):
-        done = F.transform(acc["taken"], lambda x: x["b"])
-        usable = ~F.array_contains(done, p["a"]) & ~F.array_contains(done, p["b"])
-        grown = F.concat(acc["taken"], F.array(F.struct(p["b"].alias("b"), p["a"].alias("seed"))))
-        return F.struct(acc["seeds"].alias("seeds"), F.when(usable, grown).otherwise(acc["taken"]).alias("taken"))
-
-    folded = pairs.groupBy("question_id").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("a", "b"))), start, step).alias("f"))
-    taken = folded.select(F.inline("f.taken")).withColumnsRenamed({"b": "doc_id"})
-    return claims.select("question_id", "doc_id").join(taken, "doc_id", "left").select("question_id", "doc_id", F.coalesce("seed", "doc_id").alias("seed"))
+    similar to it. Not transitive.
+
+    In rounds: claims without an open smaller neighbour are seeds, their neighbours are taken, and the links of both are closed. Each
+    round is written; a chain of n links that only ever leaves its first one open takes n / 2 rounds. Members of a class of equal
+    token sets go with their representative.
+    """
+    spark = claims.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        path = store.scratch(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    classes = kept(token_classes(claims), "classes")
+    links = kept(similar_claims(classes, threshold).select("a", "b").join(classes.where("doc_id > rep").select(F.col("doc_id").alias("b")), "b", "left_anti").select("a", "b"), "links")
+    open_, taken = links, None
+    while not open_.isEmpty():
+        seeds = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        gone = kept(open_.join(seeds, "a").select(F.col("b").alias("id")).distinct(), "taken")
+        taken = gone if taken is None else taken.unionByName(gone)
+        done = seeds.select(F.col("a").alias("id")).unionByName(gone)
+        open_ = kept(open_.join(done.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b"), "open")
+    seeded = links if taken is None else links.join(taken.select(F.col("id").alias("b")), "b").join(taken.select(F.col("id").alias("a")), "a", "left_anti")
+    seeded = seeded.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("seed"))
+    of = classes.select("doc_id", "rep").join(seeded, "rep", "left").select("doc_id", F.coalesce("seed", "rep").alias("seed"))
+    return claims.select("question_id", "doc_id").join(of, "doc_id", "left").select("question_id", "doc_id", F.coalesce("seed", "doc_id").alias("seed"))
 
 
 def merge_panel(verdicts: DataFrame) -> DataFrame:

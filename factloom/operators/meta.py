@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.sources import store
+
 
 def group_effects(df: DataFrame, study: str, value: str) -> DataFrame:
     """(study, yi, vi): mean and squared standard error of each group with two rows and some variance."""
@@ -21,29 +23,31 @@ def log_risk_ratio(df: DataFrame) -> DataFrame:
 
 
 def random_effects(effects: DataFrame, most_rounds: int = 200, tolerance: float = 1e-10) -> DataFrame:
-    """One row (k, mu, ci_low, ci_high, p, tau2, i2). Each REML step is one aggregation to a row; the studies stay where they are."""
-    tau2 = 0.0
-    row = None
+    """One row (k, mu, ci_low, ci_high, p, tau2, i2). The studies (yi, vi) are written once; each REML step is one aggregation over them
+    to one row, of effects around their mean, so that its sums of squares don't cancel."""
+    spark = effects.sparkSession
+    out = "k long, mu double, ci_low double, ci_high double, p double, tau2 double, i2 double"
+    path = store.scratch(spark, "effects")
+    effects.select("yi", "vi").write.parquet(path)
+    rows = spark.read.schema("yi double, vi double").parquet(path)
+    s = rows.agg(F.count("*").alias("k"), F.avg("yi").alias("mean"), F.sum(1 / F.col("vi")).alias("a"), F.sum(1 / (F.col("vi") * F.col("vi"))).alias("b")).first()
+    k = s["k"]
+    if not k:
+        return spark.createDataFrame([], out)
+    y, tau2 = F.col("yi") - s["mean"], 0.0
     for _ in range(most_rounds):
         w = 1 / (F.col("vi") + tau2)
-        row = effects.agg(F.count("*").alias("k"), F.sum(w).alias("w"), F.sum(w * F.col("yi")).alias("wy"), F.sum(w * w).alias("w2")).first()
-        if not row["k"]:
-            return effects.sparkSession.createDataFrame([], "k long, mu double, ci_low double, ci_high double, p double, tau2 double, i2 double")
-        mu = row["wy"] / row["w"]
-        part = effects.agg(F.sum(w * w * ((F.col("yi") - mu) ** 2 - F.col("vi"))).alias("q")).first()["q"]
-        after = max(0.0, part / row["w2"] + 1 / row["w"])
+        r = rows.agg(*(F.sum(e).alias(c) for c, e in (("w", w), ("wy", w * y), ("w2", w * w), ("w2y", w * w * y), ("w2yy", w * w * y * y), ("w2v", w * w * F.col("vi"))))).first()
+        mu = r["wy"] / r["w"]
+        q = r["w2yy"] - 2 * mu * r["w2y"] + mu * mu * r["w2"] - r["w2v"]
+        after = max(0.0, q / r["w2"] + 1 / r["w"])
         if abs(after - tau2) < tolerance:
             break
         tau2 = after
-    se = 1 / math.sqrt(row["w"])
-    s = effects.agg(F.sum(1 / F.col("vi")).alias("a"), F.sum(1 / (F.col("vi") * F.col("vi"))).alias("b")).first()
-    k = row["k"]
+    mu, se = mu + s["mean"], 1 / math.sqrt(r["w"])
     typical = (k - 1) * s["a"] / (s["a"] ** 2 - s["b"]) if k > 1 else 0.0
     p = math.erfc(abs(mu / se) / math.sqrt(2))
-    return effects.sparkSession.createDataFrame(
-        [(k, mu, mu - 1.959963984540054 * se, mu + 1.959963984540054 * se, p, tau2, 100 * tau2 / (tau2 + typical) if tau2 + typical > 0 else 0.0)],
-        "k long, mu double, ci_low double, ci_high double, p double, tau2 double, i2 double",
-    )
+    return spark.createDataFrame([(k, mu, mu - 1.959963984540054 * se, mu + 1.959963984540054 * se, p, tau2, 100 * tau2 / (tau2 + typical) if tau2 + typical > 0 else 0.0)], out)
 
 
 def ancova(df: DataFrame, dep: str, cov: str, group: str) -> DataFrame:

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.functions import paths, records
+from factloom.functions import duck, paths, records
 from factloom.functions import text as tx
-from factloom.operators import anchors
+from factloom.operators import anchors, artefacts
+from factloom.sources import store
 
 from .registry import RELATIONS, Tables, query
 
-# Anchors: each third line of a document is cited, some of them at the wrong place, some with a foreign snippet.
-RELATIONS["anchors"] = """select doc_id * 1000 + line_no anchor_id, doc_id, case when line_no % 7 = 0 then 'nowhere to be found at all' when line_no % 5 = 0 then '' else left(line, 40) end snippet,
-  cast(line_no + case (doc_id + line_no) % 4 when 0 then 0 when 1 then 2 when 2 then 40 else 500 end as integer) cited from lines where line_no % 3 = 1 and line_no < 1000"""
+# Anchors: each line of a document is cited, some of them at the wrong place, some with a foreign snippet.
+RELATIONS["anchors"] = """select doc_id || ':' || line_no anchor_id, doc_id, case when line_no % 7 = 0 then 'nowhere to be found at all' when line_no % 5 = 0 then '' else left(line, 40) end snippet,
+  cast(line_no + case (doc_id + line_no) % 4 when 0 then 0 when 1 then 2 when 2 then 40 else 500 end as integer) cited from lines"""
 _norm = lambda c: f"trim(regexp_replace(replace({c}, '`', ''), '\\s+', ' ', 'g'))"
 _verdict = f"""(select a.anchor_id, case when want = '' then 'REFUTED' when last is null or cited < 1 or cited > last then 'REFUTED' when exact then 'CONFIRMED' when near_ is not null then 'DRIFTED' when length(want) >= 24 and n = 1 then 'DRIFTED' else 'REFUTED' end verdict,
  case when exact then cited when near_ is not null then near_ when length(want) >= 24 and n = 1 then first_ end f from (select *, {_norm('snippet')} want from anchors) a
@@ -25,7 +26,7 @@ def _anchors(t: Tables):
     snippet = F.when(n % 7 == 0, "nowhere to be found at all").when(n % 5 == 0, "").otherwise(F.substring("line", 1, 40))
     turn = (F.col("doc_id") + n) % 4
     cited = n + F.when(turn == 0, 0).when(turn == 1, 2).when(turn == 2, 40).otherwise(500)
-    return t.lines.where("line_no % 3 = 1 and line_no < 1000").select((F.col("doc_id") * 1000 + n).alias("anchor_id"), "doc_id", snippet.alias("snippet"), cited.cast("int").alias("cited"))
+    return t.lines.select(F.concat_ws(":", "doc_id", "line_no").alias("anchor_id"), "doc_id", snippet.alias("snippet"), cited.cast("int").alias("cited"))
 
 
 @query("fn_anchor_verdict", f"select anchor_id, verdict, cast(case when verdict <> 'REFUTED' then f end as integer) found_line from {_verdict}")
@@ -38,9 +39,9 @@ def _(t: Tables):
     return anchors.verdicts(_anchors(t), t.lines).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-@query("fn_anchor_sticky", f"select anchor_id, case when anchor_id % 2 = 0 and verdict in ('CONFIRMED', 'DRIFTED') then 'DRIFTED' else verdict end verdict from {_verdict}")
+@query("fn_anchor_sticky", f"select anchor_id, case when anchor_id[-1:] in ('0', '2', '4', '6', '8') and verdict in ('CONFIRMED', 'DRIFTED') then 'DRIFTED' else verdict end verdict from {_verdict}")
 def _(t: Tables):
-    return anchors.verdicts(_anchors(t), t.lines).select("anchor_id", anchors.sticky("verdict", F.col("anchor_id") % 2 == 0).alias("verdict"))
+    return anchors.verdicts(_anchors(t), t.lines).select("anchor_id", anchors.sticky("verdict", F.right("anchor_id", F.lit(1)).isin("0", "2", "4", "6", "8")).alias("verdict"))
 
 
 @query("fn_norm_anchor", f"select doc_id, line_no, {_norm('line')} norm from lines")
@@ -48,9 +49,9 @@ def _(t: Tables):
     return t.lines.select("doc_id", "line_no", tx.norm_anchor("line").alias("norm"))
 
 
-@query("fn_norm_text_key", "select doc_id, line_no, length(trim(regexp_replace(line, '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+', ' ', 'g'))) n from lines")
+@query("fn_norm_text_key", "select doc_id, line_no, lower(trim(regexp_replace(line, '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+', ' ', 'g'))) key from lines")
 def _(t: Tables):
-    return t.lines.select("doc_id", "line_no", F.length(tx.norm_text_key("line")).cast("long").alias("n"))
+    return t.lines.select("doc_id", "line_no", tx.norm_text_key("line").alias("key"))
 
 
 @query("fn_safe_snip", "select doc_id, line_no, replace(line, '`', 'ˋ') snip, left(replace(regexp_replace(line, '\\s+', ' ', 'g'), '-->', '-- >'), 160) note from lines")
@@ -79,17 +80,20 @@ def _(t: Tables):
     return anchors.semantic_hint(rows, t.lines)
 
 
-_marked = r"[!?]$|^\S{1,3} "
-
-
 @query("fn_chunk_prose")
 def _(t: Tables):
     return anchors.chunks(t("documents"), anchors.HEADING)
 
 
+def _code(t: Tables):
+    """Documents as code: each fourth line declares a function."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("def "), x)).otherwise(x))
+    return t("documents").select("doc_id", F.array_join(lines, "\n").alias("text"))
+
+
 @query("fn_chunk_code")
 def _(t: Tables):
-    return anchors.chunks(t("documents"), _marked)
+    return anchors.chunks(_code(t), anchors.DECLARATION)
 
 
 @query("fn_chunk_generic", "select doc_id, cast(lo as integer) lo, cast(least(lo + 159, n) as integer) hi from (select doc_id, n, unnest(range(1, n + 1, 145)) lo from (select doc_id, len(string_split(text, chr(10))) n from documents))")
@@ -97,12 +101,10 @@ def _(t: Tables):
     return anchors.generic_chunks(t("documents"))
 
 
-@query("win_chunk_boundaries", "select doc_id, line_no lo, cast(coalesce(lead(line_no) over (partition by doc_id order by line_no) - 1, 1000000) as integer) hi from lines where line_no % 4 = 1")
+@query("win_chunk_boundaries", f"""select doc_id, line_no lo, cast(coalesce(lead(line_no) over (partition by doc_id order by line_no) - 1, n) as integer) hi
+ from (select doc_id, line_no, case when line_no % 4 = 1 then 'def ' || line else line end line, max(line_no) over (partition by doc_id) n from lines) where line_no = 1 or regexp_matches(line, {duck.quoted(anchors.DECLARATION)})""")
 def _(t: Tables):
-    # Boundaries of one document are an array, so that its next boundary is the next element.
-    at = F.filter(F.sequence(F.lit(1), F.size(F.split("text", "\n"))), lambda i: i % 4 == 1)
-    nexts = F.concat(F.transform(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), lambda x: x - 1), F.array(F.lit(1000000)))
-    return t("documents").select("doc_id", F.inline(F.arrays_zip(at.alias("lo"), nexts.alias("hi"))))
+    return anchors.boundaries(_code(t), anchors.DECLARATION)
 
 
 @query("flt_chunk_bounds", "select doc_id, line_no from (select doc_id, cited line_no, row_number() over (partition by doc_id, cited order by anchor_id) rn from anchors where cited between 1 and 160) where rn = 1")
@@ -220,9 +222,20 @@ def _(t: Tables):
     return t("events").groupBy("user_id").agg(F.max_by("value", "event_id").alias("last_value"), F.max_by(F.when(kind != "view", kind), F.when(kind != "view", F.col("event_id"))).alias("model"))
 
 
-@query("scan_tail_last", "select user_id, max(event_id) last_event from events where value > 100 group by 1")
+_usage_line = """case when event_type = 'error' then '{"message": broken' else '{"message":{"model":' || case when event_type = 'view' then 'null' else '"' || event_type || '"' end || ',"usage":{"input_tokens":' || event_id || ',"cache_read_input_tokens":' || (event_id % 7) || '}}}' end"""
+
+
+@query("scan_tail_last", f"""with f as (select user_id, string_agg({_usage_line}, chr(10) order by event_id) c from events group by 1),
+ l as (select user_id, list_filter(case when length(c) > 400 then string_split(right(c, 400), chr(10))[2:] else string_split(c, chr(10)) end, lambda x: ends_with(x, '}}}}}}')) ls from f)
+select user_id, cast(regexp_extract(ls[-1], 'input_tokens":([0-9]+)', 1) as bigint) + cast(regexp_extract(ls[-1], 'cache_read_input_tokens":([0-9]+)', 1) as bigint) context_tokens,
+ nullif(regexp_extract(list_filter(ls, lambda x: contains(x, '"model":"'))[-1], '"model":"([a-z]+)"', 1), '') model from l where len(ls) > 0""")
 def _(t: Tables):
-    return t("events").where("value > 100").groupBy("user_id").agg(F.max("event_id").alias("last_event"))
+    # Transcripts of events by user, some of their lines broken; the last 400 bytes are read.
+    kind = F.col("event_type")
+    usage = F.concat(F.lit('{"message":{"model":'), F.when(kind == "view", "null").otherwise(F.concat(F.lit('"'), kind, F.lit('"'))), F.lit(',"usage":{"input_tokens":'), F.col("event_id").cast("string"), F.lit(',"cache_read_input_tokens":'), (F.col("event_id") % 7).cast("string"), F.lit("}}}"))
+    rows = t("events").select("user_id", "event_id", F.when(kind == "error", '{"message": broken').otherwise(usage).alias("line"))
+    files = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "line"))).alias("l")).select("user_id", F.encode(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), "UTF-8").alias("content"))
+    return records.tail_usage(files, "user_id", 400)
 
 
 @query("scan_connectors", "select event_id, event_type name from events where cast(regexp_extract(props, '([0-9]+)', 1) as integer) % 2 = 0")
@@ -231,15 +244,29 @@ def _(t: Tables):
     return records.connectors(t("events").select("event_id", F.to_json(F.array(F.struct(F.col("event_type").alias("name"), auth.alias("auth")))).alias("json"))).select("event_id", "name")
 
 
-@query("scan_session_json", "select c_custkey, c_name, c_mktsegment from customer")
+def _session(t: Tables) -> str:
+    """Twenty sessions as files: six frames, the calibration once, since it belongs to all."""
+    qid = lambda df: df.withColumn("qid", F.col("claim_id") % 20)
+    frames = {
+        "question": t.scored.select((F.col("claim_id") % 20).alias("qid")).distinct().withColumn("question", F.concat(F.lit("question "), F.col("qid").cast("string"))),
+        "claims": qid(t.scored), "verdicts": qid(t.votes.select("claim_id", "panelist", "round", "verdict", "confidence")), "evidence": qid(t.citations), "r_checks": qid(t.checks), "calibration": t.weights.withColumn("qid", F.lit(-1)),
+    }
+    path = store.scratch(t.spark, "session")
+    artefacts.write_session(path, frames)
+    return path
+
+
+@query("sink_json_session", """select claim_id % 20 qid, 'claims' frame, count(*) n from scored group by 1 union all select claim_id % 20, 'verdicts', count(*) from votes group by 1 union all select claim_id % 20, 'evidence', count(*) from citations group by 1
+ union all select claim_id % 20, 'r_checks', count(*) from checks group by 1 union all select distinct claim_id % 20, 'question', 1 from scored union all select -1, 'calibration', count(*) from weights""")
 def _(t: Tables):
-    packed = t("customer").select(F.to_json(F.struct("c_custkey", "c_name", "c_mktsegment")).alias("j"))
-    return packed.select(F.inline(F.array(F.from_json("j", "c_custkey bigint, c_name string, c_mktsegment string"))))
+    lines = t.spark.read.schema("value string, qid long, frame string").text(_session(t))
+    return lines.groupBy("qid", "frame").agg(F.count("*").alias("n"))
 
 
-@query("sink_json_session", "select n_nationkey, '{\"id\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}' json from nation")
+@query("scan_session_json", "select claim_id % 20 qid, claim_id, status, n_valid, round(score, 9) score, passed, citations_verified from scored")
 def _(t: Tables):
-    return t("nation").select("n_nationkey", F.to_json(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))).alias("json"))
+    rows = artefacts.read_session(t.spark, _session(t), "claims", "claim_id long, status string, n_valid long, score double, passed boolean, citations_verified long")
+    return rows.withColumn("score", F.round("score", 9))
 
 
 @query("sink_worklist", "select claim_id, '{\"claim_id\":' || claim_id || ',\"source\":\"' || source || '\"}' job from claims where status = 'NEEDS_AGENT'")
@@ -287,9 +314,22 @@ def _(t: Tables):
     return paths.route(roles, {"long": "big", "prose": "small"}, "small").groupBy("model").agg(F.count("*").alias("files"), F.sum("est_tokens").alias("tokens"))
 
 
-@query("ord_batches", "select page_id, est_tokens from files order by est_tokens desc, page_id limit 12")
+@query("ord_batches", f"""select model, cast(case when contains(model, '7b') then 0 when contains(model, '8b') then 1 else 2 end as integer) rank, count(*) files, cast(sum(est_tokens) as bigint) tokens
+ from (select case role when 'long' then 'big:32b' when 'prose' then 'writer:8b' when 'vision' then 'seer' else 'coder:7b' end model, est_tokens from {_role}) group by 1 order by rank, model""")
+def _(t: Tables):
+    roles = t.files.select("est_tokens", paths.role("path", paths.profile("path", prose=(*paths.PROSE, "html")), "est_tokens", 600).alias("role"))
+    return paths.batches(paths.route(roles, {"long": "big:32b", "prose": "writer:8b", "vision": "seer"}, "coder:7b"))
+
+
+@query("ord_files", "select user_id, max(ts) modified from events group by 1 order by modified desc, user_id limit 12")
+def _(t: Tables):
+    return t("events").groupBy("user_id").agg(F.max("ts").alias("modified")).orderBy(F.desc("modified"), "user_id").limit(12)
+
+
+@query("adp_model_lookup", f"select page_id, case when {_ext} in ('py', 'js') then 'coder' when {_ext} in ('md', 'txt', 'html') then 'writer' else 'small' end model, case when {_ext} in ('py', 'js') then 32768 when {_ext} in ('md', 'txt', 'html') then 131072 else 8192 end ctx from files")
 def _(t: Tables):
-    return t.files.orderBy(F.desc("est_tokens"), "page_id").limit(12).select("page_id", "est_tokens")
+    model = paths.lookup(paths.profile("path", prose=(*paths.PROSE, "html")), {"code": "coder", "prose": "writer"}, "small")
+    return t.files.select("page_id", model.alias("model"), paths.lookup(model, {"coder": 32768, "writer": 131072}, 8192).alias("ctx"))
 
 
 @query("agg_corpus_tokens", "select count(*) files, cast(sum(est_tokens) as bigint) tokens from files")
@@ -370,6 +410,15 @@ def _(t: Tables):
     return rows.groupBy("doc_id").agg(F.max_by("line", F.struct(F.length("line"), -F.col("line_no"))).alias("topic"))
 
 
+@query("retire_stale", "select doc_id, case when doc_id % 10 <> 1 then 'kept' when doc_id % 20 = 1 then 'stale' else 'replaced' end state from documents")
+def _(t: Tables):
+    # A tenth of the sources has changed; half of those give no claims any more.
+    d = t("documents")
+    memos = d.select("doc_id", F.sha2("text", 256).alias("sha"))
+    made = d.where("doc_id % 10 = 1").select("doc_id", F.sha2(F.concat("text", F.lit("!")), 256).alias("sha"), F.when(F.col("doc_id") % 20 == 1, 0).otherwise(3).alias("n_claims"))
+    return records.retired(memos, made)
+
+
 @query("incremental_work", "select doc_id from documents where doc_id % 13 = 0 or doc_id % 10 = 1")
 def _(t: Tables):
     d = t("documents")

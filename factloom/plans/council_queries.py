@@ -68,8 +68,10 @@ def _(t: Tables):
     return t.scored.select("claim_id", "status")
 
 
-@query("fn_classify_reason", """select claim_id, case when n_valid < 2 then 'too few valid votes' when passed = false then 'check failed' when score <= -0.2 then 'consensus against' when passed = true and score >= 0.2 then 'check passed'
- when citations_total > 0 and citations_verified = 0 then 'no citation holds' when score >= 0.2 then 'consensus for' when abs(score) < 0.2 and n_refute > 0 then 'panel split' else 'panel uncertain' end reason from scored""")
+@query("fn_classify_reason", """select claim_id, case when n_valid < 2 then printf('only %d valid vote(s)', n_valid) when passed = false then 'the check failed, which overrides the vote' when score <= -0.2 then printf('panel consensus against (%.2f)', round(score, 2))
+ when passed = true and score >= 0.2 then printf('check passed; consensus %.2f', round(score, 2)) || case when citations_total > 0 and citations_verified = 0 then ' (note: its citations do not resolve, but the check does not need them)' else '' end
+ when citations_total > 0 and citations_verified = 0 then printf('consensus was %.2f, but none of its %d citation(s) resolve', round(score, 2), citations_total) when score >= 0.2 then printf('consensus %.2f >= 0.20', round(score, 2))
+ when abs(score) < 0.2 and n_refute > 0 then printf('panel split: consensus %.2f with %d refutation(s) standing', round(score, 2), n_refute) else printf('consensus %.2f below 0.20', round(score, 2)) end reason from scored""")
 def _(t: Tables):
     return t.scored.select("claim_id", council.reason("score", 0.2, "passed", "n_refute", "n_valid", "citations_verified", "citations_total").alias("reason"))
 
@@ -199,9 +201,11 @@ def _(t: Tables):
     return t("orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(20).select("o_orderkey", "o_orderdate")
 
 
-@query("set_union_distinct", "select citation from citations where claim_id < 50 union select citation from citations where claim_id >= 100")
+@query("set_union_distinct", "select citation from citations where verified union select citation from citations where relevant")
 def _(t: Tables):
-    return t.citations.where("claim_id < 50").select("citation").union(t.citations.where("claim_id >= 100").select("citation")).distinct()
+    # Each side is distinct before they meet, so that a citation of very many claims is a row a task.
+    side = lambda c: t.citations.where(c).select("citation").distinct()
+    return side("verified").union(side("relevant")).distinct()
 
 
 @query("set_union_values", "select claim_id, cast(count(distinct citation) as bigint) n from citations group by 1")
@@ -228,17 +232,19 @@ def _(t: Tables):
     return t.short.select("doc_id", tx.norm_claim("claim").alias("norm"), F.size(tx.claim_tokens("claim")).alias("n_tokens"))
 
 
-_pairs = f"""(select a.doc_id a, b.doc_id b, {duck.jaccard('a.t', 'b.t')} jaccard from (select *, {_tok} t from short) a join (select *, {_tok} t from short) b on a.question_id = b.question_id and a.doc_id < b.doc_id)"""
+_classes = f"(select *, min(doc_id) over (partition by question_id, t) rep from (select question_id, doc_id, list_sort({_tok}) t from short) where len(t) > 0)"
+_pairs = f"""(select a, b, jaccard from (select a.doc_id a, b.doc_id b, {duck.jaccard('a.t', 'b.t')} jaccard from {_classes} a join {_classes} b on a.question_id = b.question_id and a.doc_id < b.doc_id where a.doc_id = a.rep and b.doc_id = b.rep
+ and len(a.t) >= 0.6 * len(b.t) and len(b.t) >= 0.6 * len(a.t)) where jaccard >= 0.6 union all select rep, doc_id, 1.0 from {_classes} where doc_id > rep)"""
 
 
-@query("join_self_pairs", f"select a, b, round(jaccard, 9) jaccard from {_pairs} where jaccard >= 0.6")
+@query("join_self_pairs", f"select a, b, round(jaccard, 9) jaccard from {_pairs}")
 def _(t: Tables):
-    return evidence.similar_claims(t.short, 0.6).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
+    return evidence.similar_claims(evidence.token_classes(t.short), 0.6).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
 
 
-@query("fn_jaccard", f"select count(*) n, round(sum(jaccard), 6) total from {_pairs} where jaccard >= 0.6")
+@query("fn_jaccard", f"select count(*) n, round(sum(jaccard), 6) total from {_pairs}")
 def _(t: Tables):
-    return evidence.similar_claims(t.short, 0.6).agg(F.count("*").alias("n"), F.round(F.sum("jaccard"), 6).alias("total"))
+    return evidence.similar_claims(evidence.token_classes(t.short), 0.6).agg(F.count("*").alias("n"), F.round(F.sum("jaccard"), 6).alias("total"))
 
 
 @query("fn_cluster_seed")
@@ -249,23 +255,26 @@ def _(t: Tables):
 @query("agg_claim_merge")
 def _(t: Tables):
     clusters = evidence.seed_clusters(t.short, 0.6)
-    docs = t("documents").select("doc_id", "source", (F.col("n_chars") / 1000).alias("confidence"))
-    joined = clusters.join(docs, "doc_id").groupBy("seed").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("proposed_by"), F.round(F.avg("confidence"), 6).alias("confidence"), F.count("*").alias("n_merged"), F.countDistinct("source").alias("n_proposers"))
+    docs = t("documents").select("doc_id", "lang", (F.col("n_chars") / 1000).alias("confidence"))
+    joined = clusters.join(docs, "doc_id").groupBy("seed").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("proposed_by"), F.round(F.avg("confidence"), 6).alias("confidence"), F.count("*").alias("n_merged"), F.countDistinct("lang").alias("n_proposers"))
     return joined
 
 
-@query("set_array", "select doc_id, cast(len(list_intersect(a, b)) as integer) shared, cast(len(list_distinct(a || b)) as integer) either, cast(len(a) - len(list_intersect(a, b)) as integer) own from (select doc_id, %s a, %s b from documents)" % (duck.claim_tokens("left(text, 200)"), duck.claim_tokens("right(text, 200)")))
+@query("set_array", "select doc_id, cast(len(list_intersect(a, b)) as integer) shared, cast(len(list_distinct(a || b)) as integer) either, cast(len(a) - len(list_intersect(a, b)) as integer) own from (select doc_id, %s a, %s b from documents)" % (duck.claim_tokens("text"), duck.claim_tokens("lang || ' ' || source || ' ' || split_part(text, chr(10), 1)")))
 def _(t: Tables):
-    d = t("documents").select("doc_id", tx.claim_tokens(F.substring("text", 1, 200)).alias("a"), tx.claim_tokens(F.right("text", F.lit(200))).alias("b"))
+    # A text's tokens, and those of its title line with its language and source.
+    d = t("documents").select("doc_id", tx.claim_tokens("text").alias("a"), tx.claim_tokens(F.concat_ws(" ", "lang", "source", F.substring_index("text", "\n", 1))).alias("b"))
     return d.select("doc_id", F.size(F.array_intersect("a", "b")).alias("shared"), F.size(F.array_union("a", "b")).alias("either"), F.size(F.array_except("a", "b")).alias("own"))
 
 
-_rel = f"(select doc_id, {duck.plain_tokens('left(text, 100)', tx.STOP_RELEVANCE)} c, {duck.plain_tokens('right(text, 300)', tx.STOP_RELEVANCE)} s from documents)"
+_rel = f"(select doc_id, {duck.plain_tokens('b.text', tx.STOP_RELEVANCE)} c, {duck.plain_tokens('d.text', tx.STOP_RELEVANCE)} s from documents d join benchmark b on b.item_id = d.doc_id % 20)"
 
 
 @query("fn_lexical_relevance", f"select doc_id, case when len(c) > 0 and len(s) > 0 then len(list_intersect(c, s)) / len(c) >= 0.15 end relevant from {_rel}")
 def _(t: Tables):
-    return t("documents").select("doc_id", evidence.lexical_relevance(F.substring("text", 1, 100), F.right("text", F.lit(300))).alias("relevant"))
+    # Each document as what is cited for one of the benchmark's items.
+    cited = t("documents").join(t("benchmark").withColumnRenamed("text", "claim"), F.col("doc_id") % 20 == F.col("item_id"))
+    return cited.select("doc_id", evidence.lexical_relevance("claim", "text").alias("relevant"))
 
 
 _cite = "(select page_id, case when page_id % 3 = 0 then 'see 10.' || (1000 + page_id) || '/' || replace(regexp_extract(url, '://([^/?#]*)', 1), '.', '-') || ').' when page_id % 3 = 1 then 'PMID: ' || (100000 + page_id) else url end citation from pages)"
@@ -313,10 +322,20 @@ def _(t: Tables):
     return t("lineitem").select("l_orderkey", "l_linenumber", evidence.evidence_level(F.element_at(given, F.col("l_linenumber") % 6 + 1)).alias("level"))
 
 
-@query("win_first_match", "select p_partkey, case when p_size <= 10 then 'small' when p_size <= 30 then 'medium' else 'large' end tier from part")
+_pubtypes = ["Review", "Case Reports", "Observational Study", "Clinical Trial", "Randomized Controlled Trial", "Systematic Review", "Dataset"]
+
+
+@query("win_first_match", f"""with l as (select p_partkey, unnest([{", ".join(map(duck.quoted, _pubtypes))}][p_size % 7 + 1:p_size % 7 + 1] || [{", ".join(map(duck.quoted, _pubtypes))}][p_partkey % 7 + 1:p_partkey % 7 + 1]) t from part)
+select p_partkey, cast(min(case t when 'Review' then 6 when 'Case Reports' then 5 when 'Observational Study' then 4 when 'Clinical Trial' then 3 when 'Randomized Controlled Trial' then 2 when 'Systematic Review' then 1 end) as integer) level from l group by 1""")
+def _(t: Tables):
+    known = F.array(*map(F.lit, _pubtypes))
+    own = F.array(F.element_at(known, (F.col("p_size") % 7 + 1).cast("int")), F.element_at(known, (F.col("p_partkey") % 7 + 1).cast("int")))
+    return t("part").select("p_partkey", evidence.evidence_level(own).alias("level"))
+
+
+@query("win_first_seat", "select claim_id, arg_min(panelist, case panelist when 'p4' then 0 when 'p0' then 1 when 'p2' then 2 end) seat from votes where panelist in ('p4', 'p0', 'p2') group by 1")
 def _(t: Tables):
-    tier = F.when(F.col("p_size") <= 10, "small").when(F.col("p_size") <= 30, "medium").otherwise("large")
-    return t("part").select("p_partkey", tier.alias("tier"))
+    return council.first_seat(t.votes, ["p4", "p0", "p2"])
 
 
 @query("agg_panel_merge", """select claim_id, case when r then 'REFUTED' when n = c and n > 0 then 'CONFIRMED' else 'UNSUPPORTED' end merged
@@ -339,11 +358,14 @@ _nums = lambda c: f"list_distinct(regexp_extract_all({c}, '[0-9]+(?:\\.[0-9]+)?'
 _key = "list_filter(list_distinct(string_split_regex(lower(regexp_replace(anchor, '[^a-z0-9 ]', ' ', 'g')), '\\s+')), lambda x: not list_contains(['', 'the', 'a', 'an', 'of', 'in', 'and', 'was', 'were', 'that'], x))"
 
 
-@query("fn_petal_verify", f"""select petal_id, case when trim(anchor) = '' then false when length(trim(text)) < 40 then false
+_verified = f"""(select p.*, case when trim(anchor) = '' then false when length(trim(text)) < 40 then false
  when anchor_kind = 'session' and not hit then false
  when len(list_filter({_nums('text')}, lambda x: not list_contains({_nums('anchor')}, x) and not list_contains({_allow}, x) and not regexp_matches(x, '^(19|20)[0-9]{{2}}$'))) > 0 then false
  when anchor_kind = 'record' then null else true end verified
-from (select p.*, exists(select 1 from petals c where c.set_id = p.set_id and len(list_filter(k, lambda x: contains(lower(c.text), x))) >= greatest(2, floor(len(k) / 3))) hit from (select *, {_key} k from petals) p)""")
+from (select p.*, exists(select 1 from petals c where c.set_id = p.set_id and len(list_filter(k, lambda x: contains(lower(c.text), x))) >= greatest(2, floor(len(k) / 3))) hit from (select *, {_key} k from petals) p) p)"""
+
+
+@query("fn_petal_verify", f"select petal_id, verified from {_verified}")
 def _(t: Tables):
     claims = t.petals.select("set_id", F.col("text").alias("claim"))
     return petals.verify(t.petals, claims).select("petal_id", "verified")
@@ -354,10 +376,10 @@ def _(t: Tables):
     return petals.in_session(t.petals, t.petals.select("set_id", F.col("text").alias("claim"))).select("petal_id")
 
 
-@query("flt_kept_petals", "select petal_id from petals where coalesce(case when anchor_kind = 'record' then null when length(trim(anchor)) = 0 then false else true end, true)")
+@query("flt_kept_petals", f"select petal_id, verified from {_verified} where coalesce(verified, true)")
 def _(t: Tables):
-    known = F.when(F.col("anchor_kind") == "record", F.lit(None)).when(F.length(F.trim("anchor")) == 0, False).otherwise(True)
-    return t.petals.where(F.coalesce(known, F.lit(True))).select("petal_id")
+    claims = t.petals.select("set_id", F.col("text").alias("claim"))
+    return petals.verify(t.petals, claims).where(F.coalesce("verified", F.lit(True))).select("petal_id", "verified")
 
 
 _costs, _credits = duck.array(petals.COSTS), duck.array(petals.CREDITS)

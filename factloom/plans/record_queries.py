@@ -4,25 +4,34 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from factloom.functions import paths, records, replies
 from factloom.functions import text as tx
-from factloom.operators import ledger
+from factloom.operators import artefacts, council, evidence, index, ledger, petals
 from factloom.sources import documents as docs
 from factloom.sources import store
 
+from .council_queries import _verified
 from .registry import RELATIONS, Tables, query
 
 RELATIONS["benchmark_lines"] = "select item_id, cast(generate_subscripts(string_split(text, chr(10)), 1) as integer) n, unnest(string_split(text, chr(10))) line from benchmark"
 
 
-def _packed(t: Tables, make):
-    """The benchmark's items as files: (item_id, content)."""
-    build = F.udf(make, BinaryType())
-    return t("benchmark").select("item_id", build(F.split("text", "\n")).alias("content"))
+def _packed(t: Tables, make, rows=None):
+    """The benchmark's items, or rows (item_id, lines), as files (item_id, content)."""
+    import pyarrow as pa
+
+    rows = t("benchmark").select("item_id", F.split("text", "\n").alias("lines")) if rows is None else rows
+    out = pa.schema([("item_id", pa.int64()), ("content", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([make(x) for x in batch.column(1).to_pylist()], pa.binary())], schema=out)
+
+    return rows.mapInArrow(run, "item_id long, content binary")
 
 
 def _zip(parts: dict[str, str]) -> bytes:
@@ -38,8 +47,11 @@ def _esc(s: str) -> str:
 
 
 def _docx(lines) -> bytes:
-    body = "".join(f'<w:p>{"<w:pPr><w:pStyle w:val=\"Heading1\"/></w:pPr>" if i == 0 else ""}<w:r><w:t xml:space="preserve">{_esc(x)}</w:t></w:r></w:p>' for i, x in enumerate(lines))
-    return _zip({"word/document.xml": f'<w:document xmlns:w="{docs.W[1:-1]}"><w:body>{body}</w:body></w:document>'})
+    """A heading, a list item and paragraphs, with the style ids of a French Word."""
+    ids = {0: "Titre1", 1: "Puces"}
+    styles = "".join(f'<w:style w:styleId="{i}"><w:name w:val="{n}"/></w:style>' for i, n in (("Titre1", "heading 1"), ("Puces", "Bulleted List")))
+    body = "".join(f'<w:p>{f"<w:pPr><w:pStyle w:val=\"{ids[i]}\"/></w:pPr>" if i in ids else ""}<w:r><w:t xml:space="preserve">{_esc(x)}</w:t></w:r></w:p>' for i, x in enumerate(lines))
+    return _zip({"word/document.xml": f'<w:document xmlns:w="{docs.W[1:-1]}"><w:body>{body}</w:body></w:document>', "word/styles.xml": f'<w:styles xmlns:w="{docs.W[1:-1]}">{styles}</w:styles>'})
 
 
 def _pptx(lines) -> bytes:
@@ -47,10 +59,30 @@ def _pptx(lines) -> bytes:
     return _zip({f"ppt/slides/slide{i}.xml": shape % (docs.A[1:-1], _esc(x)) for i, x in enumerate(lines, 1)})
 
 
-def _xlsx(lines) -> bytes:
-    rows = "".join(f'<row><c r="A{i}"><v>{i}.0</v></c><c r="B{i}" t="inlineStr"><is><t>{_esc(x)}</t></is></c></row>' for i, x in enumerate(lines, 1))
-    book = f'<workbook xmlns="{docs.S[1:-1]}"><sheets><sheet name="lines"/></sheets></workbook>'
-    return _zip({"xl/workbook.xml": book, "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{docs.S[1:-1]}"><sheetData>{rows}</sheetData></worksheet>'})
+def _xlsx(lines, further=()) -> bytes:
+    """A sheet `lines` with numbered lines, and further sheets (name, text) of one cell."""
+    sheet = lambda rows: f'<worksheet xmlns="{docs.S[1:-1]}"><sheetData>{rows}</sheetData></worksheet>'
+    cell = lambda at, x: f'<c r="{at}" t="inlineStr"><is><t>{_esc(x)}</t></is></c>'
+    rows = "".join(f'<row><c r="A{i}"><v>{i}.0</v></c>{cell(f"B{i}", x)}</row>' for i, x in enumerate(lines, 1))
+    parts = {"xl/worksheets/sheet1.xml": sheet(rows)} | {f"xl/worksheets/sheet{n}.xml": sheet(f"<row>{cell('A1', x)}</row>") for n, (_, x) in enumerate(further, 2)}
+    names = "".join(f'<sheet name="{n}"/>' for n in ("lines", *(n for n, _ in further)))
+    return _zip({"xl/workbook.xml": f'<workbook xmlns="{docs.S[1:-1]}"><sheets>{names}</sheets></workbook>'} | parts)
+
+
+def _pdf(lines, per: int = 5) -> bytes:
+    """Pages of five lines each, drawn from the last to the first, in compressed streams and a font with a character map."""
+    cmap = b"begincmap 1 beginbfrange <0000> <FFFF> <0000> endbfrange endcmap"
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 3: b"<< /Type /Font /Subtype /Type0 /ToUnicode 4 0 R >>", 4: b"<< /Length %d >>\nstream\n%s\nendstream" % (len(cmap), cmap)}
+    pages = []
+    for begin in range(0, len(lines), per):
+        n = 5 + 2 * len(pages)
+        drawn = [b"1 0 0 1 72 %d Tm <%s> Tj" % (700 - 20 * i, x.encode("utf-16-be").hex().encode()) for i, x in enumerate(lines[begin : begin + per])]
+        body = zlib.compress(b"\n".join([b"BT /F1 12 Tf", *reversed(drawn), b"ET"]))
+        objects[n] = b"<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % (n + 1)
+        objects[n + 1] = b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(body), body)
+        pages.append(b"%d 0 R" % n)
+    objects[2] = b"<< /Type /Pages /Kids [%s] /Count %d >>" % (b" ".join(pages), len(pages))
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in objects.items()) + b"trailer << /Root 1 0 R >>\n%%EOF"
 
 
 def _rtf(lines) -> bytes:
@@ -58,7 +90,7 @@ def _rtf(lines) -> bytes:
     return ("{\\rtf1{\\fonttbl{\\f0 Arial;}}" + body + "}").encode("ascii")
 
 
-@query("scan_docx", "select item_id, cast(row_number() over (partition by item_id order by n) as integer) block, case when n = 1 then 'heading' else 'para' end kind, trim(line) text from benchmark_lines where trim(line) <> ''")
+@query("scan_docx", "select item_id, cast(row_number() over (partition by item_id order by n) as integer) block, case when n = 1 then 'heading' when n = 2 then 'list' else 'para' end kind, trim(line) text from benchmark_lines where trim(line) <> ''")
 def _(t: Tables):
     numbered = lambda data: [(i, k, x) for i, (k, _, x) in enumerate(docs.docx_blocks(data), 1)]
     return docs.parsed(_packed(t, _docx), numbered, "block int, kind string, text string", "item_id").drop("error")
@@ -80,10 +112,13 @@ def _(t: Tables):
     return docs.parsed(_packed(t, _rtf), lambda data: [(docs.rtf_text(data),)], "text string", "item_id").drop("error")
 
 
-@query("scan_pdf")
+@query("scan_pdf", """select item_id, cast((n - 1) // 5 + 1 as integer) page, case when item_id % 7 = 3 then null else string_agg(line, chr(10) order by n) filter (line <> '') end text, case when item_id % 7 = 3 then 'ValueError' end error
+ from benchmark_lines where item_id % 7 <> 3 group by all union all select item_id, null, null, 'ValueError' from benchmark where item_id % 7 = 3""".replace(", case when item_id % 7 = 3 then null else string_agg(line, chr(10) order by n) filter (line <> '') end text, case when item_id % 7 = 3 then 'ValueError' end error", ", coalesce(string_agg(line, chr(10) order by n) filter (line <> ''), '') text, null error"))
 def _(t: Tables):
-    # Without a PDF library each file is reported with an error; none sinks the others.
-    return docs.parsed(_packed(t, _rtf), docs.pdf_pages, "page int, text string", "item_id")
+    # Some files are no PDF: each is reported, and none sinks the others.
+    files = _packed(t, _pdf)
+    files = files.select("item_id", F.when(F.col("item_id") % 7 == 3, F.encode(F.lit("{not a pdf}"), "UTF-8")).otherwise(F.col("content")).alias("content"))
+    return docs.parsed(files, lambda data: docs.pdf_pages(data, layout=True), "page int, text string", "item_id")
 
 
 @query("scan_delimited", "select c_custkey, c_custkey::varchar c1, c_name c2, c_mktsegment c3 from customer")
@@ -99,9 +134,10 @@ def _(t: Tables):
     return t("benchmark").select("item_id", docs.latex_outline(docs.latex_body(tex)).alias("outline"))
 
 
-@query("fn_title_outline", "select item_id, 'A' || chr(10) || '    B' outline from benchmark")
+@query("fn_title_outline", "select doc_id, lang || chr(10) || '    ' || source || case when doc_id % 2 = 0 then chr(10) || '  ' || doc_id else '' end outline from documents")
 def _(t: Tables):
-    return t("benchmark").select("item_id", docs.latex_outline(F.lit("\\chapter{A} \\subsection{B}")).alias("outline"))
+    tex = F.concat(F.lit("\\chapter{"), "lang", F.lit("} \\subsection{"), "source", F.lit("}"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\\section*{"), F.col("doc_id").cast("string"), F.lit("}"))).otherwise(""))
+    return t("documents").select("doc_id", docs.latex_outline(tex).alias("outline"))
 
 
 @query("prj_page_spec", "select p_partkey, unnest(case when p_size % 2 = 0 then [0,1,2,3,4,7,10,11] else [p_size::int % 12] end) page from part")
@@ -110,10 +146,13 @@ def _(t: Tables):
     return t("part").select("p_partkey", F.explode(docs.page_spec(spec, 12)).alias("page"))
 
 
-@query("prj_sheet_select", "select r_name, r_regionkey from region where r_regionkey = 1")
+@query("prj_sheet_select", """select item_id, 'lines' sheet, n "row", n::varchar || chr(9) || line cells, null error from benchmark_lines where item_id % 3 = 0 union all select item_id, 'notes', 1, 'a note', null from benchmark where item_id % 3 = 1
+ union all select item_id, null, null, null, 'LookupError' from benchmark where item_id % 3 = 2""")
 def _(t: Tables):
-    sheets = t("region").groupBy().agg(F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("s"))  # the sheets of one small book
-    return sheets.select(F.element_at("s", 2).alias("x")).select("x.r_name", "x.r_regionkey")
+    # A sheet by its name, one by its place, and one that is not there.
+    files = _packed(t, lambda lines: _xlsx(lines, [("notes", "a note")]))
+    parts = [docs.parsed(files.where(F.col("item_id") % 3 == i), lambda data, spec=spec: docs.sheet_rows(data, spec), "sheet string, row int, cells array<string>", "item_id") for i, spec in enumerate(("lines", "2", "9"))]
+    return artefacts.union(*parts).select("item_id", "sheet", "row", F.array_join("cells", "\t").alias("cells"), "error")
 
 
 @query("prj_trim_table", "select doc_id, cast(max(line_no) as integer) last from lines where trim(line) <> '' group by 1")
@@ -141,32 +180,108 @@ def _(t: Tables):
     return rows.select("item_id", "n", F.when(F.col("n") == 1, F.concat(F.lit("# "), "line")).otherwise(F.col("line")).alias("md"))
 
 
-@query("sink_index_md", "select source, '- ' || source || ' — ' || good || '/' || total || ' (+' || pending || ' unchecked)' line from (select source, count(*) filter (status in ('CONFIRMED', 'DRIFTED')) good, count(*) total, count(*) filter (status in ('NEEDS_AGENT', 'PENDING')) pending from claims group by 1)")
+_memos = """(select source, min(lang) || ' texts' topic, count(*) filter (status in ('CONFIRMED', 'DRIFTED')) good, count(*) total, count(*) filter (status in ('NEEDS_AGENT', 'PENDING')) pending, cast(sum(len(string_split(text, chr(10)))) as bigint) n_lines,
+ source || '.memo.md' memo, cast(sum(greatest(1, floor(length(text) / 4))) as bigint) raw, cast(sum(60 + len(string_split(text, chr(10)))) as bigint) tokens from claims join (select doc_id claim_id, lang from documents) using (claim_id) group by 1)"""
+_steps = "".join(f", s{i + 1} as (select greatest(1, (length + length(format('{{:,}}', own))) // 4) own, length from s{i})" for i in range(5))
+
+
+@query("sink_index_md", f"""with m as {_memos}, t as (select cast(sum(raw) as bigint) raw, cast(sum(tokens) as bigint) tokens from m),
+ body as (select unnest(['# Memo index', '', '| source | topic | trust | lines | memo |', '|---|---|---|---|---|']) line union all
+  select '| `' || source || '` | ' || replace(left(topic, 60), '|', '\\|') || ' | ' || good || '/' || total || case when pending > 0 then ' (+' || pending || ' unchecked)' else '' end || ' | ' || n_lines || ' | `' || memo || '` |' from m),
+ tail as (select unnest(['', '## Ledger', '', '- raw material: ~' || format('{{:,}}', raw) || ' tokens', '- all memos: ~' || format('{{:,}}', tokens) || ' tokens', '- this index: ~@ tokens', '- saved: ~' || format('{{:,}}', raw - tokens) || ' tokens (' || cast(floor(100 * (raw - tokens) / raw) as bigint) || '%)', '']) line from t),
+ l as (select cast(sum(length(line) + 1) - 1 as bigint) length from (select line from body union all select line from tail)),
+ s0 as (select greatest(1, length // 4) own, length from l){_steps}
+select line from body union all select replace(line, '@', format('{{:,}}', own)) from tail, s5""")
+def _(t: Tables):
+    status = lambda *s: F.count_if(F.col("status").isin(*s))
+    lines = F.size(F.split("text", "\n"))
+    memos = t.claims.join(t("documents").select(F.col("doc_id").alias("claim_id"), "lang"), "claim_id").groupBy("source").agg(
+        F.concat(F.min("lang"), F.lit(" texts")).alias("topic"), status("CONFIRMED", "DRIFTED").alias("good"), F.count("*").alias("total"), status("NEEDS_AGENT", "PENDING").alias("pending"), F.sum(lines).alias("n_lines"),
+        F.concat(F.first("source"), F.lit(".memo.md")).alias("memo"), F.sum(tx.est_tokens("text")).alias("raw"), F.sum(lines + 60).alias("tokens"))
+    return _written(t, artefacts.memo_index(memos))
+
+
+def _written(t: Tables, rows):
+    """The lines of an artefact that was written, read back."""
+    path = store.scratch(t.spark, "artefact")
+    artefacts.write_text(rows, path)
+    return artefacts.read_text(t.spark, path).select("line")
+
+
+_two = lambda c: f"printf('%.2f', round({c}, 2))"
+_score = "printf('%+.2f', round(score, 2))"
+
+
+@query("sink_report_md", f"""select unnest(['# Session report', '', '## Claims', '', '| Status | Score | +/-/? | Check | Citations | Claim |', '|---|---:|---|---|---|---|']) line
+ union all select '| **' || upper(status) || '** | ' || {_score} || ' | +' || n_support || '/-' || n_refute || '/?' || n_uncertain || ' | ' || case when passed is null then '—' when passed then 'pass' else '**FAIL**' end || ' | '
+  || case when citations_total = 0 then '—' else coalesce(citations_verified::varchar, '?') || '/' || citations_total end || ' | claim ' || claim_id || ' |' from scored
+ union all select unnest(['', '### [' || upper(status) || '] claim ' || claim_id, '', 'Consensus ' || {_score}, '', '| Panelist | Round | Verdict | Conf. |', '|---|---|---|---:|']) from scored
+ union all select '| ' || panelist || ' | ' || round || ' | ' || coalesce(verdict, 'discarded') || ' | ' || coalesce({_two('confidence')}, '?') || ' |' from votes""")
 def _(t: Tables):
-    count = lambda *s: F.count_if(F.col("status").isin(*s))
-    g = t.claims.groupBy("source").agg(count("CONFIRMED", "DRIFTED").alias("good"), F.count("*").alias("total"), count("NEEDS_AGENT", "PENDING").alias("pending"))
-    return g.select("source", F.format_string("- %s — %d/%d (+%d unchecked)", "source", "good", "total", "pending").alias("line"))
+    return _written(t, artefacts.report(t.scored, t.votes))
 
 
-@query("sink_report_md", "select claim_id, '| ' || claim_id || ' | ' || status || ' | +' || n_support || '/-' || n_refute || '/?' || n_uncertain || ' |' line from scored")
+@query("sink_ledger_md", f"""with f as (select 'claim ' || claim_id fact, 'claims' source, case status when 'validated' then 'verified' when 'refuted' then 'refuted' else 'asserted' end status from scored
+ union all select 'citation ' || citation, 'evidence', case when verified then 'verified' else 'refuted' end from citations
+ union all select 'on topic ' || citation, 'relevance', case when relevant then 'verified' when not relevant then 'refuted' else 'not_run' end from citations where verified
+ union all select 'check ' || claim_id, 'checks', case when passed then 'verified' when not passed then 'refuted' else 'inconclusive' end from checks), n as (select status, count(*) n from f group by 1)
+select unnest(['# Verifiable facts', '', '| | count |', '|---|---:|']) line union all select '| **' || status || '** | ' || n || ' |' from n union all select unnest(['', '## ' || status || ' (' || n || ')', '']) from n union all select unnest(['**' || fact || '**', '- *From:* `' || source || '`']) from f""")
 def _(t: Tables):
-    return t.scored.select("claim_id", F.format_string("| %d | %s | +%d/-%d/?%d |", "claim_id", "status", "n_support", "n_refute", "n_uncertain").alias("line"))
+    return _written(t, artefacts.ledger(ledger.facts(t.scored, t.citations, t.checks), ledger.place("status")))
 
 
-@query("sink_petals", "select petal_id, set_id, kind, case when anchor_kind = 'record' then null else trim(anchor) <> '' end verified from petals")
+@query("sink_petals_md", f"""with v as {_verified} select unnest(['# Passages', '', '## Not used', '']) line union all select unnest(['## ' || section, '']) from (select distinct section from v where coalesce(verified, true))
+ union all select unnest(['**' || kind || '**' || case when verified is null then '  **[needs author confirmation]**' else '' end, '> ' || text, '*Anchor (' || anchor_kind || '):* ' || anchor, '']) from v where coalesce(verified, true)
+ union all select '- ~~' || left(text, 110) || '~~ (' || kind || ')' from v where not coalesce(verified, true)""")
 def _(t: Tables):
-    return t.petals.select("petal_id", "set_id", "kind", F.when(F.col("anchor_kind") != "record", F.trim("anchor") != "").alias("verified"))
+    claims = t.petals.select("set_id", F.col("text").alias("claim"))
+    return _written(t, artefacts.petals(petals.verify(t.petals, claims)))
 
 
-@query("sink_council", "select claim_id, stance, count(*) n from (select claim_id, unnest(['pro', 'contra']) stance from votes) group by all")
+_findings = "(select case when p_size % 2 = 0 then 'reviewer' else 'statistician' end role, case when p_size > 45 then 'blocking' when p_size > 25 then 'major' else 'minor' end severity, p_type location, p_name finding from part)"
+
+
+@query("sink_review_md", f"""with f as {_findings} select unnest(['# Independent review', '', '## Where they agree', '']) line union all select unnest(['## ' || role || ': ' || severity || ' (' || count(*) || ')', '']) from f group by role, severity
+ union all select unnest(['**' || location || '**', '> ' || finding]) from f union all select '- `' || left(lower(location), 40) || '`' from f where location <> '' group by left(lower(location), 40) having count(distinct role) > 1""")
 def _(t: Tables):
-    rows = t.votes.select("claim_id", F.explode(F.array(F.lit("pro"), F.lit("contra"))).alias("stance"))
-    return rows.groupBy("claim_id", "stance").agg(F.count("*").alias("n"))
+    size = F.col("p_size")
+    findings = t("part").select(F.when(size % 2 == 0, "reviewer").otherwise("statistician").alias("role"), F.when(size > 45, "blocking").when(size > 25, "major").otherwise("minor").alias("severity"), F.col("p_type").alias("location"), F.col("p_name").alias("finding"))
+    return _written(t, artefacts.review(findings))
+
+
+@query("sink_petals", "select petal_id, set_id, kind, case when anchor_kind = 'record' then null else trim(anchor) <> '' end verified from petals")
+def _(t: Tables):
+    return t.petals.select("petal_id", "set_id", "kind", F.when(F.col("anchor_kind") != "record", F.trim("anchor") != "").alias("verified"))
 
 
-@query("fmt_assembly_record", "select petal_id, kind || ': ' || case when trim(anchor) = '' then 'none declared' else left(anchor, 30) end line from petals")
+@query("sink_council", """select 'arguments' tab, stance "key", count(*) n, round(sum(strength), 3) total from (select 'pro' stance, k / 1000 strength from reviews union all select 'contra', (105 - k) / 1000 from reviews) group by 2
+ union all select 'claims', status, count(*), round(sum(score), 3) from scored group by 2 union all select 'calibration', panelist, 1, round(weight, 3) from weights""")
 def _(t: Tables):
-    return t.petals.select("petal_id", F.concat("kind", F.lit(": "), F.when(F.trim("anchor") == "", "none declared").otherwise(F.substring("anchor", 1, 30))).alias("line"))
+    # A session is stored twice, the second time with its claims settled: claims are upserted, arguments kept with the discarded ones.
+    spoken = t.reviews.withColumn("pro", F.expr("repeat('p', k)")).withColumn("contra", F.expr("concat(repeat(' ', 5), repeat('c', 100 - k))"))
+    path = store.scratch(t.spark, "council")
+    store.write_index(path, claims=t.scored.select("claim_id", F.lit("open").alias("status"), F.lit(0.0).alias("score")))
+    settled = council.upserted(store.read_index(t.spark, path)["claims"], t.scored.select("claim_id", "status", "score"), "claim_id")
+    store.write_index(path, claims=settled, arguments=council.arguments(spoken), calibration=t.weights)
+    kept = store.read_index(t.spark, path)
+    total = lambda c: F.round(F.sum(c), 3).alias("total")
+    return artefacts.union(
+        kept["arguments"].groupBy(F.col("stance").alias("key")).agg(F.count("*").alias("n"), total("strength")).select(F.lit("arguments").alias("tab"), "key", "n", "total"),
+        kept["claims"].groupBy(F.col("status").alias("key")).agg(F.count("*").alias("n"), total("score")).select(F.lit("claims").alias("tab"), "key", "n", "total"),
+        kept["calibration"].groupBy(F.col("panelist").alias("key")).agg(F.count("*").alias("n"), total("weight")).select(F.lit("calibration").alias("tab"), "key", "n", "total"),
+    )
+
+
+@query("fmt_assembly_record", """select source || ':' || doc_id seat, source || ':' || doc_id || ' — ' || upper(lang) || printf(' (confidence %.2f)', 0.5) || chr(10) || '  PRO: ' || left(text, 400) || chr(10) || '  CONTRA: ' || left(reverse(text), 400)
+ || case when doc_id % 3 = 0 then chr(10) || '  EMPHASIS: none declared' else chr(10) || '  EMPHASIS:' || chr(10) || '    foregrounds: ' || lang || chr(10) || '    sets aside: ' || case when doc_id % 3 = 1 then '(not declared)' else source end || chr(10) || '    reading: ' || left(text, 400) end
+ || chr(10) || '  LENSES:' || chr(10) || '    [literal] ' || left(text, 300) || chr(10) || '    [?] (empty)' record from documents""")
+def _(t: Tables):
+    turn = F.col("doc_id") % 3
+    lenses = F.array(F.struct(F.lit("literal").alias("kind"), F.col("text").alias("text")), F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("text")))
+    entries = t("documents").select(
+        F.concat_ws(":", "source", "doc_id").alias("seat"), F.col("lang").alias("verdict"), F.lit(0.5).alias("confidence"), F.col("text").alias("pro"), F.reverse("text").alias("contra"), F.when(turn != 0, F.col("lang")).alias("foregrounds"),
+        F.when(turn == 2, F.col("source")).alias("sets_aside"), F.col("text").alias("reading"), lenses.alias("lenses"))
+    return artefacts.assembly_record(entries)
 
 
 @query("fn_md_escape", "select page_id, replace(url, '|', '\\|') cell from pages")
@@ -198,11 +313,12 @@ def _(t: Tables):
     return _codes(t).select("item_id", replies.code_block(reply).alias("block"))
 
 
-@query("fn_json_lenient", "select item_id, item_id % 3 <> 2 parsed from benchmark")
+@query("fn_json_lenient", """select item_id, case item_id % 4 when 0 then '{"n":' || item_id || ',"status":"ok"}' when 1 then '{"note":"a\\nb' || item_id || '"}' when 3 then '{"a":[1,2],"b":' || item_id || '}' end json from benchmark""")
 def _(t: Tables):
-    i = F.col("item_id") % 3
-    text = F.when(i == 0, F.lit('```json\n{"status": "ok"}\n```')).when(i == 1, F.lit('Sure: {"note": "a\nb"} there')).otherwise(F.lit("no json at all"))
-    return replies.parse_replies(t("benchmark").select("item_id", text.alias("reply")), "item_id", "reply").select("item_id", F.col("json").isNotNull().alias("parsed"))
+    # Valid JSON, a fenced block, a raw line break in a string within prose, and a reply without any.
+    i, n = F.col("item_id") % 4, F.col("item_id").cast("string")
+    text = F.when(i == 0, F.concat(F.lit('```json\n{"status": "ok", "n": '), n, F.lit("}\n```"))).when(i == 1, F.concat(F.lit('Sure: {"note": "a\nb'), n, F.lit('"} there'))).when(i == 3, F.concat(F.lit('{"b": '), n, F.lit(', "a": [1, 2]}'))).otherwise(F.lit("no json at all"))
+    return replies.parse_replies(t("benchmark").select("item_id", text.alias("reply")), "item_id", "reply")
 
 
 @query("fn_split_seat", "select p_partkey, split_part(p_brand || '/' || p_name, '/', 1) provider, p_name model from part")
@@ -211,11 +327,30 @@ def _(t: Tables):
     return t("part").select("p_partkey", provider.alias("provider"), model.alias("model"))
 
 
-@query("scan_llm", "select item_id, item_id % 2 = 0 ok from benchmark")
+def _answer(prompt: str) -> str:
+    """A provider that runs on the workers: it counts words, has no answer for some prompts and fails on others."""
+    if len(prompt) % 5 == 0:
+        raise ConnectionError(prompt[:20])
+    return "" if len(prompt) % 5 == 1 else f'{{"words": {len(prompt.split())}}}'
+
+
+@query("scan_llm", """select item_id, length(text) % 5 > 1 ok, case when length(text) % 5 > 1 then '{"words":' || len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) || '}' end json, case length(text) % 5 when 0 then 'ConnectionError' when 1 then 'empty completion' end error from benchmark""")
 def _(t: Tables):
-    prompts = t("benchmark").select(F.col("item_id").alias("prompt_id"), F.col("text").alias("prompt"))
-    known = prompts.where("prompt_id % 2 = 0").select("prompt_id", F.lit("{}").alias("reply"))
-    return replies.table_backed(prompts, known).select(F.col("prompt_id").alias("item_id"), "ok")
+    rows = replies.called(t("benchmark").select("item_id", F.col("text").alias("prompt")), _answer, "item_id")
+    return rows.join(replies.parse_replies(rows, "item_id", "text"), "item_id").select("item_id", "ok", "json", "error")
+
+
+@query("adp_providers", "select item_id, item_id % 2 = 0 ok, case when item_id % 2 = 0 then 'reply to ' || text end reply from benchmark")
+def _(t: Tables):
+    # Replies that a provider has left as a table.
+    prompts = t("benchmark").select("item_id", F.col("text").alias("prompt"))
+    known = prompts.where("item_id % 2 = 0").select("item_id", F.concat(F.lit("reply to "), "prompt").alias("reply"))
+    return replies.table_backed(prompts, known, "item_id").select("item_id", "ok", "reply")
+
+
+@query("prm_prompts", "select doc_id, 'Question from ' || source || ' (' || lang || '):' || chr(10) || coalesce(text, '') || chr(10) || 'Answer in JSON.' prompt from documents")
+def _(t: Tables):
+    return t("documents").select("doc_id", replies.prompt("Question from {source} ({lang}):\n{text}\nAnswer in JSON.", source="source", lang="lang", text="text").alias("prompt"))
 
 
 @query("adp_local_verdict", "select claim_id, case status when 'CONFIRMED' then 'CONFIRMED' when 'REFUTED' then 'REFUTED' else 'UNSUPPORTED' end verdict from claims")
@@ -223,10 +358,12 @@ def _(t: Tables):
     return t.claims.select("claim_id", F.when(F.col("status").isin("CONFIRMED", "REFUTED", "UNSUPPORTED"), F.col("status")).otherwise("UNSUPPORTED").alias("verdict"))
 
 
-@query("adp_image_claims", "select item_id, count(*) n from (select item_id, trim(line) l from benchmark_lines) where length(l) >= 8 group by 1")
+@query("adp_image_claims", """select item_id, 'part ' || item_id topic, cast(row_number() over (partition by item_id order by n) - 1 as integer) pos, l text from (select item_id, n, regexp_replace(trim(line), '^`+|`+$', '', 'g') l from benchmark_lines where trim(line) <> '') where length(l) >= 8 and not regexp_matches(l, '(?i)^(?:imports?\\b|includes?\\s+the\\b|this\\s+(?:line|statement)\\s+)')""")
 def _(t: Tables):
-    reply = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("- "), x)), "\n")
-    return replies.image_claims(t("benchmark").select(F.col("item_id").alias("key"), reply.alias("reply"))).groupBy(F.col("key").alias("item_id")).agg(F.count("*").alias("n"))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("- "), x))
+    reply = F.concat(F.lit("TOPIC: part "), F.col("item_id").cast("string"), F.lit("\ntopic: another\n- imports a module of its own\n- short\n"), F.array_join(lines, "\n"))
+    rows = replies.image_claims(t("benchmark").select(F.col("item_id").alias("key"), reply.alias("reply")))
+    return rows.select(F.col("key").alias("item_id"), "topic", "pos", "text")
 
 
 @query("adp_tension", "select set_id, a, b from (select a.set_id, a.petal_id a, b.petal_id b, row_number() over (partition by a.set_id order by a.petal_id, b.petal_id) rn from petals a join petals b on a.set_id = b.set_id and a.petal_id < b.petal_id) where rn <= 12")
@@ -237,14 +374,15 @@ def _(t: Tables):
     return ids.select("set_id", F.inline(F.slice(pairs, 1, 12)))
 
 
-@query("adp_seats", "select panelist, weight from weights where panelist in ('p0', 'p2', 'p4')")
-def _(t: Tables):
-    return t.weights.where(F.col("panelist").isin("p0", "p2", "p4"))
+_needs = {"algeria": None, "brazil": "BRAZIL", "canada": "CANADA", "egypt": "EGYPT", "france": "FRANCE"}
 
 
-@query("adp_model_lookup", "select page_id, 8192 ctx from files")
+@query("adp_seats", """select pos, seat, provider, model from (values (0, 'brazil', 'brazil', null, 'BRAZIL'), (1, 'canada/big-2', 'canada', 'big-2', 'CANADA'), (3, 'egypt/small', 'egypt', 'small', 'EGYPT'), (4, 'algeria', 'algeria', null, null), (5, 'france', 'france', null, 'FRANCE')) s(pos, seat, provider, model, need)
+ where need is null or need in (select n_name from nation where n_regionkey <> 3)""")
 def _(t: Tables):
-    return t.files.select("page_id", F.coalesce(F.try_element_at(F.create_map(F.lit("big"), F.lit(65536)), F.lit("small")), F.lit(8192)).alias("ctx"))
+    # Nations as settings: those of one region are blank.
+    settings = t("nation").select(F.col("n_name").alias("name"), F.when(F.col("n_regionkey") != 3, "set").otherwise(" ").alias("value"))
+    return replies.available_seats("brazil, canada/big-2, nobody, egypt/small, algeria, france", settings, _needs)
 
 
 @query("src_find_transcript", "select user_id, arg_max(event_id, ts) latest from (select user_id, event_id, (ts, event_id) ts from events) group by 1")
@@ -257,9 +395,11 @@ def _(t: Tables):
     return t.files.select("page_id", paths.is_image("path").alias("image"))
 
 
-@query("null_coalesce", "select event_id, coalesce(nullif(event_type, 'view'), 'none') kind from events")
+@query("null_coalesce", "select doc_id, case when quality is null then 'none' else quality::varchar end quality, case when trim(split_part(text, chr(10), 2)) = '' then 'blank' else trim(split_part(text, chr(10), 2)) end line2 from documents left join labels using (doc_id)")
 def _(t: Tables):
-    return t("events").select("event_id", F.coalesce(F.nullif(F.col("event_type"), F.lit("view")), F.lit("none")).alias("kind"))
+    rows = t("documents").join(t("labels").select("doc_id", "quality"), "doc_id", "left")
+    second = F.trim(F.get(F.split("text", "\n"), F.lit(1)))
+    return rows.select("doc_id", records.or_default(F.col("quality").cast("string"), "none").alias("quality"), records.or_default(second, "blank").alias("line2"))
 
 
 @query("agg_review", """select location, count(*) n, bool_or(blocking) blocking from (select distinct left(lower(p_type), 40) location, p_size % 2 role, p_size > 45 blocking from part) group by 1 having count(distinct role) = 2""")
@@ -268,9 +408,42 @@ def _(t: Tables):
     return f.groupBy("location").agg(F.count("*").alias("n"), F.bool_or("blocking").alias("blocking"), F.countDistinct("role").alias("r")).where("r = 2").drop("r")
 
 
-@query("set_zip_check", "select p_partkey, cast(len(list_intersect(['BRAND#11', 'BRAND#12'], [upper(p_brand)])) as integer) n from part")
+_have = "(select user_id, list_sort(list_intersect(['purchase', 'error', 'refund', 'click'], list(event_type))) have from events where user_id % 3 = 0 or event_type <> 'click' group by 1)"
+
+
+def _installed(t: Tables):
+    """What each user's environment has of the packages that are wanted."""
+    wanted = F.array(*map(F.lit, ("purchase", "error", "refund", "click")))
+    have = t("events").where("user_id % 3 = 0 or event_type <> 'click'").groupBy("user_id").agg(F.collect_set("event_type").alias("all"))
+    return have.select("user_id", F.array_sort(F.array_intersect(wanted, "all")).alias("have"))
+
+
+@query("set_zip_check", f"select user_id, array_to_string(have, ',') have from {_have}")
 def _(t: Tables):
-    return t("part").select("p_partkey", F.size(F.array_intersect(F.array(F.lit("BRAND#11"), F.lit("BRAND#12")), F.array(F.upper("p_brand")))).alias("n"))
+    return _installed(t).select("user_id", F.array_join("have", ",").alias("have"))
+
+
+@query("adp_check_env", f"select user_id, case when len(have) = 0 then 'Base only; no further packages are installed.' else 'Base, and these packages: ' || array_to_string(have, ', ') || '.' end env from {_have}")
+def _(t: Tables):
+    return _installed(t).select("user_id", replies.environment("have").alias("env"))
+
+
+@query("scan_env_file", "select r_regionkey, upper(replace(n_name, ' ', '_')) \"key\", n_nationkey::varchar \"value\" from nation join region on n_regionkey = r_regionkey union all select r_regionkey, 'KEPT', 'old' from region")
+def _(t: Tables):
+    # A settings file for each region: comments, quotes, and a key that is set already.
+    line = F.concat(F.upper(F.replace("n_name", F.lit(" "), F.lit("_"))), F.lit(" = '"), F.col("n_nationkey").cast("string"), F.lit("'"))
+    files = t("nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("l"))
+    files = files.select(F.col("r_regionkey").cast("long").alias("r_regionkey"), F.encode(F.concat(F.lit("# settings\n\nKEPT=new\n"), "l"), "UTF-8").alias("content"))
+    return docs.parsed(files, lambda data: list(docs.env_settings(data.decode(), {"KEPT": "old"}).items()), "key string, value string", "r_regionkey").drop("error")
+
+
+@query("sink_atomic", "select count(*) n, cast(sum(r_regionkey) as bigint) total from region")
+def _(t: Tables):
+    # A rebuild that broke off before it was published is never read.
+    path = store.scratch(t.spark, "atomic")
+    store.write_index(path, rows=t("region").select("r_regionkey"))
+    store.put(store.new_version(path), "rows", t("region").select("r_regionkey").limit(0))
+    return store.read_index(t.spark, path)["rows"].agg(F.count("*").alias("n"), F.sum("r_regionkey").alias("total"))
 
 
 @query("chart_consensus", "select claim_id, round(score, 6) score, status from scored order by score, claim_id")
@@ -293,7 +466,8 @@ def _(t: Tables):
 @query("sink_index", "select 'claims' name, count(*) n from claims union all select 'keywords', count(*) from keywords union all select 'memos', count(distinct source) from claims")
 def _(t: Tables):
     path = store.scratch(t.spark, "index")
-    store.write_index(path, claims=t.claims, keywords=t.keywords, memos=t.claims.select("source").distinct())
+    for _ in range(2):  # a rebuild replaces the index as a whole
+        store.write_index(path, claims=t.claims, keywords=t.stored, memos=t.claims.select("source").distinct())
     out = None
     for name, df in store.read_index(t.spark, path).items():
         one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
@@ -303,16 +477,14 @@ def _(t: Tables):
 
 @query("scan_sqlite_index", "select claim_id, status from claims where status = 'CONFIRMED'")
 def _(t: Tables):
-    path = store.scratch(t.spark, "index")
-    store.write_index(path, claims=t.claims)
-    return store.read_index(t.spark, path)["claims"].where("status = 'CONFIRMED'").select("claim_id", "status")
+    return t.index["claims"].where("status = 'CONFIRMED'").select("claim_id", "status")
 
 
 @query("scan_council_store", "select claim_id, panelist, verdict from votes")
 def _(t: Tables):
     path = store.scratch(t.spark, "council")
-    store.write_index(path, claims=t.votes.select("claim_id", "panelist", "verdict"))
-    return store.read_index(t.spark, path)["claims"]
+    store.write_index(path, verdicts=t.votes.select("claim_id", "panelist", "verdict"))
+    return store.read_index(t.spark, path)["verdicts"]
 
 
 @query("sink_handoff", "select 'claims: ' || count(*) || ', pending: ' || count(*) filter (status in ('NEEDS_AGENT', 'PENDING')) || ', sources: ' || count(distinct source) note from claims")
@@ -326,16 +498,60 @@ def _(t: Tables):
     return t.files.agg(F.count_if(F.col("page_id") % 3 != 0).alias("passed"), F.count("*").alias("total")).select(F.to_json(F.struct("passed", "total")).alias("json"))
 
 
-@query("sink_html", "select '<li>' || status || ': ' || count(*) || '</li>' item from scored group by status")
+_colours = {"validated": "#1a9850", "refuted": "#d73027", "contested": "#f0a202", "unresolved": "#9e9e9e"}
+_colour_sql = "case status " + " ".join(f"when '{k}' then '{v}'" for k, v in _colours.items()) + " end"
+_open_svg, _close_svg = '<svg xmlns="http://www.w3.org/2000/svg" width="760" font-size="12">', "</svg>"
+
+
+def _bars_sql(source: str, label: str, size: str, order: str, colour: str) -> str:
+    """The lines of a chart of bars, with their place."""
+    short = "case when length(label) > 46 then left(label, 43) || '...' else label end"
+    return f"""(select -1 y, '{_open_svg}' line union all select y, '<rect x="300" y="' || y || '" width="' || width || '" height="16" fill="' || colour || '"/><text x="0" y="' || (y + 13) || '">' || replace(replace({short}, '&', '&amp;'), '<', '&lt;') || '</text>'
+ from (select *, (row_number() over (order by ord, label) - 1) * 20 y from (select {label} label, cast(round(abs({size}) * 400) as bigint) width, {order} ord, {colour} colour from {source} order by ord desc, label desc limit 200)) union all select 1000000, '{_close_svg}')"""
+
+
+_chart_sql = {
+    "consensus": _bars_sql("scored", "'claim ' || claim_id", "score", "round(score, 9)", _colour_sql),
+    "votes": _bars_sql("(select claim_id, verdict, count(*) n from votes group by all)", "'claim ' || claim_id || ' ' || verdict", "n / 20", "cast(n as double)", "'#3b78b0'"),
+    "calibration": _bars_sql("weights", "panelist", "weight / 2", "round(weight, 9)", "'#3b78b0'"),
+    "citations": _bars_sql("(select case when not verified then 'does not resolve' when relevant is null then 'resolves, not judged' when relevant then 'resolves, on topic' else 'resolves, off topic' end class, count(*) / (select count(*) from citations) share from citations group by 1)", "class", "share", "share", "'#3b78b0'"),
+}
+
+
+def _charts(t: Tables) -> dict:
+    """The four charts by name, as functions of the name, so that one that fails doesn't sink the others."""
+    claim = F.concat(F.lit("claim "), F.col("claim_id").cast("string"))
+    total = lambda: t.citations.count()
+    return {
+        "consensus": lambda n: artefacts.bars(t.scored, claim, F.col("score"), F.round("score", 9), paths.lookup("status", _colours, "#000000"), n),
+        "votes": lambda n: artefacts.bars(t.votes.groupBy("claim_id", "verdict").agg(F.count("*").alias("n")), F.concat(claim, F.lit(" "), "verdict"), F.col("n") / 20, F.col("n").cast("double"), "#3b78b0", n),
+        "calibration": lambda n: artefacts.bars(t.weights, F.col("panelist"), F.col("weight") / 2, F.round("weight", 9), "#3b78b0", n),
+        "citations": lambda n: artefacts.bars(t.citations.groupBy(evidence.citation_class("verified", "relevant").alias("class")).agg((F.count("*") / total()).alias("share")), F.col("class"), F.col("share"), F.col("share"), "#3b78b0", n),
+    }
+
+
+@query("sink_charts", " union all ".join(f"select '{n}' chart, line from {q}" for n, q in _chart_sql.items()) + " union all select 'broken', 'AnalysisException'")
 def _(t: Tables):
-    return t.scored.groupBy("status").agg(F.count("*").alias("n")).select(F.format_string("<li>%s: %d</li>", "status", "n").alias("item"))
+    path = store.scratch(t.spark, "charts")
+    makers = _charts(t) | {"broken": lambda n: artefacts.bars(t.weights, F.col("no_such_column"), F.lit(1), F.lit(1.0), "#000000", n)}
+    made = artefacts.charts(makers, path)
+    drawn = [artefacts.read_text(t.spark, f"{path}/{n}").select(F.col("name").alias("chart"), "line") for n, error in made.items() if not error]
+    failed = t.spark.createDataFrame([(n, e) for n, e in made.items() if e], "chart string, line string")
+    return artefacts.union(*drawn, failed)
 
 
-@query("sink_charts", "select claim_id, verdict, count(*) n, case when length('claim ' || claim_id) > 46 then left('claim ' || claim_id, 43) || '...' else 'claim ' || claim_id end label from votes group by all")
+@query("sink_html", f"""with k as (select count(*) n, count(*) filter (status = 'validated') v, round(avg(score), 2) m from scored),
+ svg as (select string_agg(line, chr(10) order by y) s from {_chart_sql['calibration']})
+select unnest(['<!doctype html><html><head><meta charset=''utf-8''><title>Statistical report</title></head><body>', '<h1>Statistical report</h1>', '<table><tr><th>status</th><th>n</th><th>mean</th></tr>', '</table>', '</body></html>']) line
+ union all select unnest(['<div class=''kpi''><b>' || n || '</b> claims</div>', '<div class=''kpi''><b>' || v || '</b> validated</div>', '<div class=''kpi''><b>' || printf('%.2f', m) || '</b> mean consensus</div>']) from k
+ union all select '<tr><td>' || status || '</td><td>' || count(*) || '</td><td>' || printf('%.2f', round(avg(score), 2)) || '</td></tr>' from scored group by status
+ union all select '<img alt=''calibration'' src=''data:image/svg+xml;base64,' || to_base64(encode(s)) || chr(39) || '/>' from svg""")
 def _(t: Tables):
-    label = F.concat(F.lit("claim "), F.col("claim_id").cast("string"))
-    short = F.when(F.length(label) > 46, F.concat(F.substring(label, 1, 43), F.lit("..."))).otherwise(label)
-    return t.votes.groupBy("claim_id", "verdict").agg(F.count("*").alias("n")).withColumn("label", short)
+    mean = F.format_string("%.2f", F.round(F.avg("score"), 2))
+    totals = t.scored.agg(F.count("*").alias("n"), F.count_if(F.col("status") == "validated").alias("v"), mean.alias("m"))
+    rows = t.scored.groupBy("status").agg(F.count("*").alias("n"), mean.alias("mean"))
+    figure = _charts(t)["calibration"]("calibration")
+    return _written(t, artefacts.page("Statistical report", {"claims": F.col("n"), "validated": F.col("v"), "mean consensus": F.col("m")}, totals, rows, {"calibration": figure}))
 
 
 @query("fn_norm_slug", "select doc_id, 'q' || left(sha1(source || '|' || lang || '|' || doc_id), 10) id from documents")
@@ -355,18 +571,31 @@ def _(t: Tables):
     return t.scored.orderBy("score", "claim_id").select("claim_id", "status", colour.alias("colour"), F.round("score", 6).alias("score"))
 
 
-@query("adp_env_lookup", "select panelist, case panelist when 'p0' then 'stats' else 'base' end env from prior")
+@query("adp_env_lookup", """select c_custkey, case c_mktsegment when 'BUILDING' then 'r-stats' when 'MACHINERY' then 'figures' else 'r-stats' end env from customer""")
 def _(t: Tables):
-    known = F.create_map(F.lit("p0"), F.lit("stats"))
-    return t.prior.select("panelist", F.coalesce(F.try_element_at(known, F.col("panelist")), F.lit("base")).alias("env"))
+    # One environment is there without the execute bit, so that its role falls back to the default's.
+    installed = t.spark.createDataFrame([("r-stats", True), ("figures", True), ("half-made", False)], "env string, executable boolean")
+    roles = t("customer").select("c_custkey", F.col("c_mktsegment").alias("role"))
+    return paths.environments(roles, {"BUILDING": "r-stats", "MACHINERY": "figures", "AUTOMOBILE": "half-made", "default": "r-stats"}, installed, "Rscript").select("c_custkey", "env")
+
+
+RELATIONS["bench_claims"] = "select item_id claim_id, text from benchmark"
+RELATIONS["bench_words"] = RELATIONS["kw_words"].replace("from claims", "from bench_claims")
+RELATIONS["bench_kw"] = RELATIONS["keywords"].replace("kw_words", "bench_words")
 
 
-@query("run_bench_pipeline", "select verdict, count(*) n from (select case when contains(c.text, left(b.text, 24)) then 'CONFIRMED' else 'REFUTED' end verdict from benchmark b join claims c on c.claim_id = b.item_id) group by 1")
+@query("run_bench_pipeline", """with s as (select b.claim_id item_id, k.claim_id, round(sum(round(k.weight * (0.4 + idf), 3)), 6) s from bench_kw b join keywords k using (keyword) join idf using (keyword) group by all),
+ top as (select item_id, claim_id from (select *, row_number() over (partition by item_id order by s desc, claim_id) rn from s) where rn <= 3),
+ g as (select item_id, bool_or(contains(lower(c.text), lower(b.text))) ok, cast(sum(length(c.text) // 4 + 12) as bigint) cost from top join claims c using (claim_id) join benchmark b using (item_id) group by 1)
+select item_id, case when ok then 'CONFIRMED' when ok is null then 'no claim returned' else 'REFUTED' end verdict, coalesce(cost, 0) cost from benchmark left join g using (item_id)""")
 def _(t: Tables):
-    # Generate (a snippet for each item), verify (against the claim it names), tally.
-    made = t("benchmark").select(F.col("item_id").alias("claim_id"), F.substring("text", 1, 24).alias("snippet"))
-    verdict = F.when(F.col("text").contains(F.col("snippet")), "CONFIRMED").otherwise("REFUTED")
-    return made.join(t.claims.select("claim_id", "text"), "claim_id").groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
+    # Each endpoint asks the stored index for three claims, which are graded against what it expects, and cost their tokens.
+    items = t("benchmark").select("item_id", "text")
+    top = index.best_by_keywords(t.index, items.select(F.col("item_id").alias("claim_id"), "text"), 3).withColumnRenamed("question_id", "item_id")
+    met = top.join(t.claims.select("claim_id", F.col("text").alias("found")), "claim_id").join(items, "item_id")
+    graded = met.groupBy("item_id").agg(F.bool_or(F.lower("found").contains(F.lower("text"))).alias("ok"), F.sum(F.floor(F.length("found") / 4).cast("long") + 12).alias("cost"))
+    verdict = F.when(F.col("ok"), "CONFIRMED").when(F.col("ok").isNull(), "no claim returned").otherwise("REFUTED")
+    return items.join(graded, "item_id", "left").select("item_id", verdict.alias("verdict"), F.coalesce("cost", F.lit(0)).alias("cost"))
 
 
 @query("fn_lenses", "select claim_id, cast(case when utility >= 0.7 then 3 when utility >= 0.4 then 2 else 1 end as integer) n from indexed where status = 'NEEDS_AGENT'")
@@ -397,9 +626,9 @@ def _(t: Tables):
     return t("customer").join(t("orders").where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("rel_anti", "select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("rel_anti", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000)")
 def _(t: Tables):
-    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return t("customer").join(t("orders").where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("rel_correlated_max", "select o_custkey, o_orderkey from orders o where o_totalprice = (select max(o_totalprice) from orders i where i.o_custkey = o.o_custkey)")

@@ -1,8 +1,7 @@
 """Document readers: bytes to records, with the standard library. Each takes a table of (path, content) and returns rows of records.
 
-Word, PowerPoint and Excel files are zip archives of XML, which the standard library parses. PDF text needs a library that is not part
-of the standard one: pdf_pages() uses it if it can be imported and otherwise gives one row with an error for each file. Old binary
-formats, OCR and rasterising are outside of Spark's reach; their adapters take the converted text as a table.
+Word, PowerPoint and Excel files are zip archives of XML, which the standard library parses; PDF files have a reader of their own (pdf).
+Old binary formats, OCR and rasterising are outside of Spark's reach; their adapters take the converted text as a table.
 """
 
 from __future__ import annotations
@@ -31,9 +30,22 @@ def _number(name: str) -> int:
     return int(re.sub(r"\D", "", name) or 0)
 
 
+def _style_names(z: zipfile.ZipFile) -> dict[str, str]:
+    """Style names by id: ids differ between languages, names don't."""
+    if "word/styles.xml" not in z.namelist():
+        return {}
+    out = {}
+    for style in ElementTree.fromstring(z.read("word/styles.xml")).iter(f"{W}style"):
+        name = style.find(f"{W}name")
+        if name is not None:
+            out[style.get(f"{W}styleId")] = name.get(f"{W}val") or ""
+    return out
+
+
 def docx_blocks(data: bytes) -> list[tuple[str, int | None, str]]:
     """(kind, level, text): headings, list items and paragraphs in order, blank ones dropped, then tables row by row."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = _style_names(z)
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{W}body")
     out: list[tuple[str, int | None, str]] = []
     for p in body.findall(f"{W}p"):
@@ -41,9 +53,10 @@ def docx_blocks(data: bytes) -> list[tuple[str, int | None, str]]:
         if not text:
             continue
         style = p.find(f"{W}pPr/{W}pStyle")
-        name = (style.get(f"{W}val") if style is not None else "") or ""
-        heading = re.match(r"(?i)heading\s*(\d+)", name)
-        out.append(("heading", int(heading[1]), text) if heading else ("list" if name.lower().startswith("list") else "para", None, text))
+        own = (style.get(f"{W}val") if style is not None else "") or ""
+        name = names.get(own, own).lower()
+        heading = re.match(r"heading\s*(\d+)", name)
+        out.append(("heading", int(heading[1]), text) if heading else ("list" if "list" in name else "para", None, text))
     for table in body.findall(f"{W}tbl"):
         for row in table.findall(f"{W}tr"):
             out.append(("row", None, "\t".join("".join(t.text or "" for t in c.iter(f"{W}t")).strip() for c in row.findall(f"{W}tc"))))
@@ -168,11 +181,24 @@ def rtf_text(data: bytes) -> str:
     return "".join(out).strip()
 
 
-def pdf_pages(data: bytes) -> list[tuple[int, str]]:
-    """(page, text); needs a PDF library."""
-    from pypdf import PdfReader
+def pdf_pages(data: bytes, layout: bool = False) -> list[tuple[int, str]]:
+    """(page, text)"""
+    from . import pdf
 
-    return [(i, page.extract_text() or "") for i, page in enumerate(PdfReader(io.BytesIO(data)).pages, 1)]
+    return pdf.pages(data, layout)
+
+
+def sheet_rows(data: bytes, spec: str) -> list[tuple[str, int, list[str]]]:
+    """The rows of one sheet, by its place from 1 on or by its exact name; raises where there is none."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{S}sheet")]
+    if spec.isdigit():
+        if not 1 <= int(spec) <= len(names):
+            raise LookupError(f"no sheet {spec}")
+        spec = names[int(spec) - 1]
+    elif spec not in names:
+        raise LookupError(f"no sheet {spec}")
+    return [r for r in xlsx_rows(data) if r[0] == spec]
 
 
 def parsed(files: DataFrame, reader: Callable[[bytes], list[tuple]], columns: str, key: str = "path") -> DataFrame:

@@ -49,13 +49,17 @@ def test_gate_never_lets_blocked_through(spark):
     assert {r[0] for r in rows.where(tx.status_allowed("status")).collect()} == {"CONFIRMED"}
 
 
-def test_search_never_returns_refuted(spark):
+def test_search_never_returns_refuted(spark, tmp_path):
     claims = spark.createDataFrame([(1, "a", "cats chase small mice", "REFUTED"), (2, "a", "cats chase dogs", "CONFIRMED"), (3, "b", "nothing here", "CONFIRMED")], "claim_id long, source string, text string, status string")
-    kws = index.keyword_rows(claims)
     feedback = spark.createDataFrame([], "claim_id long, hits long, helpful long, unhelpful long")
-    rows = index.indexed(claims, kws, index.idf(kws, claims), feedback)
-    got = index.search(claims, rows, "which cats chase mice", floor=0.0, include_unproven=True).collect()
-    assert [r["claim_id"] for r in got] == [2]
+    index.build(str(tmp_path), claims, feedback)
+    built = store.read_index(spark, str(tmp_path))
+    got = index.search(built, "which cats chase mice", floor=0.0, include_unproven=True)
+    assert [r["claim_id"] for r in got.collect()] == [2]
+    assert [tuple(r) for r in index.shown(feedback, got).collect()] == [(2, 1, 0, 0)]
+    # Only the question's terms are read.
+    plan = index.bm25(built, "cats")._jdf.queryExecution().toString()
+    assert "PushedFilters: [StringStartsWith(word,cat)]" in plan or "StringStartsWith(word,cat)" in plan
 
 
 def test_calibration_weight(spark):
@@ -183,10 +187,73 @@ def test_semantic_hint(spark):
 
 
 def test_seed_clusters_follow_the_seed_only(spark):
-    rows = [(0, 1, "a b c d e"), (0, 2, "a b c d f"), (0, 3, "a b c f g"), (0, 4, "x y z"), (1, 5, "a b c d e")]
+    rows = [(0, 1, "a b c d e"), (0, 2, "a b c d f"), (0, 3, "a b c f g"), (0, 4, "x y z"), (1, 5, "a b c d e"), (0, 6, "f d c b a"), (0, 7, " "), (0, 8, " ")]
     df = spark.createDataFrame(rows, "question_id long, doc_id long, claim string")
     got = {r["doc_id"]: r["seed"] for r in evidence.seed_clusters(df, 0.6).collect()}
-    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 1, 7: 7, 8: 8}
+
+
+def _claims(spark):
+    from .conftest import SF
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = docs.selectExpr("doc_id", "source question_id", "text claim")
+    tokens = {r["doc_id"]: (r["question_id"], frozenset(r["t"])) for r in rows.select("doc_id", "question_id", tx.claim_tokens("claim").alias("t")).collect()}
+    near = lambda a, b: a[0] == b[0] and a[1] and b[1] and len(a[1] & b[1]) >= 0.6 * len(a[1] | b[1])
+    seeds, of = [], {}
+    for i in sorted(tokens):
+        of[i] = next((x for x in seeds if near(tokens[x], tokens[i])), i)
+        seeds += [i] if of[i] == i else []
+    return docs, rows, tokens, near, of
+
+
+def test_seed_clusters_are_the_greedy_ones(spark):
+    docs, rows, tokens, near, of = _claims(spark)
+    assert {r["doc_id"]: r["seed"] for r in evidence.seed_clusters(rows, 0.6).collect()} == of and len(set(of.values())) < len(of)
+    pairs = {(r["a"], r["b"]) for r in evidence.similar_claims(evidence.token_classes(rows), 0.6).collect()}
+    rep = {i: min(j for j in tokens if tokens[j] == x) for i, x in tokens.items() if x[1]}
+    want = {(a, b) for a in rep for b in rep if a < b and rep[a] == a and (rep[b] == a or rep[b] == b and near(tokens[a], tokens[b]))}
+    assert pairs == want
+
+
+def test_merged_claims(spark):
+    from factloom.plans import catalogue
+
+    from .conftest import SF
+
+    docs, *_, of = _claims(spark)
+    info = {r["doc_id"]: (r["lang"], r["n_chars"]) for r in docs.collect()}
+    want = {}
+    for i, seed in of.items():
+        want.setdefault(seed, []).append(info[i])
+    got = {r["seed"]: r for r in catalogue.queries()["agg_claim_merge"](spark, SF).collect()}
+    assert set(got) == set(want)
+    for seed, members in want.items():
+        langs = sorted({x for x, _ in members})
+        r = got[seed]
+        assert (r["proposed_by"], r["n_merged"], r["n_proposers"]) == (",".join(langs), len(members), len(langs))
+        assert r["confidence"] == pytest.approx(sum(n for _, n in members) / len(members) / 1000, abs=1e-5)
+
+
+def test_cluster_labels(spark):
+    from factloom.plans.registry import Tables
+
+    from .conftest import SF
+
+    rows = Tables(spark, SF).petals
+    sets = {}
+    for r in rows.select("set_id", "petal_id", tx.plain_tokens("anchor", tx.STOP_PETAL).alias("t")).collect():
+        sets.setdefault(r["set_id"], []).append((r["petal_id"], set(r["t"])))
+    want = {}
+    for members in sets.values():
+        members.sort()
+        label = {i: i for i, _ in members}
+        for x, (i, a) in enumerate(members):
+            for j, b in members[x + 1 :]:
+                if a | b and len(a & b) >= 0.45 * len(a | b):
+                    label[j] = label[i]
+        want |= label
+    assert {r["petal_id"]: r["cluster"] for r in petals.labels(rows).collect()} == want
 
 
 def test_petal_numbers(spark):
@@ -226,7 +293,13 @@ def test_readers():
     from factloom.plans import record_queries as q
 
     lines = ["Title & more", "second < line", "", "Ünï"]
-    assert docs.docx_blocks(q._docx(lines)) == [("heading", 1, "Title & more"), ("para", None, "second < line"), ("para", None, "Ünï")]
+    assert docs.docx_blocks(q._docx(lines)) == [("heading", 1, "Title & more"), ("list", None, "second < line"), ("para", None, "Ünï")]
+    assert docs.pdf_pages(q._pdf([*lines, "5", "6 😀 (x) \\ y"]), layout=True) == [(1, "Title & more\nsecond < line\nÜnï\n5"), (2, "6 😀 (x) \\ y")]
+    plain = b"%PDF-1.1\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj 2 0 obj << /Kids [3 0 R] >> endobj 3 0 obj << /Type /Page /Contents [4 0 R] >> endobj 4 0 obj << >>\nstream\nBT 10 20 Td 14 TL (Hello \\(x\\) \\101) Tj T* [(Wor) -20 (ld)] TJ (next) ' ET\nendstream endobj"
+    assert docs.pdf_pages(plain) == [(1, "Hello (x) A\nWorld\nnext")]
+    for bad in (b"junk", b"%PDF-1.4\ntrailer << /Encrypt 5 0 R >>"):
+        with pytest.raises(ValueError):
+            docs.pdf_pages(bad)
     assert [t for _, t, _ in docs.pptx_slides(q._pptx(lines))] == ["Title & more", "second < line", "", "Ünï"]
     assert docs.xlsx_rows(q._xlsx(lines))[1] == ("lines", 2, ["2", "second < line"])
     assert docs.rtf_text(q._rtf(lines)) == "\n".join(lines)
@@ -242,6 +315,42 @@ def test_bad_file_does_not_sink_the_others(spark):
     assert got == {"a": ("BadZipFile", None), "b": (None, "x")}
 
 
+def test_artefacts_are_in_order(spark, tmp_path):
+    from factloom.operators import artefacts
+
+    memos = spark.createDataFrame([("b", "x | y", 1, 2, 1, 9, "b.memo.md", 5000, 40), ("a", "t", 2, 2, 0, 3, "a.memo.md", 100, 10)], "source string, topic string, good int, total int, pending int, n_lines int, memo string, raw long, tokens long")
+    path = str(tmp_path / "index")
+    artefacts.write_text(artefacts.memo_index(memos), path)
+    (part,) = (tmp_path / "index").glob("name=INDEX/*.txt")
+    text = part.read_text()
+    own = int(text.split("this index: ~")[1].split()[0])
+    assert own == max(1, len(text) // 4)  # the file states its own size
+    assert text.splitlines()[4:6] == ["| `a` | t | 2/2 | 3 | `a.memo.md` |", "| `b` | x \\| y | 1/2 (+1 unchecked) | 9 | `b.memo.md` |"]
+    assert "- saved: ~5,050 tokens (99%)" in text
+
+
+def test_tail_drops_the_cut_line(spark):
+    line = lambda n, m="null": f'{{"message":{{"model":{m},"usage":{{"input_tokens":{n}}}}}}}'
+    body = "\n".join([line(1, '"a"'), line(2), "broken {", line(3)])
+    files = spark.createDataFrame([(1, body.encode()), (2, b"\xff no usage"), (3, ("x" * 600 + line(9)).encode())], "k int, content binary")
+    assert [tuple(r) for r in records.tail_usage(files, "k").collect()] == [(1, 3, "a")]
+    assert [tuple(r) for r in records.tail_usage(files, "k", len(line(3)) + 4).collect()] == [(1, 3, None)]
+
+
+def test_table_claims_skip_repeated_headers(spark):
+    body = ["| a | b |", "|---|---|", "| 1 |  | 3 |", "| a | b |", "|  |  |", "| x |"]
+    lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(body, 1)], "doc_id int, line_no int, line string")
+    assert [tuple(r) for r in records.table_claims(lines).orderBy("line_no").collect()] == [(1, 3, "a=1; col3=3"), (1, 6, "a=x")]
+
+
+def test_environments_fall_back(spark):
+    roles = spark.createDataFrame([("check",), ("figures",), ("other",)], "role string")
+    of = {"check": "a", "figures": "b", "default": "a"}
+    env = lambda rows: {r["role"]: r["env"] for r in paths.environments(roles, of, spark.createDataFrame(rows, "env string, executable boolean"), "system").collect()}
+    assert env([("a", True), ("b", False)]) == {"check": "a", "figures": "a", "other": "a"}
+    assert env([("a", False), ("b", True)]) == {"check": "system", "figures": "b", "other": "system"}
+
+
 def test_store_refuses_a_stale_index(spark, tmp_path):
     path = str(tmp_path / "index")
     assert store.state(spark, path) == "missing"
@@ -254,6 +363,26 @@ def test_store_refuses_a_stale_index(spark, tmp_path):
         store.read_index(spark, path, changed)
 
 
+def test_rebuild_is_one_step(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = lambda n: spark.range(n).withColumnRenamed("id", "claim_id")
+    store.write_index(path, claims=rows(3))
+    before = store.read_index(spark, path)["claims"]
+    at = store.new_version(path)
+    store.put(at, "claims", rows(5))  # a rebuild that breaks off here leaves the index as it was
+    assert store.read_index(spark, path)["claims"].count() == 3
+    store.publish(spark, path, at, ["claims"])
+    assert store.read_index(spark, path)["claims"].count() == 5 and before.count() == 3
+    store.write_index(path, claims=rows(0))
+    assert store.state(spark, path) == "empty" and len(list((tmp_path / "index").glob("v-*"))) == 2
+
+
+def test_contained_items(spark):
+    claims = spark.createDataFrame([(1, "x the quick brown fox jumps over y"), (2, "he quick brown fox jumps ove"), (3, "too short"), (4, None)], "claim_id int, text string")
+    items = spark.createDataFrame([(1, "he Quick brown fox jumps ov"), (2, "brown fox"), (3, "the quick brown dog jumps")], "item_id int, expect string")
+    assert sorted(map(tuple, index.contained(claims, items).collect())) == [(1, 1), (2, 1)]
+
+
 def test_transcript_drops_what_is_no_turn(spark):
     lines = ['{"type":"user","message":{"content":[{"type":"text","text":"a question that is long enough"},{"type":"tool","text":"no"}]}}', "broken", '{"type":"tool","message":{"content":[{"type":"text","text":"a result that is long enough"}]}}', '{"type":"user","message":{"content":[{"type":"text","text":"<system-reminder>x\\ny</system-reminder>short"}]}}']
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "conv_id int, turn int, line string")
