@@ -9,11 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import bpe, classifier, decontaminate, ngram_join, pii
-from factloom.llm.common import table, written
+from factloom.llm.common import discard, table, written
 
 #: Least score of a document that stays.
 LEAST_SCORE = 0.5
-PII_KEY = "factloom"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +32,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data and secrets replaced; n_chars follows the text."""
-    return pii.anonymise(docs, PII_KEY)
+    """All documents, personal data and secrets replaced under the session's key; n_chars follows the text."""
+    return pii.anonymise(docs, pii.session_key(spark))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole of documents; each is written to the shared folder and read again."""
+    """All stages over the whole of documents; each is written to the shared folder and read again, and deleted when the next is written,
+    so that no text stays there that the PII stage hasn't seen."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.split()[0].lower())
+        before, docs = docs, written(stage(spark, docs, sf_dir), name.split()[0].lower())
+        discard(before)
     return docs
