@@ -99,7 +99,8 @@ def test_join_is_brute_force(documents, corpus, k, num):
     assert got == brute_components(corpus, k, num, 100)
 
 
-def test_join_with_chains_and_cells(spark, monkeypatch):
+@pytest.mark.parametrize("exact", [False, True])
+def test_join_of_large_components(spark, monkeypatch, exact):
     rng = random.Random(3)
     base = [f"w{rng.randrange(3000)}" for _ in range(200)]
     rows, words = [], list(base)
@@ -107,10 +108,47 @@ def test_join_with_chains_and_cells(spark, monkeypatch):
         words[rng.randrange(len(words))] = f"x{i}"
         rows.append((i, " ".join(words)))
     rows += [(1000 + i, " ".join(rng.choice(base) for _ in range(60))) for i in range(100)]
+    other = [f"v{rng.randrange(3000)}" for _ in range(150)]
+    for i in range(200):  # a family that is alike, some of it within the threshold, most of it not
+        own = list(other)
+        for at in rng.sample(range(150), rng.choice([1, 2, 8, 9, 10])):
+            own[at] = f"y{rng.randrange(40)}"
+        rows.append((2000 + i, " ".join(own)))
+    rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(ngram_join, "MOST_SHINGLES", 4000)  # so that the component is cut into cells
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_components(df, 3, 90, 100).collect()}
-    assert got == brute_components(dict(rows), 3, 90, 100)
+    want = brute_components(dict(rows), 3, 90, 100)
+    monkeypatch.setattr(ngram_join, "MOST_SHINGLES", 4000)
+    monkeypatch.setattr(ngram_join, "MOST_POINTS", 16)  # so that groups are cut into cells
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_components(df, 3, 90, 100, exact).collect()}
+    assert got == want and 100 < len({c for _, c in want.values()}) < 450
+
+
+def test_a_large_family_that_is_only_alike_stays_linear(spark, monkeypatch):
+    rng = random.Random(4)
+    frame, rows = [f"w{i}" for i in range(150)], []
+    for i in range(1500):  # half of each text is the same boilerplate
+        own = [f"z{rng.randrange(10**6)}" for _ in range(100)]
+        rows.append((i, " ".join(frame[:75] + own + frame[75:])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    real = ngram_join.candidates
+    monkeypatch.setattr(ngram_join, "candidates", lambda *a: seen.append((out := common.written(real(*a), "seen")).count()) or out)
+    got = ngram_join.join_components(df, 5, 80, 100)
+    assert got.where("component_id <> doc_id").count() == 0
+    assert sum(seen) < len(rows)  # not the million pairs of the family
+
+
+def test_prefixes_route_every_link():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(rng.integers(1, 80))
+        a = np.unique(rng.integers(0, 2**63, n, dtype="u8"))
+        b = np.unique(np.concatenate([rng.choice(a, max(1, int(len(a) * rng.uniform(0.85, 1))), replace=False), rng.integers(0, 2**63, int(rng.integers(0, 6)), dtype="u8")]))
+        if ngram_join.overlaps(a, b, 90, 100):
+            assert set(ngram_join.prefix_keys(a, 90, 100).tolist()) & set(ngram_join.prefix_keys(b, 90, 100).tolist())
 
 
 def test_tree_finds_all_that_the_bound_allows():
@@ -158,17 +196,18 @@ def test_windows_are_the_cartesian_tree():
     import numpy as np
 
     rng = np.random.default_rng(6)
-    for n, least in ((30, 5), (200, 46), (46, 46), (45, 46), (500, 10)):
-        h = rng.integers(0, 2**62, n, dtype="u8")
+    for n, least, most in ((30, 5, 2**62), (200, 46, 2**62), (46, 46, 2**62), (45, 46, 2**62), (500, 10, 2**62), (120, 7, 2**20)):
+        h = rng.integers(0, most, (2, n), dtype="u8") << np.uint64(12)
         want = set()
-        for i in range(n):
-            a = b = i
-            while a > 0 and h[a - 1] > h[i]:
-                a -= 1
-            while b < n - 1 and h[b + 1] > h[i]:
-                b += 1
-            if b - a + 1 >= least:
-                want.add((a, i, b))
+        for f in range(2):
+            for i in range(n):  # of equal hashes the leftmost is the least
+                a = b = i
+                while a > 0 and h[f, a - 1] > h[f, i]:
+                    a -= 1
+                while b < n - 1 and h[f, b + 1] >= h[f, i]:
+                    b += 1
+                if b - a + 1 >= least:
+                    want.add((f, a, i, b))
         assert set(zip(*(x.tolist() for x in substring.compact_windows(h, least)))) == want
 
 
@@ -201,10 +240,35 @@ def test_exact_repeats_of_the_corpus(documents, corpus):
     for i, t in corpus.items():
         w = low(t)
         for j in range(len(w) - 49):
-            grams[tuple(w[j : j + 50])].add(i)
-    want = set().union(*(v for v in grams.values() if len(v) > 1))
-    got = {r["doc_id"] for r in substring.repeated_passages(documents).collect() if r["passages"]}
-    assert want <= got
+            grams[tuple(w[j : j + 50])].add((i, j))
+    got = {r["doc_id"]: r for r in substring.repeated_passages(documents).collect()}
+    for found in grams.values():
+        if len({i for i, _ in found}) > 1:
+            assert len({got[i]["class_id"] for i, _ in found}) == 1
+            for i, j in found:
+                assert any(p["start"] <= j and j + 50 <= p["end"] for p in got[i]["passages"])
+    assert all(bool(r["passages"]) == bool(r["partners"]) for r in got.values())
+
+
+def test_passages_with_edits(spark):
+    rng = random.Random(10)
+    text = lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
+    rows, families = {}, 60
+    for g in range(families):  # six variants of one passage, each with three edits of its own: a word changed, left out or put in
+        passage = text(100)
+        for i in range(6):
+            own = list(passage)
+            for at in rng.sample(range(100), 3):
+                own[at : at + rng.randint(0, 1)] = text(rng.randint(0, 1))
+            rows[6 * g + i] = text(rng.randrange(40, 80)) + own + text(rng.randrange(40, 80))
+    rows |= {1000 + i: text(150) for i in range(60)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in substring.repeated_passages(df).collect()}
+    found = [i for i, r in got.items() if r["passages"]]
+    assert max(found) < 6 * families and len(found) >= 0.95 * 6 * families
+    assert all(got[i]["class_id"] // 6 == i // 6 for i in found)
+    # A passage is its document's own: it lies around the variant, within the words that chance adds at its ends.
+    assert all(40 <= p["start"] and p["end"] <= len(rows[i]) - 40 for i in found for p in got[i]["passages"])
 
 
 def test_exact_stretches_of_large_mixed_groups(spark):
@@ -217,7 +281,7 @@ def test_exact_stretches_of_large_mixed_groups(spark):
             lead = text(rng.randrange(30, 60))
             rows[i], places[i] = lead + before + line + rest + text(rng.randrange(30, 60)), len(lead)
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")
-    pairs = {(r["a"], r["b"]) for r in substring.exact_pairs(df).collect()}
+    pairs = {(r["a"], r["b"]) for r in substring.exact_pairs(df, substring.chained(df)).collect()}
     assert {(g, 999 - g) for g in range(200)} <= pairs
     got = {r["doc_id"]: r for r in substring.repeated_passages(df).collect()}
     for i, r in got.items():
@@ -254,6 +318,36 @@ def test_page_parts_that_are_no_content():
     assert html_extract.extract('<div class="nav">a</div><p>A paragraph of text that goes on.</p><p>x.</p><div class="cookie-notice">We use cookies</div>') == "A paragraph of text that goes on.\nx."
 
 
+def test_ratios_choose_lines():
+    para = "A paragraph of the text that goes on for a while, as they do, before it ends."
+    links = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in "wxyz")
+    page = f"<article><h1><a href='/'>Title</a></h1><p>{para}</p><ul>{links}</ul><p>Ok.</p><p>{para} <a href='/q'>More</a></p></article>"
+    assert html_extract.extract(page) == f"Title\n{para}\nOk.\n{para} More"
+    # Without an article: from the first to the last line above the cut, link lists left out.
+    page = f"<div><p><a href='/'>Home</a></p><p><a href='/b'>Blog</a></p><p>{para}</p><p>Ok.</p><ul>{links}</ul><p>{para}</p></div><div><a href='/c'>Contact</a></div><div><a href='/d'>Imprint</a></div>"
+    assert html_extract.extract(page) == f"{para}\nOk.\n{para}"
+    # Short paragraphs of an article stay beside a very long one, and in any number.
+    short = [f"No {i}." for i in range(30)]
+    assert html_extract.extract("<article><p>" + 90 * para + "</p>" + "".join(f"<p><b>{x}</b></p>" for x in short) + "</article>").split("\n")[1:] == short
+
+
+def test_wrappers_are_no_parts():
+    para = "A paragraph of the text that goes on for a while, as they do, before it ends."
+    assert html_extract.extract(f'<form id="aspnetForm"><article><p>{para}</p><form><p>mail</p></form></article></form>') == para
+    assert html_extract.extract(f'<div class="print-friendly"><div class="share">Share this</div><p>{para}</p><p>Yes.</p></div>') == f"{para}\nYes."
+    assert html_extract.extract(f'<div class="search-open"><main><p>{para}</p></main></div><div class="search">Find it</div>') == para
+    assert html_extract.extract(f"<p>{para} <a href=/x>see<p>{para}<p>{para}") == f"{para} see\n{para}\n{para}"
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for page in ("<span>" * 100_000, "<b>" * 50_000 + "<p>words</p>" * 5000, "<center>" * 50_000 + "<p>words" * 20_000, "<div class=share>" * 50_000 + "x", "</p>" * 100_000, "<header>" * 20_000 + "<p>x" * 20_000, "<article>" * 30_000 + "<li>x" * 20_000):
+        began = time.process_time()
+        html_extract.extract(page)
+        assert time.process_time() - began < 3
+
+
 # 7
 def test_rules_of_urls(spark):
     cases = {"http://EXAMPLE.org/es/1": "example.org/es/", "https://a.example.org/en/12": "example.org/en/1", "https://a.example.org/en/2": "org/", "x://b.com/fr/": "com/fr/", "x://b.com/de/x?y": "com/de/", "x://com/fr/": "com/fr/", "x://org": None, "x://notorg/x": None, "y://a.net/fr/": None, "x://a.org?/x": None}
@@ -267,6 +361,16 @@ def test_url_plan_is_native(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_hot_addresses_and_grams(spark, monkeypatch):
+    df = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    hot = spark.range(3000).select((F.col("id") + 10**6).alias("page_id"), F.lit("http://one.hot.example.net/x/1").alias("url"))
+    pages = df.unionByName(hot)
+    want = sorted(map(str, url_filter.filter_urls(pages).collect()))
+    monkeypatch.setattr(url_filter, "MOST_BROADCAST", -1)
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    assert sorted(map(str, url_filter.filter_urls(pages).collect())) == want and len(want) == pages.count()
+
+
 # 8
 def edits_within(a, b):
     prev = [0] * (len(b) + 1)
@@ -302,6 +406,54 @@ def test_verbatim_items_are_found(spark, documents, corpus):
     assert want <= {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(documents, items).collect()}
 
 
+def test_repeated_letters_and_long_texts(monkeypatch):
+    import resource
+    import time
+
+    items = [(1, "a" * 2000), (2, "ab" * 500), (3, "One fine morning the quick brown fox jumped over all the lazy dogs of the village.")]
+    index = decontaminate.Items(items)
+    began, before = time.process_time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    text = "x1" * 5000 + "a" * 2_000_000
+    found = index.find(text)
+    assert found[0] == (1, 10_000, 12_000, 0) and len(found) > 900
+    assert all(h[0] == 1 and h[2] - h[1] == 2000 and not h[3] for h in found) and all(a[2] <= b[1] for a, b in zip(found, found[1:]))
+    assert time.process_time() - began < 60 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000
+    # Texts longer than a piece, occurrences across its border included, and multi-byte letters around them.
+    monkeypatch.setattr(decontaminate, "PIECE", 1000)
+    for lead in (0, 900, 990, 1000, 2500):
+        text = "é" * lead + " " + items[2][1].replace("fox", "cat") + " " + "ü" * 300
+        assert [text[a:b] for i, a, b, _ in decontaminate.Items(items[2:]).find(text)] == [items[2][1][:-1].replace("fox", "cat")]
+
+
+def test_repeats_in_items_lose_nothing():
+    rng = random.Random(12)
+    for _ in range(150):  # items of few letters, so that their q-grams repeat
+        item = "".join(rng.choice("ab") for _ in range(rng.randint(1, 6))) * rng.randint(10, 40)
+        item = "".join(c if rng.random() > 0.02 else "c" for c in item)[: rng.randint(40, 120)]
+        if len(item) < decontaminate.LEAST_BYTES:
+            continue
+        x = list(item)
+        for _ in range(rng.randint(0, len(x) // 8)):
+            p = rng.randrange(len(x))
+            x[p : p + rng.randint(0, 1)] = rng.choice(["", "a", "d"])
+        doc = "".join(rng.choice("abcd") for _ in range(rng.randint(0, 80))) + "".join(x) + "".join(rng.choice("abcd") for _ in range(rng.randint(0, 80)))
+        index = decontaminate.Items([(7, item)])
+        least = edits_within(item.encode(), doc.encode())
+        found = index.find(doc)
+        assert bool(found) == (least <= int(index.edits[0]))
+        assert not found or min(h[3] for h in found) == least
+
+
+def test_further_blocks_of_items(spark, documents, monkeypatch):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = sorted(map(tuple, decontaminate.matches(documents, items).collect()))
+    kept = {r["doc_id"] for r in decontaminate.decontaminate(documents, items).collect()}
+    monkeypatch.setattr(decontaminate, "MOST_BYTES", 2000)
+    assert len(list(decontaminate.blocks(items))) > 2
+    assert sorted(map(tuple, decontaminate.matches(documents, items).collect())) == want
+    assert {r["doc_id"] for r in decontaminate.decontaminate(documents, items).collect()} == kept
+
+
 # 9
 def test_surrogates_keep_type_and_are_distinct():
     assert len({tuple(pii.permuted([a, b, c], [3, 5, 7], b"k", "t")) for a in range(3) for b in range(5) for c in range(7)}) == 105
@@ -372,7 +524,67 @@ def test_crowded_formats_are_settled(spark, monkeypatch):
 
 def test_forms_hold_their_surrogates():
     for kind, value in [("email", "jane.07@mail3.example.com"), ("phone", "+1 (301) 555-0346"), ("phone", "+13015550346"), ("card", "4111 1111 1111 1111"), ("ip", "10.1.2.3"), ("ssn", "123-45-6789"), ("secret", "sk-Abc123def456ghi789"), ("secret", "0f" * 16), ("surname", "Wilson"), ("surname", "Петрова")]:
-        assert pii.form(kind, pii.surrogate(kind, value, "k")) == pii.form(kind, value) and pii.form(kind, value)[1] > 1
+        low = pii.canonical(kind, value)
+        assert pii.form(kind, pii.canonical(kind, pii.surrogate(kind, value, "k"))) == pii.form(kind, low) and pii.form(kind, low)[1] > 1
+
+
+def test_planted_entities_are_found():
+    rng = random.Random(11)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    card = next(c for c in iter(lambda: "4" + digits(15), "") if pii.luhn(c))
+    planted = {
+        "ip": ["192.168.7.21", "97.51.17.173"], "ip6": ["2001:db8:85a3:0:0:8a2e:370:7334", "fe80::1ff:fe23:4567:890a"], "mac": ["00:1A:2B:3C:4D:5E", "00-1a-2b-3c-4d-5e"], "iban": ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"],
+        "phone": ["555-1234", "5551234567", "+44 20 7946 0958", "(301) 555-0346"], "card": [card, " ".join(card[i : i + 4] for i in range(0, 16, 4))], "email": ["ann.lee+x@mail.corp.com"], "ssn": ["123-45-6789"],
+    }
+    for kind, values in planted.items():
+        for value in values:
+            text = f"see the note on {value}, it has 3 parts"
+            assert [x[2:] for x in pii.find(text)] == [(kind, value)]
+            out, ((a, b, _),) = pii.replace(text, "k")
+            new = out[a:b]
+            assert new != value and ([x[2] for x in pii.find(out)] == [kind] or value == "555-1234") and (pii.form(kind, pii.canonical(kind, new)) == pii.form(kind, pii.canonical(kind, value)))
+    for text, names in {
+        "My name is Wei Zhang and I am here": ["Wei", "Zhang"], "Kind regards,\nAisha Khan": ["Aisha", "Khan"], "So Priya Natarajan said it. Natarajan left": ["Priya", "Natarajan", "Natarajan"], "Dear Mr. Okafor, hello": ["Okafor"],
+        "ich heiße Torben Kowalczyk und": ["Torben", "Kowalczyk"], "je m'appelle Mireille Dubois": ["Mireille", "Dubois"], "Contact Aisha Khan now": ["Aisha", "Khan"], "меня зовут Глеб Сидоров": ["Глеб", "Сидоров"],
+    }.items():
+        assert [x[3] for x in pii.find(text)] == names and not any(n in pii.replace(text, "k")[0] for n in names)
+    for clean in ("In the Green Garden they met at 12:30:45.", "std::vector, 1.2.3 and 4111111111111112 items", "pages 200-3000 of Volume Two", "The United Nations met. New York was cold."):
+        assert pii.find(clean) == []
+
+
+def test_spellings_move_together(spark, monkeypatch):
+    spellings = {"email": ("Ann.Lee@Corp.com", "ann.lee@corp.com"), "phone": ("+44 20 7946 0958", "+442079460958"), "card": ("4111 1111 1111 1111", "4111111111111111"), "iban": ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000"), "mac": ("00:1A:2B:3C:4D:5E", "00-1a-2b-3c-4d-5e"), "surname": ("Wilson", "WILSON")}
+    for kind, (a, b) in spellings.items():
+        assert pii.canonical(kind, a) == pii.canonical(kind, b)
+        for attempt in range(5):
+            assert pii.canonical(kind, pii.surrogate(kind, a, "k", attempt)) == pii.canonical(kind, pii.surrogate(kind, b, "k", attempt))
+            assert pii.like(kind, a, pii.canonical(kind, pii.surrogate(kind, a, "k", attempt))) == pii.surrogate(kind, a, "k", attempt)
+    # A first draw that collides is drawn anew for both spellings, on the broadcast and on the joined path.
+    real = pii.surrogate
+    monkeypatch.setattr(pii, "surrogate", lambda k, v, key, a=0: pii.like(k, v, "bob@corp.com") if k == "email" and a == 0 and pii.canonical(k, v) == "ann@corp.com" else real(k, v, key, a))
+    docs = spark.createDataFrame([(1, "mail Ann@Corp.com now"), (2, "mail ann@corp.com now"), (3, "mail bob@corp.com now")], "doc_id long, text string")
+    for most in (pii.MOST_BROADCAST, -1):
+        monkeypatch.setattr(pii, "MOST_BROADCAST", most)
+        found = pii.collisions(common.written(pii.entities(docs), "entities"), "k")
+        assert {r["value"] for r in found.collect()} == {"ann@corp.com"}
+        again = {pii.digest("k", r["kind"], r["value"]): (r["attempt"], r["drawn"]) for r in found.collect()}
+        a, b = (pii.replace(f"mail {v} now", "k", again)[0] for v in ("Ann@Corp.com", "ann@corp.com"))
+        assert a != b and a.lower() == b and "bob@corp.com" not in b
+
+
+def test_no_table_of_entities_stays(spark, monkeypatch):
+    import pathlib
+
+    shared = pathlib.Path(common.shared_dir(spark))
+    names = pii.FIRST["latin", "m"][:28]
+    docs = spark.createDataFrame([(i, f"It was {n} Smith{c} who wrote to a@b.com") for i, (n, c) in enumerate(zip(names, "abcdefghijklmnopqrstuvwxyzab"))], "doc_id long, text string")
+    for most in (pii.MOST_BROADCAST, -1):
+        monkeypatch.setattr(pii, "MOST_BROADCAST", most)
+        before = set(shared.iterdir())
+        out = {r["doc_id"]: r["text"] for r in pii.anonymise(docs, "k").collect()}
+        new = [out[i].split()[2] for i in range(28)]
+        assert len(set(new)) == 28 and all(a != b for a, b in zip(names, new))
+        assert {p.name.split("-")[1] for p in set(shared.iterdir()) - before} <= {"again"}
 
 
 def test_phones_of_other_groupings_and_further_names():
@@ -392,6 +604,9 @@ def test_line_rules():
     assert quality_rules.judge("One good line of words, ten of them at least, ends here.\nHome | About | Contact | More")[-1]
     assert not quality_rules.judge("Ok.\n" + "\n".join("a | b | c | d" for _ in range(9)))[-1]
     assert quality_rules.clean("A line that stays as it is.\nAll rights reserved.\n\nA line that stays as it is.\nMenu") == "A line that stays as it is.\n"
+    prose = "The house passed a copyright bill last week, after a long debate in which more than thirty members spoke, most of them against it, for and against the rights of readers."
+    assert quality_rules.judge(prose)[-1] and quality_rules.clean(prose) == prose
+    assert quality_rules.clean("Copyright 2020, all rights reserved.\nWe use a cookie, see our privacy policy, and you may log in or sign up for more.\n" + prose) == prose
     words = "a b c d e f g a b c d e x".split()
     brute = set()
     seen = collections.Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
@@ -416,5 +631,5 @@ def test_pipeline_is_its_stages(spark, corpus):
 
     c = bpe.codec(public_tokenizers.path("byte_bpe_50k.json"))
     for i, r in got.items():
-        text = pii.replace(texts[i], corpus_pipeline.PII_KEY)[0]
+        text = pii.replace(texts[i], pii.session_key(spark))[0]
         assert r["text"] == text and r["ids"] == list(c.encode(text)) and r["n_tokens"] == len(r["ids"])
