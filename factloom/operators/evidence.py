@@ -39,6 +39,18 @@ def resolve(citations: DataFrame, known: DataFrame) -> DataFrame:
     return rows.join(hits, "_id", "left").withColumn("verified", F.coalesce("_hit", F.lit(False))).drop("_id", "_hit")
 
 
+def looked_up(citations: DataFrame, crossref: DataFrame, epmc: DataFrame) -> DataFrame:
+    """Adds method, source, verified, title and year: a DOI is looked up in crossref (id, title, year), then in epmc; a PubMed id in epmc (id,
+    title, year) alone; a text alone is never verified. Both are what the services have answered, as tables with an id once."""
+    doi, pmid = extract_doi("citation"), extract_pmid("citation")
+    rows = citations.withColumn("method", F.when(doi.isNotNull(), "doi").when(pmid.isNotNull(), "pmid").otherwise("text")).withColumn("_id", F.coalesce(doi, pmid))
+    first = crossref.select(F.col("id").alias("_id"), F.struct(F.lit("crossref").alias("source"), "title", "year").alias("_c"))
+    second = epmc.select(F.col("id").alias("_id"), F.struct(F.lit("epmc").alias("source"), "title", "year").alias("_e"))
+    met = rows.join(first, "_id", "left").join(second, "_id", "left")
+    hit = F.when(F.col("method") == "doi", F.coalesce("_c", "_e")).when(F.col("method") == "pmid", F.col("_e"))
+    return met.withColumn("_hit", hit).select(*citations.columns, "method", "_hit.source", F.col("_hit").isNotNull().alias("verified"), "_hit.title", "_hit.year")
+
+
 def citation_class(verified, relevant) -> Column:
     v, r = col(verified), col(relevant)
     return F.when(~v, "does not resolve").when(r.isNull(), "resolves, not judged").when(r, "resolves, on topic").otherwise("resolves, off topic")

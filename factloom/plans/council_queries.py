@@ -313,6 +313,16 @@ def _(t: Tables):
     return _citation_texts(t).select("page_id", evidence.extract_doi("citation").alias("doi")).join(known, "doi", "left_semi").select("page_id", "doi")
 
 
+@query("scan_http_epmc", f"""select page_id, case when doi is not null then 'doi' when pmid is not null then 'pmid' else 'text' end "method", case when doi is not null and page_id % 2 = 0 then 'crossref' when (doi is not null or pmid is not null) and page_id % 5 < 3 then 'epmc' end source,
+ case when doi is not null and page_id % 2 = 0 then 'C' || page_id when (doi is not null or pmid is not null) and page_id % 5 < 3 then 'E' || page_id end title from (select page_id, {_doi} doi, {_pmid} pmid from {_cite})""")
+def _(t: Tables):
+    # What two services know: every second DOI, and three of five identifiers of either kind.
+    own = _citation_texts(t).select("page_id", F.coalesce(evidence.extract_doi("citation"), evidence.extract_pmid("citation")).alias("id"), evidence.extract_doi("citation").alias("doi")).where("id is not null")
+    answer = lambda rows, mark: rows.select("id", F.concat(F.lit(mark), F.col("page_id").cast("string")).alias("title"), F.lit(2020).alias("year"))
+    found = evidence.looked_up(_citation_texts(t), answer(own.where("doi is not null and page_id % 2 = 0"), "C"), answer(own.where("page_id % 5 < 3"), "E"))
+    return found.select("page_id", "method", "source", "title")
+
+
 _types = "[['Meta-Analysis'], ['Randomized Controlled Trial', 'Clinical Trial'], ['Clinical Trial, Phase II'], ['Case Reports', 'Letter'], ['Review'], ['Dataset']]"
 
 

@@ -96,6 +96,37 @@ def _(t: Tables):
     return docs.parsed(_packed(t, _docx), numbered, "block int, kind string, text string", "item_id").drop("error")
 
 
+def _open(body: str) -> bytes:
+    names = " ".join(f'xmlns:{k}="{v[1:-1]}"' for k, v in docs.O.items())
+    return _zip({"content.xml": f"<office:document-content {names}><office:body>{body}</office:body></office:document-content>"})
+
+
+def _odt(lines) -> bytes:
+    """A heading, a list item and paragraphs."""
+    kinds = ['<text:h text:outline-level="2">%s</text:h>', "<text:list><text:list-item><text:p>%s</text:p></text:list-item></text:list>", "<text:p>%s</text:p>"]
+    return _open("<office:text>" + "".join(kinds[min(i, 2)] % _esc(x) for i, x in enumerate(lines)) + "</office:text>")
+
+
+def _ods(lines) -> bytes:
+    """Numbered lines, a blank row that is repeated, and very many blank rows at the end."""
+    cell = lambda x: f"<table:table-cell><text:p>{x}</text:p></table:table-cell>"
+    rows = "".join(f"<table:table-row>{cell(f'{i}.0')}{cell(_esc(x))}</table:table-row>" for i, x in enumerate(lines, 1))
+    blank = '<table:table-row table:number-rows-repeated="%d"><table:table-cell table:number-columns-repeated="1024"/></table:table-row>'
+    return _open(f'<office:spreadsheet><table:table table:name="lines">{rows}{blank % 2}<table:table-row>{cell("end")}</table:table-row>{blank % 1_000_000}</table:table></office:spreadsheet>')
+
+
+@query("scan_odt", "select item_id, cast(row_number() over (partition by item_id order by n) as integer) block, case when n = 1 then 'heading' when n = 2 then 'list' else 'para' end kind, trim(line) text from benchmark_lines where trim(line) <> ''")
+def _(t: Tables):
+    numbered = lambda data: [(i, k, x) for i, (k, _, x) in enumerate(docs.odt_blocks(data), 1)]
+    return docs.parsed(_packed(t, _odt), numbered, "block int, kind string, text string", "item_id").drop("error")
+
+
+@query("scan_ods", """select item_id, n "row", n::varchar || chr(9) || line cells from benchmark_lines union all select item_id, unnest([m + 1, m + 2, m + 3]), unnest(['', '', 'end']) from (select item_id, max(n) m from benchmark_lines group by 1)""")
+def _(t: Tables):
+    rows = docs.parsed(_packed(t, _ods), docs.ods_rows, "sheet string, row int, cells array<string>", "item_id")
+    return rows.select("item_id", "row", F.array_join("cells", "\t").alias("cells"))
+
+
 @query("scan_pptx", "select item_id, n slide, trim(line) text from benchmark_lines")
 def _(t: Tables):
     return docs.parsed(_packed(t, _pptx), docs.pptx_slides, "slide int, text string, notes string", "item_id").select("item_id", "slide", "text")

@@ -1,7 +1,7 @@
 """Document readers: bytes to records, with the standard library. Each takes a table of (path, content) and returns rows of records.
 
 Word, PowerPoint and Excel files are zip archives of XML, which the standard library parses; PDF files have a reader of their own (pdf).
-Old binary formats, OCR and rasterising are outside of Spark's reach; their adapters take the converted text as a table.
+OpenDocument texts and sheets are zip archives, too. Old binary formats, OCR and rasterising are outside of Spark's reach; their adapters take the converted text as a table.
 """
 
 from __future__ import annotations
@@ -188,6 +188,76 @@ def pdf_pages(data: bytes, layout: bool = False) -> list[tuple[int, str]]:
     return pdf.pages(data, layout)
 
 
+O = {k: f"{{urn:oasis:names:tc:opendocument:xmlns:{k}:1.0}}" for k in ("office", "text", "table")}
+
+
+def _open_text(node) -> str:
+    """Text of an OpenDocument paragraph: spaces, tabs and line breaks are elements there."""
+    out = [node.text or ""]
+    for child in node:
+        if child.tag == f"{O['text']}s":
+            out.append(" " * int(child.get(f"{O['text']}c") or 1))
+        elif child.tag in (f"{O['text']}tab", f"{O['text']}line-break"):
+            out.append("\t" if child.tag.endswith("tab") else "\n")
+        else:
+            out.append(_open_text(child))
+        out.append(child.tail or "")
+    return "".join(out)
+
+
+def odt_blocks(data: bytes) -> list[tuple[str, int | None, str]]:
+    """(kind, level, text) of an OpenDocument text, as docx_blocks gives them, in order of the document."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        body = ElementTree.fromstring(z.read("content.xml")).find(f"{O['office']}body/{O['office']}text")
+    out: list[tuple[str, int | None, str]] = []
+
+    def walk(node, kind: str) -> None:
+        for child in node:
+            if child.tag == f"{O['text']}h":
+                block = ("heading", int(child.get(f"{O['text']}outline-level") or 1), _open_text(child).strip())
+            elif child.tag == f"{O['text']}p":
+                block = (kind, None, _open_text(child).strip())
+            elif child.tag == f"{O['table']}table-row":
+                block = ("row", None, "\t".join("\n".join(_open_text(p) for p in c.iter(f"{O['text']}p")).strip() for c in child))
+            else:
+                walk(child, "list" if child.tag == f"{O['text']}list" else kind)
+                continue
+            if block[2].strip():
+                out.append(block)
+
+    walk(body, "para")
+    return out
+
+
+def ods_rows(data: bytes, most: int = 1 << 20) -> list[tuple[str, int, list[str]]]:
+    """(sheet, row, cells) of an OpenDocument spreadsheet as text; repeated rows and cells are written out, blank ones at the ends cut.
+    A repeat count above `most` that is not blank raises."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        root = ElementTree.fromstring(z.read("content.xml"))
+    out = []
+    for sheet in root.iter(f"{O['table']}table"):
+        rows: list[list[str]] = []
+        blank = 0
+        for row in sheet.iter(f"{O['table']}table-row"):
+            cells: list[str] = []
+            for cell in row:
+                text = cell_text("\n".join(_open_text(p) for p in cell.iter(f"{O['text']}p")))
+                times = int(cell.get(f"{O['table']}number-columns-repeated") or 1)
+                if text and times > most:
+                    raise ValueError("too many repeated cells")
+                cells += [text] * (times if text else min(times, 1 << 14))
+            times = int(row.get(f"{O['table']}number-rows-repeated") or 1)
+            if not any(c.strip() for c in cells):
+                blank += times  # a sheet ends in very many of these
+                continue
+            if times > most or blank > most:
+                raise ValueError("too many repeated rows")
+            rows += [[]] * blank + [cells] * times
+            blank = 0
+        out += [(sheet.get(f"{O['table']}name"), n, cells) for n, cells in enumerate(trimmed(rows), 1)]
+    return out
+
+
 def sheet_rows(data: bytes, spec: str) -> list[tuple[str, int, list[str]]]:
     """The rows of one sheet, by its place from 1 on or by its exact name; raises where there is none."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
