@@ -73,7 +73,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 #: A key with more than this many rows, and more than a 500th of all, is hot.
-HOT_ROWS = 1000
+HOT_ROWS = 200
 
 
 def skew_join(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
@@ -232,10 +232,23 @@ def shingle_hashes(text: str, k: int):
     if not n:
         return h
     own = min(k, n)
-    out = np.full(n - own + 1, own, "u8")
-    for i in range(own):
-        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[i : i + len(out)]
-    return mixed(out)
+    # By doubling: hashes of the first 1, 2, 4 ... words of each shingle, then those of the rest of them.
+    done, out, runs = 1, h, {1: h}
+    while 2 * done <= own:
+        out = _paired(out[:-done], out[done:])
+        done *= 2
+        runs[done] = out
+    while done < own:
+        step = max(r for r in runs if r <= own - done)
+        out = _paired(out[: len(out) - step], runs[step][done:])
+        done += step
+    return mixed(out + np.uint64(own))
+
+
+def _paired(left, right):
+    import numpy as np
+
+    return (left ^ (left >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + right[: len(left)]
 
 
 def neighbours(df: DataFrame, payload: list[str], emits: list[str], emit, name: str, lags: int = 1) -> DataFrame:
