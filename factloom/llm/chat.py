@@ -10,7 +10,7 @@ Events are (conv_id, turn, seq, kind, role, text). Within a turn, in order of se
 
 A delta, edit or regenerate before any message starts one. Defined results: null text is empty, a null role is the empty role, null
 turns come first, null conversations form one conversation, rows that tie in turn and seq go by kind, role and text, and each
-repeated ``message`` row is a message of its own. Unknown kinds raise. An empty log gives no rows. Further columns are ignored.
+repeated ``message`` row is a message of its own. Texts of any length are folded and rendered whole, a turn at a time. Unknown kinds raise. An empty log gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Only the text enters a score. The model is fitted on a bounded sample of labelle
 order of a hash of doc_id; every row is scored.
 
 Defined results: null and empty texts have the statistics of a text without words and get a score like any other; labels that are
-null are left out; a label for a document that is not there is ignored; repeated rows are scored alike; if either class has fewer
+null are left out; a label for a document that is not there is ignored; a document that is labelled both ways is learnt from in both
+classes; texts are read whole at any length; repeated rows are scored alike, and learnt from once; if either class has fewer
 than MOST_FEW rows to learn from, every score is 0.5; an empty table gives no rows; further columns are ignored.
 """
 
@@ -157,7 +158,8 @@ def train(documents: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -
         for batch in batches:
             yield from batches_of(((y, k, statistics(t)) for y, k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch, "text"))), out)
 
-    rows = own.select(F.col("y").cast("long"), "doc_id", "text").mapInArrow(run, "y long, id long, x array<double>").toArrow()
+    # Repeated rows of a document are one, the least, so that the bound holds for what the driver gets.
+    rows = own.select(F.col("y").cast("long"), "doc_id", "text").mapInArrow(run, "y long, id long, x array<double>").groupBy("y", "id").agg(F.min("x").alias("x")).toArrow()
     if not rows.num_rows:
         return None
     x, y, ids = np.array(rows["x"].to_pylist()), np.array(rows["y"].to_pylist()), np.array(rows["id"].to_pylist())
