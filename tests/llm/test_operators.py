@@ -133,10 +133,11 @@ def test_a_large_family_that_is_only_alike_stays_linear(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     seen = []
     real = ngram_join.candidates
+    monkeypatch.setattr(ngram_join, "MOST_SHINGLES", 1 << 17)
     monkeypatch.setattr(ngram_join, "candidates", lambda *a: seen.append((out := common.written(real(*a), "seen")).count()) or out)
     got = ngram_join.join_components(df, 5, 80, 100)
     assert got.where("component_id <> doc_id").count() == 0
-    assert sum(seen) < len(rows)  # not the million pairs of the family
+    assert seen and sum(seen) < len(rows)  # not the million pairs of the family
 
 
 def test_prefixes_route_every_link():
@@ -191,6 +192,40 @@ def test_classifier_on_held_out_rows(spark):
     assert sum((r["score"] >= 0.7) == (r["quality"] == 1) for r in rows) / len(rows) > 0.95
 
 
+def test_discriminant_is_its_formula():
+    import numpy as np
+
+    rng = np.random.default_rng(13)
+    d = len(classifier.FEATURES)
+    y = (rng.random(400) < 0.6).astype("i8")
+    x = rng.normal(size=(400, d)) @ rng.normal(size=(d, d)) + 2.0 * y[:, None] * rng.normal(size=d)
+    model = classifier.fit(x, y)
+    z = x / (x.std(axis=0) + 1e-3)
+    pooled = sum((y == c).sum() * np.cov(z[y == c].T) for c in (0, 1)) / len(y)
+    density = []
+    for c in (0, 1):
+        own = z[y == c]
+        trust = 0.85 * len(own) / (len(own) + d)
+        cov = trust * np.cov(own.T) + (1 - trust) * pooled
+        cov = 0.9 * cov + 0.1 * np.diag(np.diag(cov)) + 0.01 * np.eye(d)
+        away = z - own.mean(axis=0)
+        density.append([-0.5 * (v @ np.linalg.inv(cov) @ v + np.linalg.slogdet(cov)[1]) for v in away])
+    assert np.allclose(model.raw(x), np.array(density[1]) - np.array(density[0]), rtol=1e-8, atol=1e-6)
+    # The score rises with the difference of the densities.
+    order = np.argsort(model.raw(x))
+    assert (np.diff(model.score(x)[order]) >= 0).all() and ((model.score(x) > 0.5) == (y == 1)).mean() > 0.9
+
+
+def test_classifier_learns_from_repeated_rows_once(spark):
+    good = [(i, f"a clean line of words number {i} that ends as it should, with a full stop.") for i in range(20)]
+    junk = [(100 + i, " ".join(["JUNK!!"] * (5 + i))) for i in range(20)]
+    once = spark.createDataFrame(good + junk, "doc_id long, text string")
+    many = spark.createDataFrame(good + junk + good[:1] * 500, "doc_id long, text string")
+    labels = once.select("doc_id", (F.col("doc_id") < 100).cast("int").alias("quality"))
+    a, b = (classifier.train(df, labels) for df in (once, many))
+    assert (a.slope, a.offset) == (b.slope, b.offset) and all((x == y).all() for x, y in zip(a.factors, b.factors))
+
+
 # 5
 def test_windows_are_the_cartesian_tree():
     import numpy as np
