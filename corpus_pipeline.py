@@ -16,28 +16,30 @@ LEAST_SCORE = 0.5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from all labelled rows that are not held out."""
+    """Documents that the quality classifier accepts; it learns from labelled rows that are not held out, up to its documented bound of
+    each class. Null and empty texts are scored like any other; without enough labels of both classes all documents stay."""
     labels = table(spark, sf_dir, "labels")
     return classifier.accepted(docs, classifier.train(docs, labels.where(~classifier.held_out())), LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of least doc_id, of each group that five-word shingles link at a similarity of 0.8 or more."""
+    """One document, the one of least doc_id, of each group that five-word shingles link at a similarity of 0.8 or more. Texts without words
+    and rows without a doc_id all stay; rows that repeat a doc_id stay or go together."""
     return ngram_join.one_of_each(docs, 5, 80, 100)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage. Null and empty texts stay; an empty benchmark removes nothing."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data and secrets replaced under the session's key; n_chars follows the text."""
+    """All documents, personal data and secrets replaced under the session's key; n_chars follows the text. Null and empty texts stay."""
     return pii.anonymise(docs, pii.session_key(spark))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, text): each text encoded, and decoded from its ids."""
+    """(doc_id, n_tokens, ids, text): each text encoded, and decoded from its ids. Null texts have no tokens and the empty text."""
     import public_tokenizers
 
     return bpe.tokenised(docs, public_tokenizers.path("byte_bpe_50k.json"))
