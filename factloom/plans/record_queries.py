@@ -69,15 +69,19 @@ def _xlsx(lines, further=()) -> bytes:
     return _zip({"xl/workbook.xml": f'<workbook xmlns="{docs.S[1:-1]}"><sheets>{names}</sheets></workbook>'} | parts)
 
 
-def _pdf(lines, per: int = 5) -> bytes:
-    """Pages of five lines each, drawn from the last to the first, in compressed streams and a font with a character map."""
+def _pdf(lines, per: int = 5, broken: int = 0) -> bytes:
+    """Pages of five lines each, drawn from the last to the first, in compressed streams and a font with a character map; each line ends in
+    a second run, its number, and the stream of page `broken` is no stream."""
     cmap = b"begincmap 1 beginbfrange <0000> <FFFF> <0000> endbfrange endcmap"
     objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 3: b"<< /Type /Font /Subtype /Type0 /ToUnicode 4 0 R >>", 4: b"<< /Length %d >>\nstream\n%s\nendstream" % (len(cmap), cmap)}
     pages = []
+    code = lambda x: x.encode("utf-16-be").hex().encode()
     for begin in range(0, len(lines), per):
         n = 5 + 2 * len(pages)
-        drawn = [b"1 0 0 1 72 %d Tm <%s> Tj" % (700 - 20 * i, x.encode("utf-16-be").hex().encode()) for i, x in enumerate(lines[begin : begin + per])]
+        drawn = [b"1 0 0 1 400 %d Tm <%s> Tj 1 0 0 1 72 %d Tm <%s> Tj" % (700 - 20 * i, code(f" #{begin + i + 1}"), 700 - 20 * i, code(x)) for i, x in enumerate(lines[begin : begin + per])]
         body = zlib.compress(b"\n".join([b"BT /F1 12 Tf", *reversed(drawn), b"ET"]))
+        if len(pages) + 1 == broken:
+            body = b"no stream"
         objects[n] = b"<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % (n + 1)
         objects[n + 1] = b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(body), body)
         pages.append(b"%d 0 R" % n)
@@ -143,13 +147,32 @@ def _(t: Tables):
     return docs.parsed(_packed(t, _rtf), lambda data: [(docs.rtf_text(data),)], "text string", "item_id").drop("error")
 
 
-@query("scan_pdf", """select item_id, cast((n - 1) // 5 + 1 as integer) page, case when item_id % 7 = 3 then null else string_agg(line, chr(10) order by n) filter (line <> '') end text, case when item_id % 7 = 3 then 'ValueError' end error
- from benchmark_lines where item_id % 7 <> 3 group by all union all select item_id, null, null, 'ValueError' from benchmark where item_id % 7 = 3""".replace(", case when item_id % 7 = 3 then null else string_agg(line, chr(10) order by n) filter (line <> '') end text, case when item_id % 7 = 3 then 'ValueError' end error", ", coalesce(string_agg(line, chr(10) order by n) filter (line <> ''), '') text, null error"))
+_pdf_lines = "(select item_id, n, line, cast((n - 1) // 2 + 1 as integer) page, (max(n) over (partition by item_id) - 1) // 2 + 1 pages from (select item_id, unnest(range(1, 8)) n, 'line ' || item_id || ' é' line from benchmark) where item_id % 7 <> 3)"
+
+
+def _pdfs(t: Tables):
+    """Seven lines of each item on pages of two lines; some files are no PDF, and the second page of each is broken."""
+    line = F.concat(F.lit("line "), F.col("item_id").cast("string"), F.lit(" é"))
+    files = _packed(t, lambda lines: _pdf(lines, 2, 2), t("benchmark").select("item_id", F.array_repeat(line, 7).alias("lines")))
+    return files.select("item_id", F.when(F.col("item_id") % 7 == 3, F.encode(F.lit("{not a pdf}"), "UTF-8")).otherwise(F.col("content")).alias("content"))
+
+
+@query("scan_pdf", f"""select item_id, page, case when page = 2 then null else string_agg(line || ' #' || n, chr(10) order by n) end text, case when page = 2 then 'error' end problem, null error from {_pdf_lines} where page in (1, 2, 4) group by item_id, page
+ union all select item_id, null, null, null, 'ValueError' from benchmark where item_id % 7 = 3""")
+def _(t: Tables):
+    # Pages 1, 2 and from 4 on: a file, and a page, that cannot be read is reported, and none sinks the others.
+    return docs.parsed(_pdfs(t), lambda data: docs.pdf_pages(data, True, "-2,4-"), "page int, text string, problem string", "item_id")
+
+
+@query("scan_pdf_text", "select item_id, cast((n - 1) // 5 + 1 as integer) page, string_agg(line || ' #' || n, chr(10) order by n) text from benchmark_lines group by all")
+def _(t: Tables):
+    return docs.parsed(_packed(t, _pdf), lambda data: docs.pdf_pages(data, layout=True), "page int, text string, problem string", "item_id").select("item_id", "page", "text")
+
+
+@query("scan_pdf_tables", f"select item_id, page, cast((n - 1) % 2 + 1 as integer) \"row\", line || '|' || ' #' || n cells from {_pdf_lines} where page in (1, 3, 4)")
 def _(t: Tables):
-    # Some files are no PDF: each is reported, and none sinks the others.
-    files = _packed(t, _pdf)
-    files = files.select("item_id", F.when(F.col("item_id") % 7 == 3, F.encode(F.lit("{not a pdf}"), "UTF-8")).otherwise(F.col("content")).alias("content"))
-    return docs.parsed(files, lambda data: docs.pdf_pages(data, layout=True), "page int, text string", "item_id")
+    rows = docs.parsed(_pdfs(t).where("item_id % 7 <> 3"), lambda data: docs.pdf_tables(data, "1,3-"), "page int, row int, cells array<string>", "item_id")
+    return rows.select("item_id", "page", "row", F.array_join("cells", "|").alias("cells"))
 
 
 @query("scan_delimited", "select c_custkey, c_custkey::varchar c1, c_name c2, c_mktsegment c3 from customer")

@@ -181,11 +181,18 @@ def rtf_text(data: bytes) -> str:
     return "".join(out).strip()
 
 
-def pdf_pages(data: bytes, layout: bool = False) -> list[tuple[int, str]]:
-    """(page, text)"""
+def pdf_pages(data: bytes, layout: bool = False, spec: str | None = None) -> list[tuple[int, str | None, str | None]]:
+    """(page, text, problem) of the pages that a specification chooses, or of all."""
     from . import pdf
 
-    return pdf.pages(data, layout)
+    return pdf.pages(data, layout, spec)
+
+
+def pdf_tables(data: bytes, spec: str | None = None) -> list[tuple[int, int, list[str]]]:
+    """(page, row, cells)"""
+    from . import pdf
+
+    return pdf.tables(data, spec)
 
 
 O = {k: f"{{urn:oasis:names:tc:opendocument:xmlns:{k}:1.0}}" for k in ("office", "text", "table")}

@@ -130,8 +130,8 @@ def _shown(raw: bytes, chars: dict[int, str] | None) -> str:
     return text.encode("utf-16-be", "surrogatepass").decode("utf-16-be", "replace")  # halves of one character meet
 
 
-def page_text(file: File, page: bytes, layout: bool = False) -> str:
-    """A page's text: a new line wherever the place of the text moves down or up."""
+def page_runs(file: File, page: bytes) -> list[tuple[float, float, str]]:
+    """(y, x, text) of a page's text runs in the order of its content; y rises from the bottom."""
     fonts, chars = file.fonts(page), None
     runs: list[tuple[float, float, str]] = []
     stack: list = []
@@ -164,22 +164,52 @@ def page_text(file: File, page: bytes, layout: bool = False) -> str:
         if token in (b"Tj", b"TJ", b"'", b'"'):
             runs.append((y, x, "".join(_shown(_string(t), chars) for t in strings)))
         stack = []
+    return [r for r in runs if r[2]]
+
+
+def page_lines(file: File, page: bytes, layout: bool = False) -> list[list[str]]:
+    """The runs of each line: a new line begins wherever the place of the text moves up or down."""
+    runs = page_runs(file, page)
     if layout:
         runs.sort(key=lambda r: (-round(r[0], 1), r[1]))
-    lines: list[str] = []
+    lines: list[list[str]] = []
     at = None
     for y, _, text in runs:
-        if not text:
-            continue
         if at is None or round(y, 1) != at:
-            lines.append(text)
-        else:
-            lines[-1] += text
+            lines.append([])
+        lines[-1].append(text)
         at = round(y, 1)
-    return "\n".join(lines)
+    return lines
+
+
+def chosen(spec: str | None, total: int) -> list[int]:
+    """The pages, from 1 on, of a specification such as 1-5,8,11-; all without one."""
+    if not spec:
+        return list(range(1, total + 1))
+    out: set[int] = set()
+    for part in spec.split(","):
+        m = re.fullmatch(r"\s*(\d*)(-?)(\d*)\s*", part)
+        if m and (m[1] or m[3]):
+            low = int(m[1] or 1)
+            out |= set(range(max(1, low), min(total, int(m[3] or total) if m[2] else low) + 1))
+    return sorted(out)
+
+
+def pages(data: bytes, layout: bool = False, spec: str | None = None) -> list[tuple[int, str | None, str | None]]:
+    """(page, text, problem) of the chosen pages: a page that cannot be read has a problem and doesn't sink the others."""
+    file = File(data)
+    found = file.pages()
+    out: list[tuple[int, str | None, str | None]] = []
+    for n in chosen(spec, len(found)):
+        try:
+            out.append((n, "\n".join("".join(line) for line in page_lines(file, found[n - 1], layout)), None))
+        except Exception as e:  # noqa: BLE001 the problem is the page's result
+            out.append((n, None, type(e).__name__))
+    return out
 
 
-def pages(data: bytes, layout: bool = False) -> list[tuple[int, str]]:
-    """(page, text) of a whole file, pages counted from 1."""
+def tables(data: bytes, spec: str | None = None) -> list[tuple[int, int, list[str]]]:
+    """(page, row, cells): lines of two text runs or more, read as the rows of tables, runs as their cells."""
     file = File(data)
-    return [(n, page_text(file, p, layout)) for n, p in enumerate(file.pages(), 1)]
+    found = file.pages()
+    return [(n, i, cells) for n in chosen(spec, len(found)) for i, cells in enumerate((x for x in page_lines(file, found[n - 1], True) if len(x) > 1), 1)]

@@ -294,9 +294,11 @@ def test_readers():
 
     lines = ["Title & more", "second < line", "", "Ünï"]
     assert docs.docx_blocks(q._docx(lines)) == [("heading", 1, "Title & more"), ("list", None, "second < line"), ("para", None, "Ünï")]
-    assert docs.pdf_pages(q._pdf([*lines, "5", "6 😀 (x) \\ y"]), layout=True) == [(1, "Title & more\nsecond < line\nÜnï\n5"), (2, "6 😀 (x) \\ y")]
+    assert docs.pdf_pages(q._pdf([*lines, "5", "6 😀 (x) \\ y"]), layout=True) == [(1, "Title & more #1\nsecond < line #2\n #3\nÜnï #4\n5 #5", None), (2, "6 😀 (x) \\ y #6", None)]
+    assert [x[0] for x in docs.pdf_pages(q._pdf(["x"] * 12, 1), spec="-2, 8,11-")] == [1, 2, 8, 11, 12]
+    assert [bool(x[2]) for x in docs.pdf_pages(q._pdf(["x"] * 3, 1, broken=2))] == [False, True, False]
     plain = b"%PDF-1.1\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj 2 0 obj << /Kids [3 0 R] >> endobj 3 0 obj << /Type /Page /Contents [4 0 R] >> endobj 4 0 obj << >>\nstream\nBT 10 20 Td 14 TL (Hello \\(x\\) \\101) Tj T* [(Wor) -20 (ld)] TJ (next) ' ET\nendstream endobj"
-    assert docs.pdf_pages(plain) == [(1, "Hello (x) A\nWorld\nnext")]
+    assert docs.pdf_pages(plain) == [(1, "Hello (x) A\nWorld\nnext", None)]
     for bad in (b"junk", b"%PDF-1.4\ntrailer << /Encrypt 5 0 R >>"):
         with pytest.raises(ValueError):
             docs.pdf_pages(bad)
