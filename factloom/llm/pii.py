@@ -70,6 +70,9 @@ CUES = tuple(
 SAYS = tuple(" said| says| wrote| writes| told| asked| replied| added| explained| answered|, who | sagte| schrieb| a dit| écrit| dijo| escribió| сказал| написал".split("|"))
 # Words that open a sentence and no name.
 OPENERS = frozenset("The Then Later But And So When After Before In On At As Yet Now Today Yesterday Once Here There Also Der Die Das Und Aber Dann Le La Les Et Mais Puis El Los Las Pero Luego".split())
+# What stands before a secret, and what announces a phone number of seven digits.
+SECRET_KEYS = tuple("token secret passwd password passphrase apikey api_key api-key accesskey access_key access-key privatekey private_key private-key auth".split())
+CALLS = tuple(f"{word}{rest} " for word in "call phone tel telephone dial ring mobile cell fax".split() for rest in ("", " at", " on", " me at", " us at", ".", ":"))
 # Country codes of two digits; 1 and 7 have one, all others three.
 TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
@@ -82,10 +85,10 @@ IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3}
 PHONE = re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]\d{3,4}(?![\w-]|\.\d)")
 PLUS = re.compile(r"(?<![\w+])\+\d(?:[ .()-]{0,2}\d){6,14}(?!\w)")
 TEN = re.compile(r"(?<![\w.+-])1?[2-9]\d{9}(?![\w-]|\.\d)")
-SEVEN = re.compile(r"(?<![\w.+-])555-\d{4}(?![\w-]|\.\d)|(?i:(?<!\w)(?:call|phone|tel|telephone|dial|ring|mobile|cell|fax)(?: at| on| me at| us at|\.|:)? )([2-9]\d\d-\d{4})(?![\w-]|\.\d)")
+SEVEN = re.compile(r"(?<![\w.+-])[2-9]\d\d-\d{4}(?![\w-]|\.\d)")
 CARD = re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w-])")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
-SECRET = re.compile(r"(?i)(?:token|secret|passwd|password|passphrase|api[_-]?key|access[_-]?key|private[_-]?key|auth)[\"']?[ \t]*[:=][ \t]*[\"']?([A-Za-z0-9+/_.~=-]{8,})")
+SIGN = re.compile(r"[:=](?=[ \t]*[\"']?([A-Za-z0-9+/_.~=-]{8,}))")
 BARE = re.compile(r"(?<!\w)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)")
 NAME = re.compile(rf"(?<!\w)[{U}][{L}]+\.?(?: (?:(?:Mr|Mrs|Ms|Dr|Prof|Sr|Sra|Mme)\. )?[{U}][{L}]+(?:-[{U}][{L}]+)?){{1,3}}")
 WORDS = re.compile(rf"(?<!\w)[{U}][{L}]+(?!\w)")
@@ -384,6 +387,24 @@ def _names(text: str):
                 yield m.start(), m.end(), "surname", m[0]
 
 
+def _secrets(text: str):
+    """(start, end, kind, value) of what is assigned to a key of SECRET_KEYS, in any case, with or without quotes and blanks."""
+    for m in SIGN.finditer(text):
+        end = m.start()
+        while end and text[end - 1] in " \t":
+            end -= 1
+        if end and text[end - 1] in "\"'":
+            end -= 1
+        if text[max(0, end - 12) : end].lower().endswith(SECRET_KEYS):
+            yield *m.span(1), "secret", m[1]
+
+
+def _announced(text: str, start: int) -> bool:
+    """Whether the words before a place announce a phone number."""
+    before = " " + text[max(0, start - 20) : start].lower()
+    return any(before.endswith(x) and not before[-len(x) - 1].isalnum() for x in CALLS)
+
+
 def _is_ip6(text: str) -> bool:
     """Whether it is an address that says more than that there is none (::) and can't be a time of day."""
     if len(text) < 6 or not ("::" in text or text.count(":") == 7):
@@ -401,7 +422,7 @@ def _is_iban(text: str) -> bool:
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, value) of the entities of a whole text, none overlapping: of those that do, the first and longest stays."""
-    found = [(*m.span(1), "secret", m[1]) for m in SECRET.finditer(text)]  # these two need neither a digit nor '@'
+    found = list(_secrets(text))  # these two need neither a digit nor '@'
     found += [(*m.span(), "secret", m[0]) for m in BARE.finditer(text)]
     if MAY_HOLD.search(text):
         if "@" in text:
@@ -420,7 +441,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         found += phones
         found += [(*m.span(), "phone", m[0]) for m in PLUS.finditer(text) if m.start() not in fixed]
         found += [(*m.span(), "phone", m[0]) for m in TEN.finditer(text)]
-        found += [(*m.span(m.lastindex or 0), "phone", m[m.lastindex or 0]) for m in SEVEN.finditer(text)]
+        found += [(*m.span(), "phone", m[0]) for m in SEVEN.finditer(text) if m[0][:3] == "555" or _announced(text, m.start())]
     found += _names(text)
     found.sort(key=lambda x: (x[0], -x[1]))
     out: list[tuple[int, int, str, str]] = []
