@@ -23,7 +23,8 @@ alike falls apart. Each group has an R-tree of its own, in cells of MOST_POINTS
 not joined yet are verified on the sets. No pair is lost: two sets that link share a shingle of their prefixes in any common order.
 
 Defined results: null and empty texts, and texts without words, have no shingles and link with nothing; rows with a null doc_id link
-with nothing and get a null component; repeated rows and equal texts are one class; ties in size or signature are all kept; texts are
+with nothing and get a null component; repeated rows and equal texts are one class; of different
+texts under one doc_id each has its own row and set size, and one of them stands for the id in links; ties in size or signature are all kept; texts are
 read whole at any length; an empty table gives no rows; further columns are ignored (join_components) or kept (one_of_each).
 """
 

@@ -79,6 +79,12 @@ def test_substrings(docs, none):
     cut = substring.without_repeats(docs)
     assert cut.columns == docs.columns and cut.where("doc_id = 6").first()["text"] == " tail" and cut.where("doc_id = 5").first()["text"] == LONG
     assert substring.repeated_passages(none).count() == substring.without_repeats(none).count() == 0
+    # Different texts under one doc_id.
+    text = " ".join(f"v{i}" for i in range(120))
+    twice = docs.sparkSession.createDataFrame([(1, text), (2, "short"), (2, text + " more of it"), (2, None)], "doc_id long, text string")
+    assert {r["doc_id"] for r in substring.repeated_passages(twice).collect() if r["passages"]} == {1, 2}
+    assert sorted(str(r["text"]) for r in substring.without_repeats(twice).collect()) == sorted([text, "short", " more of it", "None"])
+    assert ngram_join.join_components(twice).count() == 4
 
 
 def test_decontamination(docs, none, items):
