@@ -187,10 +187,7 @@ def _(t: Tables):
     return index.search(t.index, QUESTION, include_unproven=True)
 
 
-_shown = (_top % _gate).replace("select claim_id, source, status, utility, round(rel, 3) relevance, round((0.25 + 0.75 * rel) * (0.5 + 0.5 * utility), 4) score", "select claim_id, round((0.25 + 0.75 * rel) * (0.5 + 0.5 * utility), 4) score", 1)
-
-
-@query("agg_hits", f"select claim_id, cast(sum(hits) as bigint) hits, cast(sum(helpful) as bigint) helpful, cast(sum(unhelpful) as bigint) unhelpful from (select claim_id, hits, helpful, unhelpful from feedback union all select claim_id, 1, 0, 0 from ({_shown})) group by 1")
+@query("agg_hits", f"select claim_id, cast(sum(hits) as bigint) hits, cast(sum(helpful) as bigint) helpful, cast(sum(unhelpful) as bigint) unhelpful from (select claim_id, hits, helpful, unhelpful from feedback union all select claim_id, 1, 0, 0 from ({_top % _gate})) group by 1")
 def _(t: Tables):
     return index.shown(t.feedback, index.search(t.index, QUESTION))
 
