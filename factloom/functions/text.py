@@ -122,9 +122,11 @@ def norm_text_key(s) -> Column:
 
 
 def claim_tokens(s) -> Column:
-    """Distinct tokens of a normalised claim; an empty last token doesn't count."""
-    parts = F.split(norm_claim(s), " ")
-    return F.array_distinct(F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts))
+    """Distinct tokens of a normalised claim; an empty last token doesn't count. The claim is normalised once, as the one element of an
+    array."""
+    none = F.array().cast("array<string>")
+    tokens = F.transform(F.array(norm_claim(s)), lambda x: F.when(x == "", none).otherwise(F.array_distinct(F.split(F.regexp_replace(x, " $", ""), " "))))
+    return F.element_at(tokens, 1)
 
 
 def plain_tokens(s, stop) -> Column:

@@ -70,10 +70,18 @@ def evidence_level(types) -> Column:
     return out
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """A table that several steps read, written once."""
+    path = store.scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def token_classes(claims: DataFrame) -> DataFrame:
     """(question_id, doc_id, rep, t): a claim's distinct tokens in order, and the least doc_id of its question with the same ones. Claims
     without tokens are left out."""
-    rows = claims.select("question_id", "doc_id", F.array_sort(tx.claim_tokens("claim")).alias("t")).where(F.size("t") > 0)
+    # Exploded from an array of one, so that the filter doesn't work the tokens out once more below the projection.
+    rows = claims.select("question_id", "doc_id", F.explode(F.array(F.array_sort(tx.claim_tokens("claim")))).alias("t")).where(F.size("t") > 0)
     rows = rows.withColumn("digest", F.md5(F.array_join("t", " ")))
     reps = rows.groupBy("question_id", "digest").agg(F.min("doc_id").alias("rep"))
     return rows.join(reps, ["question_id", "digest"]).select("question_id", "doc_id", "rep", "t")
@@ -90,11 +98,13 @@ def similar_claims(classes: DataFrame, threshold: float) -> DataFrame:
     tokens = reps.select("question_id", "doc_id", F.explode("t").alias("key"))
     often = tokens.groupBy("question_id", "key").agg(F.count("*").alias("df"))
     ranked = tokens.join(often.where("df > 1"), ["question_id", "key"], "left").groupBy("question_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "key"))).alias("r"))
-    prefix = F.slice("r", 1, (F.size("r") - F.ceil(F.size("r") * threshold) + 1).cast("int"))
-    keyed = ranked.select("question_id", "doc_id", F.size("r").alias("n"), F.explode(F.filter(prefix, lambda x: x["df"] > 1)).alias("k")).select("question_id", "doc_id", "n", "k.key")
+    placed = F.transform(F.slice("r", 1, (F.size("r") - F.ceil(F.size("r") * threshold) + 1).cast("int")), lambda x, i: F.struct(x["df"].alias("df"), x["key"].alias("key"), (F.size("r") - i).alias("rest")))
+    keyed = ranked.select("question_id", "doc_id", F.size("r").alias("n"), F.explode(F.filter(placed, lambda x: x["df"] > 1)).alias("k")).select("question_id", "doc_id", "n", "k.key", "k.rest")
     a, b = keyed.alias("a"), keyed.alias("b")
     met = a.join(b, (F.col("a.question_id") == F.col("b.question_id")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-    sized = met.where((F.col("a.n") >= threshold * F.col("b.n")) & (F.col("b.n") >= threshold * F.col("a.n")))
+    # At the first token that two sets share, what either has from there on bounds what they share in all.
+    enough = F.least("a.rest", "b.rest") * (1 + threshold) >= threshold * (F.col("a.n") + F.col("b.n")) - 1e-9
+    sized = met.where((F.col("a.n") >= threshold * F.col("b.n")) & (F.col("b.n") >= threshold * F.col("a.n")) & enough)
     ids = sized.select(F.col("a.question_id").alias("question_id"), F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
     both = ids.join(reps.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("t").alias("tb")), "b")
     scored = both.select("question_id", "a", "b", tx.jaccard(F.col("ta"), F.col("tb")).alias("jaccard")).where(F.col("jaccard") >= threshold)
@@ -109,13 +119,6 @@ def seed_clusters(claims: DataFrame, threshold: float) -> DataFrame:
     round is written; a chain of n links that only ever leaves its first one open takes n / 2 rounds. Members of a class of equal
     token sets go with their representative.
     """
-    spark = claims.sparkSession
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        path = store.scratch(spark, name)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     classes = kept(token_classes(claims), "classes")
     links = kept(similar_claims(classes, threshold).select("a", "b").join(classes.where("doc_id > rep").select(F.col("doc_id").alias("b")), "b", "left_anti").select("a", "b"), "links")
     open_, taken = links, None

@@ -79,7 +79,7 @@ class Tables:
     @cached_property
     def short(self) -> DataFrame:
         """Documents as the claims that answer a question; a source stands for a question."""
-        return self("documents").select("doc_id", F.col("source").alias("question_id"), F.col("text").alias("claim"))
+        return store.spread(self("documents").select("doc_id", F.col("source").alias("question_id"), F.col("text").alias("claim")))
 
     @cached_property
     def reviews(self) -> DataFrame:
