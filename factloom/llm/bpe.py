@@ -20,7 +20,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from .common import batches_of, short_batches, texts
+from .common import batches_of, give_back, short_batches, texts
 
 #: The byte-level pre-tokenizer's pattern (a fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -173,6 +173,8 @@ def round_trip(df: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         yield from batches_of(rows(batches), out)
+        codec(path).cache.clear()  # the worker goes on to other stages
+        give_back()
 
     return df.select(df["doc_id"].cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -195,5 +197,7 @@ def tokenised(df: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         yield from batches_of(rows(batches), out, 256)
+        codec(path).cache.clear()  # the worker goes on to other stages
+        give_back()
 
     return df.select(df["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, text string")

@@ -73,7 +73,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 #: A key with more than this many rows, and more than a 500th of all, is hot.
-HOT_ROWS = 200
+HOT_ROWS = 1000
 
 
 def skew_join(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
@@ -103,13 +103,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
         large = skew_join(both, least, "a", 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = written(large, "large")
         # Small star: u's neighbours below it, and u itself, go to the least of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = skew_join(large, low, "a", total).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         after = written(small.where("a <> b").distinct(), "edges")
         sums = after.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        discard(now, large)
+        discard(now)
         now, total = after, sums[0]
         if sums == seen:
             break
@@ -140,6 +139,16 @@ def batches_of(rows: Iterator[tuple], schema, size: int = 2000):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
+def give_back() -> None:
+    """Return what a finished task's batches held to the system: workers live on, and their memory counts with the executor's."""
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 #: Bytes that are hashed at once, and powers that a worker keeps.
 BLOCK = 1 << 16
 _KEPT: dict = {}

@@ -35,7 +35,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, components, discard, mixed, neighbours, short_batches, shingle_hashes, skew_join, texts, written
+from .common import batches_of, components, discard, give_back, mixed, neighbours, short_batches, shingle_hashes, skew_join, texts, written
 
 ROWS = 4
 MISS = 1e-8
@@ -104,6 +104,7 @@ def profiles(documents: DataFrame, k: int, num: int, den: int, exact: bool = Fal
 
     def run(batches):
         yield from batches_of(rows(batches), out, 500)
+        give_back()
 
     return documents.select(documents["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>")
 
@@ -415,12 +416,14 @@ def join_components(documents: DataFrame, k: int = 5, num: int = 80, den: int =
     sets = written(set_rows(documents, members, k), "sets", 64)
     whole = members.groupBy("component").agg(F.sum("n").alias("all"))
     small = members.join(whole.where(F.col("all") <= MOST_SHINGLES), "component", "left_semi")
-    large = written(members.join(whole.where(F.col("all") > MOST_SHINGLES), "component", "left_semi"), "large")
+    large = members.join(whole.where(F.col("all") > MOST_SHINGLES), "component", "left_semi")
     found = [written(links(sets, small.select("doc_id", F.col("component").alias("task")), num, den), "links", 64)]
     if not large.isEmpty():
+        large = written(large, "large")
         found += large_links(sets, large, chained, num, den)
+        discard(large)
     reached = components(_union(found))
-    discard(chained, joined, members, sets, large, *found)
+    discard(chained, joined, members, sets, *found)
     to = classes.join(reached.withColumnRenamed("id", "class_id"), "class_id", "left").select("d1", "d2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     linked_rows = known.select("doc_id", "n", "d1", "d2").join(to, ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
     rest = seen.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
