@@ -81,6 +81,8 @@ def skew_join(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFr
 
     Hot keys, 500 at most by their definition, are broadcast, so that their rows stay where they are; all others meet by shuffle."""
     hot, own = F.col("n") > max(HOT_ROWS, total // 500), table.drop("n")
+    if total <= HOT_ROWS or table.where(hot).isEmpty():  # a plan of one join, where it does
+        return rows.join(own.hint("merge"), key)
     few = F.broadcast(table.where(hot).drop("n"))
     rest = rows.join(F.broadcast(table.where(hot).select(key)), key, "left_anti")
     return rows.join(few, key).unionByName(rest.join(table.where(~hot).select(own.columns).hint("merge"), key))
