@@ -79,6 +79,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(spread(table(spark, sf_dir, "documents")))
 
 
+def op11_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import prefix_bpe
+
+    return prefix_bpe.round_trip(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict:
-    own = (op1_chat_formatting, op2_bpe_encode_decode, op3_ngram_jaccard_join, op4_quality_classifier, op5_substring_dedup, op6_html_extraction, op7_url_filters, op8_benchmark_decontamination, op9_pii_surrogates, op10_quality_rules)
+    own = (op1_chat_formatting, op2_bpe_encode_decode, op3_ngram_jaccard_join, op4_quality_classifier, op5_substring_dedup, op6_html_extraction, op7_url_filters, op8_benchmark_decontamination, op9_pii_surrogates, op10_quality_rules, op11_prefix_bpe)
     return {f.__name__: f for f in own}
