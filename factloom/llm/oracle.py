@@ -82,5 +82,17 @@ select doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_
   not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and 2 * lost <= word_chars kept from f"""
 
 
+def op12() -> str:
+    score = "cast(list_sum(list_transform(range(1, greatest(len(a.x), len(b.x)) + 1), lambda i: coalesce(a.x[i], 0) * coalesce(b.x[i], 0))) as bigint)"
+    return f"""
+with v as (select vec_id, case when vec_id % 7 = 0 then (cast(label as bigint) + 1) % 10 else label end lab, list_transform(embedding, lambda c: cast(floor(256 * cast(c as double)) as bigint)) x
+    from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+s as (select a.vec_id anchor_id, a.lab, b.vec_id, b.lab other, {score} score from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, vec_id positive_id, score positive_score from s where lab = other qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, positive_id, cast(row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id) as integer) "rank", vec_id negative_id, positive_score, score negative_score
+from p join s on p.anchor_id = s.anchor_id and lab <> other and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify "rank" <= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": op1(), "op7_url_filters": op7(), "op10_quality_rules": op10()}
+    return {"op1_chat_formatting": op1(), "op7_url_filters": op7(), "op10_quality_rules": op10(), "op12_hard_negatives": op12()}

@@ -87,6 +87,21 @@ def op11_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.round_trip(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import hard_negatives
+
+    label = F.col("label").cast("long")
+    rows = spread(table(spark, sf_dir, "embeddings")).withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine(rows, rows["vec_id"] % 50 == 0)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import whitening
+
+    rows = spread(table(spark, sf_dir, "embeddings"))
+    return whitening.whiten(rows, whitening.fit(rows))
+
+
 def queries() -> dict:
-    own = (op1_chat_formatting, op2_bpe_encode_decode, op3_ngram_jaccard_join, op4_quality_classifier, op5_substring_dedup, op6_html_extraction, op7_url_filters, op8_benchmark_decontamination, op9_pii_surrogates, op10_quality_rules, op11_prefix_bpe)
+    own = (op1_chat_formatting, op2_bpe_encode_decode, op3_ngram_jaccard_join, op4_quality_classifier, op5_substring_dedup, op6_html_extraction, op7_url_filters, op8_benchmark_decontamination, op9_pii_surrogates, op10_quality_rules, op11_prefix_bpe, op12_hard_negatives, op13_embedding_whitening)
     return {f.__name__: f for f in own}

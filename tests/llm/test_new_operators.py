@@ -7,7 +7,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import prefix_bpe, queries
+from factloom.llm import hard_negatives, prefix_bpe, queries, whitening
 
 from ..conftest import SF
 
@@ -115,3 +115,124 @@ def test_other_vocabularies_are_refused(tmp_path):
     with pytest.raises(ValueError, match="isn't made from two tokens"):
         prefix_bpe.PrefixCodec(file([*bytes_, b"abc"]), ".")
     assert prefix_bpe.PrefixCodec(file([*bytes_, b"ab", b"abc"]), ".+").encode("abc") == struct.pack("<I", 257)
+
+
+# 12
+def brute_negatives(rows, low=50, high=95, positives=5, negatives=3):
+    """rows: (vec_id, label, vector of integers, anchor)."""
+    score = lambda a, b: sum(x * y for x, y in zip(a, b))
+    out = []
+    for i, (vec, label, x, anchor) in enumerate(rows):
+        if not anchor:
+            continue
+        scored = sorted((-score(x, r[2]), r[0], k, r[1]) for k, r in enumerate(rows) if k != i)
+        for s, pid, _, _ in [r for r in scored if r[3] == label][:positives]:
+            near = [r for r in scored if r[3] != label and low * -s <= 100 * -r[0] <= high * -s][:negatives]
+            out += [(vec, pid, rank, r[1], -s, -r[0]) for rank, r in enumerate(near, 1)]
+    return sorted(out)
+
+
+def mined(df, **how):
+    columns = ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    return sorted(tuple(r[c] for c in columns) for r in hard_negatives.mine(df, F.col("vec_id") % 3 == 0, **how).collect())
+
+
+@pytest.mark.parametrize("blocks", [(1024, 256, 4, 16, 32), (16, 8, 2, 1, 2)])
+def test_hard_negatives_are_brute_force(spark, monkeypatch, blocks):
+    """One block and many, a label with a third of all rows, many labels of a row or two, ties, repeated rows, vectors of different lengths."""
+    for name, value in zip(("ROWS", "ANCHORS", "ROW_BLOCKS", "ANCHOR_BLOCKS", "CHUNK"), blocks):
+        monkeypatch.setattr(hard_negatives, name, value)
+    rng = random.Random(12)
+    rows = []
+    for i in range(150):
+        label = 0 if i % 3 == 0 else rng.choice([1, 2, *range(10, 60)])
+        rows.append((i, label, [float(rng.randint(-2, 3)) for _ in range(rng.choice([5, 5, 5, 3]))]))
+    rows += [rows[3], rows[7], rows[10]]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").select("*", *(F.lit("x").alias(c) for c in ("x", "place", "block", "row", "anchor", "number", "rank", "i", "n")))
+    pad = lambda v: [int(256 * c) for c in v] + [0] * (5 - len(v))
+    assert mined(df) == brute_negatives([(i, lab, pad(v), i % 3 == 0) for i, lab, v in rows])
+    assert mined(df, low=10, high=100, positives=2, negatives=4) == brute_negatives([(i, lab, pad(v), i % 3 == 0) for i, lab, v in rows], 10, 100, 2, 4)
+
+
+def test_hard_negatives_leave_broken_rows_out(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, 1, [1.0, 0.5]), (1, 1, [1.0, 1.0]), (2, 2, [1.0, 0.25]), (3, None, [9.0, 9.0]), (None, 1, [9.0, 9.0]), (4, 1, None), (5, 2, [nan, 1.0]), (7, 2, [inf, 1.0]), (8, 2, [1.0, None]), (10, 2, [])]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    assert mined(df) == [(0, 1, 1, 2, 98304, 73728)] == brute_negatives([(0, 1, [256, 128], True), (1, 1, [256, 256], False), (2, 2, [256, 64], False), (10, 2, [0, 0], False)])
+    assert mined(df.where("false")) == mined(df.where("vec_id % 3 <> 0")) == []
+    assert mined(df.where("vec_id = 0")) == []
+    huge = spark.createDataFrame([(0, 1, [1e30]), (1, 1, [1e30])], "vec_id long, label int, embedding array<double>")
+    with pytest.raises(Exception, match="exceed 64 bits"):
+        mined(huge)
+    large = [(0, 1, [2.0**22 + 1, 3.0]), (1, 1, [2.0**22, 5.0]), (2, 2, [2.0**21 + 1, 7.0]), (3, 2, [2.0**21 + 1, 6.0])]  # beyond doubles
+    df = spark.createDataFrame(large, "vec_id long, label int, embedding array<double>")
+    assert mined(df) == brute_negatives([(i, lab, [int(256 * c) for c in v], i % 3 == 0) for i, lab, v in large]) != []
+
+
+# 13
+def brute_whitening(vectors, most=4):
+    """Exact integers and fractions up to the covariance, then a solver of its own."""
+    import numpy as np
+
+    fit = sorted({tuple(v) for v in vectors})
+    n, d = len(fit), len(fit[0])
+    sums = [sum(v[k] for v in fit) for k in range(d)]
+    y = [[n * v[k] - sums[k] for k in range(d)] for v in fit]
+    cov = np.array([[sum(r[a] * r[b] for r in y) / n**3 for b in range(d)] for a in range(d)])
+    u, s, _ = np.linalg.svd(cov)
+    return n, sums, cov, s[:most], u[:, :most].T, {v: sum((n * v[k] - sums[k]) ** 2 for k in range(d)) for v in fit}
+
+
+def test_whitening_is_brute_force(spark):
+    import numpy as np
+
+    rng = random.Random(13)
+    rows = [(i, [rng.gauss(1000 * (k == 0), 1 + 3 * k) for k in range(6)]) for i in range(200)]
+    rows += [(200 + i, rows[i % 5][1]) for i in range(100)] + [(500, None), (501, [float("nan")] * 6), (502, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (None, rows[9][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", *(F.lit("x").alias(c) for c in ("x", "n", "k", "component", "deviation")))
+    model = whitening.fit(df)
+    got = whitening.whiten(df, model).collect()
+    whole = [(i, tuple(int(np.floor(256 * c)) for c in v)) for i, v in rows if v is not None and all(c is not None and c == c for c in v)]
+    n, sums, cov, values, axes, deviations = brute_whitening([v for _, v in whole])
+    assert model.n == n == 200 and model.sums == sums and len(got) == 4 * len(whole)
+    by = {}
+    for r in got:
+        by.setdefault((r["vec_id"], r["deviation"]), {})[r["component"]] = r
+    for i, v in whole:
+        parts = by[i, deviations[v]]
+        for k in range(4):
+            r, want = parts[k + 1], sum((v[j] - sums[j] / n) * axes[k][j] for j in range(6)) / values[k] ** 0.5
+            sign = 1 if np.dot(axes[k], model.components[k]) > 0 else -1
+            assert r["n"] == n and abs(r["whitened"] - sign * want) < 1e-8 and abs(r["explained"] / (values[k] / np.trace(cov)) - 1) < 1e-8
+            assert 0 <= r["identity_error"] < 1e-9
+
+
+def test_whitening_of_few_or_alike_vectors(spark):
+    ddl = "vec_id long, embedding array<float>"
+    alike = spark.createDataFrame([(1, [1.0, 2.0])] * 3, ddl)
+    got = whitening.whiten(alike, whitening.fit(alike)).collect()
+    assert [(r["n"], r["deviation"], r["whitened"], r["explained"], r["identity_error"]) for r in got] == [(1, 0, None, 0.0, 0.0)] * 6
+    line = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [2.0, 4.0, 6.0]), (3, [3.0, 6.0])], ddl)
+    got = [r for r in whitening.whiten(line, whitening.fit(line)).collect() if r["component"] == 3]
+    assert len(got) == 3 and all(r["whitened"] is None and r["explained"] == 0 for r in got)
+    none = line.where("false")
+    assert whitening.fit(none) is None and whitening.whiten(none, whitening.fit(none)).count() == whitening.whiten(none, whitening.fit(line)).count() == 0
+    empty = spark.createDataFrame([(1, [])], ddl)
+    assert whitening.whiten(empty, whitening.fit(empty)).count() == 0
+    huge = spark.createDataFrame([(1, [1e15, 0.0]), (2, [-1e15, 0.25])], "vec_id long, embedding array<double>")
+    got = whitening.whiten(huge, whitening.fit(huge)).where("component = 1").collect()
+    assert all(r["deviation"] is None and abs(abs(r["whitened"]) - 1) < 1e-9 for r in got)
+
+
+def test_whitening_query(spark):
+    import numpy as np
+
+    got = QUERIES["op13_embedding_whitening"](spark, SF).toPandas()
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    assert len(got) == 4 * len(rows)
+    n, sums, cov, values, _, deviations = brute_whitening([tuple(int(np.floor(256 * float(c))) for c in r["embedding"]) for r in rows])
+    assert set(got["n"]) == {n} and set(got["deviation"]) == set(deviations.values()) and got["identity_error"].max() < 1e-9
+    for k in range(4):
+        own = got[got["component"] == k + 1]
+        assert abs(own["explained"].iloc[0] / (values[k] / np.trace(cov)) - 1) < 1e-9
+        assert abs(own.drop_duplicates("vec_id")["whitened"].mean()) < 0.2

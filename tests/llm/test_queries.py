@@ -17,7 +17,7 @@ def test_against_sql(name, spark, duck):
 def test_all_are_registered():
     import __spark_entry__
 
-    assert {f"op{n}" for n in range(1, 12)} <= {k.split("_")[0] for k in __spark_entry__.queries()}
+    assert {f"op{n}" for n in range(1, 14)} <= {k.split("_")[0] for k in __spark_entry__.queries()}
 
 
 #: The columns that the contracts name, and the table whose rows a query has.
