@@ -21,6 +21,13 @@ def md_escape(s) -> Column:
     return F.replace(F.coalesce(col(s), F.lit("")), F.lit("|"), F.lit("\\|"))
 
 
+def two_places(c, plus: bool = False) -> Column:
+    """A number to two places, with the sign that it had before it was rounded; plus: also that of numbers that are not negative."""
+    c = col(c)
+    sign = F.when(c < 0, "-").otherwise("+" if plus else "")
+    return F.when(c.isNotNull(), F.concat(sign, F.format_string("%.2f", F.abs(F.round(c, 2)))))
+
+
 def too_thin(s) -> Column:
     return F.length(F.trim(col(s))) < 32
 

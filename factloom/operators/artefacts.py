@@ -1,7 +1,8 @@
 """Written artefacts: Markdown and HTML reports, charts, the memo index, session files.
 
-An artefact is made as rows (name, section, key, id, pos, line), that is, in parallel, and written as one text file for each name by a
-task that streams its lines in order. What reads it back reads lines.
+An artefact is made as rows (name, section, key, id, pos, line), that is, in parallel, and written as text files for each name, dealt by
+range of the order: the parts, one after the other by their names, are the artefact. What reads it back reads lines. The headings and
+the forms of lines are fixed values of the formats.
 """
 
 from __future__ import annotations
@@ -12,10 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import records
+from factloom.sources.ordered import numbered
 
 ORDER = ("name", "section", "key", "id", "pos")
-#: Bars of a chart at most: a chart shows the largest, which is its use.
-MOST_BARS = 200
 
 
 def block(rows: DataFrame, name: str, section: int, lines: list, key: Column | None = None, id_: Column | None = None) -> DataFrame:
@@ -38,8 +38,8 @@ def union(*parts: DataFrame) -> DataFrame:
 
 
 def write_text(rows: DataFrame, path: str) -> None:
-    """One text file for each name."""
-    rows.repartition("name").sortWithinPartitions(*ORDER).select("name", F.col("line").alias("value")).write.mode("overwrite").partitionBy("name").text(path)
+    """Text files in numbered parts for each name; a large artefact is written by many tasks."""
+    rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).select("name", F.col("line").alias("value")).write.mode("overwrite").partitionBy("name").text(path)
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
@@ -47,8 +47,14 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("value string, name string").option("basePath", path).text(path).select("name", F.col("value").alias("line"))
 
 
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    """(name, part, text): the parts of each artefact in their order, each whole; joined, they are the artefact."""
+    files = spark.read.schema("value string, name string").option("basePath", path).text(path, wholetext=True)
+    return files.select("name", F.regexp_extract("_metadata.file_name", "part-([0-9]+)", 1).cast("int").alias("part"), F.col("value").alias("text"))
+
+
 def signed(c: Column) -> Column:
-    return F.format_string("%+.2f", F.round(c, 2))
+    return records.two_places(c, plus=True)
 
 
 def report(scored: DataFrame, votes: DataFrame, name: str = "report") -> DataFrame:
@@ -59,7 +65,7 @@ def report(scored: DataFrame, votes: DataFrame, name: str = "report") -> DataFra
     cites = F.when(F.col("citations_total") == 0, "—").otherwise(F.concat(F.coalesce(F.col("citations_verified").cast("string"), F.lit("?")), F.lit("/"), F.col("citations_total").cast("string")))
     row = F.concat(F.lit("| **"), F.upper("status"), F.lit("** | "), signed(F.col("score")), F.format_string(" | +%d/-%d/?%d | ", "n_support", "n_refute", "n_uncertain"), check, F.lit(" | "), cites, F.lit(" | "), claim, F.lit(" |"))
     head = F.concat(F.lit("### ["), F.upper("status"), F.lit("] "), claim)
-    vote = F.concat(F.lit("| "), "panelist", F.lit(" | "), F.col("round").cast("string"), F.lit(" | "), F.coalesce("verdict", F.lit("discarded")), F.lit(" | "), F.coalesce(F.format_string("%.2f", F.round("confidence", 2)), F.lit("?")), F.lit(" |"))
+    vote = F.concat(F.lit("| "), "panelist", F.lit(" | "), F.col("round").cast("string"), F.lit(" | "), F.coalesce("verdict", F.lit("discarded")), F.lit(" | "), F.coalesce(records.two_places("confidence"), F.lit("?")), F.lit(" |"))
     order = -F.col("score")
     held = votes.join(scored.select("claim_id", "score"), "claim_id")
     padded = F.lpad(F.col("claim_id").cast("string"), 20, "0")
@@ -137,13 +143,13 @@ def memo_index(memos: DataFrame, name: str = "INDEX") -> DataFrame:
     return union(body, text_block(spark, name, 2, tail(f"{own:,}")))
 
 
-def bars(rows: DataFrame, label: Column, size: Column, order: Column, colour: Column | str, name: str) -> DataFrame:
-    """A chart of horizontal bars as SVG: a row is a bar of the given size, 0 to 1, in rising order; the MOST_BARS last of these."""
-    from pyspark.sql import Window
-
+def bars(rows: DataFrame, label: Column, size: Column, order: Column, colour: Column | str, name: str, most: int | None = None) -> DataFrame:
+    """A chart of horizontal bars as SVG: a row is a bar of the given size, 0 to 1, in rising order. most: only so many, the last of these."""
     colour = F.lit(colour) if isinstance(colour, str) else colour
-    few = rows.select(label.alias("label"), F.round(F.abs(size) * 400).cast("long").alias("width"), order.alias("order"), colour.alias("colour")).orderBy(F.desc("order"), F.desc("label")).limit(MOST_BARS)
-    placed = few.withColumn("y", (F.row_number().over(Window.orderBy("order", "label")) - 1) * 20)  # MOST_BARS rows
+    drawn = rows.select(label.alias("label"), F.round(F.abs(size) * 400).cast("long").alias("width"), order.alias("order"), colour.alias("colour"))
+    if most is not None:
+        drawn = drawn.orderBy(F.desc("order"), F.desc("label")).limit(most)
+    placed = numbered(drawn, "order", "label").withColumn("y", F.col("place") * 20)
     short = F.when(F.length("label") > 46, F.concat(F.substring("label", 1, 43), F.lit("..."))).otherwise(F.col("label"))
     text = F.replace(F.replace(short, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     bar = F.concat(F.lit('<rect x="300" y="'), F.col("y").cast("string"), F.lit('" width="'), F.col("width").cast("string"), F.lit('" height="16" fill="'), "colour", F.lit('"/><text x="0" y="'), (F.col("y") + 13).cast("string"), F.lit('">'), text, F.lit("</text>"))
@@ -164,8 +170,8 @@ def charts(makers: dict, path: str) -> dict[str, str | None]:
 
 
 def page(title: str, tiles: dict[str, Column], totals: DataFrame, rows: DataFrame, figures: dict[str, DataFrame], name: str = "page") -> DataFrame:
-    """An HTML report without other files: tiles of totals (one row), a table of rows, and charts as base64 images. Charts have MOST_BARS
-    lines at most, so that each is one value here."""
+    """An HTML report without other files: tiles of totals (one row), a table of rows, and charts as base64 images. A chart in a
+    page is one line of it, so that it should show a bounded number of bars."""
     spark = rows.sparkSession
     tile = [F.concat(F.lit("<div class='kpi'><b>"), F.coalesce(c.cast("string"), F.lit("n/a")), F.lit(f"</b> {html.escape(k)}</div>")) for k, c in tiles.items()]
     cells = F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("</td>")) for c in rows.columns), F.lit("</tr>"))

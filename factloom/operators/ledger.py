@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import col
+from factloom.sources.ordered import median
 
 #: Ledger statuses in their order.
 LEVELS = ("refuted", "inconclusive", "not_run", "no_method", "asserted", "verified")
@@ -41,9 +42,10 @@ def zero_filled(scored: DataFrame) -> DataFrame:
 
 
 def descriptives(scored: DataFrame) -> DataFrame:
+    """One row of figures; the median is exact, and picked by its place in sorted ranges."""
     s = "score"
     r = lambda c, name: F.round(c, 9).alias(name)
     return scored.agg(
-        F.count("*").alias("n_claims"), r(F.avg(s), "mean"), r(F.stddev_samp(s), "sd"), r(F.min(s), "low"), r(F.max(s), "high"), r(F.percentile(s, F.lit(0.5)), "median"),
+        F.count("*").alias("n_claims"), r(F.avg(s), "mean"), r(F.stddev_samp(s), "sd"), r(F.min(s), "low"), r(F.max(s), "high"),
         r(100.0 * F.count_if(F.col("status") == "validated") / F.count("*"), "pct_validated"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), F.count_if(F.col("passed").isNull()).alias("inconclusive"),
-    )
+    ).join(F.broadcast(median(scored, s).select(r("median", "median"))))

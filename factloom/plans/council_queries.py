@@ -68,10 +68,13 @@ def _(t: Tables):
     return t.scored.select("claim_id", "status")
 
 
-@query("fn_classify_reason", """select claim_id, case when n_valid < 2 then printf('only %d valid vote(s)', n_valid) when passed = false then 'the check failed, which overrides the vote' when score <= -0.2 then printf('panel consensus against (%.2f)', round(score, 2))
- when passed = true and score >= 0.2 then printf('check passed; consensus %.2f', round(score, 2)) || case when citations_total > 0 and citations_verified = 0 then ' (note: its citations do not resolve, but the check does not need them)' else '' end
- when citations_total > 0 and citations_verified = 0 then printf('consensus was %.2f, but none of its %d citation(s) resolve', round(score, 2), citations_total) when score >= 0.2 then printf('consensus %.2f >= 0.20', round(score, 2))
- when abs(score) < 0.2 and n_refute > 0 then printf('panel split: consensus %.2f with %d refutation(s) standing', round(score, 2), n_refute) else printf('consensus %.2f below 0.20', round(score, 2)) end reason from scored""")
+_held = "printf('%.2f', round(score, 2))"
+
+
+@query("fn_classify_reason", f"""select claim_id, case when n_valid < 2 then 'votes that count: ' || n_valid || ', too few' when passed = false then 'refuted by its check, whatever the vote' when score <= -0.2 then 'the vote is against it: ' || {_held}
+ when passed = true and score >= 0.2 then 'its check holds and the vote is ' || {_held} || case when citations_total > 0 and citations_verified = 0 then '; no citation resolves, which the check outweighs' else '' end
+ when citations_total > 0 and citations_verified = 0 then 'the vote is ' || {_held} || ', citations that resolve: 0 of ' || citations_total when score >= 0.2 then 'the vote is ' || {_held} || ', at least 0.20'
+ when abs(score) < 0.2 and n_refute > 0 then 'the vote is divided: ' || {_held} || ', against: ' || n_refute else 'the vote is ' || {_held} || ', under 0.20' end reason from scored""")
 def _(t: Tables):
     return t.scored.select("claim_id", council.reason("score", 0.2, "passed", "n_refute", "n_valid", "citations_verified", "citations_total").alias("reason"))
 

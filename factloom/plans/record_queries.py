@@ -561,7 +561,7 @@ def _bars_sql(source: str, label: str, size: str, order: str, colour: str) -> st
     """The lines of a chart of bars, with their place."""
     short = "case when length(label) > 46 then left(label, 43) || '...' else label end"
     return f"""(select -1 y, '{_open_svg}' line union all select y, '<rect x="300" y="' || y || '" width="' || width || '" height="16" fill="' || colour || '"/><text x="0" y="' || (y + 13) || '">' || replace(replace({short}, '&', '&amp;'), '<', '&lt;') || '</text>'
- from (select *, (row_number() over (order by ord, label) - 1) * 20 y from (select {label} label, cast(round(abs({size}) * 400) as bigint) width, {order} ord, {colour} colour from {source} order by ord desc, label desc limit 200)) union all select 1000000, '{_close_svg}')"""
+ from (select *, (row_number() over (order by ord, label) - 1) * 20 y from (select {label} label, cast(round(abs({size}) * 400) as bigint) width, {order} ord, {colour} colour from {source})) union all select 1000000000, '{_close_svg}')"""
 
 
 _chart_sql = {
@@ -594,14 +594,14 @@ def _(t: Tables):
     return artefacts.union(*drawn, failed)
 
 
-@query("sink_html", f"""with k as (select count(*) n, count(*) filter (status = 'validated') v, round(avg(score), 2) m from scored),
+@query("sink_html", f"""with k as (select count(*) n, count(*) filter (status = 'validated') v, avg(score) m from scored),
  svg as (select string_agg(line, chr(10) order by y) s from {_chart_sql['calibration']})
 select unnest(['<!doctype html><html><head><meta charset=''utf-8''><title>Statistical report</title></head><body>', '<h1>Statistical report</h1>', '<table><tr><th>status</th><th>n</th><th>mean</th></tr>', '</table>', '</body></html>']) line
- union all select unnest(['<div class=''kpi''><b>' || n || '</b> claims</div>', '<div class=''kpi''><b>' || v || '</b> validated</div>', '<div class=''kpi''><b>' || printf('%.2f', m) || '</b> mean consensus</div>']) from k
+ union all select unnest(['<div class=''kpi''><b>' || n || '</b> claims</div>', '<div class=''kpi''><b>' || v || '</b> validated</div>', '<div class=''kpi''><b>' || printf('%.2f', round(m, 2)) || '</b> mean consensus</div>']) from k
  union all select '<tr><td>' || status || '</td><td>' || count(*) || '</td><td>' || printf('%.2f', round(avg(score), 2)) || '</td></tr>' from scored group by status
  union all select '<img alt=''calibration'' src=''data:image/svg+xml;base64,' || to_base64(encode(s)) || chr(39) || '/>' from svg""")
 def _(t: Tables):
-    mean = F.format_string("%.2f", F.round(F.avg("score"), 2))
+    mean = records.two_places(F.avg("score"))
     totals = t.scored.agg(F.count("*").alias("n"), F.count_if(F.col("status") == "validated").alias("v"), mean.alias("m"))
     rows = t.scored.groupBy("status").agg(F.count("*").alias("n"), mean.alias("mean"))
     figure = _charts(t)["calibration"]("calibration")

@@ -1,6 +1,8 @@
 """Text functions and operators on literal rows."""
 
 import math
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -398,3 +400,39 @@ def test_brier(spark):
     assert one(spark, council.brier(lit("uncertain"), lit(0.8), lit("refuted"))) == 0.25
     assert one(spark, council.brier(lit("support"), lit(0.8), lit("contested"))) is None
     assert math.isclose(one(spark, council.brier(lit("refute"), lit(None).cast("double"), lit("refuted"))), 0.25)
+
+
+def test_two_places_keep_the_sign(spark):
+    from factloom.functions import records as rec
+
+    df = spark.createDataFrame([(-0.003,), (0.0,), (0.004,), (-1.005,), (2.5,), (None,)], "x double")
+    got = [tuple(r) for r in df.select(rec.two_places("x"), rec.two_places("x", plus=True)).collect()]
+    assert got == [("-0.00", "-0.00"), ("0.00", "+0.00"), ("0.00", "+0.00"), ("-1.01", "-1.01"), ("2.50", "+2.50"), (None, None)]
+    why = spark.createDataFrame([(1, -0.003, 3, 1)], "claim_id int, score double, n_valid int, n_refute int").withColumn("passed", F.lit(None).cast("boolean"))
+    assert why.select(council.reason("score", 0.2, "passed", "n_refute", "n_valid", F.lit(0), F.lit(0))).first()[0] == "the vote is divided: -0.00, against: 1"
+
+
+def test_artefact_parts(spark, tmp_path):
+    from factloom.operators import artefacts
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = artefacts.block(spark.range(5000), "long", 1, [F.concat(F.lit("line "), F.col("id").cast("string")), F.lit("")], F.col("id")).unionByName(artefacts.text_block(spark, "short", 0, ["only"]))
+    path = str(tmp_path / "parts")
+    artefacts.write_text(rows, path)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = artefacts.read_parts(spark, path).where("name = 'long'").orderBy("part").collect()
+    assert len(parts) > 1 and "".join(p["text"] for p in parts) == "".join(f"line {i}\n\n" for i in range(5000))
+    assert [r["text"] for r in artefacts.read_parts(spark, path).where("name = 'short'").collect()] == ["only\n"]
+
+
+def test_places_and_median(spark):
+    from factloom.sources import ordered
+
+    rng = random.Random(8)
+    for n in (0, 1, 2, 501, 1000):
+        values = [round(rng.uniform(-1, 1), 2) for _ in range(n)]
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+        want = statistics.median(values) if values else None
+        assert ordered.median(df, "v").first()[0] == (pytest.approx(want) if values else None)
+    got = sorted((r["place"], r["v"]) for r in ordered.numbered(df.where("v is not null").repartition(7), "v").collect())
+    assert [p for p, _ in got] == list(range(1000)) and [v for _, v in got] == sorted(values)
