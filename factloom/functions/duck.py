@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import text as tx
 from .text import STOP
 
 
@@ -57,3 +58,40 @@ def jaccard(a: str, b: str) -> str:
 
 
 STOPS = array(STOP)
+
+
+def words(s: str) -> str:
+    return f"list_filter(string_split_regex(lower(coalesce({s}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+
+def porter(source: str, word: str = "w") -> str:
+    """A subquery over `source` with the Porter stem of its column `word` as column p."""
+
+    def replaced(by: dict[str, str], measure: str) -> str:
+        out = []
+        for suffix in sorted(by, key=len, reverse=True):
+            left = f"left(p, length(p) - {len(suffix)})"
+            extra = f" and regexp_matches({left}, '[st]$')" if suffix == "ion" else ""
+            out.append(f"when ends_with(p, '{suffix}') then case when regexp_matches({left}, '{measure}'){extra} then {left} || '{by[suffix]}' else p end")
+        return f"case {' '.join(out)} else p end"
+
+    cut = lambda n, p="p": f"left({p}, length({p}) - {n})"
+    fits = lambda x, how: f"regexp_matches({x}, '{how}')"
+    doubled = " or ".join(f"ends_with(q, '{c}{c}')" for c in "bcdfghjkmnpqrtvwxyY")
+    steps = [
+        "case when starts_with(p, 'y') then 'Y' || substr(p, 2) else p end",
+        f"case when ends_with(p, 'sses') or ends_with(p, 'ies') then {cut(2)} when ends_with(p, 's') and not ends_with(p, 'ss') then {cut(1)} else p end",
+        f"""case when ends_with(p, 'eed') then case when {fits(cut(3), tx.OVER_0)} then {cut(1)} else p end
+          when q is null then p when {fits('q', '(?:at|bl|iz)$')} then q || 'e' when {doubled} then {cut(1, 'q')} when {fits('q', tx.SHORT)} then q || 'e' else q end""",
+        f"case when ends_with(p, 'y') and {fits(cut(1), tx.HAS_VOWEL)} then {cut(1)} || 'i' else p end",
+        replaced(tx.PORTER_2, tx.OVER_0), replaced(tx.PORTER_3, tx.OVER_0), replaced(dict.fromkeys(tx.PORTER_4, ""), tx.OVER_1),
+        f"case when ends_with(p, 'e') and ({fits(cut(1), tx.OVER_1)} or ({fits(cut(1), tx.ONE)} and not {fits(cut(1), tx.SHORT)})) then {cut(1)} else p end",
+        f"case when ends_with(p, 'll') and {fits('p', tx.OVER_1)} then {cut(1)} else p end",
+        "lower(p)",
+    ]
+    sql = f"(select *, {word} p, cast(null as varchar) q from {source})"
+    for n, step in enumerate(steps):
+        if n == 2:
+            sql = f"(select * replace (case when ends_with(p, 'ed') and {fits(cut(2), tx.HAS_VOWEL)} then {cut(2)} when ends_with(p, 'ing') and {fits(cut(3), tx.HAS_VOWEL)} then {cut(3)} end as q) from {sql})"
+        sql = f"(select * replace (case when length({word}) > 2 then {step} else p end as p) from {sql})"
+    return f"(select * exclude (q) from {sql})"

@@ -16,6 +16,20 @@ function method class value values return returns used use uses using set sets g
 STOP_RELEVANCE = "the a an of in on and or to for with by is are be as at from that this it its can may has have".split()
 STOP_PETAL = "the a an of in on and or to for with by is are was were be as at from that this it its one patient week weeks".split()
 STOP_EMPHASIS = "the a an of in and to for with by is are was were that this it no not all one four from on as at which".split()
+# The stop words of the stemmed search (English function words).
+STOP_SEARCH = """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself
+they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does
+did doing a an the and but if or because as until while of at by for with about against between into through during before after above
+below to from up down in out on off over under again further then once here there when where why how all any both each few more most
+other some such no nor not only own same so than too very s t can will just don should now""".split()
+# Suffixes of the Porter stemmer and what takes their place, and the letters of its measure.
+PORTER_2 = dict(ational="ate", tional="tion", enci="ence", anci="ance", izer="ize", abli="able", alli="al", entli="ent", eli="e", ousli="ous", ization="ize", ation="ate", ator="ate", alism="al", iveness="ive", fulness="ful", ousness="ous", aliti="al", iviti="ive", biliti="ble")
+PORTER_3 = dict(icate="ic", ative="", alize="al", iciti="ic", ical="ic", ful="", ness="")
+PORTER_4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+CONSONANTS, VOWELS = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+HAS_VOWEL = f"^(?:{CONSONANTS})?[aeiouy]"
+OVER_0, ONE, OVER_1 = f"^(?:{CONSONANTS})?{VOWELS}{CONSONANTS}", f"^(?:{CONSONANTS})?{VOWELS}{CONSONANTS}(?:{VOWELS})?$", f"^(?:{CONSONANTS})?{VOWELS}{CONSONANTS}{VOWELS}{CONSONANTS}"
+SHORT = f"^{CONSONANTS}[aeiouy][^aeiouwxy]$"
 # Patterns of the index.
 NUMBER = r"\b\d+(?:\.\d+)?%?\b"
 VAGUE = r"(?i)^(?:this|it|the (?:code|file|module|function|script|document|paper))\b|\b(?:various|several|some|things?|stuff|etc|and so on|handles?|manages?|deals? with)\b"
@@ -81,6 +95,63 @@ def split_ident(s) -> Column:
     return F.filter(F.split(low, "[^a-z0-9]+"), lambda w: w != "")
 
 
+def words(s) -> Column:
+    """Lower-case runs of letters and digits, as full text sees them."""
+    return F.filter(F.split(F.lower(F.coalesce(col(s), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def question_terms(s) -> Column:
+    """A question's distinct terms for full text: words of letters, digits and underscores, two or more, that are no stop words, as stems."""
+    terms = F.filter(F.split(F.lower(F.coalesce(col(s), F.lit(""))), r"[^\p{L}\p{N}_]+"), indexable)
+    return F.array_distinct(stems(F.array_distinct(terms)))
+
+
+def search_words(s) -> Column:
+    """The words of the stemmed search: lower-case ASCII letters, without its stop words."""
+    return F.filter(F.split(F.lower(F.coalesce(col(s), F.lit(""))), "[^a-z]+"), lambda w: (w != "") & ~w.isin(STOP_SEARCH))
+
+
+def porter(words: Column) -> Column:
+    """Porter stems of an array of lower-case words. Each step is a transform of its own, as in stems(), and looks at what the one before
+    has left. Words of one or two letters pass the steps as capitals, which no rule knows. Meant for a vocabulary."""
+
+    def replaced(w: Column, by: dict[str, str], measure: str) -> Column:
+        """The longest suffix that fits decides, and goes if what is left measures enough."""
+        out = None
+        for suffix in sorted(by, key=len, reverse=True):
+            left = cut(w, len(suffix))
+            enough = left.rlike(measure)
+            if suffix == "ion":
+                enough = enough & left.rlike("[st]$")
+            made = F.when(enough, F.concat(left, F.lit(by[suffix]))).otherwise(w)
+            out = F.when(w.endswith(suffix), made) if out is None else out.when(w.endswith(suffix), made)
+        return out.otherwise(w)
+
+    def bare(w: Column) -> Column:
+        """A word that has lost -ed or -ing."""
+        return F.when(w.rlike("(?:at|bl|iz)$"), F.concat(w, F.lit("e"))).when(w.rlike(r"([^aeiou])\1$") & ~w.rlike("[lsz]$"), cut(w, 1)).when(w.rlike(SHORT), F.concat(w, F.lit("e"))).otherwise(w)
+
+    def without_ending(w: Column) -> Column:
+        cuts = F.when(w.endswith("ed") & cut(w, 2).rlike(HAS_VOWEL), cut(w, 2)).when(w.endswith("ing") & cut(w, 3).rlike(HAS_VOWEL), cut(w, 3))
+        return F.when(w.endswith("eed"), F.when(cut(w, 3).rlike(OVER_0), cut(w, 1)).otherwise(w)).otherwise(F.coalesce(bare(cuts), w))
+
+    steps = [
+        lambda w: F.when(F.length(w) <= 2, F.upper(w)).when(w.startswith("y"), F.concat(F.lit("Y"), F.substring(w, F.lit(2), F.length(w)))).otherwise(w),
+        lambda w: F.when(w.endswith("sses") | w.endswith("ies"), cut(w, 2)).when(w.endswith("s") & ~w.endswith("ss"), cut(w, 1)).otherwise(w),
+        without_ending,
+        lambda w: F.when(w.endswith("y") & cut(w, 1).rlike(HAS_VOWEL), F.concat(cut(w, 1), F.lit("i"))).otherwise(w),
+        lambda w: replaced(w, PORTER_2, OVER_0),
+        lambda w: replaced(w, PORTER_3, OVER_0),
+        lambda w: replaced(w, dict.fromkeys(PORTER_4, ""), OVER_1),
+        lambda w: F.when(w.endswith("e") & (cut(w, 1).rlike(OVER_1) | (cut(w, 1).rlike(ONE) & ~cut(w, 1).rlike(SHORT))), cut(w, 1)).otherwise(w),
+        lambda w: F.when(w.endswith("ll") & w.rlike(OVER_1), cut(w, 1)).otherwise(w),
+        F.lower,
+    ]
+    for step in steps:
+        words = F.transform(words, step)
+    return words
+
+
 def stop_array(words) -> Column:
     return F.array(*map(F.lit, words))
 

@@ -6,7 +6,7 @@ scan, whose row groups hold ranges of terms; a term with very many claims is spr
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
@@ -24,10 +24,14 @@ def keyword_rows(claims: DataFrame, snippet: str | None = None) -> DataFrame:
     return words.where(~F.col("keyword").isin(tx.STOP)).groupBy("claim_id", "keyword").agg(F.max("weight").alias("weight"))
 
 
+def idf_of(n: str, df: str) -> Column:
+    return F.log((F.col(n) + 1) / (F.col(df) + 1)) / F.log(F.col(n) + 1)
+
+
 def idf(keywords: DataFrame, claims: DataFrame) -> DataFrame:
     """(keyword, df, idf) with idf = ln((N + 1) / (df + 1)) / ln(N + 1); keywords are distinct within a claim."""
     n = claims.agg(F.greatest(F.lit(1), F.count("*")).alias("n"))  # one row
-    return keywords.groupBy("keyword").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("keyword", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) / F.log(F.col("n") + 1)).alias("idf"))
+    return keywords.groupBy("keyword").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("keyword", "df", idf_of("n", "df").alias("idf"))
 
 
 def mean_idf(keywords: DataFrame, idfs: DataFrame) -> DataFrame:
@@ -36,7 +40,11 @@ def mean_idf(keywords: DataFrame, idfs: DataFrame) -> DataFrame:
 
 def indexed(claims: DataFrame, keywords: DataFrame, idfs: DataFrame, feedback: DataFrame) -> DataFrame:
     """(claim_id, source, status, specificity, idf, hits, helpful, unhelpful, utility); feedback counters survive a rebuild."""
-    rows = claims.select("claim_id", "source", "status", tx.specificity("text").alias("specificity"))
+    return with_utility(claims.select("claim_id", "source", "status", tx.specificity("text").alias("specificity")), keywords, idfs, feedback)
+
+
+def with_utility(rows: DataFrame, keywords: DataFrame, idfs: DataFrame, feedback: DataFrame) -> DataFrame:
+    """The same from rows (claim_id, source, status, specificity)."""
     rows = rows.join(mean_idf(keywords, idfs), "claim_id", "left").join(feedback, "claim_id", "left")
     kept = [F.coalesce(c, F.lit(0)).alias(c) for c in ("hits", "helpful", "unhelpful")]
     rows = rows.select("claim_id", "source", "status", "specificity", F.coalesce("idf", F.lit(0.0)).alias("idf"), *kept)
@@ -54,6 +62,46 @@ def question_keywords(spark, question: str) -> list[str]:
     return sorted(r["keyword"] for r in one.collect())
 
 
+def full_text_rows(claims: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(claim_id, dl, word, positions): the postings of full text, in no order.
+
+    A claim's document is its words, then the words of its keywords. Positions run on, with one left out between keywords, so that a phrase
+    lies in the text or in one keyword."""
+    own = keywords.groupBy("claim_id").agg(F.array_sort(F.collect_list("keyword")).alias("kws"))
+    mark, none = "\x01", F.array().cast("array<string>")
+    kws = F.transform(F.coalesce("kws", none), lambda k: F.translate(k, mark, " "))
+    marked = F.filter(F.split(F.concat(F.lit(f"{mark} "), F.array_join(kws, f" {mark} ")), rf"[^\p{{L}}\p{{N}}{mark}]+"), lambda w: w != "")
+    rows = claims.select("claim_id", "text").join(own, "claim_id", "left").select("claim_id", F.concat(tx.words("text"), F.when(F.size("kws") > 0, marked).otherwise(none)).alias("w"), F.greatest(F.size("kws"), F.lit(0)).alias("gaps"))
+    placed = rows.select("claim_id", (F.size("w") - F.col("gaps")).alias("dl"), F.posexplode("w").alias("pos", "word")).where(F.col("word") != mark)
+    return placed.groupBy("claim_id", "dl", "word").agg(F.array_sort(F.collect_list("pos")).alias("positions"))  # rows of a claim lie together: no shuffle
+
+
+def _stem(word: str) -> Column:
+    return F.element_at(tx.porter(F.array(word)), 1)
+
+
+def stem_rows(at: str, claims: DataFrame) -> DataFrame:
+    """(claim_id, dl, stem, tf): the postings of the stemmed search, in no order. Stems are worked out once for each word of the vocabulary."""
+    found = claims.select("claim_id", tx.search_words("text").alias("w"))
+    counted = store.put(at, "stem_words", found.select("claim_id", F.size("w").alias("dl"), F.explode("w").alias("word")).groupBy("claim_id", "dl", "word").agg(F.count("*").alias("tf")))
+    vocabulary = counted.select("word").distinct().select("word", _stem("word").alias("stem"))
+    return counted.join(vocabulary, "word").groupBy("claim_id", "dl", "stem").agg(F.sum("tf").alias("tf"))
+
+
+def in_order(at: str, name: str, rows: DataFrame, *order: str) -> DataFrame:
+    """Write rows in ranges of an order. They are written as they come first: sampling the ranges then reads them, and works nothing out again."""
+    raw = store.put(at, f"{name}-raw", rows)
+    out = store.put(at, name, raw.repartitionByRange(*order).sortWithinPartitions(*order))
+    store.discard(raw.sparkSession, f"{at}/{name}-raw")
+    return out
+
+
+def means(postings: DataFrame, length: str, claims: DataFrame) -> DataFrame:
+    """One row: the number of claims, and the mean length of their documents. length: what a posting adds to its document."""
+    n = claims.agg(F.count("*").alias("n"))
+    return postings.agg(F.sum(F.expr(length)).alias("words")).join(F.broadcast(n)).select("n", (F.coalesce("words", F.lit(0)) / F.greatest("n", F.lit(1))).alias("avgdl"))
+
+
 def build(path: str, claims: DataFrame, feedback: DataFrame) -> None:
     """Write the index of claims (claim_id, source, text, status) under path; counters of feedback (claim_id, hits, helpful, unhelpful)
     survive the rebuild. Keyword rows are worked out once and read from then on."""
@@ -61,59 +109,112 @@ def build(path: str, claims: DataFrame, feedback: DataFrame) -> None:
     kws = store.put(at, "keywords", keyword_rows(claims.select("claim_id", "text")))
     idfs = store.put(at, "idf", idf(kws, claims))
     store.put(at, "postings", postings(kws, idfs).repartitionByRange("keyword", "claim_id").sortWithinPartitions("keyword", "claim_id"))
-    # The full text of a claim is its words and its keywords, as two columns of one document.
-    own = kws.groupBy("claim_id").agg(F.collect_list("keyword").alias("kws"))
-    words = F.concat(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != ""), F.coalesce("kws", F.array().cast("array<string>")))
-    rows = claims.select("claim_id", "text").join(own, "claim_id", "left").select("claim_id", words.alias("words")).withColumn("dl", F.size("words"))
-    counted = rows.select("claim_id", "dl", F.explode("words").alias("word")).groupBy("claim_id", "dl", "word").agg(F.count("*").alias("tf"))
-    terms = store.put(at, "terms", counted.repartitionByRange("word", "claim_id").sortWithinPartitions("word", "claim_id"))
-    n = claims.agg(F.count("*").alias("n"))
-    store.put(at, "stats", terms.agg(F.sum("tf").alias("words")).join(F.broadcast(n)).select("n", (F.coalesce("words", F.lit(0)) / F.greatest("n", F.lit(1))).alias("avgdl")))
+    terms = in_order(at, "terms", full_text_rows(claims, kws), "word", "claim_id")
+    stems = in_order(at, "stems", stem_rows(at, claims), "stem", "claim_id")
+    store.discard(claims.sparkSession, f"{at}/stem_words")
+    store.put(at, "stats", means(terms, "size(positions)", claims))
+    store.put(at, "stem_stats", means(stems, "tf", claims))
     store.put(at, "claims", indexed(claims, kws, idfs, feedback))
     store.put(at, "memos", claims.select("source").distinct())
-    store.publish(claims.sparkSession, path, at, ["claims", "keywords", "idf", "postings", "terms", "stats", "memos"])
+    store.publish(claims.sparkSession, path, at, ["claims", "keywords", "idf", "postings", "terms", "stats", "stems", "stem_stats", "memos"])
 
 
-def keyword_scores(index: dict[str, DataFrame], question: str, most: int) -> DataFrame:
-    """(claim_id, kw): the sum of the weights of the matched keywords over eight, 1 at most; the best `most` claims."""
+def keyword_scores(index: dict[str, DataFrame], question: str, most: int | None = None) -> DataFrame:
+    """(claim_id, kw): the sum of the weights of the matched keywords over eight, 1 at most. most: of the best so many claims only."""
     posts = index["postings"]
     found = posts.where(F.col("keyword").isin(question_keywords(posts.sparkSession, question)))
     scores = found.groupBy("claim_id").agg(F.sum("weight").alias("s"))
-    return scores.orderBy(F.desc("s"), "claim_id").limit(most).select("claim_id", F.least(F.lit(1.0), F.col("s") / 8).alias("kw"))
-
-
-def question_terms(question: str) -> list[str]:
-    """The question's terms for full text: words of two letters or more that are no stop words."""
-    import re
-
-    return list(dict.fromkeys(w for w in re.split(r"[^\w]+", question.lower()) if len(w) >= 2 and w not in tx.STOP))
-
-
-def term_stems(spark, question: str) -> list[str]:
-    """The distinct stems of the question's terms, by the index's own function."""
-    terms = question_terms(question)
-    if not terms:
-        return []
-    one = spark.range(1).select(F.explode(F.array(*map(F.lit, terms))).alias("w")).select(tx.stem("w").alias("t")).distinct()
-    return sorted(r["t"] for r in one.collect())
+    if most is not None:
+        scores = scores.orderBy(F.desc("s"), "claim_id").limit(most)
+    return scores.select("claim_id", F.least(F.lit(1.0), F.col("s") / 8).alias("kw"))
+
+
+def asked(questions: DataFrame) -> DataFrame:
+    """(question_id, term, tokens) of questions (question_id, text): the distinct terms, each with its words. A term of several words, such
+    as an identifier with underscores, is a phrase; the last word of a term stands for all words that it begins."""
+    rows = questions.select("question_id", F.explode(tx.question_terms("text")).alias("term")).select("question_id", "term", tx.words("term").alias("tokens"))
+    return rows.where(F.size("tokens") > 0).distinct()
+
+
+def _hits_of_one(index: dict[str, DataFrame], terms: DataFrame) -> DataFrame:
+    """Postings of the words of one question's terms. The terms are literals, so that the filter on the word reaches the scan."""
+    posts, found, some = index["terms"], [], F.lit(False)
+    for r in terms.collect():  # one question
+        for k, token in enumerate(r["tokens"]):
+            fits = F.col("word").startswith(token) if k == len(r["tokens"]) - 1 else F.col("word") == token
+            found.append(F.when(fits, F.struct(F.lit(r["term"]).alias("term"), F.lit(k).alias("k"), F.lit(len(r["tokens"])).alias("m"))))
+            some = some | fits
+    none = F.lit(None).cast("struct<term:string,k:int,m:int>")
+    kinds = F.filter(F.array(none, *found), lambda x: x.isNotNull())
+    return posts.where(some).select(F.lit(0).cast("long").alias("question_id"), F.explode(kinds).alias("t"), "claim_id", "dl", "positions").select("question_id", "t.*", "claim_id", "dl", "positions")
+
+
+def _hits_of_many(index: dict[str, DataFrame], terms: DataFrame) -> DataFrame:
+    """Postings of the words of many questions' terms. Terms and words meet on the vocabulary: a last word on each beginning of a word."""
+    tokens = terms.select("question_id", "term", F.size("tokens").alias("m"), F.posexplode("tokens").alias("k", "token"))
+    last = F.col("k") == F.col("m") - 1
+    vocabulary = index["terms"].select("word").distinct()
+    begins = vocabulary.select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.substring("word", F.lit(1), n))).alias("token"))
+    met = tokens.where(~last).withColumn("word", F.col("token")).drop("token").unionByName(tokens.where(last).join(begins, "token").drop("token"))
+    return met.join(index["terms"], "word").select("question_id", "term", "k", "m", "claim_id", "dl", "positions")
+
+
+def term_counts(hits: DataFrame) -> DataFrame:
+    """(question_id, claim_id, term, dl, tf): how often a claim has each term. A phrase is counted at its first word: as many of its words as
+    it has must agree on where it begins."""
+    by = ["question_id", "term", "claim_id", "dl"]
+    single = hits.where("m = 1").groupBy(by).agg(F.sum(F.size("positions")).alias("tf"))
+    begins = hits.where("m > 1").select(*by, "m", F.explode(F.transform("positions", lambda p: p - F.col("k"))).alias("begin"))
+    phrases = begins.groupBy(*by, "m", "begin").agg(F.count("*").alias("n")).where("n = m").groupBy(by).agg(F.count("*").alias("tf"))
+    return single.unionByName(phrases)
+
+
+def _bm25(counts: DataFrame, stats: DataFrame) -> DataFrame:
+    """(question_id, claim_id, bm25)"""
+    dfs = counts.groupBy("question_id", "term").agg(F.count("*").alias("df"))
+    tf, df = F.col("tf"), F.col("df")
+    weight = F.greatest(F.lit(1e-6), F.log((F.col("n") - df + 0.5) / (df + 0.5)))
+    score = weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return counts.join(dfs, ["question_id", "term"]).join(F.broadcast(stats)).groupBy("question_id", "claim_id").agg(F.sum(score).alias("bm25"))
 
 
 def bm25(index: dict[str, DataFrame], question: str) -> DataFrame:
-    """(claim_id, bm25) of claims with any of the question's terms; a term matches the words that its stem begins."""
-    posts = index["terms"]
-    terms = term_stems(posts.sparkSession, question)
-    starts = [F.col("word").startswith(t) for t in terms]
-    some = F.lit(False)
-    for s in starts:
-        some = some | s
-    rows = posts.where(some).groupBy("claim_id").agg(F.max("dl").alias("dl"), *(F.sum(F.when(s, F.col("tf")).otherwise(0)).alias(f"tf{i}") for i, s in enumerate(starts)))
-    dfs = rows.agg(F.count("*").alias("_"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).join(F.broadcast(index["stats"]))
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        weight = F.greatest(F.lit(1e-6), F.log((F.col("n") - df + 0.5) / (df + 0.5)))
-        score = score + weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return rows.join(F.broadcast(dfs)).select("claim_id", score.alias("bm25"))
+    """(claim_id, bm25) of claims with any of the question's terms."""
+    spark = index["terms"].sparkSession
+    terms = asked(spark.range(1).select(F.col("id").alias("question_id"), F.lit(question).alias("text")))
+    return _bm25(term_counts(_hits_of_one(index, terms)), index["stats"]).drop("question_id")
+
+
+def bm25_of_many(index: dict[str, DataFrame], questions: DataFrame) -> DataFrame:
+    """(question_id, claim_id, bm25) of questions (question_id, text) and the claims with any of their terms."""
+    return _bm25(term_counts(_hits_of_many(index, asked(questions))), index["stats"])
+
+
+def stem_search(index: dict[str, DataFrame], claims: DataFrame, questions: DataFrame, most: int = 20, status: str | None = None) -> DataFrame:
+    """(question_id, claim_id, score): each question's `most` best claims by BM25 over Porter stems. A question that no claim scores for is
+    looked for as a pattern in the claims' texts (claim_id, text, status), and has the first `most` that fit, without a score.
+
+    Which questions fall back is an anti join in the plan. Those meet the texts as one row, an array that is as long as there are such
+    questions, and each text is read once."""
+    own = claims if status is None else claims.where(F.col("status") == status)
+    tokens = questions.select("question_id", F.explode(F.array_distinct(tx.search_words("text"))).alias("word"))
+    wanted = tokens.select("question_id", _stem("word").alias("stem")).distinct()
+    hits = wanted.join(index["stems"], "stem")
+    dfs = index["stems"].join(wanted.select("stem").distinct(), "stem").groupBy("stem").agg(F.count("*").alias("df"))
+    tf, df = F.col("tf"), F.col("df")
+    score = F.log10((F.col("n") - df + 0.5) / (df + 0.5) + 1) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = hits.join(dfs, "stem").join(F.broadcast(index["stem_stats"])).groupBy("question_id", "claim_id").agg(F.sum(score).alias("score"))
+    if status is not None:
+        scored = scored.join(own.select("claim_id"), "claim_id", "left_semi")
+    best = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), "claim_id")
+    found = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).select("question_id", "claim_id", "score")
+    left = questions.join(scored.select("question_id").distinct(), "question_id", "left_anti")
+    pattern = F.concat(F.lit("%"), F.replace(F.lower("text"), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+    one = left.agg(F.collect_list(F.struct("question_id", pattern.alias("like"))).alias("asked"))
+    fits = own.select("claim_id", F.lower("text").alias("low")).join(F.broadcast(one)).select("claim_id", F.explode(F.expr("filter(asked, q -> low like q.like)")).alias("q"))
+    first = Window.partitionBy("question_id").orderBy("claim_id")
+    fallback = fits.select(F.col("q.question_id").alias("question_id"), "claim_id").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= most)
+    return found.unionByName(fallback.select("question_id", "claim_id", F.lit(None).cast("double").alias("score")))
 
 
 def full_text(index: dict[str, DataFrame], question: str, most: int) -> DataFrame:
@@ -152,8 +253,6 @@ def best_by_keywords(index: dict[str, DataFrame], questions: DataFrame, most: in
     by claim_id. Questions and postings meet on the keyword."""
     asked = keyword_rows(questions).select(F.col("claim_id").alias("question_id"), "keyword")
     scores = index["postings"].join(asked, "keyword").groupBy("question_id", "claim_id").agg(F.round(F.sum("weight"), 6).alias("s"))
-    from pyspark.sql import Window
-
     ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("s"), "claim_id")))
     return ranked.where(F.col("rank") <= most).select("question_id", "claim_id")  # Spark cuts each task's groups to `most` before the shuffle
 

@@ -6,22 +6,42 @@ from pyspark.sql import functions as F
 
 from factloom.functions import duck
 from factloom.functions import text as tx
-from factloom.operators import index
+from factloom.operators import artefacts, index, segments
+from factloom.sources import store
 
 from .registry import Tables, query
 
 #: The question that the retrieval queries ask.
 QUESTION = "That and onesen erblest it hein ti inenan eranenes whou therouou thon the"
-WIDE = 1_000_000  # a candidate cut that cuts nothing
 
-_terms = duck.array(index.question_terms(QUESTION))
+
+def _terms_sql(source: str) -> str:
+    """(question_id, term, tokens) of a source (question_id, text)."""
+    split = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda w: length(w) >= 2 and not list_contains(" + duck.STOPS + ", w))"
+    return f"(select * from (select distinct question_id, stem term, {duck.words('stem')} tokens from {duck.stem_steps(f'(select question_id, unnest({split}) w from {source})')}) where len(tokens) > 0)"
+
+
+def _bm_sql(source: str) -> str:
+    """(question_id, claim_id, bm25): words with their positions, a term's occurrences as stretches of them that begin with its tokens."""
+    return f"""(with ws as (select claim_id, list_concat({duck.words('text')}, coalesce(flatten(list_transform(k, lambda x: list_concat([null], {duck.words('x')}))), [])) ws
+   from claims left join (select claim_id, list(keyword order by keyword) k from keywords group by 1) using (claim_id)),
+ words as (select claim_id, ws, len(list_filter(ws, lambda x: x is not null)) dl from ws), st as (select count(*) n, avg(dl) avgdl from words),
+ places as (select claim_id, dl, unnest(ws) w, generate_subscripts(ws, 1) i from words), terms as materialized {_terms_sql(source)},
+ hit as (select question_id, term, claim_id, dl, i from terms join places on starts_with(w, tokens[1]) and len(tokens) = 1
+  union all select question_id, term, a.claim_id, a.dl, a.i from terms join places a on a.w = tokens[1] and len(tokens) > 1 join words b on b.claim_id = a.claim_id
+   and b.ws[a.i:a.i + len(tokens) - 2] = tokens[1:len(tokens) - 1] and starts_with(b.ws[a.i + len(tokens) - 1], tokens[len(tokens)])),
+ tf as (select question_id, term, claim_id, dl, count(*) tf from hit group by all), df as (select question_id, term, count(*) df from tf group by all)
+ select question_id, claim_id, sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) bm25 from tf join df using (question_id, term), st group by all)"""
+
+
 _asked = f"(select distinct stem keyword from {duck.stem_steps(f'(select unnest({duck.split_ident(duck.quoted(QUESTION))}) w) where length(w) >= 2 and not list_contains({duck.STOPS}, w)')} where not list_contains({duck.STOPS}, stem))"
 _kw = f"""(select claim_id, sum(round(weight * (0.4 + idf), 3)) s from keywords join idf using (keyword) where keyword in (select keyword from {_asked}) group by 1)"""
-_bm = f"""(with words as (select claim_id, list_concat(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> ''), coalesce(k, [])) ws from claims left join (select claim_id, list(keyword) k from keywords group by 1) using (claim_id)),
- terms as (select distinct stem term from {duck.stem_steps(f'(select unnest({_terms}) w)')}),
- tf as (select claim_id, term, len(ws) dl, len(list_filter(ws, lambda w: starts_with(w, term))) tf from words, terms),
- st as (select count(*) n, avg(len(ws)) avgdl from words), df as (select term, count(*) filter (tf > 0) df from tf group by 1)
- select claim_id, sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) bm25 from tf join df using (term), st group by 1 having sum(tf) > 0)"""
+_bm = f"(select claim_id, bm25 from {_bm_sql(f'(select 0 question_id, {duck.quoted(QUESTION)} as text)')})"
+#: Questions of a table: passages whose words stand in pairs, as identifiers do.
+_paired = "(select item_id question_id, regexp_replace(text, '([a-z]+) ([a-z]+)', '\\1_\\2', 'g') as text from benchmark)"
+#: Whole words, and letters cut from the middle of words, which no stem matches.
+_searched = "(select 2 * item_id question_id, array_to_string(string_split(text, ' ')[1:4], ' ') as text from benchmark union all select 2 * item_id + 1, substr(text, 3, 7) from benchmark)"
+_search_words = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z]+'), lambda w: w <> '' and not list_contains(" + duck.array(tx.STOP_SEARCH) + ", w))"
 _fts = f"(select claim_id, 0.35 + 0.65 * bm25 / (max(bm25) over ()) fts from (select * from {_bm} order by round(bm25, 9) desc, claim_id limit 64))"
 _kw64 = f"(select claim_id, least(1.0, s / 8) kw from (select * from {_kw} order by s desc, claim_id limit 64))"
 _both = f"(select coalesce(a.claim_id, b.claim_id) claim_id, cast(coalesce(fts, 0.0) as double) fts, cast(coalesce(kw, 0.0) as double) kw from {_fts} a full join {_kw64} b on a.claim_id = b.claim_id)"
@@ -123,7 +143,7 @@ def _(t: Tables):
 
 @query("agg_kw_score", f"select claim_id, round(least(1.0, s / 8), 6) kw from {_kw}")
 def _(t: Tables):
-    return index.keyword_scores(t.index, QUESTION, WIDE).select("claim_id", F.round("kw", 6).alias("kw"))
+    return index.keyword_scores(t.index, QUESTION).select("claim_id", F.round("kw", 6).alias("kw"))
 
 
 @query("top_kw", f"select claim_id, round(kw, 6) kw from {_kw64}")
@@ -131,9 +151,18 @@ def _(t: Tables):
     return index.keyword_scores(t.index, QUESTION, 64).select("claim_id", F.round("kw", 6).alias("kw"))
 
 
-@query("fn_fts_query", f"select distinct stem term from {duck.stem_steps(f'(select unnest({_terms}) w)')}")
+def _paired_questions(t: Tables):
+    return t("benchmark").select(F.col("item_id").alias("question_id"), F.regexp_replace("text", "([a-z]+) ([a-z]+)", "$1_$2").alias("text"))
+
+
+@query("fn_fts_query", f"select question_id, term, array_to_string(tokens, ' ') phrase from {_terms_sql(_paired)}")
+def _(t: Tables):
+    return index.asked(_paired_questions(t)).select("question_id", "term", F.array_join("tokens", " ").alias("phrase"))
+
+
+@query("bm25_phrases", f"select question_id, claim_id, round(bm25, 6) bm25 from {_bm_sql(_paired)}")
 def _(t: Tables):
-    return t.spark.range(1).select(F.explode(F.array(*map(F.lit, index.question_terms(QUESTION)))).alias("w")).select(tx.stem("w").alias("term")).distinct()
+    return index.bm25_of_many(t.index, _paired_questions(t)).select("question_id", "claim_id", F.round("bm25", 6).alias("bm25"))
 
 
 @query("bm25", f"select claim_id, round(bm25, 6) bm25 from {_bm}")
@@ -192,8 +221,10 @@ def _(t: Tables):
     return index.shown(t.feedback, index.search(t.index, QUESTION))
 
 
-@query("index_build", """select 'claims' name, count(*) n from claims union all select 'keywords', count(*) from keywords union all select 'postings', count(*) from keywords union all select 'idf', count(*) from idf
- union all select 'memos', count(distinct source) from claims union all select 'stats', 1 union all select 'terms', count(*) from (select distinct claim_id, w from (select claim_id, unnest(list_concat(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> ''), coalesce(k, []))) w from claims left join (select claim_id, list(keyword) k from keywords group by 1) using (claim_id)))""")
+@query("index_build", f"""select 'claims' name, count(*) n from claims union all select 'keywords', count(*) from keywords union all select 'postings', count(*) from keywords union all select 'idf', count(*) from idf
+ union all select 'memos', count(distinct source) from claims union all select 'stats', 1 union all select 'stem_stats', 1
+ union all select 'terms', count(*) from (select distinct claim_id, w from (select claim_id, unnest({duck.words('text')}) w from claims union all select claim_id, unnest({duck.words('keyword')}) from keywords))
+ union all select 'stems', count(*) from (select distinct claim_id, p from {duck.porter(f"(select claim_id, unnest({_search_words}) w from claims)")})""")
 def _(t: Tables):
     out = None
     for name, df in t.index.items():
@@ -202,6 +233,34 @@ def _(t: Tables):
     return out
 
 
+def _updated(t: Tables):
+    """The claims indexed in segments: first as they were, with other texts for one in a hundred, a tenth not there yet and some that go;
+    then brought up to date, twice more, the last time after the segments were merged."""
+    path = store.scratch(t.spark, "segments")
+    now = t.claims.withColumn("sha", F.sha2("text", 256)).select("claim_id", "source", "sha", "status", "text")
+    early = F.when(F.col("claim_id") % 100 == 0, F.concat(F.lit("an older text of "), "text")).otherwise(F.col("text"))
+    was = now.where("claim_id % 10 <> 3").withColumn("text", early).withColumn("sha", F.sha2("text", 256)).unionByName(now.where("claim_id % 50 = 1").withColumn("claim_id", -F.col("claim_id")))
+    half = now.where("claim_id % 20 <> 3")
+    for state, merge in ((was, False), (half, True), (now, False)):
+        listing = state.drop("text")
+        segments.update(path, listing, lambda ids, s=state: s.join(ids, "claim_id", "left_semi").select("claim_id", "text"), t.feedback)
+        if merge:
+            segments.compact(path, listing, t.feedback)
+    return segments.read(t.spark, path)
+
+
+@query("index_update", "select claim_id, source, status, round(specificity, 6) specificity, round(idf, 6) idf, hits, helpful, unhelpful, utility from indexed")
+def _(t: Tables):
+    return _updated(t)["claims"].select("claim_id", "source", "status", F.round("specificity", 6).alias("specificity"), F.round("idf", 6).alias("idf"), "hits", "helpful", "unhelpful", "utility")
+
+
+@query("index_update_search", f"select 'search' how, claim_id, score from ({_top % _gate}) union all select 'bm25', claim_id, round(bm25, 6) from {_bm} union all select 'keywords', claim_id, round(least(1.0, s / 8), 6) from {_kw}")
+def _(t: Tables):
+    found = _updated(t)
+    parts = (("search", index.search(found, QUESTION), F.col("score")), ("bm25", index.bm25(found, QUESTION), F.round("bm25", 6)), ("keywords", index.keyword_scores(found, QUESTION), F.round("kw", 6)))
+    return artefacts.union(*(df.select(F.lit(how).alias("how"), "claim_id", score.alias("score")) for how, df, score in parts))
+
+
 @query("flt_status_gate", f"select claim_id, status from claims where {_gate}")
 def _(t: Tables):
     return t.claims.where(tx.status_allowed("status")).select("claim_id", "status")
@@ -290,9 +349,17 @@ def _(t: Tables):
     return t.claims.where(tx.status_allowed("status")).agg(F.sum(F.floor(F.length("text") / 4).cast("long") + 12).alias("cost"))
 
 
-@query("top_search", f"select claim_id, round(bm25, 6) score from {_bm} order by round(bm25, 9) desc, claim_id limit 20")
+@query("top_search", f"""with toks as (select claim_id, {_search_words} ws from claims), vocabulary as materialized (select w, p from {duck.porter(f'(select distinct unnest(ws) w from (select ws from toks union all select {_search_words} from {_searched}))')}),
+ posts as (select claim_id, p, len(ws) dl, count(*) tf from (select claim_id, ws, unnest(ws) w from toks) join vocabulary using (w) group by claim_id, p, len(ws)), st as (select count(*) n, avg(len(ws)) avgdl from toks),
+ df as (select p, count(*) df from posts group by 1), wanted as (select distinct question_id, p from (select question_id, unnest({_search_words}) w from {_searched}) join vocabulary using (w)),
+ weighed as (select question_id, claim_id, sum(log10((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) score from wanted join posts using (p) join df using (p), st group by all),
+ plain as (select question_id, claim_id from {_searched} q join claims c on lower(c.text) like '%' || lower(q.text) || '%' where question_id not in (select question_id from weighed))
+select question_id, claim_id, round(score, 6) score from weighed qualify row_number() over (partition by question_id order by round(score, 9) desc, claim_id) <= 20
+union all select question_id, claim_id, null from plain qualify row_number() over (partition by question_id order by claim_id) <= 20""")
 def _(t: Tables):
-    return index.bm25(t.index, QUESTION).orderBy(F.desc(F.round("bm25", 9)), "claim_id").limit(20).select("claim_id", F.round("bm25", 6).alias("score"))
+    b = t("benchmark")
+    questions = b.select((2 * F.col("item_id")).alias("question_id"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("text")).unionByName(b.select((2 * F.col("item_id") + 1).alias("question_id"), F.substring("text", 3, 7).alias("text")))
+    return index.stem_search(t.index, t.claims, questions).select("question_id", "claim_id", F.round("score", 6).alias("score"))
 
 
 @query("search_like", "select doc_id from short where contains(lower(claim), 'thonon')")

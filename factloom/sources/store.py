@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Written into the index; an index of another version is rebuilt, not read.
-VERSION = 3
+VERSION = 4
 #: A table of files smaller than this is dealt to all cores.
 SMALL_BYTES = 64 << 20
 
@@ -25,6 +25,22 @@ def put(at: str, name: str, df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{at}/{name}")
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    at, fs = _fs(spark, path)
+    fs.delete(at, True)
+
+
+def unique() -> str:
+    return uuid.uuid4().hex
+
+
+def folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """Folders directly below a path whose names begin with a prefix."""
+    at, fs = _fs(spark, path)
+    return [f"{path}/{f.getPath().getName()}" for f in fs.listStatus(at) if f.isDirectory() and f.getPath().getName().startswith(prefix)]
+
+
 def new_version(path: str) -> str:
     """A folder for the next version of an index; nothing reads it before publish()."""
     return f"{path}/v-{uuid.uuid4().hex}"
@@ -34,7 +50,7 @@ def publish(spark: SparkSession, path: str, at: str, names: list[str]) -> None:
     """Make a written version the one that is read, in one step: the pointer file is replaced by a rename, so that a reader, or a crash
     at any time, meets the version before or this one and never a mix. The version before is kept for those that read it still; older
     ones go."""
-    before = _current(spark, path)
+    before = current(spark, path)
     pointer = f"{path}/.pointer-{uuid.uuid4().hex}"
     tmp, fs = _fs(spark, pointer)
     out = fs.create(tmp)
@@ -50,7 +66,8 @@ def publish(spark: SparkSession, path: str, at: str, names: list[str]) -> None:
         fs.delete(old, True)
 
 
-def _current(spark: SparkSession, path: str) -> dict | None:
+def current(spark: SparkSession, path: str) -> dict | None:
+    """What the pointer of an index says: the version that is read, its folder and tables; None without one."""
     if not exists(spark, f"{path}/current"):
         return None
     return json.loads(spark.read.text(f"{path}/current", wholetext=True).first()[0])
@@ -102,7 +119,7 @@ def fingerprint(spark: SparkSession, paths: list[str]) -> str:
 
 def state(spark: SparkSession, path: str) -> str:
     """missing, old-schema, empty or ok. A read never creates an index."""
-    now = _current(spark, path)
+    now = current(spark, path)
     if now is None:
         return "missing"
     if now["version"] != VERSION:
@@ -117,5 +134,5 @@ def read_index(spark: SparkSession, path: str, fresh: DataFrame | None = None) -
         how = "stale"
     if how not in ("ok", "empty"):
         raise ValueError(f"the index at {path} is {how}: rebuild it")
-    now = _current(spark, path)
+    now = current(spark, path)
     return {n: spark.read.parquet(f"{now['at']}/{n}") for n in now["tables"]}
