@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,13 +80,27 @@ def environments(rows: DataFrame, of: dict[str, str], installed: DataFrame, fall
     return second.select(*rows.columns, F.coalesce("_first", "_env", F.lit(fallback)).alias("env"))
 
 
-def _pattern(glob: str) -> str:
+def pattern(glob: str) -> str:
     """Java regex of a glob, whole string, * crossing slashes."""
     return "^" + fnmatch.translate(glob).replace(r"\z", "").replace(r"\Z", "").removeprefix("(?s:").removesuffix(")") + "$"
 
 
+def tree_pattern(glob: str) -> str:
+    """Java regex of a glob over a tree: a star and a question mark stay within a folder, two stars as a whole segment are any folders."""
+    out = ""
+    for n, part in enumerate(segments := glob.split("/")):
+        last = n == len(segments) - 1
+        if part == "**":
+            out += ".*" if last else "(?:[^/]+/)*"
+        else:
+            for piece in re.split(r"(\*+|\?|\[[^\]]+\])", part):
+                out += "[^/]*" if piece.startswith("*") else "[^/]" if piece == "?" else piece.replace("[!", "[^") if piece.startswith("[") else re.sub(r"([^\w/])", r"\\\1", piece)
+            out += "" if last else "/"
+    return f"(?s)^{out}$"
+
+
 def matches(path, glob: str) -> Column:
-    return col(path).rlike("(?s)" + _pattern(glob))
+    return col(path).rlike("(?s)" + pattern(glob))
 
 
 def excluded(path, patterns: list[str]) -> Column:

@@ -78,26 +78,30 @@ def connectors(rows: DataFrame) -> DataFrame:
 
 
 def table_claims(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, claim): header=value pairs of each data row of tables that start with a header and a separator. A header row that
-    is repeated is no data; cells beyond the header get a name by their place; rows without cells give no claim."""
-    from factloom.operators.anchors import TABLE_SEPARATOR, table_cells
+    """(doc_id, line_no, claim): header=value pairs of each data row of the tables anywhere in a document. The header is the row above a
+    table's separator, carried down the table; a table that opens with its separator has none. A header row that is repeated is no data;
+    cells beyond the header, or under an empty one, get a name by their place; rows without cells give no claim."""
+    from factloom.operators.anchors import table_cells, table_rows
 
-    headers = lines.where("line_no = 1").select(F.col("doc_id").alias("_doc"), table_cells("line").alias("header"))
-    rows = lines.where((F.col("line_no") > 1) & ~F.col("line").rlike(TABLE_SEPARATOR)).select("doc_id", "line_no", table_cells("line").alias("cells")).join(headers, F.col("doc_id") == F.col("_doc"))
-    named = F.transform("cells", lambda c, i: F.when(c != "", F.concat(F.coalesce(F.get("header", i), F.concat(F.lit("col"), (i + 1).cast("string"))), F.lit("="), c)))
-    claim = F.array_join(F.filter(named, lambda x: x.isNotNull()), "; ")
-    return rows.where("cells <> header").select("doc_id", "line_no", claim.alias("claim")).where("claim <> ''")
+    rows = table_rows(lines).where(~F.col("sep")).withColumn("cells", table_cells("line")).withColumn("header", table_cells("header"))
+    name = lambda i: F.coalesce(F.nullif(F.get("header", i), F.lit("")), F.concat(F.lit("col"), (i + 1).cast("string")))
+    named = F.transform("cells", lambda c, i: F.when(c != "", F.concat(name(i), F.lit("="), c)))
+    claim = F.replace(F.array_join(F.filter(named, lambda x: x.isNotNull()), "; "), F.lit("`"), F.lit(""))
+    data = F.col("header").isNull() | (F.col("cells") != F.col("header"))
+    return rows.where(data).select("doc_id", "line_no", claim.alias("claim")).where("claim <> ''")
 
 
 #: Bytes at the end of a transcript that are read for its last usage record.
 TAIL_BYTES = 512 * 1024
 
 
-def tail_usage(files: DataFrame, key: str, tail_bytes: int = TAIL_BYTES) -> DataFrame:
+def tail_usage(files: DataFrame, key: str, tail_bytes: int | None = TAIL_BYTES) -> DataFrame:
     """(key, context_tokens, model) of transcripts (key, content): the last record with usage among the last bytes, and the last model that
-    one of those names. Where the file is longer, the line that the cut falls in is left out; files without a record give no row."""
-    cut = F.octet_length("content") > tail_bytes
-    text = F.make_valid_utf8(F.when(cut, F.substring("content", -tail_bytes, tail_bytes)).otherwise(F.col("content")).cast("string"))
+    one of those names. Where the file is longer, the line that the cut falls in is left out; files without a record give no row.
+    Without tail_bytes the content is an end already, and the column `cut` says whether something stood before it."""
+    cut = F.col("cut") if tail_bytes is None else F.octet_length("content") > tail_bytes
+    end = F.col("content") if tail_bytes is None else F.when(cut, F.substring("content", -tail_bytes, tail_bytes)).otherwise(F.col("content"))
+    text = F.make_valid_utf8(end.cast("string"))
     lines = F.split(text, "\n")
     whole = F.when(cut, F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
     shape = "message struct<model:string,usage:struct<input_tokens:bigint,cache_creation_input_tokens:bigint,cache_read_input_tokens:bigint>>"

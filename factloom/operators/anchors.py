@@ -24,14 +24,14 @@ CLAIMISH = r"^- \[C\d+\]"
 def verdicts(anchors: DataFrame, lines: DataFrame) -> DataFrame:
     """(anchor_id, verdict, found_line) for anchors (anchor_id, doc_id, snippet, cited) against lines (doc_id, line_no, line).
 
-    Each anchor meets the lines of its own document within FAR lines of the cited one: an equi-join with a range; the rest are
+    Each anchor meets the lines of its own document within FAR lines of the cited one, by blocks of lines; the rest are
     conditional minima and counts over those. Far hits count only if the snippet is long and they are unique.
     """
     want = tx.norm_anchor("snippet")
     a = anchors.select("anchor_id", F.col("doc_id").alias("_doc"), "cited", want.alias("want"))
     size = lines.groupBy(F.col("doc_id").alias("_doc")).agg(F.max("line_no").alias("last"))
     normed = lines.select("doc_id", "line_no", tx.norm_anchor("line").alias("norm"))  # once a line, before lines meet anchors
-    near = a.join(normed, (F.col("_doc") == F.col("doc_id")) & (F.abs(F.col("line_no") - F.col("cited")) <= FAR) & F.col("norm").contains(F.col("want")))
+    near = in_reach(a, F.col("cited") - FAR, F.col("cited") + FAR, normed).where(F.col("norm").contains(F.col("want")))
     away = F.abs(F.col("line_no") - F.col("cited"))
     hits = near.groupBy("anchor_id").agg(
         F.bool_or(away == 0).alias("exact"), F.min(F.when(away <= NEAR, F.col("line_no"))).alias("close"), F.count("*").alias("n"), F.min("line_no").alias("first")
@@ -111,13 +111,14 @@ def table_cells(row) -> Column:
     return F.transform(F.split(inner, r"\|"), lambda c: F.trim(c))
 
 
-def tables(lines: DataFrame) -> DataFrame:
-    """(doc_id, lo, hi) of the markdown tables among lines (doc_id, line_no, line): islands of piped lines, split at each separator.
+def table_rows(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, line, sep, island, table, headless, header): the rows of the markdown tables among lines (doc_id, line_no, line), with
+    each table's header row, null where it is headless. Tables are islands of piped lines, split at each separator.
 
-    The islands are found by windows over one document's lines."""
+    Everything is found by windows over one document's piped lines, which are one shuffle."""
     from pyspark.sql import Window
 
-    rows = lines.where(F.col("line").rlike(TABLE_ROW)).withColumn("sep", F.col("line").rlike(TABLE_SEPARATOR))
+    rows = lines.where(F.col("line").rlike(TABLE_ROW)).select("doc_id", "line_no", "line", F.col("line").rlike(TABLE_SEPARATOR).alias("sep"))
     w = Window.partitionBy("doc_id").orderBy("line_no")
     rows = rows.withColumn("island", F.col("line_no") - F.row_number().over(w))
     own = Window.partitionBy("doc_id", "island").orderBy("line_no")
@@ -125,8 +126,31 @@ def tables(lines: DataFrame) -> DataFrame:
     first = F.row_number().over(own) == 1
     starts = F.coalesce(F.lead("sep").over(own), F.lit(False)) & ~F.col("sep") | F.col("sep") & first
     rows = rows.withColumn("table", F.sum(starts.cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0))).where("table > 0")
-    g = rows.groupBy("doc_id", "island", "table").agg(F.min("line_no").alias("lo"), F.max("line_no").alias("hi"), F.min_by("sep", "line_no").alias("headless"), F.count_if(~F.col("sep")).alias("data"), F.count_if("sep").alias("seps"))
-    return g.where("seps > 0 and data >= case when headless then 1 else 2 end").select("doc_id", "lo", "hi")
+    whole = Window.partitionBy("doc_id", "island", "table")
+    head = whole.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("headless", F.first("sep").over(head)).withColumn("header", F.when(~F.col("headless"), F.first("line").over(head)))
+    kept = (F.count_if("sep").over(whole) > 0) & (F.count_if(~F.col("sep")).over(whole) >= F.when(F.col("headless"), 1).otherwise(2))
+    return rows.withColumn("_kept", kept).where("_kept").drop("_kept")
+
+
+def tables(lines: DataFrame) -> DataFrame:
+    """(doc_id, lo, hi) of the markdown tables among lines (doc_id, line_no, line)."""
+    return table_rows(lines).groupBy("doc_id", "island", "table").agg(F.min("line_no").alias("lo"), F.max("line_no").alias("hi")).select("doc_id", "lo", "hi")
+
+
+#: Lines in a block: what looks for lines near a place meets the one to three blocks that it can reach.
+BLOCK = 128
+
+
+def in_reach(rows: DataFrame, lo: Column, hi: Column, lines: DataFrame, doc: str = "_doc") -> DataFrame:
+    """Rows with the lines (doc_id, line_no) of their document between lo and hi: an equi-join on document and block of lines, so that the
+    work is that of what is in reach and a long document is dealt over many keys."""
+    block = lambda c: F.floor(c / BLOCK).cast("long")
+    low, high = F.greatest(lo, F.lit(0)), F.greatest(hi, F.lit(0))
+    dealt = rows.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo <= _hi").withColumn("_block", F.explode(F.sequence(block(low), block(high))))
+    own = lines.withColumn("_at", block(F.col("line_no")))
+    met = dealt.join(own, (F.col(doc) == F.col("doc_id")) & (F.col("_block") == F.col("_at")) & F.col("line_no").between(F.col("_lo"), F.col("_hi")))
+    return met.drop("_lo", "_hi", "_block", "_at")
 
 
 def semantic_hint(rows: DataFrame, lines: DataFrame) -> DataFrame:
@@ -136,7 +160,7 @@ def semantic_hint(rows: DataFrame, lines: DataFrame) -> DataFrame:
     idents = rows.select("claim_id", F.col("doc_id").alias("_doc"), "lo", "hi", F.posexplode(ident).alias("pos", "ident"))
     mention = F.expr(r"line rlike concat('\\b', ident, '\\b')")
     definition = F.expr(r"line rlike concat('^\\s*(?:(?:def|class|function|const|let|var)\\s+', ident, '\\b|', ident, '\\s*(?::[^=]*)?=(?!=))')")
-    met = idents.join(lines, (F.col("_doc") == F.col("doc_id")) & F.col("line_no").between(F.col("lo"), F.col("hi")) & mention)
+    met = in_reach(idents, F.col("lo"), F.col("hi"), lines).where(mention)
     per = met.groupBy("claim_id", "pos").agg(F.count("*").alias("n"), F.count_if(definition).alias("d"), F.min("line_no").alias("one"), F.min(F.when(definition, F.col("line_no"))).alias("at"))
     hint = F.when(F.col("d") == 1, F.col("at")).when(F.col("n") == 1, F.col("one"))
     return per.withColumn("hint", hint).where("hint is not null").groupBy("claim_id").agg(F.min_by("hint", "pos").alias("hint"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import duck, paths, records
 from factloom.functions import text as tx
 from factloom.operators import anchors, artefacts
-from factloom.sources import store
+from factloom.sources import files, store
 
 from .registry import RELATIONS, Tables, query
 
@@ -68,15 +71,16 @@ def _(t: Tables):
 @query("join_region_lines", "select anchor_id, count(*) n, sum(length(line))::bigint chars from anchors a join lines l on a.doc_id = l.doc_id and line_no between cited - 12 and cited + 15 group by 1")
 def _(t: Tables):
     a = _anchors(t).select("anchor_id", F.col("doc_id").alias("_doc"), "cited")
-    met = a.join(t.lines, (F.col("_doc") == F.col("doc_id")) & F.col("line_no").between(F.col("cited") - 12, F.col("cited") + 15))
+    met = anchors.in_reach(a, F.col("cited") - 12, F.col("cited") + 15, t.lines)
     return met.groupBy("anchor_id").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
 
 
 @query("fn_semantic_hint")
 def _(t: Tables):
-    # Claims that quote the second word of a line as an identifier, over the whole document.
+    # A claim for each line, which quotes the line's first identifier, and looks for it twenty lines up and down.
     ident = F.regexp_extract("line", "([A-Za-z_][A-Za-z0-9_]{2,})", 1)
-    rows = t.lines.where("line_no = 1").select(F.col("doc_id").alias("claim_id"), "doc_id", F.concat(F.lit("`"), ident, F.lit("` is there")).alias("text"), F.lit(1).alias("lo"), F.lit(40).alias("hi"))
+    n = F.col("line_no")
+    rows = t.lines.select(F.concat_ws(":", "doc_id", "line_no").alias("claim_id"), "doc_id", F.concat(F.lit("`"), ident, F.lit("` is there")).alias("text"), F.greatest(F.lit(1), n - 20).alias("lo"), (n + 20).alias("hi"))
     return anchors.semantic_hint(rows, t.lines)
 
 
@@ -150,6 +154,33 @@ def _(t: Tables):
     return records.table_claims(_md(t))
 
 
+# Documents of several tables: one with a header, text, one that opens with its separator, and a last one that follows it at once.
+RELATIONS["md_many"] = """with b as (select distinct p_brand from part), r as (select p_brand, '| ' || p_partkey || ' | ' || p_size || ' |' line, case when p_size < 20 then 1 when p_size < 40 then 4 else 6 end part_, p_partkey from part),
+ x as (select p_brand, part_, p_partkey o, line from r union all select p_brand, 0, 0, '| part | size |' from b union all select p_brand, 0, 1, '|---|---|' from b union all select p_brand, 2, 0, 'some text' from b union all select p_brand, 3, 0, '| --- | --- |' from b
+  union all select p_brand, 5, 0, '| key |  |' from b union all select p_brand, 5, 1, '|:--|--:|' from b)
+ select p_brand, part_, cast(row_number() over (partition by p_brand order by part_, o) as integer) line_no, line from x"""
+
+
+def _md_many(t: Tables):
+    p = t("part")
+    size = F.col("p_size")
+    line = F.concat(F.lit("| "), F.col("p_partkey").cast("string"), F.lit(" | "), size.cast("string"), F.lit(" |"))
+    rows = p.select("p_brand", F.when(size < 20, 1).when(size < 40, 4).otherwise(6).alias("part"), F.col("p_partkey").alias("o"), line.alias("line"))
+    fixed = [(0, 0, "| part | size |"), (0, 1, "|---|---|"), (2, 0, "some text"), (3, 0, "| --- | --- |"), (5, 0, "| key |  |"), (5, 1, "|:--|--:|")]
+    more = p.select("p_brand").distinct().select("p_brand", F.inline(F.array(*(F.struct(F.lit(a).alias("part"), F.lit(o).alias("o"), F.lit(x).alias("line")) for a, o, x in fixed))))
+    body = rows.unionByName(more).groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("part", "o", "line"))).alias("r"))
+    return body.select(F.col("p_brand").alias("doc_id"), F.posexplode("r").alias("pos", "r")).select("doc_id", (F.col("pos") + 1).alias("line_no"), F.col("r.line").alias("line"))
+
+
+_names = {1: ("part", "size"), 4: ("col1", "col2"), 6: ("key", "col2")}
+_name = lambda i: "case part_ " + " ".join(f"when {k} then '{v[i]}'" for k, v in _names.items()) + " end"
+
+
+@query("fn_table_claims", f"select p_brand doc_id, line_no, {_name(0)} || '=' || trim(string_split(line, '|')[2]) || '; ' || {_name(1)} || '=' || trim(string_split(line, '|')[3]) claim from md_many where part_ in (1, 4, 6)")
+def _(t: Tables):
+    return records.table_claims(_md_many(t))
+
+
 # Memos: a claim for each line of a document.
 RELATIONS["memo_claims"] = """select l.doc_id, l.source, sha256(d.text) sha, cast(len(string_split(d.text, chr(10))) as integer) n_lines, l.line_no claim_id, status, replace(left(line, 60), '`', '') text, l.line_no, replace(left(line, 24), '`', 'ˋ') snippet
  from lines l join documents d on d.doc_id = l.doc_id join claims c on c.claim_id = l.doc_id"""
@@ -231,11 +262,15 @@ select user_id, cast(regexp_extract(ls[-1], 'input_tokens":([0-9]+)', 1) as bigi
  nullif(regexp_extract(list_filter(ls, lambda x: contains(x, '"model":"'))[-1], '"model":"([a-z]+)"', 1), '') model from l where len(ls) > 0""")
 def _(t: Tables):
     # Transcripts of events by user, some of their lines broken; the last 400 bytes are read.
+    rows = t("events").select("user_id", "event_id", _usage_line_of().alias("line"))
+    files_ = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "line"))).alias("l")).select("user_id", F.encode(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), "UTF-8").alias("content"))
+    return records.tail_usage(files_, "user_id", 400)
+
+
+def _usage_line_of():
     kind = F.col("event_type")
     usage = F.concat(F.lit('{"message":{"model":'), F.when(kind == "view", "null").otherwise(F.concat(F.lit('"'), kind, F.lit('"'))), F.lit(',"usage":{"input_tokens":'), F.col("event_id").cast("string"), F.lit(',"cache_read_input_tokens":'), (F.col("event_id") % 7).cast("string"), F.lit("}}}"))
-    rows = t("events").select("user_id", "event_id", F.when(kind == "error", '{"message": broken').otherwise(usage).alias("line"))
-    files = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "line"))).alias("l")).select("user_id", F.encode(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), "UTF-8").alias("content"))
-    return records.tail_usage(files, "user_id", 400)
+    return F.when(kind == "error", '{"message": broken').otherwise(usage)
 
 
 @query("scan_connectors", "select event_id, event_type name from events where cast(regexp_extract(props, '([0-9]+)', 1) as integer) % 2 = 0")
@@ -398,6 +433,61 @@ def _(t: Tables):
     return t.files.where(~paths.excluded("path", ["de/*", "*.html", "fr/1*"])).select("page_id", "path")
 
 
+# A tree of files: documents by language, source and kind, a file in each folder.
+_tree = "(select 'lang=' || lang || '/source=' || source || '/kind=' || (doc_id % 3) dir, count(*) n, cast(sum(strlen(text) + 1) as bigint) size from documents group by 1)"
+
+
+def _tree_of(t: Tables) -> str:
+    root = store.scratch(t.spark, "tree")
+    rows = t("documents").select(F.col("text").alias("value"), "lang", "source", (F.col("doc_id") % 3).alias("kind"))
+    rows.repartition("lang", "source", "kind").write.partitionBy("lang", "source", "kind").text(root)
+    return root
+
+
+@query("scan_files", f"select dir, size, case when dir like '%/kind=1' then 0 when starts_with(dir, 'lang=en/') then 1 else 2 end pattern, dir like '%/kind=2' or starts_with(dir, 'lang=de/') or starts_with(dir, 'lang=fr/source=src3/') excluded from {_tree}")
+def _(t: Tables):
+    found = files.included(files.listing(t.spark, _tree_of(t)), ["*/*/kind=1/*.txt", "lang=en/**/*.txt", "**/*.txt", "*.txt"])
+    tagged = files.tagged(found, files.exclusions(t.spark, ["kind=2/", "lang=de/*", "lang=fr/source=src3/**", "ource*", ""]))
+    return tagged.select(F.regexp_extract("rel", "^(.*)/", 1).alias("dir"), "size", "pattern", "excluded")
+
+
+def _session_id(k: str) -> str:
+    return f"substr(md5('session {k}'), 1, 8) || '-' || substr(md5('session {k}'), 9, 4) || '-4000-8000-' || substr(md5('session {k}'), 13, 12)"
+
+
+@query("src_find_session", "select 'hinted' how, " + _session_id("1") + " session, count(*) n from conversations where conv_id % 3 = 1 having count(*) > 0 union all select 'newest', " + _session_id("2") + ", count(*) from conversations where conv_id % 3 = 2 having count(*) > 0 union all select 'order ' || k, case k when 1 then " + _session_id("2") + " when 2 then " + _session_id("1") + " else " + _session_id("0") + " end, k from (select unnest([1, 2, 3]) k)")
+def _(t: Tables):
+    # Three sessions, written one after the other; a hint names the second, and without one the last is found.
+    root, ids = store.scratch(t.spark, "sessions"), []
+    for k in range(3):
+        digest = hashlib.md5(f"session {k}".encode()).hexdigest()  # noqa: S324 a name
+        ids.append(f"{digest[:8]}-{digest[8:12]}-4000-8000-{digest[12:24]}")
+        line = F.to_json(F.struct("conv_id", "turn", "role"))
+        t("conversations").where(F.col("conv_id") % 3 == k).select(line.alias("value"), F.lit(ids[k]).alias("session")).coalesce(1).write.partitionBy("session").mode("append").text(root)
+    listed = files.listing(t.spark, root)
+    out = []
+    for how, one in (("hinted", files.find(listed, F.lit(f"session={ids[1]}"))), ("newest", files.find(listed, F.lit("session=unknown")))):
+        at = one.first()
+        lines = t.spark.read.text(at["path"]).agg(F.count("*").alias("n"))
+        out.append(lines.select(F.lit(how).alias("how"), F.lit(at["rel"].split("/")[0].split("=")[1]).alias("session"), "n"))
+    ranked = files.newest(listed, 12).withColumn("n", F.row_number().over(Window.orderBy(F.desc("modified"), "rel")).cast("long"))  # twelve rows
+    out.append(ranked.select(F.concat(F.lit("order "), F.col("n").cast("string")).alias("how"), F.regexp_extract("rel", "session=([^/]+)", 1).alias("session"), "n"))
+    return artefacts.union(*out)
+
+
+@query("scan_tail_files", f"""with f as (select user_id % 16 transcript, string_agg({_usage_line}, chr(10) order by event_id) || chr(10) c from events group by 1),
+ l as (select transcript, length(c) size, list_filter(case when length(c) > 2000 then string_split(right(c, 2000), chr(10))[2:] else string_split(c, chr(10)) end, lambda x: ends_with(x, '}}}}}}')) ls from f)
+select transcript, least(2000, size) "read", cast(regexp_extract(ls[-1], 'input_tokens":([0-9]+)', 1) as bigint) + cast(regexp_extract(ls[-1], 'cache_read_input_tokens":([0-9]+)', 1) as bigint) context_tokens,
+ nullif(regexp_extract(list_filter(ls, lambda x: contains(x, '"model":"'))[-1], '"model":"([a-z]+)"', 1), '') model from l where len(ls) > 0""")
+def _(t: Tables):
+    # Transcripts as files, of which the last 2,000 bytes are read.
+    root = store.scratch(t.spark, "transcripts")
+    rows = t("events").select((F.col("user_id") % 16).alias("transcript"), "event_id", _usage_line_of().alias("value"))
+    rows.repartition("transcript").sortWithinPartitions("transcript", "event_id").select("transcript", "value").write.partitionBy("transcript").text(root)
+    ends = files.tails(root, files.listing(t.spark, root), 2000).withColumn("transcript", F.regexp_extract("rel", "transcript=([0-9]+)", 1).cast("long"))
+    return records.tail_usage(ends, "transcript", None).join(ends.select("transcript", "read"), "transcript")
+
+
 @query("scan_route_doc", f"select page_id, case when {_ext} = 'html' then 'doctotext' else 'copy' end tool, case when length(trim(regexp_replace(html, '<[^>]*>', '', 'g'))) < 32 then 'too little text' end error from pages join files using (page_id)")
 def _(t: Tables):
     joined = t.files.join(t("pages").select("page_id", "html"), "page_id")

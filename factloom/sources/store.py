@@ -31,6 +31,12 @@ def discard(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A folder's full name, as listings have it."""
+    at, fs = _fs(spark, path)
+    return fs.makeQualified(at).toString()
+
+
 def unique() -> str:
     return uuid.uuid4().hex
 
