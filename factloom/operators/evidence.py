@@ -74,7 +74,27 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """A table that several steps read, written once."""
     path = store.scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._factloom_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of kept() that nothing reads any more."""
+    for df in tables:
+        store.discard(df.sparkSession, df._factloom_path)
+
+
+def followed(pointers: DataFrame) -> DataFrame:
+    """(id, to, odd) with each pointer followed to its end, a written table: pointers (id, to, odd) form no circle, and odd tells whether the
+    number of steps is. Each step doubles the reach, so that a chain of n takes log2(n) of them."""
+    now = pointers
+    while not now.join(now.select(F.col("id").alias("to")), "to", "left_semi").isEmpty():
+        n = now.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("odd").alias("_odd"))
+        far = kept(now.join(n, "to", "left").select("id", F.coalesce("_to", "to").alias("to"), F.when(F.col("_odd"), ~F.col("odd")).otherwise(F.col("odd")).alias("odd")), "chain")
+        forget(now)
+        now = far
+    return now
 
 
 def token_classes(claims: DataFrame) -> DataFrame:
@@ -115,19 +135,25 @@ def seed_clusters(claims: DataFrame, threshold: float) -> DataFrame:
     """(question_id, doc_id, seed): in order of doc_id, a claim that no seed has taken becomes one and takes later claims that are
     similar to it. Not transitive.
 
-    In rounds: claims without an open smaller neighbour are seeds, their neighbours are taken, and the links of both are closed. Each
-    round is written; a chain of n links that only ever leaves its first one open takes n / 2 rounds. Members of a class of equal
-    token sets go with their representative.
+    In rounds: claims without an open smaller neighbour are seeds; a claim with one open smaller neighbour is what that one is not, so that
+    chains of those are settled at once, by pointers that double their reach; neighbours of seeds are taken, and the links of all that is
+    settled are closed. Each step is written. A chain of n links takes log2(n) steps, and so does any forest; links that are denser are few
+    rounds deep unless each round leaves but its first claim settled. Members of a class of equal token sets go with their representative.
     """
     classes = kept(token_classes(claims), "classes")
     links = kept(similar_claims(classes, threshold).select("a", "b").join(classes.where("doc_id > rep").select(F.col("doc_id").alias("b")), "b", "left_anti").select("a", "b"), "links")
     open_, taken = links, None
     while not open_.isEmpty():
-        seeds = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        gone = kept(open_.join(seeds, "a").select(F.col("b").alias("id")).distinct(), "taken")
+        seeds = open_.select(F.col("a").alias("id")).distinct().join(open_.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
+        single = open_.groupBy("b").agg(F.count("*").alias("n"), F.min("a").alias("to")).where("n = 1").select(F.col("b").alias("id"), "to", F.lit(True).alias("odd"))
+        ends = followed(kept(single, "chain"))
+        settled = ends.join(seeds.select(F.col("id").alias("to")), "to").select("id", "odd")
+        found = kept(seeds.select("id", F.lit(True).alias("seed")).unionByName(settled.select("id", (~F.col("odd")).alias("seed"))), "seeds")
+        gone = kept(open_.join(found.where("seed").select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct(), "taken")
         taken = gone if taken is None else taken.unionByName(gone)
-        done = seeds.select(F.col("a").alias("id")).unionByName(gone)
-        open_ = kept(open_.join(done.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b"), "open")
+        done = found.where("seed").select("id").unionByName(gone)
+        before, open_ = open_, kept(open_.join(done.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b"), "open")
+        forget(found, ends, *([] if before is links else [before]))
     seeded = links if taken is None else links.join(taken.select(F.col("id").alias("b")), "b").join(taken.select(F.col("id").alias("a")), "a", "left_anti")
     seeded = seeded.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("seed"))
     of = classes.select("doc_id", "rep").join(seeded, "rep", "left").select("doc_id", F.coalesce("seed", "rep").alias("seed"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from factloom.functions import text as tx
 from factloom.functions.text import col
 
+from . import evidence
+
 # Phrases that cost the authors something, and that credit them.
 COSTS = ["we were wrong", "the error", "our error", "we had first", "does not hold", "still trouble", "is not enough", "it cost us", "we cannot", "we failed", "mistake", "withdrew", "we did not"]
 CREDITS = ["was noticed", "we noticed", "because she was seen", "prompted", "we caught", "the right treatment", "made possible", "we kept", "grew out of"]
@@ -69,18 +71,13 @@ def pairs(rows: DataFrame) -> DataFrame:
 
 
 def labels(rows: DataFrame) -> DataFrame:
-    """(set_id, petal_id, cluster): in order of (i, j), j takes the label of i where their anchors overlap by 0.45."""
-    near = pairs(rows).where("relation = 'same_event'").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("p"))
-    start = F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<bigint>"))
-
-    def step(acc, p):
-        label = F.coalesce(F.try_element_at(acc, p["a"]), p["a"])
-        rest = F.map_filter(acc, lambda k, _: k != p["b"])
-        return F.map_concat(rest, F.map_from_arrays(F.array(p["b"]), F.array(label)))
-
-    folded = near.select("set_id", F.aggregate("p", start, step).alias("m"))
-    joined = rows.select("set_id", "petal_id").join(folded, "set_id", "left")
-    return joined.select("set_id", "petal_id", F.coalesce(F.try_element_at("m", F.col("petal_id")), "petal_id").alias("cluster"))
+    """(set_id, petal_id, cluster): in order of (i, j), j takes the label of i where their anchors overlap by 0.45.
+
+    Of the pairs that end at j the one with the largest i comes last, and i has its own label by then. So each passage points at the
+    largest before it that it overlaps with, and its label is where the pointers end, which they reach by doubling."""
+    near = pairs(rows).where("relation = 'same_event'").groupBy(F.col("b").alias("id")).agg(F.max("a").alias("to")).withColumn("odd", F.lit(False))
+    ends = evidence.followed(evidence.kept(near, "pointers"))
+    return rows.select("set_id", "petal_id").join(ends.select(F.col("id").alias("petal_id"), "to"), "petal_id", "left").select("set_id", "petal_id", F.coalesce("to", "petal_id").alias("cluster"))
 
 
 def composition(rows: DataFrame) -> DataFrame:

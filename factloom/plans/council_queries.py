@@ -419,7 +419,8 @@ def _(t: Tables):
     return petals.pairs(t.petals).select("a", "b", "relation", F.round("overlap", 2).alias("overlap"))
 
 
-@query("fn_cluster_label")
+@query("fn_cluster_label", f"""select * from (with recursive near_ as (select b, max(a) a from {_ppairs} where overlap >= 0.45 group by b), up as (select b petal_id, a from near_ union all select petal_id, near_.a from up join near_ on near_.b = up.a)
+select p.set_id, p.petal_id, coalesce(min(up.a), p.petal_id) "cluster" from petals p left join up using (petal_id) group by 1, p.petal_id)""")
 def _(t: Tables):
     return petals.labels(t.petals)
 

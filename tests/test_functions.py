@@ -237,6 +237,34 @@ def test_merged_claims(spark):
         assert r["confidence"] == pytest.approx(sum(n for _, n in members) / len(members) / 1000, abs=1e-5)
 
 
+def test_seed_clusters_of_a_long_chain(spark, monkeypatch):
+    """Claims that are each similar to the next one only: every other one is a seed, found in steps of doubling reach."""
+    from factloom.operators import evidence
+
+    n, steps = 100_000, []
+    monkeypatch.setattr(evidence, "kept", lambda df, name, own=evidence.kept: steps.append(name) or own(df, name))
+    words = F.array_join(F.transform(F.sequence(F.col("id"), F.col("id") + 7), lambda x: F.concat(F.lit("w"), x.cast("string"))), " ")
+    claims = spark.range(n).select(F.lit("q").alias("question_id"), F.col("id").alias("doc_id"), words.alias("claim"))
+    got = evidence.seed_clusters(claims, 0.7).agg(F.count_if(F.col("seed") == F.col("doc_id") - F.col("doc_id") % 2).alias("n")).first()["n"]
+    assert got == n and len(steps) < 40
+
+
+def test_pointers_end(spark):
+    from factloom.operators import evidence
+
+    rng = random.Random(5)
+    to = {i: rng.randrange(i) for i in range(1, 400) if rng.random() < 0.9}
+
+    def end(i):
+        odd = False
+        while i in to:
+            i, odd = to[i], not odd
+        return i, odd
+
+    df = evidence.kept(spark.createDataFrame([(i, t, True) for i, t in to.items()], "id long, to long, odd boolean"), "pointers")
+    assert {r["id"]: (r["to"], r["odd"]) for r in evidence.followed(df).collect()} == {i: end(i) for i in to}
+
+
 def test_cluster_labels(spark):
     from factloom.plans.registry import Tables
 
