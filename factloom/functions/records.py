@@ -28,6 +28,45 @@ def two_places(c, plus: bool = False) -> Column:
     return F.when(c.isNotNull(), F.concat(sign, F.format_string("%.2f", F.abs(F.round(c, 2)))))
 
 
+def row_text(cells, how: str) -> Column:
+    """A row of a sheet as a line: txt (tabs), md (a table row), csv (quoted where needed) or json."""
+    cells = F.transform(col(cells), lambda c: F.coalesce(c, F.lit("")))
+    if how == "txt":
+        return F.array_join(cells, "\t")
+    if how == "md":
+        return F.concat(F.lit("| "), F.array_join(F.transform(cells, md_escape), " | "), F.lit(" |"))
+    if how == "csv":
+        quoted = lambda c: F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+        return F.array_join(F.transform(cells, quoted), ",")
+    if how == "json":
+        return F.to_json(cells)
+    raise ValueError(f"no such format: {how}")
+
+
+def sheet_lines(rows: DataFrame, sheet: str, number: str, cells: str, how: str) -> DataFrame:
+    """(sheet, n, pos, line): the rows of sheets as lines; a Markdown sheet has a separator under its first row, number 1."""
+    line = row_text(cells, how)
+    below = F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.size(cells)))
+    lines = F.array(line, F.when(F.col(number) == 1, below)) if how == "md" else F.array(line)
+    return rows.select(F.col(sheet).alias("sheet"), F.col(number).alias("n"), F.posexplode(lines).alias("pos", "line")).where("line is not null")
+
+
+def block_text(kind, text, how: str) -> Column:
+    """A block of a document (heading1 to heading6, item, cell, code or any other kind) as text: txt, md or json. Blank blocks are null."""
+    kind, text = F.coalesce(col(kind), F.lit("")), F.trim(F.coalesce(col(text), F.lit("")))
+    if how == "txt":
+        made = F.when(kind == "item", F.concat(F.lit("- "), text)).otherwise(text)
+    elif how == "md":
+        level = F.regexp_extract(kind, "^heading([1-6])$", 1)
+        marks = F.repeat(F.lit("#"), F.coalesce(level.try_cast("int"), F.lit(0)))
+        made = F.when(level != "", F.concat(marks, F.lit(" "), text)).when(kind == "item", F.concat(F.lit("- "), text)).when(kind == "cell", F.concat(F.lit("| "), md_escape(text), F.lit(" |"))).when(kind == "code", F.concat(F.lit("```\n"), text, F.lit("\n```"))).otherwise(text)
+    elif how == "json":
+        made = F.to_json(F.struct(kind.alias("kind"), text.alias("text")))
+    else:
+        raise ValueError(f"no such format: {how}")
+    return F.when(text != "", made)
+
+
 def too_thin(s) -> Column:
     return F.length(F.trim(col(s))) < 32
 

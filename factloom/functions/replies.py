@@ -157,3 +157,24 @@ def image_claims(rows: DataFrame) -> DataFrame:
     cleaned = F.transform(line, lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"^[-*]\s+", "")), "^`+|`+$", ""))
     kept = F.filter(cleaned, lambda x: (F.length(x) >= 8) & ~x.rlike(TRIVIAL_TEXT))
     return rows.select("key", F.coalesce(topic, F.lit("")).alias("topic"), F.posexplode(kept).alias("pos", "text")).withColumn("status", F.lit("NEEDS_AGENT"))
+
+
+#: Verdicts that a local judge may give.
+VERDICTS = ("CONFIRMED", "REFUTED", "UNSUPPORTED")
+
+
+def judged(answers: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, verdict, note) of a local judge's replies (key, ok, text): a call that failed, a reply without JSON and a verdict that is none
+    count as UNSUPPORTED, with a note that says which it was."""
+    read = parse_replies(answers, key, text)
+    verdict = F.upper(F.trim(F.get_json_object("json", "$.verdict")))
+    known = verdict.isin(*VERDICTS)
+    note = F.when(~F.coalesce("ok", F.lit(False)), "no answer").when(F.col("json").isNull(), "no JSON").when(~F.coalesce(known, F.lit(False)), "no such verdict")
+    rows = answers.select(key, "ok").join(read, key, "left")
+    return rows.select(key, F.when(note.isNull(), verdict).otherwise("UNSUPPORTED").alias("verdict"), F.coalesce(note, F.get_json_object("json", "$.note")).alias("note"))
+
+
+def last_json(stdout) -> Column:
+    """The last line of a program's output that is JSON, null where none is."""
+    lines = F.filter(F.transform(F.split(F.coalesce(col(stdout), F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^[{\[]") & F.try_parse_json(x).isNotNull())
+    return F.try_element_at(lines, F.lit(-1))

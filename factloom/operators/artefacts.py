@@ -143,6 +143,53 @@ def memo_index(memos: DataFrame, name: str = "INDEX") -> DataFrame:
     return union(body, text_block(spark, name, 2, tail(f"{own:,}")))
 
 
+def handoff(claims: DataFrame, usage: DataFrame, name: str = "handoff") -> DataFrame:
+    """A note for who resumes a session: the state of its claims (source, status), and one row of usage (context_tokens, window)."""
+    pending = F.col("status").isin("NEEDS_AGENT", "PENDING")
+    counts = claims.agg(F.count("*").alias("n"), F.count_if(pending).alias("p"), F.countDistinct("source").alias("s"))
+    by = claims.groupBy("status").agg(F.count("*").alias("n"))
+    share = F.format_string("%.1f", F.round(100.0 * F.col("context_tokens") / F.col("window"), 1))
+    return union(
+        text_block(claims.sparkSession, name, 0, ["# Handoff", ""]),
+        block(usage, name, 1, [F.concat(F.lit("- context: "), F.col("context_tokens").cast("string"), F.lit(" of "), F.col("window").cast("string"), F.lit(" tokens ("), share, F.lit("%)"))]),
+        block(counts, name, 2, [F.format_string("- claims: %d from %d source(s)", "n", "s"), F.when(F.col("p") > 0, F.format_string("- still to check: %d", "p")).otherwise("- nothing left to check")]),
+        block(by, name, 3, [F.format_string("- %s: %d", "status", "n")], id_=F.col("status")),
+    )
+
+
+def bench_totals(results: DataFrame) -> DataFrame:
+    """(total, passed, without, with_, pct) of results (passed, without, with_): tokens of endpoints that passed only, and the share saved,
+    null where nothing passed."""
+    ok = lambda c: F.sum(F.when(F.col("passed"), F.col(c)).otherwise(0))
+    sums = results.agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.coalesce(ok("without"), F.lit(0)).alias("without"), F.coalesce(ok("with_"), F.lit(0)).alias("with_"))
+    return sums.withColumn("pct", F.round(F.try_divide(100.0 * (F.col("without") - F.col("with_")), F.col("without")), 1))
+
+
+def bench(results: DataFrame) -> DataFrame:
+    """A benchmark as two artefacts: results.json, a line for each endpoint and one for all, and RESULTS.md, of results (endpoint, verdict,
+    passed, without, with_)."""
+    spark, totals = results.sparkSession, bench_totals(results)
+    key = F.lpad(F.col("endpoint").cast("string"), 20, "0")
+    line = F.concat(F.lit("| "), F.col("endpoint").cast("string"), F.lit(" | "), "verdict", F.lit(" | "), F.col("without").cast("string"), F.lit(" | "), F.col("with_").cast("string"), F.lit(" |"))
+    saved = F.when(F.col("pct").isNull(), "saved: n/a").otherwise(F.concat(F.lit("saved: "), F.format_string("%.1f", "pct"), F.lit("%")))
+    return union(
+        block(results, "results.json", 0, [F.to_json(F.struct("endpoint", "verdict", "passed", "without", "with_"))], id_=key),
+        block(totals, "results.json", 1, [F.to_json(F.struct("total", "passed", "without", "with_", "pct"), {"ignoreNullFields": "false"})]),
+        text_block(spark, "RESULTS.md", 0, ["# Benchmark", "", "| endpoint | verdict | without | with |", "|---|---|---:|---:|"]),
+        block(results, "RESULTS.md", 1, [line], id_=key),
+        block(totals, "RESULTS.md", 2, [F.lit(""), F.concat(F.format_string("passed: %d of %d; ", "passed", "total"), saved)]),
+    )
+
+
+def consensus_bars(scored: DataFrame, label: str, colours: dict[str, str], other: str) -> DataFrame:
+    """(label, status, colour, score): the data of a chart of consensus, in order of the score; labels of 58 characters at most."""
+    colour = F.lit(other)
+    for status, c in colours.items():
+        colour = F.when(F.col("status") == status, c).otherwise(colour)
+    short = F.when(F.length(label) > 58, F.concat(F.substring(label, 1, 55), F.lit("..."))).otherwise(F.col(label))
+    return scored.select(short.alias("label"), "status", colour.alias("colour"), "score").orderBy("score", "label")
+
+
 def bars(rows: DataFrame, label: Column, size: Column, order: Column, colour: Column | str, name: str, most: int | None = None) -> DataFrame:
     """A chart of horizontal bars as SVG: a row is a bar of the given size, 0 to 1, in rising order. most: only so many, the last of these."""
     colour = F.lit(colour) if isinstance(colour, str) else colour

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.functions import replies
 from factloom.functions import text as tx
 from factloom.functions.text import col
 
@@ -52,6 +53,43 @@ def verify(rows: DataFrame, claims: DataFrame) -> DataFrame:
     return joined.withColumn("verified", verdict).drop("_hit")
 
 
+def save(verified: DataFrame, path: str, session: str) -> None:
+    """Append the passages that a session has proposed, with the tri-state of their verification. A session that is saved again, as after a
+    failure, replaces what it has saved."""
+    now = verified.withColumn("needs_author", F.col("verified").isNull())
+    now.write.mode("overwrite").parquet(f"{path}/session={session}")
+
+
+def saved(spark: SparkSession, path: str) -> DataFrame:
+    """All sessions' passages, with their session."""
+    return spark.read.parquet(path)
+
+
+#: Pairs of a set that are judged: more of them cost more than they tell.
+MOST_PAIRS = 12
+
+
+def first_pairs(rows: DataFrame, most: int = MOST_PAIRS) -> DataFrame:
+    """(set_id, a, b): the first so many pairs of each set's passages, in order of their ids. Those lie among a set's first most + 1."""
+    place = F.row_number().over(Window.partitionBy("set_id").orderBy("petal_id"))
+    few = rows.select("set_id", "petal_id", place.alias("place")).where(F.col("place") <= most + 1)  # Spark cuts each task's sets before the shuffle
+    ids = few.groupBy("set_id").agg(F.array_sort(F.collect_list("petal_id")).alias("p"))
+    both = F.flatten(F.transform("p", lambda a: F.transform(F.filter("p", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return ids.select("set_id", F.inline(F.slice(both, 1, most)))
+
+
+def tension(pairs: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(set_id, a, b, relation, severity, why) of pairs that sit badly together, and (set_id, judged, failed) of all sets with pairs. answers:
+    (a, b, reply), a judge's replies; a pair without one, or whose reply has no JSON, has failed. A reply without a relation says none."""
+    keyed = answers.select(F.struct("a", "b").alias("pair"), "reply")
+    read = replies.parse_replies(keyed.where("reply is not null"), "pair", "reply").select("pair.a", "pair.b", "json")
+    met = pairs.join(read, ["a", "b"], "left")
+    field = lambda n: F.get_json_object("json", f"$.{n}")
+    relation = F.lower(F.coalesce(F.nullif(field("relation"), F.lit("")), F.lit("none")))
+    found = met.where(F.col("json").isNotNull() & (relation != "none")).select("set_id", "a", "b", relation.alias("relation"), field("severity").try_cast("double").alias("severity"), F.coalesce(field("why"), F.lit("")).alias("why"))
+    return found, met.groupBy("set_id").agg(F.count("json").alias("judged"), F.count_if(F.col("json").isNull()).alias("failed"))
+
+
 def valence(kind, text) -> Column:
     kind, low = col(kind), F.lower(col(text))
     base = F.when(kind.isin("surprise", "uncertainty", "craft"), -1).when(kind.isin("clinical_narrative", "patient_impact"), 1).otherwise(0)

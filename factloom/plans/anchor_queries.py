@@ -182,7 +182,7 @@ def _(t: Tables):
 
 
 # Memos: a claim for each line of a document.
-RELATIONS["memo_claims"] = """select l.doc_id, l.source, sha256(d.text) sha, cast(len(string_split(d.text, chr(10))) as integer) n_lines, l.line_no claim_id, status, replace(left(line, 60), '`', '') text, l.line_no, replace(left(line, 24), '`', 'ˋ') snippet
+RELATIONS["memo_claims"] = """select l.doc_id, l.source, sha256(d.text) sha, cast(len(string_split(d.text, chr(10))) as integer) n_lines, l.line_no claim_id, status, replace(line, '`', '') text, l.line_no, replace(line, '`', 'ˋ') snippet
  from lines l join documents d on d.doc_id = l.doc_id join claims c on c.claim_id = l.doc_id"""
 _line = "'- [C' || claim_id || '] [' || status || '] ' || text || ' @L' || line_no || ' `' || snippet || '`'"
 
@@ -190,7 +190,7 @@ _line = "'- [C' || claim_id || '] [' || status || '] ' || text || ' @L' || line_
 def _memo_claims(t: Tables):
     d = t.claims.select(F.col("claim_id").alias("doc_id"), "source", F.sha2("text", 256).alias("sha"), F.size(F.split("text", "\n")).alias("n_lines"), "status", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     n = F.col("pos") + 1
-    return d.select("doc_id", "source", "sha", "n_lines", n.alias("claim_id"), "status", F.replace(F.substring("line", 1, 60), F.lit("`"), F.lit("")).alias("text"), n.alias("line_no"), records.safe_snip(F.substring("line", 1, 24)).alias("snippet"))
+    return d.select("doc_id", "source", "sha", "n_lines", n.alias("claim_id"), "status", F.replace("line", F.lit("`"), F.lit("")).alias("text"), n.alias("line_no"), records.safe_snip("line").alias("snippet"))
 
 
 @query("sink_memo", f"select doc_id, '---' || chr(10) || 'source: ' || any_value(source) || chr(10) || 'sha256: ' || any_value(sha) || chr(10) || 'lines: ' || any_value(n_lines) || chr(10) || '---' || chr(10) || string_agg({_line}, chr(10) order by claim_id) memo from memo_claims group by 1")

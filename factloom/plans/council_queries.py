@@ -263,20 +263,22 @@ def _(t: Tables):
     return joined
 
 
-@query("set_array", "select doc_id, cast(len(list_intersect(a, b)) as integer) shared, cast(len(list_distinct(a || b)) as integer) either, cast(len(a) - len(list_intersect(a, b)) as integer) own from (select doc_id, %s a, %s b from documents)" % (duck.claim_tokens("text"), duck.claim_tokens("lang || ' ' || source || ' ' || split_part(text, chr(10), 1)")))
+@query("set_array", "select doc_id, cast(len(list_intersect(a, b)) as integer) shared, cast(len(list_distinct(a || b)) as integer) either, cast(len(a) - len(list_intersect(a, b)) as integer) own from (select d.doc_id, %s a, %s b from documents d join documents e on e.doc_id = d.doc_id + 1)" % (duck.claim_tokens("d.text"), duck.claim_tokens("e.text")))
 def _(t: Tables):
-    # A text's tokens, and those of its title line with its language and source.
-    d = t("documents").select("doc_id", tx.claim_tokens("text").alias("a"), tx.claim_tokens(F.concat_ws(" ", "lang", "source", F.substring_index("text", "\n", 1))).alias("b"))
-    return d.select("doc_id", F.size(F.array_intersect("a", "b")).alias("shared"), F.size(F.array_union("a", "b")).alias("either"), F.size(F.array_except("a", "b")).alias("own"))
+    # A text's tokens, and those of the next document.
+    d = t("documents").select("doc_id", tx.claim_tokens("text").alias("a"))
+    after = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
+    return d.join(after, "doc_id").select("doc_id", F.size(F.array_intersect("a", "b")).alias("shared"), F.size(F.array_union("a", "b")).alias("either"), F.size(F.array_except("a", "b")).alias("own"))
 
 
-_rel = f"(select doc_id, {duck.plain_tokens('b.text', tx.STOP_RELEVANCE)} c, {duck.plain_tokens('d.text', tx.STOP_RELEVANCE)} s from documents d join benchmark b on b.item_id = d.doc_id % 20)"
+_rel = f"(select doc_id, {duck.plain_tokens('b.text', tx.STOP_RELEVANCE)} c, {duck.plain_tokens('d.text', tx.STOP_RELEVANCE)} s from documents d join benchmark b on b.item_id = d.doc_id % (select count(*) from benchmark))"
 
 
 @query("fn_lexical_relevance", f"select doc_id, case when len(c) > 0 and len(s) > 0 then len(list_intersect(c, s)) / len(c) >= 0.15 end relevant from {_rel}")
 def _(t: Tables):
     # Each document as what is cited for one of the benchmark's items.
-    cited = t("documents").join(t("benchmark").withColumnRenamed("text", "claim"), F.col("doc_id") % 20 == F.col("item_id"))
+    n = t("benchmark").agg(F.count("*").alias("n"))
+    cited = t("documents").join(F.broadcast(n)).withColumn("item_id", F.col("doc_id") % F.col("n")).join(t("benchmark").withColumnRenamed("text", "claim"), "item_id")
     return cited.select("doc_id", evidence.lexical_relevance("claim", "text").alias("relevant"))
 
 
@@ -375,7 +377,7 @@ _verified = f"""(select p.*, case when trim(anchor) = '' then false when length(
  when anchor_kind = 'session' and not hit then false
  when len(list_filter({_nums('text')}, lambda x: not list_contains({_nums('anchor')}, x) and not list_contains({_allow}, x) and not regexp_matches(x, '^(19|20)[0-9]{{2}}$'))) > 0 then false
  when anchor_kind = 'record' then null else true end verified
-from (select p.*, exists(select 1 from petals c where c.set_id = p.set_id and len(list_filter(k, lambda x: contains(lower(c.text), x))) >= greatest(2, floor(len(k) / 3))) hit from (select *, {_key} k from petals) p) p)"""
+from (select p.*, exists(select 1 from (select set_id, lower(text) low from petals) c where c.set_id = p.set_id and len(list_filter(k, lambda x: contains(c.low, x))) >= greatest(2, floor(len(k) / 3))) hit from (select *, {_key} k from petals) p) p)"""
 
 
 @query("fn_petal_verify", f"select petal_id, verified from {_verified}")
@@ -384,7 +386,7 @@ def _(t: Tables):
     return petals.verify(t.petals, claims).select("petal_id", "verified")
 
 
-@query("join_exists_overlap", f"select petal_id from (select *, {_key} k from petals) p where exists(select 1 from petals c where c.set_id = p.set_id and len(list_filter(k, lambda x: contains(lower(c.text), x))) >= greatest(2, floor(len(k) / 3)))")
+@query("join_exists_overlap", f"select petal_id from (select *, {_key} k from petals) p where exists(select 1 from (select set_id, lower(text) low from petals) c where c.set_id = p.set_id and len(list_filter(k, lambda x: contains(c.low, x))) >= greatest(2, floor(len(k) / 3)))")
 def _(t: Tables):
     return petals.in_session(t.petals, t.petals.select("set_id", F.col("text").alias("claim"))).select("petal_id")
 

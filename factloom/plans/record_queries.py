@@ -6,6 +6,7 @@ import io
 import zipfile
 import zlib
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import paths, records, replies
@@ -222,16 +223,29 @@ def _(t: Tables):
     return t("lineitem").select("l_orderkey", "l_linenumber", F.when(q == F.floor(q), q.cast("long").cast("string")).otherwise(q.cast("string")).alias("q"))
 
 
-@query("sink_sheet_text", "select n_nationkey, n_nationkey || chr(9) || n_name txt, '| ' || n_nationkey || ' | ' || n_name || ' |' md from nation")
+_sheet = "(select n_regionkey sheet, row_number() over (partition by n_regionkey order by n_nationkey) n, n_nationkey::varchar k, n_name || case when n_nationkey % 3 = 0 then ' | \"x\", y' else '' end v from nation)"
+
+
+@query("sink_sheet_text", f"""select how, sheet, cast(n as integer) n, pos, line from (
+ select 'txt' how, sheet, n, 0 pos, k || chr(9) || v line from {_sheet} union all select 'md', sheet, n, 0, '| ' || k || ' | ' || replace(v, '|', '\\|') || ' |' from {_sheet} union all select 'md', sheet, n, 1, '|---|---|' from {_sheet} where n = 1
+ union all select 'csv', sheet, n, 0, k || ',' || case when v like '%,%' then '"' || replace(v, '"', '""') || '"' else v end from {_sheet} union all select 'json', sheet, n, 0, '["' || k || '","' || replace(v, '"', '\\"') || '"]' from {_sheet})""")
 def _(t: Tables):
-    cells = F.array(F.col("n_nationkey").cast("string"), records.md_escape("n_name"))
-    return t("nation").select("n_nationkey", F.array_join(cells, "\t").alias("txt"), F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |")).alias("md"))
+    place = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    name = F.when(F.col("n_nationkey") % 3 == 0, F.concat("n_name", F.lit(' | "x", y'))).otherwise(F.col("n_name"))
+    rows = t("nation").select("n_regionkey", place.alias("n"), F.array(F.col("n_nationkey").cast("string"), name).alias("cells"))
+    return artefacts.union(*(records.sheet_lines(rows, "n_regionkey", "n", "cells", how).select(F.lit(how).alias("how"), "*") for how in ("txt", "md", "csv", "json")))
+
+
+_kinds = "case line_no % 5 when 1 then 'heading' || (line_no % 6 + 1) when 2 then 'item' when 3 then 'cell' when 4 then 'code' else 'paragraph' end"
+_blocks = f"(select doc_id, line_no, {_kinds} kind, trim(line) body from lines where trim(line) <> '')"
 
 
-@query("sink_doc_text", "select item_id, n, case when n = 1 then '# ' || line else line end md from benchmark_lines")
+@query("sink_doc_text", f"""select doc_id, line_no, case when kind = 'item' then '- ' || body else body end txt,
+ case when starts_with(kind, 'heading') then repeat('#', line_no % 6 + 1) || ' ' || body when kind = 'item' then '- ' || body when kind = 'cell' then '| ' || replace(body, '|', '\\|') || ' |' when kind = 'code' then '```' || chr(10) || body || chr(10) || '```' else body end md from {_blocks}""")
 def _(t: Tables):
-    rows = t("benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("n", F.col("pos") + 1)
-    return rows.select("item_id", "n", F.when(F.col("n") == 1, F.concat(F.lit("# "), "line")).otherwise(F.col("line")).alias("md"))
+    n = F.col("line_no") % 5
+    kind = F.when(n == 1, F.concat(F.lit("heading"), (F.col("line_no") % 6 + 1).cast("string"))).when(n == 2, "item").when(n == 3, "cell").when(n == 4, "code").otherwise("paragraph")
+    return t.lines.select("doc_id", "line_no", records.block_text(kind, "line", "txt").alias("txt"), records.block_text(kind, "line", "md").alias("md")).where("txt is not null")
 
 
 _memos = """(select source, min(lang) || ' texts' topic, count(*) filter (status in ('CONFIRMED', 'DRIFTED')) good, count(*) total, count(*) filter (status in ('NEEDS_AGENT', 'PENDING')) pending, cast(sum(len(string_split(text, chr(10)))) as bigint) n_lines,
@@ -285,8 +299,8 @@ def _(t: Tables):
 
 
 @query("sink_petals_md", f"""with v as {_verified} select unnest(['# Passages', '', '## Not used', '']) line union all select unnest(['## ' || section, '']) from (select distinct section from v where coalesce(verified, true))
- union all select unnest(['**' || kind || '**' || case when verified is null then '  **[needs author confirmation]**' else '' end, '> ' || text, '*Anchor (' || anchor_kind || '):* ' || anchor, '']) from v where coalesce(verified, true)
- union all select '- ~~' || left(text, 110) || '~~ (' || kind || ')' from v where not coalesce(verified, true)""")
+ union all select unnest(['**' || kind || '**' || case when verified is null then '  **[needs author confirmation]**' else '' end, '> ' || regexp_replace(text, '[\\r\\n]+', ' ', 'g'), '*Anchor (' || anchor_kind || '):* ' || regexp_replace(anchor, '[\\r\\n]+', ' ', 'g'), '']) from v where coalesce(verified, true)
+ union all select '- ~~' || regexp_replace(left(text, 110), '[\\r\\n]+', ' ', 'g') || '~~ (' || kind || ')' from v where not coalesce(verified, true)""")
 def _(t: Tables):
     claims = t.petals.select("set_id", F.col("text").alias("claim"))
     return _written(t, artefacts.petals(petals.verify(t.petals, claims)))
@@ -303,9 +317,14 @@ def _(t: Tables):
     return _written(t, artefacts.review(findings))
 
 
-@query("sink_petals", "select petal_id, set_id, kind, case when anchor_kind = 'record' then null else trim(anchor) <> '' end verified from petals")
+@query("sink_petals", f"select petal_id, set_id, kind, verified, verified is null needs_author, 's' || set_id % 2 as \"session\" from {_verified}")
 def _(t: Tables):
-    return t.petals.select("petal_id", "set_id", "kind", F.when(F.col("anchor_kind") != "record", F.trim("anchor") != "").alias("verified"))
+    # Two sessions propose passages; the first is saved twice, as after a failure.
+    path = store.scratch(t.spark, "petals")
+    verified = petals.verify(t.petals, t.petals.select("set_id", F.col("text").alias("claim"))).select("petal_id", "set_id", "kind", "verified")
+    for k in (0, 1, 0):
+        petals.save(verified.where(F.col("set_id") % 2 == k), path, f"s{k}")
+    return petals.saved(t.spark, path)
 
 
 @query("sink_council", """select 'arguments' tab, stance "key", count(*) n, round(sum(strength), 3) total from (select 'pro' stance, k / 1000 strength from reviews union all select 'contra', (105 - k) / 1000 from reviews) group by 2
@@ -407,9 +426,15 @@ def _(t: Tables):
     return t("documents").select("doc_id", replies.prompt("Question from {source} ({lang}):\n{text}\nAnswer in JSON.", source="source", lang="lang", text="text").alias("prompt"))
 
 
-@query("adp_local_verdict", "select claim_id, case status when 'CONFIRMED' then 'CONFIRMED' when 'REFUTED' then 'REFUTED' else 'UNSUPPORTED' end verdict from claims")
+_replied = "(select claim_id, claim_id % 5 k, status from claims)"
+
+
+@query("adp_local_verdict", f"select claim_id, case when k in (0, 1) and status in ('CONFIRMED', 'REFUTED', 'UNSUPPORTED') then status else 'UNSUPPORTED' end verdict, case k when 2 then 'no answer' when 3 then 'no JSON' when 4 then 'no such verdict' else case when status in ('CONFIRMED', 'REFUTED', 'UNSUPPORTED') then case k when 1 then 'claim ' || claim_id end else 'no such verdict' end end note from {_replied}")
 def _(t: Tables):
-    return t.claims.select("claim_id", F.when(F.col("status").isin("CONFIRMED", "REFUTED", "UNSUPPORTED"), F.col("status")).otherwise("UNSUPPORTED").alias("verdict"))
+    # A judge that answers in JSON, in JSON within prose, not at all, in words, and with a verdict of its own.
+    k, n = F.col("claim_id") % 5, F.col("claim_id").cast("string")
+    text = F.when(k == 0, F.concat(F.lit('{"verdict": "'), F.lower("status"), F.lit('"}'))).when(k == 1, F.concat(F.lit('I say {"verdict": "'), "status", F.lit('", "note": "claim '), n, F.lit('"} of it'))).when(k == 3, "it is confirmed").when(k == 4, '{"verdict": "MAYBE"}')
+    return replies.judged(t.claims.select("claim_id", (k != 2).alias("ok"), text.alias("text")), "claim_id", "text")
 
 
 @query("adp_image_claims", """select item_id, 'part ' || item_id topic, cast(row_number() over (partition by item_id order by n) - 1 as integer) pos, l text from (select item_id, n, regexp_replace(trim(line), '^`+|`+$', '', 'g') l from benchmark_lines where trim(line) <> '') where length(l) >= 8 and not regexp_matches(l, '(?i)^(?:imports?\\b|includes?\\s+the\\b|this\\s+(?:line|statement)\\s+)')""")
@@ -420,12 +445,23 @@ def _(t: Tables):
     return rows.select(F.col("key").alias("item_id"), "topic", "pos", "text")
 
 
-@query("adp_tension", "select set_id, a, b from (select a.set_id, a.petal_id a, b.petal_id b, row_number() over (partition by a.set_id order by a.petal_id, b.petal_id) rn from petals a join petals b on a.set_id = b.set_id and a.petal_id < b.petal_id) where rn <= 12")
+_first_pairs = "(select set_id, a, b from (select a.set_id, a.petal_id a, b.petal_id b, row_number() over (partition by a.set_id order by a.petal_id, b.petal_id) rn from petals a join petals b on a.set_id = b.set_id and a.petal_id < b.petal_id) where rn <= 12)"
+
+
+@query("adp_tension", f"select set_id, a, b from {_first_pairs}")
 def _(t: Tables):
     # Twelve pairs of each set are judged: that limit is the feature. Sets hold eight passages.
-    ids = t.petals.groupBy("set_id").agg(F.array_sort(F.collect_list("petal_id")).alias("p"))
-    pairs = F.flatten(F.transform("p", lambda a: F.transform(F.filter("p", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return ids.select("set_id", F.inline(F.slice(pairs, 1, 12)))
+    return petals.first_pairs(t.petals)
+
+
+@query("adp_tension_judged", f"select set_id, count(*) filter ((a + b) % 5 < 3) judged, count(*) filter ((a + b) % 5 >= 3) failed, count(*) filter ((a + b) % 5 = 1) \"found\", round(sum(case when (a + b) % 5 = 1 then a % 10 / 10.0 end), 6) severity, min(case when (a + b) % 5 = 1 then 'repetition' end) relation from {_first_pairs} group by 1")
+def _(t: Tables):
+    # A judge that finds nothing, a repetition, says nothing of a relation, answers in words, or doesn't answer.
+    pairs, k = petals.first_pairs(t.petals), (F.col("a") + F.col("b")) % 5
+    reply = F.when(k == 0, '{"relation": "none"}').when(k == 1, F.concat(F.lit('```json\n{"relation": "Repetition", "severity": '), (F.col("a") % 10 / 10).cast("string"), F.lit(', "why": "the same"}\n```'))).when(k == 2, "{}").when(k == 3, "they repeat")
+    found, counts = petals.tension(pairs, pairs.select("a", "b", reply.alias("reply")).where(k != 4))
+    by = found.groupBy("set_id").agg(F.count("*").alias("found"), F.round(F.sum("severity"), 6).alias("severity"), F.min("relation").alias("relation"))
+    return counts.join(by, "set_id", "left").select("set_id", "judged", "failed", F.coalesce("found", F.lit(0)).alias("found"), "severity", "relation")
 
 
 _needs = {"algeria": None, "brazil": "BRAZIL", "canada": "CANADA", "egypt": "EGYPT", "france": "FRANCE"}
@@ -541,15 +577,31 @@ def _(t: Tables):
     return store.read_index(t.spark, path)["verdicts"]
 
 
-@query("sink_handoff", "select 'claims: ' || count(*) || ', pending: ' || count(*) filter (status in ('NEEDS_AGENT', 'PENDING')) || ', sources: ' || count(distinct source) note from claims")
+@query("sink_handoff", """with u as (select max(event_id) tokens from events), c as (select count(*) n, count(*) filter (status in ('NEEDS_AGENT', 'PENDING')) p, count(distinct source) s from claims)
+select unnest(['# Handoff', '']) line union all select '- context: ' || tokens || ' of 200000 tokens (' || printf('%.1f', round(100.0 * tokens / 200000, 1)) || '%)' from u
+ union all select unnest(['- claims: ' || n || ' from ' || s || ' source(s)', case when p > 0 then '- still to check: ' || p else '- nothing left to check' end]) from c union all select '- ' || status || ': ' || count(*) from claims group by status""")
 def _(t: Tables):
-    g = t.claims.agg(F.count("*").alias("n"), F.count_if(F.col("status").isin("NEEDS_AGENT", "PENDING")).alias("p"), F.countDistinct("source").alias("s"))
-    return g.select(F.format_string("claims: %d, pending: %d, sources: %d", "n", "p", "s").alias("note"))
+    usage = t("events").agg(F.max("event_id").alias("context_tokens")).withColumn("window", F.lit(200_000))
+    return _written(t, artefacts.handoff(t.claims, usage))
+
+
+_results = """(select page_id endpoint, page_id % 3 <> 0 passed, case when page_id % 3 = 0 then 'REFUTED' else 'CONFIRMED' end verdict, est_tokens without_, cast(length(path) // 4 + 12 as bigint) with_ from files)"""
+_saved = f"(select count(*) total, count(*) filter (passed) passed, cast(sum(case when passed then without_ else 0 end) as bigint) without_, cast(sum(case when passed then with_ else 0 end) as bigint) with_ from {_results})"
 
 
-@query("sink_bench", "select '{\"passed\":' || count(*) filter (page_id % 3 <> 0) || ',\"total\":' || count(*) || '}' json from files")
+@query("sink_bench", f"""with s as (select *, round(100.0 * (without_ - with_) / without_, 1) pct from {_saved})
+select 'results.json' name, '{{"endpoint":' || endpoint || ',"verdict":"' || verdict || '","passed":' || passed || ',"without":' || without_ || ',"with_":' || with_ || '}}' line from {_results}
+ union all select 'results.json', '{{"total":' || total || ',"passed":' || passed || ',"without":' || without_ || ',"with_":' || with_ || ',"pct":' || pct || '}}' from s
+ union all select 'RESULTS.md', unnest(['# Benchmark', '', '| endpoint | verdict | without | with |', '|---|---|---:|---:|']) union all select 'RESULTS.md', '| ' || endpoint || ' | ' || verdict || ' | ' || without_ || ' | ' || with_ || ' |' from {_results}
+ union all select 'RESULTS.md', unnest(['', 'passed: ' || passed || ' of ' || total || '; saved: ' || printf('%.1f', pct) || '%']) from s""")
 def _(t: Tables):
-    return t.files.agg(F.count_if(F.col("page_id") % 3 != 0).alias("passed"), F.count("*").alias("total")).select(F.to_json(F.struct("passed", "total")).alias("json"))
+    # Files as endpoints: a third of them fail; a hit costs what its path does, without the index it is the file.
+    passed = F.col("page_id") % 3 != 0
+    cost = (F.floor(F.length("path") / 4) + 12).cast("long")
+    results = t.files.select(F.col("page_id").alias("endpoint"), F.when(passed, "CONFIRMED").otherwise("REFUTED").alias("verdict"), passed.alias("passed"), F.col("est_tokens").alias("without"), cost.alias("with_"))
+    path = store.scratch(t.spark, "bench")
+    artefacts.write_text(artefacts.bench(results), path)
+    return artefacts.read_text(t.spark, path)
 
 
 _colours = {"validated": "#1a9850", "refuted": "#d73027", "contested": "#f0a202", "unresolved": "#9e9e9e"}
@@ -619,10 +671,14 @@ def _(t: Tables):
     return t.votes.where(rank.isNotNull()).groupBy("claim_id").agg(F.min_by("panelist", rank).alias("seat"))
 
 
-@query("adp_specialist", "select claim_id, status, case status when 'validated' then 'green' when 'refuted' then 'red' else 'grey' end colour, round(score, 6) score from scored order by score, claim_id")
+@query("adp_specialist", "select case when length(source || ' ' || left(text, 70)) > 58 then left(source || ' ' || left(text, 70), 55) || '...' else source || ' ' || left(text, 70) end \"label\", status, case status when 'CONFIRMED' then 'green' when 'REFUTED' then 'red' else 'grey' end colour, cast(case when claim_id % 4 in (0, 1) then claim_id % 100 / 100.0 end as double) score from claims")
 def _(t: Tables):
-    colour = F.when(F.col("status") == "validated", "green").when(F.col("status") == "refuted", "red").otherwise("grey")
-    return t.scored.orderBy("score", "claim_id").select("claim_id", "status", colour.alias("colour"), F.round("score", 6).alias("score"))
+    # Programs that compute a score each: the last line of JSON counts; some print none.
+    k, n = F.col("claim_id") % 4, (F.col("claim_id") % 100 / 100).cast("string")
+    stdout = F.when(k == 0, F.concat(F.lit('loading\n{"score": '), n, F.lit("}"))).when(k == 1, F.concat(F.lit('{"score": 5}\n {"score": '), n, F.lit("}\n{broken\nbye"))).when(k == 2, "no result")
+    label = F.concat_ws(" ", "source", F.substring("text", 1, 70))
+    scored = t.claims.select(label.alias("label"), "status", F.get_json_object(replies.last_json(stdout), "$.score").cast("double").alias("score"))
+    return artefacts.consensus_bars(scored, "label", {"CONFIRMED": "green", "REFUTED": "red"}, "grey")
 
 
 @query("adp_env_lookup", """select c_custkey, case c_mktsegment when 'BUILDING' then 'r-stats' when 'MACHINERY' then 'figures' else 'r-stats' end env from customer""")

@@ -133,14 +133,16 @@ class Tables:
 
     @cached_property
     def petals(self) -> DataFrame:
-        """Passages with an anchor, eight to a set: a document's first lines."""
+        """Passages with an anchor, eight to a set: whole documents, anchored by all that follows their first line, a third of them by what
+        follows that of the document before."""
         kinds = F.array(*map(F.lit, ("motivation", "surprise", "clinical_narrative", "uncertainty", "patient_impact", "craft")))
         anchors = F.array(*map(F.lit, ("session", "record", "data", "protocol")))
-        lines = F.split("text", "\n")
-        return self("documents").select(
+        after = F.expr("case when contains(text, '\n') then substring(text, locate('\n', text) + 1) else '' end")
+        d = self("documents").select("doc_id", "text", (F.col("doc_id") - F.when(F.col("doc_id") % 3 == 1, 1).otherwise(0)).alias("of"))
+        rows = d.select("doc_id", "text", "of").join(d.select(F.col("doc_id").alias("of"), after.alias("anchor")), "of", "left")
+        return rows.select(
             F.col("doc_id").alias("petal_id"), F.floor(F.col("doc_id") / 8).cast("long").alias("set_id"), F.element_at(kinds, (F.col("doc_id") % 6 + 1).cast("int")).alias("kind"),
-            F.concat(F.lit("s"), (F.col("doc_id") % 5).cast("string")).alias("section"), F.substring(lines[0], 1, 200).alias("text"), F.substring(F.coalesce(F.get(lines, F.lit(1)), F.lit("")), 1, 200).alias("anchor"),
-            F.element_at(anchors, (F.col("doc_id") % 4 + 1).cast("int")).alias("anchor_kind"),
+            F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string")).alias("section"), "text", F.coalesce("anchor", F.lit("")).alias("anchor"), F.element_at(anchors, (F.col("doc_id") % 4 + 1).cast("int")).alias("anchor_kind"),
         )
 
 
@@ -171,8 +173,9 @@ RELATIONS = {
   from (select claim_id, citation, bool_or(verified) and bool_or(coalesce(relevant, false)) ok from citations group by 1, 2) group by 1""",
     "scored": "",
     "files": "select page_id, regexp_extract(url, '://[^/?#]*/([^?#]*)', 1) path, greatest(1, cast(floor(length(html) / 4) as bigint)) est_tokens from pages",
-    "petals": """select doc_id petal_id, cast(floor(doc_id / 8) as bigint) set_id, ['motivation', 'surprise', 'clinical_narrative', 'uncertainty', 'patient_impact', 'craft'][doc_id % 6 + 1] kind, 's' || (doc_id % 5) section,
-  left(string_split(text, chr(10))[1], 200) text, left(coalesce(string_split(text, chr(10))[2], ''), 200) anchor, ['session', 'record', 'data', 'protocol'][doc_id % 4 + 1] anchor_kind from documents""",
+    "petals": """select d.doc_id petal_id, cast(floor(d.doc_id / 8) as bigint) set_id, ['motivation', 'surprise', 'clinical_narrative', 'uncertainty', 'patient_impact', 'craft'][d.doc_id % 6 + 1] kind, 's' || (d.doc_id % 3) section,
+  d.text, coalesce(case when contains(e.text, chr(10)) then substr(e.text, strpos(e.text, chr(10)) + 1) else '' end, '') anchor, ['session', 'record', 'data', 'protocol'][d.doc_id % 4 + 1] anchor_kind
+  from documents d left join documents e on e.doc_id = d.doc_id - case when d.doc_id % 3 = 1 then 1 else 0 end""",
 }
 
 

@@ -247,12 +247,17 @@ def ods_rows(data: bytes, most: int = 1 << 20) -> list[tuple[str, int, list[str]
         blank = 0
         for row in sheet.iter(f"{O['table']}table-row"):
             cells: list[str] = []
+            blanks = 0
             for cell in row:
                 text = cell_text("\n".join(_open_text(p) for p in cell.iter(f"{O['text']}p")))
                 times = int(cell.get(f"{O['table']}number-columns-repeated") or 1)
-                if text and times > most:
-                    raise ValueError("too many repeated cells")
-                cells += [text] * (times if text else min(times, 1 << 14))
+                if text:
+                    if blanks + times > most:
+                        raise ValueError("too many repeated cells")
+                    cells += [""] * blanks + [text] * times
+                    blanks = 0
+                else:
+                    blanks += times  # a row ends in very many of these
             times = int(row.get(f"{O['table']}number-rows-repeated") or 1)
             if not any(c.strip() for c in cells):
                 blank += times  # a sheet ends in very many of these
