@@ -3,8 +3,10 @@
 The standard library's parser streams a page's events. Each block element gives a line of text, with the number of tags met in it and
 the characters that stand in links. Elements that are never content (menus, headers, footers, sidebars, adverts, scripts, styles,
 reader comments, told by tag, role, class or id) give no lines. Forms, and elements whose class or id may mean a part of the page as
-well as the page (WEAK), give none either, unless they hold the main element, an article (forms), a first heading or half of the
-page's text: then they only wrap it.
+well as the page, give none either, unless they only wrap the page. May mean: a word of WEAK, and any mark that is a part of a longer
+name (header-fixed, menu-open) or one of several names (page sidebar); names with, has and no in them say nothing (page-with-sidebar).
+What such an element wraps is told by what it holds: the main element, or half of the page's text; a first heading, too, in one of WEAK
+and a form, and an article in a form. One that is marked as comments or teasers has to hold an article besides half of the text.
 
 Over the lines, the logarithm of the ratio of text outside of links to tags is smoothed by a Gaussian, and the smoothed values are cut
 at a share of their mean. Lines of text above the cut are content; inside an article or the main element, which is the prior, the cut
@@ -43,7 +45,12 @@ MARKS = frozenset(
 )
 #: Words that mark what is not content, unless it wraps the content.
 WEAK = frozenset("alert copyright form hidden legal login modal notice notices notification overlay paging popup print rail search share sharing signup skip social tracking widget widgets".split())
-NOT_A_MARK = frozenset("no has with without".split())
+NOT_A_MARK = frozenset("no has with without free".split())
+#: Marks of parts that may be longer than the content.
+SOCIAL = frozenset("comment comments commentlist disqus respond reply replies discussion related recommended recommendations teaser".split())
+#: Parts of the page, by what marks them, and what a part may hold.
+PAGE, FORM, MAYBE, PART, CROWD = range(5)
+MAIN, FIRST_HEADING, ARTICLE = 1, 2, 4
 #: Elements that the start of another block closes.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "option": ("option",)}
 WITHIN = ("div", "section", "article", "main", "td", "th", "li", "blockquote", "body", "nav", "aside", "header", "footer", "form")
@@ -53,24 +60,27 @@ SIGMA = 1.0
 LEVEL, REGION_LEVEL = 0.5, 0.1
 
 
-def marked(attrs: list[tuple[str, str | None]]) -> int:
-    """What an element's attributes say: 2 it is not content, 1 it may not be, 0 nothing."""
-    found = 0
+def marked(attrs: list[tuple[str, str | None]]) -> tuple[bool, int]:
+    """What an element's attributes say: whether it is not content, and else which part of the page it may be (PAGE: none)."""
+    found = PAGE
     for name, value in attrs:
         value = (value or "").lower()
         if name in ("class", "id"):
-            for one in value.split():
+            names = value.split()
+            for one in names:
                 parts = one.replace("_", "-").split("-")
-                if parts[0] not in NOT_A_MARK:
+                if NOT_A_MARK.isdisjoint(parts):
                     if not MARKS.isdisjoint(parts):
-                        return 2
-                    if not WEAK.isdisjoint(parts):
-                        found = 1
+                        if len(names) == len(parts) == 1:
+                            return True, PAGE
+                        found = max(found, PART if SOCIAL.isdisjoint(parts) else CROWD)
+                    elif not WEAK.isdisjoint(parts):
+                        found = max(found, MAYBE)
         elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return 2
+            return True, PAGE
         elif name == "style" and "display:none" in value.replace(" ", ""):
-            return 2
-    return found
+            return True, PAGE
+    return False, found
 
 
 class Lines(HTMLParser):
@@ -85,8 +95,8 @@ class Lines(HTMLParser):
         self.skipped = 0
         self.region = False
         self.part = 0
-        self.parts = [(0, False)]  # (the part around it, whether it is a form)
-        self.wraps = [True]  # whether a part holds what only a wrapper does
+        self.parts = [(0, PAGE)]  # (the part around it, what it is)
+        self.holds = [0]  # what a part holds that only a wrapper does
         self.pieces: list[str] = []
         self.tags = self.linked = 0
         self.lines: list[tuple[str, int, int, bool, int]] = []
@@ -129,10 +139,10 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         skips = tag in NEVER or tag == "header" and not self.region
-        weak = tag == "form"
-        if not skips and tag not in ("html", "body", "article", "main") and attrs:
-            mark = marked(attrs) if tag != "header" else 0
-            skips, weak = mark == 2, weak or mark == 1
+        kind = FORM if tag == "form" else PAGE
+        if not skips and tag not in ("html", "body", "article", "main", "header") and attrs:
+            skips, mark = marked(attrs)
+            kind = max(kind, mark) if tag != "form" or mark > MAYBE else FORM
         if not skips and self.places["header"] and tag in BLOCKS and tag not in HEADINGS and tag not in ("div", "hgroup", "section"):
             skips = True  # an article's own header: its headings only
         self.places[tag].append(len(self.open))
@@ -142,13 +152,15 @@ class Lines(HTMLParser):
         self.skipped += skips
         if self.skipped:
             return
-        if tag == "main" or tag == "h1" or tag == "article" and self.parts[self.part][1]:
-            self.wraps[self.part] = True
+        if tag in ("main", "h1", "article"):
+            self.holds[self.part] |= MAIN if tag == "main" else FIRST_HEADING if tag == "h1" else ARTICLE
+            if tag == "article" and self.parts[self.part][1] == FORM:
+                self.holds[self.part] |= FIRST_HEADING
         if tag in ("article", "main"):
             self.region = True
-        elif weak:
-            self.parts.append((self.part, tag == "form"))
-            self.wraps.append(False)
+        elif kind != PAGE:
+            self.parts.append((self.part, kind))
+            self.holds.append(0)
             self.part = len(self.parts) - 1
 
     def handle_startendtag(self, tag, attrs):
@@ -180,10 +192,13 @@ class Lines(HTMLParser):
         for i in range(len(self.parts) - 1, 0, -1):  # a part comes after the one around it
             around = self.parts[i][0]
             sizes[around] += sizes[i]
-            self.wraps[around] |= self.wraps[i]
+            self.holds[around] |= self.holds[i]
         stays = [True]
         for i in range(1, len(self.parts)):
-            stays.append(stays[self.parts[i][0]] and (self.wraps[i] or 2 * sizes[i] >= sizes[0]))
+            around, kind = self.parts[i]
+            enough = MAIN | FIRST_HEADING if kind in (FORM, MAYBE) else MAIN
+            half = 2 * sizes[i] >= sizes[0] and (kind != CROWD or self.holds[i] & ARTICLE)
+            stays.append(bool(stays[around] and (self.holds[i] & enough or half)))
         return [x[:4] for x in self.lines if stays[x[4]]]
 
 

@@ -13,8 +13,8 @@ Collision checks run over the whole corpus, on canonical forms (lower case, digi
 move together: a replacement that equals any entity that was found, or another's replacement, is drawn anew under the next key until
 there is none. What most_attempts rounds leave is settled format by format: drawn on until it is free where the format has room for
 all, and else (more than half of its values are entities) each of its entities is replaced by the next one in a keyed order, so that
-they stay distinct and none is itself; only there may a replacement be another entity. So may first names, whose closed lists are
-permuted and are left out of the check. A value without letters or digits of CLASSES has one form only and stays. Such draws are few;
+they stay distinct and none is itself; only there may a replacement be another entity. So may first names of the closed lists, which are
+permuted and are left out of the check; names that no list has keep their gender unknown and are permuted among themselves. A value without letters or digits of CLASSES has one form only and stays. Such draws are few;
 they are broadcast if they are MOST_BROADCAST or fewer, else joined. Tables that hold entities are deleted before anonymise returns;
 what is read later holds keyed digests.
 
@@ -71,8 +71,12 @@ SAYS = tuple(" said| says| wrote| writes| told| asked| replied| added| explained
 # Words that open a sentence and no name.
 OPENERS = frozenset("The Then Later But And So When After Before In On At As Yet Now Today Yesterday Once Here There Also Der Die Das Und Aber Dann Le La Les Et Mais Puis El Los Las Pero Luego".split())
 # What stands before a secret, and what announces a phone number of seven digits.
-SECRET_KEYS = tuple("token secret passwd password passphrase apikey api_key api-key accesskey access_key access-key privatekey private_key private-key auth".split())
+SECRET_KEYS = tuple("token secret passwd password passwort kennwort contraseña pwd passphrase apikey api_key api-key accesskey access_key access-key privatekey private_key private-key auth".split())
 CALLS = tuple(f"{word}{rest} " for word in "call phone tel telephone dial ring mobile cell fax".split() for rest in ("", " at", " on", " me at", " us at", ".", ":"))
+# What stands before and after long numbers that are no phone's, and words that begin or end the names of places.
+COUNTED = (" id", " id:", " no.", " no", " number", " order", " ref", " ref:", " isbn", "#", " nr.", " nr")
+UNITS = tuple(f" {u}" for u in "byte item row token user record file line event view entr year second ms people dollar euro unit time row page word".split())
+PLACES = frozenset("New San Los Las Saint North South East West Upper Lower Great United Wall Street City River Lake Island County Bank University Party Church Times Post".split())
 # Country codes of two digits; 1 and 7 have one, all others three.
 TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
@@ -84,12 +88,17 @@ MAC = re.compile(r"(?<![\w:-])[0-9A-Fa-f]{2}([:-])(?:[0-9A-Fa-f]{2}\1){4}[0-9A-F
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 PHONE = re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]\d{3,4}(?![\w-]|\.\d)")
 PLUS = re.compile(r"(?<![\w+])\+\d(?:[ .()-]{0,2}\d){6,14}(?!\w)")
+NATIONAL = re.compile(r"(?<![\w.+/-])(?:\(0[1-9]\d{1,3}\)|0[1-9]\d{1,3})[ /-]\d{3,4}(?:[ -]?\d{3,4})?(?![\w-]|[./]\d)")
 TEN = re.compile(r"(?<![\w.+-])1?[2-9]\d{9}(?![\w-]|\.\d)")
 SEVEN = re.compile(r"(?<![\w.+-])[2-9]\d\d-\d{4}(?![\w-]|\.\d)")
 CARD = re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w-])")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 SIGN = re.compile(r"[:=](?=[ \t]*[\"']?([A-Za-z0-9+/_.~=-]{8,}))")
-BARE = re.compile(r"(?<!\w)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)")
+BEARER = re.compile(r"(?<!\w)[Bb]earer +([A-Za-z0-9._~+/=-]{16,})")
+SAID = re.compile(r"(?i)(?<!\w)(?:password|passwort|passphrase|kennwort|contraseña|token|secret|api key) (?:is|ist|es|was)[:]? +[\"']?((?=[A-Za-z0-9+/_.~=!@#$%^&*-]*\d)[A-Za-z0-9+/_.~=!@#$%^&*-]{8,}[A-Za-z0-9])")
+SAID_OF = ("passw", "passphrase", "kennwort", "contraseña", "token", "secret", "api key")
+LOWER = re.compile(r"(?<!\w)[Mm]y name is ([a-z]+)(?: ([a-z]+))?(?!\w)")
+BARE = re.compile(r"(?<!\w)(?:eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}(?:\.[A-Za-z0-9_-]*)?|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)")
 NAME = re.compile(rf"(?<!\w)[{U}][{L}]+\.?(?: (?:(?:Mr|Mrs|Ms|Dr|Prof|Sr|Sra|Mme)\. )?[{U}][{L}]+(?:-[{U}][{L}]+)?){{1,3}}")
 WORDS = re.compile(rf"(?<!\w)[{U}][{L}]+(?!\w)")
 MAY_HOLD = re.compile(r"[0-9@]|::")
@@ -98,6 +107,7 @@ _TYPES = [(c, i) for i, alphabet in enumerate(CLASSES) for c in alphabet]
 _CLASS = {c: i for c, i in _TYPES}
 _PLACE = {c: alphabet.index(c) for alphabet in CLASSES for c in alphabet}
 _FIRST = {n: k for k, names in FIRST.items() for n in names}
+_LISTED = {**{n: n for n in _FIRST}, **{n.lower(): n for n in _FIRST}}
 _OPENING = frozenset(c for c in CUES if c.isalpha())
 
 
@@ -171,9 +181,9 @@ def _digits(value: str, new: str) -> str:
 
 
 def _lead(phone: str) -> int:
-    """Digits of a phone's country code, whatever its layout; none without a plus."""
+    """Digits of a phone's country code, whatever its layout; without a plus the 0 of a national number, if it has one."""
     digits = "".join(c for c in phone if c.isdigit())
-    return 0 if phone[0] != "+" else 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGITS else 3
+    return int(digits[0] == "0") if phone[0] != "+" else 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGITS else 3
 
 
 def _low(text: str) -> str:
@@ -224,8 +234,16 @@ def _band(address: int) -> str:
 
 
 def first_name(name: str, key: bytes) -> str:
-    """The next name of its gender and script in a keyed order: never itself, and no two names meet."""
-    return _successors(_FIRST[name], key)[name]
+    """The next name of its gender and script in a keyed order: never itself, and no two names meet. A name that no list has is permuted
+    among such names, so that it doesn't meet one of a list, either."""
+    if name in _LISTED:
+        listed = _LISTED[name]
+        new = _successors(_FIRST[listed], key)[listed]
+        return new if name == listed else new.lower()
+    while True:
+        name = shaped(name, key, "first")
+        if name not in _LISTED:
+            return name
 
 
 @lru_cache(maxsize=64)
@@ -247,8 +265,9 @@ def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
     if kind == "phone":
         digits = "".join(c for c in value if c.isdigit())
         lead = _lead(value)
-        new = permuted([int(c) for c in digits[lead:]], [10] * (len(digits) - lead), own, f"phone{digits[:lead]}")
-        return _digits(value, digits[:lead] + "".join(map(str, new)))
+        least = int(not lead)  # a number that begins with neither a plus nor a 0 goes to such a number
+        new = permuted([int(digits[lead]) - least, *(int(c) for c in digits[lead + 1 :])], [10 - least] + [10] * (len(digits) - lead - 1), own, f"phone{digits[:lead]}")
+        return _digits(value, digits[:lead] + str(new[0] + least) + "".join(map(str, new[1:])))
     if kind == "card":
         digits = "".join(c for c in value if c.isdigit())
         if luhn(digits):
@@ -284,7 +303,7 @@ def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
         at = canonical(kind, value)
         return like(kind, value, at[:3] + shaped(at[3:], own, f"mac{at[:3]}", ("0123456789abcdef",)))
     if kind == "first":
-        return first_name(value, own) if value in _FIRST else shaped(value, own, "first")
+        return first_name(value, own)
     if kind == "surname":
         # The end of a surname may show gender (Cyrillic, Greek); it stays.
         kept = 2 if len(value) > 4 and value[-1].lower() in "".join(CLASSES[5:]) else 0
@@ -315,7 +334,7 @@ def form(kind: str, value: str) -> tuple[str, int]:
     digits = "".join(c for c in value if c.isdigit())
     if kind == "phone":
         lead = _lead(value)
-        return f"{digits[:lead]}|{_digits(value, '0' * len(digits))}", 10 ** (len(digits) - lead)
+        return f"{digits[:lead]}|{_digits(value, '0' * len(digits))}", (10 if lead else 9) * 10 ** (len(digits) - lead - 1)
     if kind == "card":
         holds = luhn(digits)
         return f"{digits[0]}|{holds}|{_digits(value, '0' * len(digits))}", (1 if holds else 9) * 10 ** (len(digits) - 2)
@@ -365,7 +384,7 @@ def _names(text: str):
                 words = words[i:]
                 title = words[0].rstrip(".") in TITLES
             else:
-                told = _told(text, at, m.end())
+                told = _told(text, at, m.end()) and PLACES.isdisjoint(words)
                 if not told and words[0].lower() in _OPENING and len(words) > 2:  # "Contact Aisha Khan", "Dear Aisha Khan"
                     at, words, told = at + len(words[0]) + 1, words[1:], True
                 if told and words[0] in OPENERS:
@@ -397,6 +416,13 @@ def _secrets(text: str):
             end -= 1
         if text[max(0, end - 12) : end].lower().endswith(SECRET_KEYS):
             yield *m.span(1), "secret", m[1]
+    if "earer " in text:
+        for m in BEARER.finditer(text):
+            yield *m.span(1), "secret", m[1]
+    low = text.lower()
+    if any(word in low for word in SAID_OF):
+        for m in SAID.finditer(text):
+            yield *m.span(1), "secret", m[1]
 
 
 def _announced(text: str, start: int) -> bool:
@@ -405,6 +431,12 @@ def _announced(text: str, start: int) -> bool:
     return any(before.endswith(x) and not before[-len(x) - 1].isalnum() for x in CALLS)
 
 
+def _counted(text: str, start: int, end: int) -> bool:
+    """Whether the words around a long number say that it counts or names something else than a phone."""
+    before = (" " + text[max(0, start - 12) : start]).lower().rstrip()
+    return before.endswith(COUNTED) or text[end : end + 12].lower().startswith(UNITS)
+
+
 def _is_ip6(text: str) -> bool:
     """Whether it is an address that says more than that there is none (::) and can't be a time of day."""
     if len(text) < 6 or not ("::" in text or text.count(":") == 7):
@@ -440,9 +472,15 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         fixed = {start for start, _, _, v in phones if "(" in v or v[:2] in ("+1", "+7")}  # plans whose numbers end where these do
         found += phones
         found += [(*m.span(), "phone", m[0]) for m in PLUS.finditer(text) if m.start() not in fixed]
-        found += [(*m.span(), "phone", m[0]) for m in TEN.finditer(text)]
+        found += [(*m.span(), "phone", m[0]) for m in TEN.finditer(text) if not _counted(text, *m.span())]
+        found += [(*m.span(), "phone", m[0]) for m in NATIONAL.finditer(text) if 9 <= sum(map(str.isdigit, m[0])) <= 12 and not _counted(text, *m.span())]
         found += [(*m.span(), "phone", m[0]) for m in SEVEN.finditer(text) if m[0][:3] == "555" or _announced(text, m.start())]
     found += _names(text)
+    for m in LOWER.finditer(text) if "name is" in text else ():
+        if m[1] in _LISTED and m[1].islower():  # a listed name in lower case, and the word after it
+            found.append((*m.span(1), "first", m[1]))
+            if m[2] and m[2].islower() and len(m[2]) > 3:
+                found.append((*m.span(2), "surname", m[2]))
     found.sort(key=lambda x: (x[0], -x[1]))
     out: list[tuple[int, int, str, str]] = []
     for x in found:
@@ -499,7 +537,7 @@ def collisions(found: DataFrame, key: str, most_attempts: int = 20) -> DataFrame
             rows = zip(*(batch.column(c).to_pylist() for c in ("kind", "value", "attempt")))
             yield from batches_of(((k, v, a, canonical(k, surrogate(k, v, key, a))) for k, v, a in rows), out)
 
-    own = found.where((F.col("kind") != "first") | ~F.col("value").isin(list(_FIRST))).select("kind", "value").distinct()
+    own = found.where((F.col("kind") != "first") | ~F.col("value").isin(list(_LISTED))).select("kind", "value").distinct()
     now = written(own.withColumn("attempt", F.lit(0)).mapInArrow(run, kinds), "drawn")
     for attempt in range(most_attempts + 1):
         taken = now.select(F.col("value").alias("drawn"), "kind").distinct()
