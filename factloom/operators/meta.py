@@ -24,7 +24,7 @@ def log_risk_ratio(df: DataFrame) -> DataFrame:
 
 def random_effects(effects: DataFrame, most_rounds: int = 200, tolerance: float = 1e-10) -> DataFrame:
     """One row (k, mu, ci_low, ci_high, p, tau2, i2). The studies (yi, vi) are written once; each REML step is one aggregation over them
-    to one row, of effects around their mean, so that its sums of squares don't cancel."""
+    to one row, of effects around their mean, so that its sums of squares don't cancel. Raises where they don't converge."""
     spark = effects.sparkSession
     out = "k long, mu double, ci_low double, ci_high double, p double, tau2 double, i2 double"
     path = store.scratch(spark, "effects")
@@ -44,6 +44,9 @@ def random_effects(effects: DataFrame, most_rounds: int = 200, tolerance: float
         if abs(after - tau2) < tolerance:
             break
         tau2 = after
+    else:
+        raise ArithmeticError(f"random effects: no convergence in {most_rounds} rounds")
+    store.discard(spark, path)
     mu, se = mu + s["mean"], 1 / math.sqrt(r["w"])
     typical = (k - 1) * s["a"] / (s["a"] ** 2 - s["b"]) if k > 1 else 0.0
     p = math.erfc(abs(mu / se) / math.sqrt(2))
