@@ -19,6 +19,9 @@ LEVELS = (
     (6, ["Review", "Editorial", "Comment", "Letter"]),
 )
 
+# Sets of a token that meet as one group (_met).
+CELL = 4096
+
 
 def extract_doi(s) -> Column:
     found = F.regexp_replace(F.regexp_extract(col(s), r"10\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+", 0), r"[.,;)\]]+$", "")
@@ -107,42 +110,92 @@ def token_classes(claims: DataFrame) -> DataFrame:
     return rows.join(reps, ["question_id", "digest"]).select("question_id", "doc_id", "rep", "t")
 
 
-def similar_claims(classes: DataFrame, threshold: float) -> DataFrame:
-    """(question_id, a, b, jaccard) of the claims (token_classes) of a question whose token sets overlap enough: pairs of representatives,
-    and each other member of a class with its representative. What links a representative links its whole class.
-
-    Two sets that reach the threshold share a token among the n - ceil(t n) + 1 of either that the fewest claims have. Pairs meet on
-    those, as ids; each is verified once, on the sets.
-    """
-    reps = classes.where("doc_id = rep").select("question_id", "doc_id", "t")
+def _keyed(reps: DataFrame, threshold: float) -> DataFrame:
+    """(question_id, key, doc_id, n, rest, members): the tokens on which sets meet. Two sets that reach the threshold share a token among
+    the n - ceil(t n) + 1 of either that the fewest claims have. rest counts a set's tokens from there on, members the sets of a token."""
     tokens = reps.select("question_id", "doc_id", F.explode("t").alias("key"))
     often = tokens.groupBy("question_id", "key").agg(F.count("*").alias("df"))
     ranked = tokens.join(often.where("df > 1"), ["question_id", "key"], "left").groupBy("question_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "key"))).alias("r"))
     placed = F.transform(F.slice("r", 1, (F.size("r") - F.ceil(F.size("r") * threshold) + 1).cast("int")), lambda x, i: F.struct(x["df"].alias("df"), x["key"].alias("key"), (F.size("r") - i).alias("rest")))
-    keyed = ranked.select("question_id", "doc_id", F.size("r").alias("n"), F.explode(F.filter(placed, lambda x: x["df"] > 1)).alias("k")).select("question_id", "doc_id", "n", "k.key", "k.rest")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    met = a.join(b, (F.col("a.question_id") == F.col("b.question_id")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-    # At the first token that two sets share, what either has from there on bounds what they share in all.
-    enough = F.least("a.rest", "b.rest") * (1 + threshold) >= threshold * (F.col("a.n") + F.col("b.n")) - 1e-9
-    sized = met.where((F.col("a.n") >= threshold * F.col("b.n")) & (F.col("b.n") >= threshold * F.col("a.n")) & enough)
-    ids = sized.select(F.col("a.question_id").alias("question_id"), F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
+    rows = kept(ranked.select("question_id", "doc_id", F.size("r").alias("n"), F.explode(F.filter(placed, lambda x: x["df"] > 1)).alias("k")).select("question_id", "doc_id", "n", "k.key", "k.rest"), "tokens")
+    return rows.join(rows.groupBy("question_id", "key").agg(F.count("*").alias("members")).where("members > 1"), ["question_id", "key"])
+
+
+def _enough(n, rest, m, others, threshold: float) -> Column:
+    """Sizes allow for the threshold; at the first token that two sets share, what either has from there on bounds what they share in all."""
+    n, rest, m, others = map(F.col, (n, rest, m, others))
+    return (n >= threshold * m) & (m >= threshold * n) & (F.least(rest, others) * (1 + threshold) >= threshold * (n + m) - 1e-9)
+
+
+def _met(left: DataFrame, right: DataFrame, threshold: float, *further: str) -> DataFrame:
+    """(question_id, a, b, and b's further columns) of rows of _keyed that may be similar, a before b, each pair once. The sets of a token
+    are dealt to groups of CELL or so, and a pair of groups is a key of its own: a token with a third of all claims is many tasks."""
+    groups = F.ceil(F.col("members") / CELL).cast("int")
+    home, every = F.pmod(F.xxhash64("doc_id"), groups).cast("int"), F.explode(F.sequence(F.lit(0), groups - 1))
+    a = left.select("*", home.alias("i"), every.alias("j")).alias("a")
+    b = right.select("*", every.alias("i"), home.alias("j")).alias("b")
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("question_id", "key", "i", "j")]
+    met = a.join(b, [*on, F.col("a.doc_id") < F.col("b.doc_id"), _enough("a.n", "a.rest", "b.n", "b.rest", threshold)])
+    return met.select("a.question_id", F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), *(f"b.{c}" for c in further)).distinct()
+
+
+def _verified(ids: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     both = ids.join(reps.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("t").alias("tb")), "b")
-    scored = both.select("question_id", "a", "b", tx.jaccard(F.col("ta"), F.col("tb")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    return both.select(*ids.columns, tx.jaccard(F.col("ta"), F.col("tb")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+def similar_claims(classes: DataFrame, threshold: float) -> DataFrame:
+    """(question_id, a, b, jaccard) of the claims (token_classes) of a question whose token sets overlap enough: pairs of representatives,
+    and each other member of a class with its representative. What links a representative links its whole class. Pairs meet as ids, on
+    their rarest tokens; each is verified once, on the sets.
+    """
+    reps = classes.where("doc_id = rep").select("question_id", "doc_id", "t")
+    keyed = kept(_keyed(reps, threshold), "keyed")
+    scored = _verified(_met(keyed, keyed, threshold), reps, threshold)
     return scored.unionByName(classes.where("doc_id > rep").select("question_id", F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard")))
 
 
+def _led(keyed: DataFrame, reps: DataFrame, threshold: float) -> tuple[DataFrame | None, DataFrame]:
+    """(links (a, b) of leaders to what they take, rows of _keyed that no leader has settled or that one has taken, these not open).
+
+    A claim that is the first of each of its tokens has no earlier one to be similar to, so it is a seed, and the only one that its tokens
+    have in a round: each claim meets the first claim of its tokens and nobody else, so that a family of m costs m rows and not m^2. What is
+    taken still meets later leaders, since an earlier seed may come of a later round. Rounds end when one settles less than a tenth.
+    """
+    rows, links = keyed.withColumn("open", F.lit(True)), None
+    left = keyed.select("doc_id").distinct().count()
+    while left:
+        low = rows.where("open").groupBy("question_id", "key").agg(F.min(F.struct("doc_id", "n", "rest")).alias("low"))
+        seen = kept(rows.join(low, ["question_id", "key"]).select("question_id", "doc_id", "n", "rest", "open", F.col("low.doc_id").alias("a"), F.col("low.n").alias("m"), F.col("low.rest").alias("others")), "seen")
+        seeds = kept(seen.where("open").groupBy("doc_id").agg(F.bool_and(F.col("a") == F.col("doc_id")).alias("first")).where("first").select("doc_id"), "leaders")
+        may = seen.where((F.col("a") < F.col("doc_id")) & _enough("n", "rest", "m", "others", threshold)).select("a", F.col("doc_id").alias("b")).distinct()
+        found = kept(_verified(may.join(seeds.select(F.col("doc_id").alias("a")), "a", "left_semi"), reps, threshold).select("a", "b"), "led")
+        links = found if links is None else links.unionByName(found)
+        taken = found.select(F.col("b").alias("doc_id"), F.lit(True).alias("_taken")).distinct()
+        after = rows.join(seeds, "doc_id", "left_anti").join(taken, "doc_id", "left").withColumn("open", F.col("open") & F.col("_taken").isNull()).select(*rows.columns)
+        before, rows = rows, kept(after, "rows")
+        forget(seen, seeds, *([before] if hasattr(before, "_factloom_path") else []))
+        last, left = left, rows.where("open").select("doc_id").distinct().count()
+        if left > 0.9 * last:
+            break
+    return links, rows
+
+
 def seed_clusters(claims: DataFrame, threshold: float) -> DataFrame:
     """(question_id, doc_id, seed): in order of doc_id, a claim that no seed has taken becomes one and takes later claims that are
     similar to it. Not transitive.
 
-    In rounds: claims without an open smaller neighbour are seeds; a claim with one open smaller neighbour is what that one is not, so that
-    chains of those are settled at once, by pointers that double their reach; neighbours of seeds are taken, and the links of all that is
-    settled are closed. Each step is written. A chain of n links takes log2(n) steps, and so does any forest; links that are denser are few
-    rounds deep unless each round leaves but its first claim settled. Members of a class of equal token sets go with their representative.
+    Leaders take their families first, without pairs within them. Among the rest, in rounds: claims without an open smaller neighbour are
+    seeds; a claim with one open smaller neighbour is what that one is not, so that chains of those are settled at once, by pointers that
+    double their reach; neighbours of seeds are taken, and the links of all that is settled are closed. Each step is written. A chain of n
+    links takes log2(n) steps, and so does any forest; links that are denser are few rounds deep unless each round leaves but its first claim
+    settled. Members of a class of equal token sets go with their representative.
     """
     classes = kept(token_classes(claims), "classes")
-    links = kept(similar_claims(classes, threshold).select("a", "b").join(classes.where("doc_id > rep").select(F.col("doc_id").alias("b")), "b", "left_anti").select("a", "b"), "links")
-    open_, taken = links, None
+    reps = classes.where("doc_id = rep").select("question_id", "doc_id", "t")
+    led, rows = _led(kept(_keyed(reps, threshold), "keyed"), reps, threshold)
+    links = kept(_verified(_met(rows.where("open"), rows, threshold, "open"), reps, threshold).select("a", "b", "open"), "links")
+    open_, taken = links.where("open").select("a", "b"), None
     while not open_.isEmpty():
         seeds = open_.select(F.col("a").alias("id")).distinct().join(open_.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
         single = open_.groupBy("b").agg(F.count("*").alias("n"), F.min("a").alias("to")).where("n = 1").select(F.col("b").alias("id"), "to", F.lit(True).alias("odd"))
@@ -153,9 +206,10 @@ def seed_clusters(claims: DataFrame, threshold: float) -> DataFrame:
         taken = gone if taken is None else taken.unionByName(gone)
         done = found.where("seed").select("id").unionByName(gone)
         before, open_ = open_, kept(open_.join(done.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b"), "open")
-        forget(found, ends, *([] if before is links else [before]))
-    seeded = links if taken is None else links.join(taken.select(F.col("id").alias("b")), "b").join(taken.select(F.col("id").alias("a")), "a", "left_anti")
-    seeded = seeded.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("seed"))
+        forget(found, ends, *([before] if hasattr(before, "_factloom_path") else []))
+    # A link of a seed leads to a claim that is taken: by it, or by an earlier one.
+    seeded = (links if taken is None else links.join(taken.select(F.col("id").alias("a")), "a", "left_anti")).select("a", "b")
+    seeded = (seeded if led is None else seeded.unionByName(led)).groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("seed"))
     of = classes.select("doc_id", "rep").join(seeded, "rep", "left").select("doc_id", F.coalesce("seed", "rep").alias("seed"))
     return claims.select("question_id", "doc_id").join(of, "doc_id", "left").select("question_id", "doc_id", F.coalesce("seed", "doc_id").alias("seed"))
 

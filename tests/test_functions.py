@@ -249,6 +249,39 @@ def test_seed_clusters_of_a_long_chain(spark, monkeypatch):
     assert got == n and len(steps) < 40
 
 
+def test_seed_clusters_of_a_family(spark, monkeypatch):
+    """Claims of one family, each with a word of its own, meet their leader and not each other; pairs among them would be 2 * 10^8."""
+    from factloom.operators import evidence
+
+    n, met = 20_000, []
+    monkeypatch.setattr(evidence, "_met", lambda left, right, *a, own=evidence._met: met.append(left.count()) or own(left, right, *a))
+    text = F.concat(F.lit("alpha beta gamma delta epsilon zeta eta theta iota kappa w"), F.col("id").cast("string"))
+    claims = spark.range(n).select(F.lit("q").alias("question_id"), F.col("id").alias("doc_id"), text.alias("claim"))
+    assert evidence.seed_clusters(claims, 0.6).where("seed = 0").count() == n and met == [0]
+
+
+@pytest.mark.parametrize("cell", [3, 4096])
+def test_families_against_the_sequential_rule(spark, monkeypatch, cell):
+    """Families that overlap, equal sets and stray claims, over hot tokens dealt to small groups."""
+    from factloom.operators import evidence
+
+    monkeypatch.setattr(evidence, "CELL", cell)
+    rng = random.Random(11)
+    words = [f"word{i}" for i in range(18)]
+    rows = [(i, "qr"[rng.random() < 0.3], " ".join(rng.sample(words[(c := rng.randrange(3) * 5) : c + 8], rng.randrange(4, 8)) + [f"own{i}"] * (rng.random() < 0.4))) for i in range(260)]
+    claims = spark.createDataFrame(rows, "doc_id long, question_id string, claim string")
+    sets = {r["doc_id"]: (r["question_id"], frozenset(r["t"])) for r in claims.select("doc_id", "question_id", tx.claim_tokens("claim").alias("t")).collect()}
+    near = lambda a, b: a[0] == b[0] and len(a[1] & b[1]) / len(a[1] | b[1]) >= 0.6
+    seeds, want = [], {}
+    for i in sorted(sets):
+        want[i] = next((x for x in seeds if near(sets[x], sets[i])), i)
+        seeds += [i] if want[i] == i else []
+    assert {r["doc_id"]: r["seed"] for r in evidence.seed_clusters(claims, 0.6).collect()} == want
+    rep = {i: min(j for j in sets if sets[j] == x) for i, x in sets.items()}
+    pairs = [(r["a"], r["b"]) for r in evidence.similar_claims(evidence.token_classes(claims), 0.6).collect()]
+    assert sorted(pairs) == sorted((a, b) for a in rep for b in rep if a < b and rep[a] == a and (rep[b] == a or rep[b] == b and near(sets[a], sets[b])))
+
+
 def test_pointers_end(spark):
     from factloom.operators import evidence
 
