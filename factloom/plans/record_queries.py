@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
 import zlib
 
@@ -13,7 +14,7 @@ from factloom.functions import paths, records, replies
 from factloom.functions import text as tx
 from factloom.operators import artefacts, council, evidence, index, ledger, petals
 from factloom.sources import documents as docs
-from factloom.sources import store
+from factloom.sources import legacy, store
 
 from .council_queries import _verified
 from .registry import RELATIONS, Tables, query
@@ -143,6 +144,101 @@ def _(t: Tables):
     return rows.select("item_id", "row", F.array_join("cells", "\t").alias("cells"))
 
 
+def _compound(streams: dict[str, bytes]) -> bytes:
+    """A compound file of sectors of 512 bytes; streams under 4,096 bytes lie in the stream of short sectors."""
+    end, sectors, table = 0xFFFFFFFE, [], []
+
+    def chained(body: bytes, size: int, table: list[int]) -> tuple[int, list[bytes]]:
+        parts = [body[i : i + size].ljust(size, b"\0") for i in range(0, len(body), size)]
+        first = len(table)
+        table += [*range(first + 1, first + len(parts)), end][: len(parts)]
+        return first if parts else end, parts
+
+    def add(body: bytes) -> int:
+        first, parts = chained(body, 512, table)
+        sectors.extend(parts)
+        return first
+
+    short, shorts, entries = b"", [], []
+    for name, body in streams.items():
+        if len(body) < 4096:
+            first, parts = chained(body, 64, shorts)
+            short += b"".join(parts)
+        else:
+            first = add(body)
+        entries.append((name, 2, first, len(body)))
+    packed = lambda xs: struct.pack(f"<{len(xs)}I", *xs)
+    entries.insert(0, ("Root Entry", 5, add(short), len(short)))
+    wide = lambda name: name.encode("utf-16-le")
+    directory = add(b"".join(struct.pack("<64sHBB12s20s16sIII", wide(n), len(wide(n)) + 2, kind, 1, b"\xff" * 12, b"", b"", first, size, 0) for n, kind, first, size in entries))
+    short_table = add(packed(shorts).ljust(-len(shorts) % 128 * 4 + 4 * len(shorts), b"\xff"))
+    own = next(n for n in range(1, 110) if 128 * n >= len(sectors) + n)
+    at = len(sectors)
+    table += [0xFFFFFFFD] * own
+    sectors.append(packed(table + [0xFFFFFFFF] * (128 * own - len(table))))
+    head = struct.pack("<8s16sHHHHH6s10I", legacy.SIGNATURE, b"", 0x3E, 3, 0xFFFE, 9, 6, b"", 0, own, directory, 0, 4096, short_table, -(-len(shorts) // 128), end, 0, 0)
+    return head[:76] + packed([*range(at, at + own)] + [0xFFFFFFFF] * (109 - own)) + b"".join(sectors)
+
+
+def _xls(lines) -> bytes:
+    """A sheet `lines` like that of _xlsx, its strings shared and cut at 200 bytes into continued records, wide where they need to be."""
+    record = lambda kind, body: struct.pack("<HH", kind, len(body)) + body
+    parts = [struct.pack("<II", len(lines), len(lines))]
+    for x in lines:
+        wide = any(ord(c) > 255 for c in x)
+        body, width = x.encode("utf-16-le" if wide else "latin-1"), 1 + wide
+        if len(parts[-1]) > 190:
+            parts.append(b"")
+        parts[-1] += struct.pack("<HB", len(body) // width, wide)
+        while body:
+            room = (200 - len(parts[-1])) // width * width
+            if room <= 0:
+                parts.append(bytes([wide]))
+                continue
+            parts[-1] += body[:room]
+            body = body[room:]
+    strings = record(legacy.SHARED_STRINGS, parts[0]) + b"".join(record(legacy.CONTINUE, p) for p in parts[1:])
+    begin, end = record(legacy.BOF, bytes(16)), record(legacy.EOF, b"")
+    sheet = lambda at: record(legacy.BOUND_SHEET, struct.pack("<IBBBB", at, 0, 0, 5, 0) + b"lines")
+    book = begin + sheet(len(begin + sheet(0) + strings + end)) + strings + end
+    cells = [record(legacy.RK, struct.pack("<HHHI", i, 0, 0, i + 1 << 2 | 2)) + record(legacy.LABEL_SHARED, struct.pack("<HHHI", i, 1, 0, i)) for i in range(len(lines))]
+    return _compound({"Workbook": book + begin + b"".join(cells) + end})
+
+
+def _doc(lines) -> bytes:
+    """A piece for each line, of one byte a character where that can hold it, and a page number's field, which shows nothing."""
+    pieces = [x + "\r" for x in lines] + ["\x13 PAGE \x14\x15"]
+    word, bounds, places = bytearray(1472), [0], b""
+    for x in pieces:
+        one = x.isascii()
+        places += struct.pack("<HIH", 0, len(word) * 2 | 0x40000000 if one else len(word), 0)
+        bounds.append(bounds[-1] + len(x.encode("utf-16-le")) // 2)
+        word += x.encode("ascii" if one else "utf-16-le")
+    plan = struct.pack(f"<{len(bounds)}I", *bounds) + places
+    table = b"\x01\x02\x00\x00\x00\x02" + struct.pack("<I", len(plan)) + plan
+    struct.pack_into("<H", word, 0, 0xA5EC)
+    struct.pack_into("<H", word, 10, 0x200)
+    struct.pack_into("<I", word, 76, bounds[-1])
+    struct.pack_into("<II", word, 418, 0, len(table))
+    return _compound({"WordDocument": bytes(word), "1Table": table})
+
+
+def _some_broken(files):
+    """Every fifth file is none of its kind."""
+    return files.select("item_id", F.when(F.col("item_id") % 5 == 4, F.encode(F.lit("{no such file}"), "UTF-8")).otherwise(F.col("content")).alias("content"))
+
+
+@query("scan_xls", "select item_id, n \"row\", n::varchar || chr(9) || line cells, null error from benchmark_lines where item_id % 5 <> 4 union all select item_id, null, null, 'ValueError' from benchmark where item_id % 5 = 4")
+def _(t: Tables):
+    rows = docs.parsed(_some_broken(_packed(t, _xls)), legacy.xls_rows, "sheet string, row int, cells array<string>", "item_id")
+    return rows.select("item_id", "row", F.array_join("cells", "\t").alias("cells"), "error")
+
+
+@query("scan_doc", "select item_id, case when item_id % 5 <> 4 then trim(text) end text, case when item_id % 5 = 4 then 'ValueError' end error from benchmark")
+def _(t: Tables):
+    return docs.parsed(_some_broken(_packed(t, _doc)), lambda data: [(legacy.doc_text(data),)], "text string", "item_id")
+
+
 @query("scan_rtf", "select item_id, trim(text) text from benchmark")
 def _(t: Tables):
     return docs.parsed(_packed(t, _rtf), lambda data: [(docs.rtf_text(data),)], "text string", "item_id").drop("error")

@@ -1,7 +1,7 @@
 """Document readers: bytes to records, with the standard library. Each takes a table of (path, content) and returns rows of records.
 
 Word, PowerPoint and Excel files are zip archives of XML, which the standard library parses; PDF files have a reader of their own (pdf).
-OpenDocument texts and sheets are zip archives, too. Old binary formats, OCR and rasterising are outside of Spark's reach; their adapters take the converted text as a table.
+OpenDocument texts and sheets are zip archives, too; binary Office files have readers of their own (legacy). OCR and rasterising are outside of Spark's reach; their adapters take the converted text as a table.
 """
 
 from __future__ import annotations

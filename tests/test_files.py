@@ -3,6 +3,7 @@
 import fnmatch
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import paths, records
@@ -106,3 +107,48 @@ def test_table_claims_anywhere(spark):
     body = ["text", "| a | b |", "|---|---|", "| 1 | `x` |", "| a | b |", "", "|--|", "| p | q |", "no table", "| lone | row |", "", "| k |  |", "|:-:|---|", "| 3 | 4 | 5 |", "| c | d |", "|---|---|", "| 6 | 7 |"]
     lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(body, 1)], "doc_id int, line_no int, line string")
     assert [tuple(r)[1:] for r in records.table_claims(lines).orderBy("line_no").collect()] == [(4, "a=1; b=x"), (8, "col1=p; col2=q"), (14, "k=3; col2=4; col3=5"), (17, "c=6; d=7")]
+
+
+@pytest.mark.parametrize("lines", [[], ["one"], ["a" * 500, "wide \u0416\U0001f600" * 90, "caf\u00e9", ""], [f"line {i} " + "\u4e2d" * (i % 7) for i in range(900)]])
+def test_old_sheets_and_texts_come_back(lines):
+    """Short and long streams, strings that go on in a further record in either width, pieces of either width."""
+    from factloom.plans.record_queries import _doc, _xls
+    from factloom.sources import legacy
+
+    assert [(s, n, [*c, ""][:2]) for s, n, c in legacy.xls_rows(_xls(lines))] == [("lines", i, [str(i), x]) for i, x in enumerate(lines, 1)]
+    assert legacy.doc_text(_doc(lines)) == "\n".join(lines).strip()
+
+
+def test_cells_of_old_sheets():
+    import struct
+
+    from factloom.plans.record_queries import _compound
+    from factloom.sources import legacy as old
+
+    record = lambda kind, fmt, *x: struct.pack("<HH", kind, struct.calcsize("<" + fmt)) + struct.pack("<" + fmt, *x)
+    begin, end = record(old.BOF, "16s", b""), record(old.EOF, "")
+    upper = struct.unpack("<Q", struct.pack("<d", 0.25))[0] >> 32
+    sheet = b"".join([
+        record(old.NUMBER, "HHHd", 0, 0, 0, 2.5), record(old.RK, "HHHI", 0, 1, 0, (-7 & 0x3FFFFFFF) << 2 | 2), record(old.RK, "HHHI", 0, 2, 0, 1234 << 2 | 3), record(old.RK, "HHHI", 0, 3, 0, upper),
+        record(old.MULTIPLE_RK, "HHHIHIH", 1, 1, 0, 5 << 2 | 2, 0, 6 << 2 | 2, 2), record(old.BOOL_ERROR, "HHHBB", 1, 3, 0, 1, 0),
+        # A chart of its own within the sheet, then formulas: a number, a string that follows, a truth value, an empty string.
+        begin, record(old.NUMBER, "HHHd", 0, 0, 0, 99.0), end,
+        record(old.FORMULA, "HHHdHI", 2, 0, 0, 3.0, 0, 0), record(old.FORMULA, "HHHB5sHHI", 2, 1, 0, 0, b"", 0xFFFF, 0, 0), record(old.STRING, "HB2s", 2, 0, b"ok"),
+        record(old.FORMULA, "HHHBBB3sHHI", 2, 2, 0, 1, 0, 1, b"", 0xFFFF, 0, 0), record(old.LABEL, "HHHHB3s", 2, 3, 0, 3, 0, b"abc"),
+    ])
+    bound = lambda at: record(old.BOUND_SHEET, "IBBBB1s", at, 0, 0, 1, 0, b"S")
+    book = begin + bound(len(begin + bound(0) + end)) + end + begin + sheet + end
+    assert old.xls_rows(_compound({"Workbook": book})) == [("S", 1, ["2.5", "-7", "12.34", "0.25"]), ("S", 2, ["", "5", "6", "1"]), ("S", 3, ["3", "ok", "1", "abc"])]
+    with pytest.raises(PermissionError):
+        old.xls_rows(_compound({"Workbook": begin + record(old.FILE_PASS, "H", 1) + end}))
+    for broken in (b"", b"PK", _compound({"Book": book}), _compound({"Workbook": book * 60})[:2000]):
+        with pytest.raises(ValueError):
+            old.xls_rows(broken)
+
+
+def test_fields_of_old_texts():
+    """Codes of fields go, their results stay; cells end in tabs; what follows the main text is no part of it."""
+    from factloom.plans.record_queries import _doc
+    from factloom.sources import legacy
+
+    assert legacy.doc_text(_doc(['see \x13 HYPERLINK "x" \x14the \x13 REF y \x14link\x15\x15 here', "a\x07b\x07\x07", "caf\u00e9 \u2019"])) == "see the link here\na\tb\t\t\ncaf\u00e9 \u2019"
