@@ -18,6 +18,9 @@ LEVELS = (
     (5, ["Case Reports"]),
     (6, ["Review", "Editorial", "Comment", "Letter"]),
 )
+# Names of the levels in their order, and of none.
+LEVEL_NAMES = ["systematic review / meta-analysis", "randomised controlled trial", "non-randomised or early-phase trial", "observational study", "case report / series", "review or narrative"]
+NO_LEVEL = "unclassified"
 
 # Sets of a token that meet as one group (_met).
 CELL = 4096
@@ -73,6 +76,30 @@ def evidence_level(types) -> Column:
     return out
 
 
+def medline(answers: DataFrame) -> DataFrame:
+    """(pmid, year, title, types, headings), a row for each PubMed id, of answers (answer): records of tagged lines, blank lines between them;
+    a line of six blanks goes on with the one before. Records without an id are left out; of equal ids the least record stays."""
+    record = F.explode(F.split("answer", r"\r?\n[ \t]*\r?\n")).alias("record")
+    rows = answers.select(record).select(F.split(F.regexp_replace("record", r"\r?\n {6}", " "), r"\r?\n").alias("lines"))
+
+    def all_of(tag: str) -> Column:
+        return F.transform(F.filter("lines", lambda x: x.startswith(f"{tag:<4}- ")), lambda x: F.trim(F.substr(x, F.lit(7))))
+
+    first = lambda tag: F.coalesce(F.get(all_of(tag), F.lit(0)), F.lit(""))
+    fields = F.struct(F.substring(first("DP"), 1, 4).alias("year"), first("TI").alias("title"), all_of("PT").alias("types"), all_of("MH").alias("headings"))
+    return rows.select(first("PMID").alias("pmid"), fields.alias("r")).where("pmid <> ''").groupBy("pmid").agg(F.min("r").alias("r")).select("pmid", "r.*")
+
+
+def studies(ids: DataFrame, answers: DataFrame) -> DataFrame:
+    """(pmid, year, title, evidence_level, evidence_label, pubtypes, mesh) of the ids (pmid) that the answers know: what kind of evidence each
+    is. A title's first 300 characters and the first eight headings, as they are shown."""
+    level = evidence_level("types")
+    label = F.coalesce(F.get(F.array(*map(F.lit, LEVEL_NAMES)), level - 1), F.lit(NO_LEVEL))
+    known = medline(answers).join(ids.select("pmid").distinct(), "pmid", "left_semi")
+    mesh = F.array_join(F.slice("headings", 1, 8), "; ")
+    return known.select("pmid", "year", F.substring("title", 1, 300).alias("title"), level.alias("evidence_level"), label.alias("evidence_label"), F.array_join("types", "; ").alias("pubtypes"), mesh.alias("mesh"))
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """A table that several steps read, written once."""
     path = store.scratch(df.sparkSession, name)

@@ -340,6 +340,21 @@ def _(t: Tables):
 _pubtypes = ["Review", "Case Reports", "Observational Study", "Clinical Trial", "Randomized Controlled Trial", "Systematic Review", "Dataset"]
 
 
+@query("scan_entrez", f"""select pmid, year, title, level evidence_level, case level when 1 then 'systematic review / meta-analysis' when 2 then 'randomised controlled trial' when 3 then 'non-randomised or early-phase trial'
+ when 4 then 'observational study' when 5 then 'case report / series' when 6 then 'review or narrative' else 'unclassified' end evidence_label, 'Journal Article; ' || type pubtypes, mesh
+from (select *, cast(case type when 'Review' then 6 when 'Case Reports' then 5 when 'Observational Study' then 4 when 'Clinical Trial' then 3 when 'Randomized Controlled Trial' then 2 when 'Systematic Review' then 1 end as integer) level
+from (select (page_id + 100000)::varchar pmid, (2010 + page_id % 10)::varchar as year, 'Page ' || page_id || ' at ' || coalesce(url, '') title, [{", ".join(map(duck.quoted, _pubtypes))}][page_id % 7 + 1] type,
+ coalesce(array_to_string(list_transform(range(1, least(page_id % 11, 8) + 1), lambda x: 'm' || x), '; '), '') mesh from pages where page_id % 6 = 4))""")
+def _(t: Tables):
+    # The service knows every second page; each of its answers holds a further record that nobody asked for.
+    i = F.col("page_id")
+    headings = F.array_join(F.transform(F.sequence(F.lit(0), i % 11), lambda x: F.when(x > 0, F.concat(F.lit("MH  - m"), x.cast("string"))).otherwise("SO  - x")), "\n")
+    lines = ["PMID- ", (i + 900000).cast("string"), "\nTI  - Other\n\nPMID- ", (i + 100000).cast("string"), "\nDP  - ", (2010 + i % 10).cast("string"), " Jan\nTI  - Page ", i.cast("string"), "\n      at ", F.coalesce("url", F.lit("")), "\nPT  - Journal Article\nPT  - "]
+    text = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in lines), F.element_at(F.array(*map(F.lit, _pubtypes)), (i % 7 + 1).cast("int")), F.lit("\n"), headings)
+    answers = t("pages").where("page_id % 2 = 0").select(text.alias("answer"))
+    return evidence.studies(_citation_texts(t).select(evidence.extract_pmid("citation").alias("pmid")).where("pmid is not null"), answers)
+
+
 @query("win_first_match", f"""with l as (select p_partkey, unnest([{", ".join(map(duck.quoted, _pubtypes))}][p_size % 7 + 1:p_size % 7 + 1] || [{", ".join(map(duck.quoted, _pubtypes))}][p_partkey % 7 + 1:p_partkey % 7 + 1]) t from part)
 select p_partkey, cast(min(case t when 'Review' then 6 when 'Case Reports' then 5 when 'Observational Study' then 4 when 'Clinical Trial' then 3 when 'Randomized Controlled Trial' then 2 when 'Systematic Review' then 1 end) as integer) level from l group by 1""")
 def _(t: Tables):

@@ -282,6 +282,18 @@ def test_families_against_the_sequential_rule(spark, monkeypatch, cell):
     assert sorted(pairs) == sorted((a, b) for a in rep for b in rep if a < b and rep[a] == a and (rep[b] == a or rep[b] == b and near(sets[a], sets[b])))
 
 
+def test_records_of_tagged_lines(spark):
+    """Continued lines, a record without an id, one without a year, one given twice, line ends of either kind, nulls and empty answers."""
+    from factloom.operators import evidence
+
+    texts = ["PMID- 1\nDP  - 2019 Mar 3\nTI  - A long\n      title - of two\n      lines\nPT  - Letter\nPT  - Meta-Analysis\nMH  - A\nMH  - B\n\nTI  - no id\n\n\nPMID- 2\r\nTI  - " + "x" * 400, "PMID- 1\nDP  - 2020\n", "", None, "PMID- 3\nPT  - Dataset"]
+    answers = spark.createDataFrame([(x,) for x in texts], "answer string")
+    ids = spark.createDataFrame([("1",), ("2",), ("2",), ("4",), (None,)], "pmid string")
+    got = sorted(tuple(r) for r in evidence.studies(ids, answers).collect())
+    assert got == [("1", "2019", "A long title - of two lines", 1, "systematic review / meta-analysis", "Letter; Meta-Analysis", "A; B"), ("2", "", "x" * 300, None, "unclassified", "", "")]
+    assert {r["pmid"]: (len(r["title"]), r["types"]) for r in evidence.medline(answers).collect()} == {"1": (27, ["Letter", "Meta-Analysis"]), "2": (400, []), "3": (0, ["Dataset"])}
+
+
 def test_pointers_end(spark):
     from factloom.operators import evidence
 
