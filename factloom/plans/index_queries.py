@@ -8,6 +8,7 @@ from factloom.functions import duck
 from factloom.functions import text as tx
 from factloom.operators import artefacts, index, segments
 from factloom.sources import store
+from factloom.streaming import feedback
 
 from .registry import Tables, query
 
@@ -216,11 +217,33 @@ def _(t: Tables):
     return index.search(t.index, QUESTION, include_unproven=True)
 
 
-@query("agg_hits", f"select claim_id, cast(sum(hits) as bigint) hits, cast(sum(helpful) as bigint) helpful, cast(sum(unhelpful) as bigint) unhelpful from (select claim_id, hits, helpful, unhelpful from feedback union all select claim_id, 1, 0, 0 from ({_top % _gate})) group by 1")
+_hits_kept = f"select claim_id, cast(sum(hits) as bigint) hits, cast(sum(helpful) as bigint) helpful, cast(sum(unhelpful) as bigint) unhelpful from (select claim_id, hits, helpful, unhelpful from feedback union all select claim_id, 1, 0, 0 from ({_top % _gate})) group by 1"
+
+
+@query("agg_hits", _hits_kept)
 def _(t: Tables):
     return index.shown(t.feedback, index.search(t.index, QUESTION))
 
 
+@query("feedback_state", _hits_kept)
+def _(t: Tables):
+    """Events arrive as files in two lots, which a stream folds; a search's hits are appended, twice under one name; a last run of the
+    stream finds nothing new."""
+    path = store.scratch(t.spark, "feedback")
+    kind = F.expr("case event_type when 'purchase' then 'helpful' when 'error' then 'unhelpful' else 'shown' end")
+    events = t("events").select(F.col("user_id").alias("claim_id"), kind.alias("kind"), "event_id")
+    early = F.coalesce(F.col("event_id") <= F.lit(t("events").agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]), F.lit(False))
+    lots = (events.where(early), events.where(~early), None)
+    for lot in lots:
+        if lot is not None:
+            lot.drop("event_id").write.mode("append").parquet(f"{path}/in")
+        stream = t.spark.readStream.schema("claim_id long, kind string").parquet(f"{path}/in")
+        feedback.append_counters(stream, f"{path}/counters", f"{path}/progress").awaitTermination()
+    for _ in range(2):
+        feedback.append_shown(index.search(t.index, QUESTION), f"{path}/counters", "first")
+    return feedback.totals(t.spark, f"{path}/counters")
+
+
 @query("index_build", f"""select 'claims' name, count(*) n from claims union all select 'keywords', count(*) from keywords union all select 'postings', count(*) from keywords union all select 'idf', count(*) from idf
  union all select 'memos', count(distinct source) from claims union all select 'stats', 1 union all select 'stem_stats', 1
  union all select 'terms', count(*) from (select distinct claim_id, w from (select claim_id, unnest({duck.words('text')}) w from claims union all select claim_id, unnest({duck.words('keyword')}) from keywords))

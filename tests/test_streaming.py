@@ -13,6 +13,13 @@ def test_counters_are_folded_once(spark, tmp_path):
         feedback.append_counters(stream, out, ck).awaitTermination()
     got = {r["claim_id"]: (r["hits"], r["helpful"], r["unhelpful"]) for r in feedback.totals(spark, out).collect()}
     assert got == {1: (3, 2, 0), 2: (1, 0, 1)}
+    found = spark.createDataFrame([(2,), (3,)], "claim_id long")
+    for _ in range(2):  # a request that is recorded again counts once
+        feedback.append_shown(found, out, "a")
+    feedback.append_shown(found.where("claim_id = 3"), out, "b")
+    got = {r["claim_id"]: (r["hits"], r["helpful"], r["unhelpful"]) for r in feedback.totals(spark, out).collect()}
+    assert got == {1: (3, 2, 0), 2: (2, 0, 1), 3: (2, 0, 0)}
+    assert feedback.totals(spark, str(tmp_path / "none")).collect() == []
 
 
 def test_only_new_files_are_processed(spark, tmp_path):
