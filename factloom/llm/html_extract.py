@@ -8,6 +8,10 @@ name (header-fixed, menu-open) or one of several names (page sidebar); names wit
 What such an element wraps is told by what it holds: the main element, or half of the page's text; a first heading, too, in one of WEAK
 and a form, and an article in a form. One that is marked as comments or teasers has to hold an article besides half of the text.
 
+An article inside of an article, which is a remark or an entry about the outer one, goes unless it holds half of the outer one's text. Of
+several articles side by side, those with less than TEASER of the longest one's text go if they have a link, by which they lead to
+pages of their own; articles of like lengths, as on a page of entries, and short ones without a link all stay.
+
 Over the lines, the logarithm of the ratio of text outside of links to tags is smoothed by a Gaussian, and the smoothed values are cut
 at a share of their mean. Lines of text above the cut are content; inside an article or the main element, which is the prior, the cut
 is at a lower share, so that short paragraphs there stay. Where the page has no such element, content goes from the first to the last
@@ -56,6 +60,8 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",),
 WITHIN = ("div", "section", "article", "main", "td", "th", "li", "blockquote", "body", "nav", "aside", "header", "footer", "form")
 LISTS = ("ul", "ol", "dl", "table", "select")
 SIGMA = 1.0
+#: Share of the longest article's text below which another article with a link is a teaser.
+TEASER = 0.25
 #: Share of the mean smoothed ratio at which lines are cut, and the share inside the prior's regions.
 LEVEL, REGION_LEVEL = 0.5, 0.1
 
@@ -85,38 +91,39 @@ def marked(attrs: list[tuple[str, str | None]]) -> tuple[bool, int]:
 
 class Lines(HTMLParser):
     """Collects a line for each block that may be content: (text, tags, characters in links, whether it is in an article or the main
-    element, the part of the page it is in). No event costs more than the elements that it closes."""
+    element, the part of the page it is in, the innermost article). No event costs more than the elements that it closes."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, int]] = []  # tag, whether it starts something to skip, and region and part outside of it
+        self.open: list[tuple[str, bool, bool, int, int]] = []  # tag, whether it starts something to skip, and region, part and article outside of it
         self.places: defaultdict[str, list[int]] = defaultdict(list)  # where each tag is open
         self.blocks: list[int] = []  # where blocks are open
         self.skipped = 0
         self.region = False
-        self.part = 0
+        self.part = self.article = 0
+        self.articles = [0]  # the article around it; the first is the page
         self.parts = [(0, PAGE)]  # (the part around it, what it is)
         self.holds = [0]  # what a part holds that only a wrapper does
         self.pieces: list[str] = []
         self.tags = self.linked = 0
-        self.lines: list[tuple[str, int, int, bool, int]] = []
+        self.lines: list[tuple[str, int, int, bool, int, int]] = []
 
     def end_line(self) -> None:
         text = " ".join("".join(self.pieces).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, self.region, self.part))
+            self.lines.append((text, self.tags, self.linked, self.region, self.part, self.article))
         self.pieces, self.tags, self.linked = [], 0, 0
 
     def pop(self, n: int) -> None:
         """Close the elements from depth n on."""
         while len(self.open) > n:
-            tag, skips, region, part = self.open.pop()
+            tag, skips, region, part, article = self.open.pop()
             self.places[tag].pop()
             if tag in BLOCKS:
                 self.blocks.pop()
                 self.end_line()
             self.skipped -= skips
-            self.region, self.part = region, part
+            self.region, self.part, self.article = region, part, article
 
     def last(self, tags: tuple[str, ...]) -> int:
         return max((self.places[t][-1] for t in tags if self.places[t]), default=-1)
@@ -148,7 +155,7 @@ class Lines(HTMLParser):
         self.places[tag].append(len(self.open))
         if tag in BLOCKS:
             self.blocks.append(len(self.open))
-        self.open.append((tag, skips, self.region, self.part))
+        self.open.append((tag, skips, self.region, self.part, self.article))
         self.skipped += skips
         if self.skipped:
             return
@@ -156,6 +163,9 @@ class Lines(HTMLParser):
             self.holds[self.part] |= MAIN if tag == "main" else FIRST_HEADING if tag == "h1" else ARTICLE
             if tag == "article" and self.parts[self.part][1] == FORM:
                 self.holds[self.part] |= FIRST_HEADING
+        if tag == "article":
+            self.articles.append(self.article)
+            self.article = len(self.articles) - 1
         if tag in ("article", "main"):
             self.region = True
         elif kind != PAGE:
@@ -182,12 +192,12 @@ class Lines(HTMLParser):
                 self.linked += len("".join(data.split()))
 
     def finished(self) -> list[tuple[str, int, int, bool]]:
-        """The lines, without those of parts that are no wrappers."""
+        """The lines, without those of parts that are no wrappers and of articles that are remarks or teasers."""
         self.close()
         self.pop(0)
         self.end_line()
         sizes = [0] * len(self.parts)
-        for text, *_, part in self.lines:
+        for text, *_, part, _ in self.lines:
             sizes[part] += len(text)
         for i in range(len(self.parts) - 1, 0, -1):  # a part comes after the one around it
             around = self.parts[i][0]
@@ -199,7 +209,24 @@ class Lines(HTMLParser):
             enough = MAIN | FIRST_HEADING if kind in (FORM, MAYBE) else MAIN
             half = 2 * sizes[i] >= sizes[0] and (kind != CROWD or self.holds[i] & ARTICLE)
             stays.append(bool(stays[around] and (self.holds[i] & enough or half)))
-        return [x[:4] for x in self.lines if stays[x[4]]]
+        lines = [x for x in self.lines if stays[x[4]]]
+        stays = self.articles_that_stay(lines)
+        return [x[:4] for x in lines if stays[x[5]]]
+
+    def articles_that_stay(self, lines: list[tuple[str, int, int, bool, int, int]]) -> list[bool]:
+        """For each article, the page being the first, whether it is content."""
+        sizes, links = [0] * len(self.articles), [0] * len(self.articles)
+        for text, _, linked, *_, article in lines:
+            sizes[article] += len(text)
+            links[article] += linked
+        for i in range(len(sizes) - 1, 0, -1):  # an article comes after the one around it
+            sizes[self.articles[i]] += sizes[i]
+        longest = max((n for n, around in zip(sizes[1:], self.articles[1:]) if not around), default=0)
+        stays = [True]
+        for i, around in enumerate(self.articles[1:], 1):
+            teaser = sizes[i] < TEASER * longest and links[i] > 0
+            stays.append(stays[around] and (2 * sizes[i] >= sizes[around] if around else not teaser))
+        return stays
 
 
 def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:

@@ -374,6 +374,20 @@ def test_wrappers_are_no_parts():
     assert html_extract.extract(f"<p>{para} <a href=/x>see<p>{para}<p>{para}") == f"{para} see\n{para}\n{para}"
 
 
+def test_other_articles_are_remarks_or_teasers():
+    para = "A paragraph of the text that goes on for a while, as they do, before it ends."
+    own = f"<article><h1>Title</h1><p>{para}</p><p>{para}</p><p>{para}</p>%s</article>"
+    want = "\n".join(["Title", para, para, para])
+    teaser = "<article><h2><a href=/next>Read this next</a></h2><p>It is short.</p></article>"
+    assert html_extract.extract(own % "" + teaser + teaser) == html_extract.extract(teaser + own % "") == want
+    # Short ones without a link are parts of the text, and entries of like lengths are what the page is made of.
+    assert html_extract.extract(own % "" + "<article><p>An afterword, short.</p></article>") == want + "\nAn afterword, short."
+    assert html_extract.extract(teaser * 3) == "\n".join(["Read this next\nIt is short."] * 3)
+    # Remarks stand in articles of their own inside of the article; a wrapper in an article is none.
+    assert html_extract.extract(own % "<article><p>A reader's remark.</p></article>" + "<p>x</p>") == want
+    assert html_extract.extract("<article>" + own % "" + "</article>") == want
+
+
 def test_hostile_pages_take_linear_time():
     import time
 
@@ -642,6 +656,10 @@ def test_line_rules():
     prose = "The house passed a copyright bill last week, after a long debate in which more than thirty members spoke, most of them against it, for and against the rights of readers."
     assert quality_rules.judge(prose)[-1] and quality_rules.clean(prose) == prose
     assert quality_rules.clean("Copyright 2020, all rights reserved.\nWe use a cookie, see our privacy policy, and you may log in or sign up for more.\n" + prose) == prose
+    for line in ("Tous droits réservés. Politique de confidentialité.", "Diese Seite verwendet Cookies, siehe Datenschutzerklärung.", "© 2021 Example, todos los derechos reservados.", "Lees meer over ons privacybeleid.", "COPYRIGHT (C) Example Inc., London."):
+        assert quality_rules.clean(line + "\n" + prose) == prose
+    for line in ("She took a cookie and left the room quickly.", "The copyright of a song lasts for long.", "He wrote it in JavaScript over one long weekend.", "Readers subscribe for a year at least."):
+        assert quality_rules.clean(line) == line
     words = "a b c d e f g a b c d e x".split()
     brute = set()
     seen = collections.Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
