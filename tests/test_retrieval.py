@@ -125,3 +125,11 @@ def test_segments_equal_a_rebuild_and_read_what_changed(spark, tmp_path, monkeyp
     assert len(store.folders(spark, path, "s-")) <= 4  # what no version reads is gone
     with pytest.raises(ValueError, match="missing"):
         segments.read(spark, str(tmp_path / "none"))
+
+
+def test_equal_sums_of_weights_go_by_id(spark):
+    # 0.1 + 0.2 + 0.3 is more than 0.6 in doubles, in whatever order the engine happens to add them.
+    rows = [(1, "alpha", 0.3), (1, "gamma", 0.3), (2, "alpha", 0.1), (2, "beta", 0.2), (2, "gamma", 0.3)]
+    idx = {"postings": spark.createDataFrame(rows, "claim_id long, keyword string, weight double").coalesce(1)}
+    assert index.question_keywords(spark, "alpha beta gamma") == ["alpha", "beta", "gamma"]
+    assert [tuple(r) for r in index.keyword_scores(idx, "alpha beta gamma", 1).collect()] == [(1, 0.075)]
