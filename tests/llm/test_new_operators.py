@@ -169,6 +169,21 @@ def test_hard_negatives_leave_broken_rows_out(spark):
     assert mined(df) == brute_negatives([(i, lab, [int(256 * c) for c in v], i % 3 == 0) for i, lab, v in large]) != []
 
 
+def test_hard_negatives_shuffle_no_tiles(spark):
+    """Scores of 3,000 rows and 1,000 anchors in two chunks are 24 MB as 32-bit integers; blocks and best entries are shuffled, not these."""
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, i % 4, [rng.random() for _ in range(64)]) for i in range(3000)], "vec_id long, label int, embedding array<double>").cache()
+    df.count()
+
+    def shuffled():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    before = shuffled()
+    assert hard_negatives.mine(df, F.col("vec_id") % 3 == 0).count() > 0
+    assert sum(n for i, n in shuffled().items() if i not in before) < 8e6
+
+
 # 13
 def brute_whitening(vectors, most=4):
     """Exact integers and fractions up to the covariance, then a solver of its own."""
