@@ -133,3 +133,26 @@ def test_equal_sums_of_weights_go_by_id(spark):
     idx = {"postings": spark.createDataFrame(rows, "claim_id long, keyword string, weight double").coalesce(1)}
     assert index.question_keywords(spark, "alpha beta gamma") == ["alpha", "beta", "gamma"]
     assert [tuple(r) for r in index.keyword_scores(idx, "alpha beta gamma", 1).collect()] == [(1, 0.075)]
+
+
+def test_places_of_words(spark):
+    rows = [(1, ["a", "b", "a", "\x01", "c", "\x01", "a"], 2), (2, [], 0), (3, ["\x01", "b"], 1), (4, ["ä", "ä"], 0)]
+    df = spark.createDataFrame(rows, "claim_id long, w array<string>, gaps int")
+    got = sorted((r["claim_id"], r["dl"], r["word"], r["positions"]) for r in index.places(df, "\x01").collect())
+    assert got == [(1, 5, "a", [0, 2, 6]), (1, 5, "b", [1]), (1, 5, "c", [4]), (3, 1, "b", [1]), (4, 2, "ä", [0, 1])]
+    assert index.places(df.where("claim_id = 2")).collect() == []
+
+
+def test_order_of_postings_costs_no_shuffle(spark, tmp_path):
+    def shuffled():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    rows, before = spark.range(1000).select(F.md5(F.col("id").cast("string")).alias("word"), F.col("id").alias("claim_id")), shuffled()
+    out = index.in_order(str(tmp_path), "words", rows, "word", "claim_id")
+    assert sum(n for i, n in shuffled().items() if i not in before) == 0
+    files = out.select("word", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at")).orderBy("at").collect()
+    assert len(files) == 1000
+    for name in {r["file"] for r in files}:
+        own = [r["word"] for r in files if r["file"] == name]
+        assert own == sorted(own)
