@@ -1,6 +1,7 @@
 """Retrieval: phrases by positions, the stemmed search and its fallback, the index in segments."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +52,31 @@ def test_phrases(spark, tmp_path):
     assert index.bm25(idx, "the of").collect() == []
 
 
+def test_terms_counted_in_claims(spark):
+    """Terms of one to four words over claims of few frequent words, against a count by hand; a claim's postings span many batches."""
+    rng = random.Random(2)
+    letters = ["a", "ab", "abc", "b", "ba"]
+    claims = {i: [rng.choice([*letters, None]) for _ in range(rng.randrange(60))] for i in range(40)}
+    terms = [list(t) for n in (1, 2, 3, 4) for t in sorted({tuple(rng.choice(letters) for _ in range(n)) for _ in range(12)})]
+    rows = [(i, sum(w is not None for w in ws), w, [k for k, x in enumerate(ws) if x == w]) for i, ws in claims.items() for w in {*ws} - {None}]
+    want = {}
+    for i, ws in claims.items():
+        for n, (*head, end) in enumerate(terms):
+            tf = sum(ws[k : k + len(head)] == head and (ws[k + len(head)] or "").startswith(end) for k in range(len(ws) - len(head)))
+            if tf:
+                want[n, i] = (sum(w is not None for w in ws), tf)
+    postings = spark.createDataFrame(rows, "claim_id long, dl int, word string, positions array<int>").repartition(3, "word")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("2", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = index.counts_in_claims(postings, terms).collect()
+            assert len(got) == len(want) and {(r["term"], r["claim_id"]): (r["dl"], r["tf"]) for r in got} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert index.counts_in_claims(postings.where("false"), terms).collect() == index.counts_in_claims(postings, []).collect() == []
+
+
 def test_stemmed_search_and_its_fallback(spark, tmp_path):
     texts = {1: "connected systems connect", 2: "a connection", 3: "The Unrelated \\ 50% text", 4: "connecting words of unrelated things", 5: None}
     idx, claims = built(spark, texts, str(tmp_path / "i"))
