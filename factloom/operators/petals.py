@@ -34,17 +34,26 @@ def session_key(anchor) -> Column:
 
 
 def in_session(rows: DataFrame, claims: DataFrame) -> DataFrame:
-    """The passages whose anchor shares enough words with a claim (set_id, claim) of their session."""
-    keyed = rows.withColumn("_key", session_key("anchor"))
+    """The passages whose anchor shares enough words with a claim (set_id, claim) of their session.
+
+    A claim contains its own words, so that passages which share enough of those are settled by sets of words; the claims' texts are
+    searched for each word of the others only."""
+    own = ["petal_id", "set_id", "_row"]
+    marked = rows.withColumn("_row", F.xxhash64("anchor"))
+    asked = marked.select(*own, session_key("anchor").alias("_key")).where(F.size("_key") >= 2)
     hay = claims.select(F.col("set_id").alias("_set"), F.lower("claim").alias("_hay"))
-    shared = F.size(F.filter("_key", lambda x: F.col("_hay").contains(x)))
-    enough = shared >= F.greatest(F.lit(2), F.floor(F.size("_key") / 3))
-    return keyed.join(hay, (F.col("set_id") == F.col("_set")) & enough, "left_semi").drop("_key")
+    words = hay.select("_set", F.array_distinct(F.split("_hay", "[^a-z0-9]+")).alias("_words"))
+    met, enough = F.col("set_id") == F.col("_set"), F.greatest(F.lit(2), F.floor(F.size("_key") / 3))
+    whole = evidence.kept(asked.join(words, met & (F.size(F.array_intersect("_key", "_words")) >= enough), "left_semi").select(own), "whole")
+    rest = asked.join(whole, own, "left_anti")
+    parts = rest.join(hay, met & (F.size(F.filter("_key", lambda x: F.col("_hay").contains(x))) >= enough), "left_semi").select(own)
+    return marked.join(whole.unionByName(parts).distinct(), own, "left_semi").drop("_row")
 
 
 def verify(rows: DataFrame, claims: DataFrame) -> DataFrame:
     """Adds verified: true, false, or null where only the authors can tell. The session check comes before the numbers."""
-    hits = in_session(rows, claims).select(F.col("petal_id").alias("_hit")).distinct()
+    open_ = rows.where((F.col("anchor_kind") == "session") & (F.trim("anchor") != "") & (F.length(F.trim("text")) >= 40))  # no other verdict asks for it
+    hits = in_session(open_, claims).select(F.col("petal_id").alias("_hit")).distinct()
     joined = rows.join(hits, F.col("petal_id") == F.col("_hit"), "left")
     verdict = (
         F.when(F.trim("anchor") == "", False).when(F.length(F.trim("text")) < 40, False).when((F.col("anchor_kind") == "session") & F.col("_hit").isNull(), False)
