@@ -323,6 +323,21 @@ def test_exact_stretches_of_large_mixed_groups(spark):
         assert 999 - i in r["partners"] and any(p["start"] <= places[i] and places[i] + 50 <= p["end"] for p in r["passages"])
 
 
+def test_links_of_a_large_group_are_few_steps_apart(spark):
+    rng = random.Random(11)
+    text = lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
+    passage = text(60)
+    df = spark.createDataFrame([(i, " ".join(text(20) + passage + text(20))) for i in range(200)], "doc_id long, text string")
+    near = collections.defaultdict(set)
+    for r in substring.exact_pairs(df, substring.chained(df)).collect():
+        near[r["a"]].add(r["b"])
+        near[r["b"]].add(r["a"])
+    seen, now, steps = {0}, {0}, 0
+    while now := {j for i in now for j in near[i]} - seen:
+        seen, steps = seen | now, steps + 1
+    assert len(seen) == 200 and steps <= 10  # components() takes rounds by the length of chains
+
+
 def test_passages_have_their_own_places(spark):
     rng = random.Random(9)
     text = lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
