@@ -338,6 +338,14 @@ def test_links_of_a_large_group_are_few_steps_apart(spark):
     assert len(seen) == 200 and steps <= 10  # components() takes rounds by the length of chains
 
 
+def test_stretches_begin_at_any_run():
+    import numpy as np
+
+    # Runs of 20, 4 and 60 tokens, 5 apart: from the first one the share falls below the threshold at the second, whole it doesn't.
+    at = np.array([*range(20), *range(32, 36), *range(41, 101)])
+    assert substring._joined(at, np.zeros(len(at), "i8")) == [(0, 0, 101, 101)]
+
+
 def test_passages_have_their_own_places(spark):
     rng = random.Random(9)
     text = lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
