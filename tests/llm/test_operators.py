@@ -346,6 +346,33 @@ def test_stretches_begin_at_any_run():
     assert substring._joined(at, np.zeros(len(at), "i8")) == [(0, 0, 101, 101)]
 
 
+def test_short_texts_are_hashed_together(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    some = ["", None, "a", "A b c d", " x\ty z \u00c9\u4e2d w V ", "end", "word " * 3, "y" * 70_000, " ".join(f"W{i}" for i in range(20_000)), "", *("".join(rng.choice("aB \t\n\u00e9") for _ in range(rng.randrange(60))) for _ in range(500))]
+    for k in (1, 3, 5):
+        rows = []
+        for first, own, bounds in common.runs_of_shingles(pa.array(["cut off", *some]).slice(1), k):
+            assert first == len(rows)
+            rows += [own[x:y].tolist() for x, y in zip(bounds, bounds[1:])]
+        assert rows == [common.shingle_hashes(t or "", k).tolist() if len((t or "").split()) >= k else [] for t in some]
+    # Windows and grams of texts that follow each other are those of each text alone, whatever the other ones hold.
+    many = [" ".join(rng.choice("abcdefghij") for _ in range(rng.randrange(200))) for _ in range(200)]
+    calls = []
+    monkeypatch.setattr(common, "_word_hashes", lambda *x, f=common._word_hashes: calls.append(1) or f(*x))
+    ((_, own, bounds),) = common.runs_of_shingles(pa.array(many), substring.SHINGLE)
+    assert len(calls) == 1
+    drawn = common.mixed(own + np.arange(2, dtype="u8")[:, None])
+    got, grams = set(zip(*(x.tolist() for x in substring.compact_windows(drawn, substring.LEAST, bounds)))), list(zip(*(x.tolist() for x in substring.picked(own, bounds))))
+    want, alone = set(), []
+    for i, (x, y) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
+        want |= {(f, a + x, c + x, b + x) for f, a, c, b in zip(*(z.tolist() for z in substring.compact_windows(drawn[:, x:y])))}
+        alone += [(i, g) for g in substring.picked(own[x:y], np.array([0, y - x]))[1].tolist()]
+    assert got == want and grams == alone and len(grams) > 200
+
+
 def test_passages_have_their_own_places(spark):
     rng = random.Random(9)
     text = lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
