@@ -27,6 +27,52 @@ def test_porter_on_published_pairs(spark):
     assert df.where("got <> want").collect() == []
 
 
+def test_stems_of_single_words_are_those_of_columns(spark):
+    from factloom.functions import stems
+
+    from .conftest import SF
+
+    words = spark.read.parquet(f"{SF}/documents.parquet").select(F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("w")).distinct().where("w <> ''")
+    extra = spark.createDataFrame([(w,) for w in [*PAIRS, "ies", "bies", "ss", "yes", "agreed", "eed", "ing", "sing", "élèves", "straßes", "12345", "a1s", "ionion", "yyyy", "hopping", "fell", "controlling"]], "w string")
+    rows = words.unionByName(extra).select("w", tx.stem("w").alias("s"), F.element_at(tx.porter(F.array("w")), 1).alias("p"), F.col("w").rlike("^[a-z]+$").alias("plain")).collect()
+    assert len(rows) > 1000
+    assert [r for r in rows if stems.stem(r["w"]) != r["s"] or r["plain"] and stems.porter(r["w"]) != r["p"]] == []
+
+
+@pytest.mark.parametrize("run", [50, 1 << 19])
+def test_index_of_distinct_claims_is_not_shuffled_and_the_same(spark, tmp_path, monkeypatch, run):
+    """Claims with distinct ids are worked out where they are read: the same rows as by shuffles, which none of the plans has."""
+    from .conftest import SF
+
+    monkeypatch.setattr(index, "RUN", run)
+    odd = [(-1, "`Foo bar.Baz` and `été_x` 3.5% of `a` `` `s`"), (-2, None), (-3, ""), (-4, "the of and"), (-5, "x \x01 y `p\x01q` ÀÉ ²½ Ⅷ"), (-6, "Running runs ran 12 12 12.5")]
+    texts = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id claim_id", "text").unionByName(spark.createDataFrame(odd, "claim_id long, text string"))
+    kws = index.keyword_rows(texts)
+    pairs = ((index.keywords_where_read(texts), kws), (index.full_text_where_read(texts), index.full_text_rows(texts, kws)), (index.stems_where_read(texts), index.stem_rows(str(tmp_path), texts)))
+    for got, want in pairs:
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert got.columns == want.columns and rows(got) == rows(want) and got.count() > 1000
+
+
+def test_parts_of_the_index_are_built_when_asked_for(spark, tmp_path):
+    claims = spark.createDataFrame([(1, "s", "one thing", "CONFIRMED"), (2, "s", "two things", "CONFIRMED")], "claim_id long, source string, text string, status string")
+    none = spark.createDataFrame([], "claim_id long, hits long, helpful long, unhelpful long")
+    idx = index.Stored(str(tmp_path / "i"), claims, none)
+    assert index.keyword_scores(idx, "things").count() == 2
+    assert sorted(p.name for p in next((tmp_path / "i").iterdir()).iterdir()) == ["idf", "keywords", "postings"]
+    # Rows of one claim, which meet: the largest weight of each keyword.
+    twice = index.Stored(str(tmp_path / "j"), claims.unionByName(claims.withColumn("text", F.lit("`thing`"))), none)
+    assert {(r["claim_id"], r["keyword"]): r["weight"] for r in twice["keywords"].collect()} == {(1, "one"): 1.0, (1, "thing"): 3.0, (2, "two"): 1.0, (2, "thing"): 3.0}
+
+
+@pytest.mark.parametrize("most", [3, 500_000])
+def test_idf_meets_keywords_by_broadcast_and_by_shuffle(spark, monkeypatch, most):
+    monkeypatch.setattr(index, "VOCABULARY", most)
+    kws = spark.createDataFrame([(i, f"w{k}", 1.0) for i in range(12) for k in range(12) if k <= i], "claim_id long, keyword string, weight double").localCheckpoint()
+    idfs = index.idf(kws, kws.select("claim_id").distinct())
+    assert rows(index.with_idf(kws, idfs)) == rows(kws.join(idfs.select("keyword", "idf"), "keyword"))
+
+
 def built(spark, texts, path):
     claims = spark.createDataFrame([(i, "s", t, "CONFIRMED") for i, t in texts.items()], "claim_id long, source string, text string, status string")
     index.build(path, claims, spark.createDataFrame([], "claim_id long, hits long, helpful long, unhelpful long"))
